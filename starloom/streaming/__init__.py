@@ -1,0 +1,8 @@
+"""Streaming.
+
+The surveyed tool has no streaming operator: no watermark, time window,
+state or late-data handling (SURVEY 2.11).  Its only "stream" is one-shot
+file reading, which :func:`starloom.sources.load_folder` covers as a batch
+read.  Nothing is built here on purpose; adding streaming operators would go
+beyond what the tool does.
+"""
