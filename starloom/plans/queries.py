@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.operators import analytics as an
+from starloom.operators import profile as pr
+from starloom.plans import oracle_text as ot
+from starloom.plans.driver_tables import ALL_TABLES, STAR_TABLES
 from starloom.sources import load_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +106,54 @@ def q_pareto_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.withColumn("measure_sum", F.col("measure_sum").cast("double"))
 
 
+# ------------------------------------------------------------------ profile
+PROFILE_COLUMNS = [
+    "table", "pos", "field", "rowCount", "nullCount", "blankCount", "distinctCount",
+    "minLength", "maxLength", "avgLength", "isNumeric", "minNumeric", "maxNumeric",
+    "sampleValues", "informationDensity", "nullPercentage", "uniquenessRatio",
+]
+
+
+def _profile_out(p: DataFrame) -> DataFrame:
+    return p.withColumn("sampleValues", F.array_join("sampleValues", "|")).select(*PROFILE_COLUMNS)
+
+
+@register("profile_orders", ot.profile_sql(["orders"]))
+def q_profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profile_out(pr.profile(_t(spark, sf_dir, "orders")))
+
+
+@register("profile_model", ot.profile_sql(STAR_TABLES))
+def q_profile_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profile_out(pr.profile(_t(spark, sf_dir, *STAR_TABLES)))
+
+
+@register("table_metrics", ot.table_metrics_sql(ALL_TABLES))
+def q_table_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pr.table_stats(_t(spark, sf_dir, *ALL_TABLES)).drop("tidx")
+
+
+@register(
+    "one_to_many",
+    """
+SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_items
+FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem
+      WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL)
+GROUP BY l_orderkey HAVING count(*) > 1
+""",
+)
+def q_one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pr.one_to_many(_t(spark, sf_dir, "lineitem")["lineitem"], "l_orderkey", "l_partkey")
+
+
+@register(
+    "distinct_count_all",
+    "SELECT CAST(count(DISTINCT l_partkey) AS BIGINT) AS n_distinct FROM lineitem",
+)
+def q_distinct_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pr.distinct_count_all(_t(spark, sf_dir, "lineitem")["lineitem"], "l_partkey")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
