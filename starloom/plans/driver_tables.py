@@ -35,3 +35,22 @@ STRING_COLUMNS = {
     "o_orderstatus", "o_orderpriority", "l_returnflag", "l_linestatus", "event_type", "props",
     "text", "lang", "source", "url", "html", "role",
 }
+
+# Parameters of the model queries: semantic aliases for the key columns of
+# the star tables (the role an analyst's override table plays; without them
+# prefixed keys such as o_custkey / c_custkey score too low to link).
+DRIVER_ALIASES: list[tuple[str, str, str | None, str | None]] = [
+    ("region", "r_regionkey", None, "Region"),
+    ("nation", "n_regionkey", None, "Region"),
+    ("nation", "n_nationkey", None, "Nation"),
+    ("customer", "c_nationkey", None, "Nation"),
+    ("supplier", "s_nationkey", None, "Nation"),
+    ("customer", "c_custkey", None, "Customer"),
+    ("orders", "o_custkey", None, "Customer"),
+    ("supplier", "s_suppkey", None, "Supplier"),
+    ("lineitem", "l_suppkey", None, "Supplier"),
+    ("part", "p_partkey", None, "Part"),
+    ("lineitem", "l_partkey", None, "Part"),
+    ("orders", "o_orderkey", None, "Order"),
+    ("lineitem", "l_orderkey", None, "Order"),
+]

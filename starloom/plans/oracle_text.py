@@ -100,3 +100,191 @@ def long_values_sql(tables: list[str]) -> str:
                 f"WHERE {q(c)} IS NOT NULL AND CAST({q(c)} AS VARCHAR) <> ''"
             )
     return "\nUNION ALL\n".join(parts)
+
+
+# ---------------------------------------------------------------- discovery
+from starloom.functions.names import ID_LIKE_PATTERN  # noqa: E402
+from starloom.operators.classify import (  # noqa: E402
+    BARCODE_PATTERN,
+    DATE_NAME_PATTERN,
+    ID_CAMEL_PATTERN,
+    ID_SEPARATED_PATTERN,
+    ID_SUFFIX_PATTERN,
+)
+
+
+def squash(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[\\s_]', '', 'g')"
+
+
+def overlap_ctes(tables: list[str]) -> str:
+    """CTEs ``vals, sizes, cand, inter`` (inter: candidate pairs, inter > 0)."""
+    idl = lit(ID_LIKE_PATTERN)
+    return f"""vals AS ({long_values_sql(tables)}),
+sizes AS (SELECT tbl, field, tidx, pos, count(*) AS n FROM vals GROUP BY tbl, field, tidx, pos),
+cand AS (
+  SELECT a.tbl AS tableA, a.field AS fieldA, b.tbl AS tableB, b.field AS fieldB,
+         a.n AS sizeA, b.n AS sizeB
+  FROM sizes a JOIN sizes b
+    ON (a.tidx < b.tidx OR (a.tidx = b.tidx AND a.pos < b.pos))
+  WHERE {squash('a.field')} = {squash('b.field')}
+     OR contains({squash('a.field')}, {squash('b.field')})
+     OR contains({squash('b.field')}, {squash('a.field')})
+     OR (regexp_matches(a.field, {idl}) AND regexp_matches(b.field, {idl}))),
+inter AS (
+  SELECT c.tableA, c.fieldA, c.tableB, c.fieldB, c.sizeA, c.sizeB,
+         CAST(count(*) AS BIGINT) AS intersectionCount
+  FROM cand c
+  JOIN vals va ON va.tbl = c.tableA AND va.field = c.fieldA
+  JOIN vals vb ON vb.tbl = c.tableB AND vb.field = c.fieldB AND vb.v = va.v
+  GROUP BY c.tableA, c.fieldA, c.tableB, c.fieldB, c.sizeA, c.sizeB),
+ovl AS (
+  SELECT tableA, fieldA, tableB, fieldB, sizeA, sizeB, intersectionCount,
+         {round_ratio('intersectionCount', 'sizeA', 4)} AS overlapRatioA,
+         {round_ratio('intersectionCount', 'sizeB', 4)} AS overlapRatioB
+  FROM inter
+  WHERE intersectionCount > 0
+    AND (intersectionCount * 10 > sizeA OR intersectionCount * 10 > sizeB))"""
+
+
+def overrides_values(rows) -> str:
+    vals = ", ".join(
+        f"({lit(t)}, {lit(f)}, {lit(ty) if ty else 'CAST(NULL AS VARCHAR)'}, {lit(al) if al else 'CAST(NULL AS VARCHAR)'})"
+        for t, f, ty, al in rows
+    )
+    return f"SELECT * FROM (VALUES {vals}) AS o(tbl, field, otype, oalias)"
+
+
+def classify_ctes(tables: list[str], overrides) -> str:
+    """CTEs ``prof, ovr, base, cnt, cls`` (cls: tbl, field, tidx, pos, type,
+    alias, uniquenessRatio, rowCount, isNumeric, distinctCount)."""
+    prof_parts = []
+    for ti, t in enumerate(tables):
+        for pos, c in enumerate(DRIVER_SCHEMAS[t]):
+            present = "(v IS NOT NULL AND v <> '')"
+            nn = f"count(*) FILTER (WHERE {present})"
+            prof_parts.append(
+                f"""SELECT {lit(t)} AS tbl, {lit(c)} AS field, {ti} AS tidx, {pos} AS pos,
+  CAST(count(*) AS BIGINT) AS rowCount,
+  CAST(count(DISTINCT v) FILTER (WHERE {present}) AS BIGINT) AS distinctCount,
+  ({nn} > 0 AND count(*) FILTER (WHERE {present} AND NOT {is_numeric('v')}) = 0) AS isNumeric,
+  {round_ratio(f"count(DISTINCT v) FILTER (WHERE {present})", nn, 4)} AS uniquenessRatio,
+  coalesce(any_value(ty) LIKE 'DATE' OR any_value(ty) LIKE 'TIMESTAMP%', false) AS isDateType
+FROM (SELECT CAST({q(c)} AS VARCHAR) AS v, typeof({q(c)}) AS ty FROM {t})"""
+            )
+    is_id = (
+        f"(regexp_matches(p.field, {lit(ID_SUFFIX_PATTERN)}) OR regexp_matches(p.field, {lit(ID_SEPARATED_PATTERN)})"
+        f" OR regexp_matches(p.field, {lit(ID_CAMEL_PATTERN)}) OR regexp_matches(p.field, {lit(BARCODE_PATTERN)}))"
+    )
+    is_date = f"(p.isDateType OR (NOT p.isNumeric AND regexp_matches(p.field, {lit(DATE_NAME_PATTERN)})))"
+    return f"""prof AS ({' UNION ALL '.join(prof_parts)}),
+ovr AS ({overrides_values(overrides)}),
+base AS (
+  SELECT p.*, o.oalias,
+         CASE WHEN o.otype IS NOT NULL THEN o.otype
+              WHEN {is_id} THEN 'IDENTIFIER'
+              WHEN {is_date} THEN 'DATE' END AS _base
+  FROM prof p LEFT JOIN ovr o ON o.tbl = p.tbl AND o.field = p.field),
+cnt AS (
+  SELECT tbl,
+         sum(CASE WHEN _base = 'IDENTIFIER' AND uniquenessRatio < 0.95 THEN 1 ELSE 0 END) AS fks,
+         sum(CASE WHEN _base = 'DATE' THEN 1 ELSE 0 END) AS dates
+  FROM base GROUP BY tbl),
+cls AS (
+  SELECT b.tbl, b.field, b.tidx, b.pos, b.rowCount, b.distinctCount, b.isNumeric, b.uniquenessRatio,
+         coalesce(b._base, CASE WHEN b.isNumeric AND (c.fks >= 2 OR (c.fks >= 1 AND c.dates >= 1))
+                                THEN 'MEASURE' ELSE 'ATTRIBUTE' END) AS type,
+         coalesce(b.oalias, b.field) AS alias
+  FROM base b JOIN cnt c ON c.tbl = b.tbl)"""
+
+
+def tokens_sql(x: str) -> str:
+    split = (
+        f"list_filter(string_split(lower(regexp_replace(regexp_replace({x}, '([a-z])([A-Z])', '\\1_\\2', 'g'),"
+        f" '[_\\s-]+', '_', 'g')), '_'), lambda t: length(t) > 0)"
+    )
+    sing = (
+        f"list_transform({split}, lambda t: CASE WHEN suffix(t, 'ies') AND length(t) > 4 THEN t[1:length(t) - 3] || 'y'"
+        f" WHEN suffix(t, 's') AND length(t) > 3 AND NOT suffix(t, 'ss') THEN t[1:length(t) - 1] ELSE t END)"
+    )
+    generic = "['id', 'key', 'code', 'num', 'number']"
+    kept = f"list_filter({sing}, lambda t: NOT list_contains({generic}, t))"
+    return f"(CASE WHEN len({kept}) > 0 THEN {kept} ELSE {sing} END)"
+
+
+def within(a: str, b: str) -> str:
+    return f"(len(list_filter({a}, lambda t: NOT list_contains({b}, t))) = 0)"
+
+
+def subset(a: str, b: str) -> str:
+    return f"(len({a}) > 0 AND len({b}) > 0 AND CASE WHEN len({a}) <= len({b}) THEN {within(a, b)} ELSE {within(b, a)} END)"
+
+
+def alias_pairs_cte() -> str:
+    """CTEs ``fa, ap, apov``: D5 pairs (needs ``cls``, ``ovl``, ``vals``)."""
+    return """fa AS (SELECT * FROM cls WHERE type IN ('IDENTIFIER', 'ATTRIBUTE') AND alias IS NOT NULL),
+ap AS (
+  SELECT a.tbl AS tableA, a.field AS fieldA, b.tbl AS tableB, b.field AS fieldB,
+         a.distinctCount AS sizeA, b.distinctCount AS sizeB
+  FROM fa a JOIN fa b ON a.alias = b.alias AND a.tbl <> b.tbl
+   AND (a.tidx < b.tidx OR (a.tidx = b.tidx AND a.pos < b.pos))
+  WHERE NOT EXISTS (
+    SELECT 1 FROM ovl o
+    WHERE (o.tableA = a.tbl AND o.fieldA = a.field AND o.tableB = b.tbl AND o.fieldB = b.field)
+       OR (o.tableA = b.tbl AND o.fieldA = b.field AND o.tableB = a.tbl AND o.fieldB = a.field))),
+apov AS (
+  SELECT ap.tableA, ap.fieldA, ap.tableB, ap.fieldB, ap.sizeA, ap.sizeB,
+         CAST(count(*) AS BIGINT) AS intersectionCount,
+         count(*) / ap.sizeA AS overlapRatioA, count(*) / ap.sizeB AS overlapRatioB,
+         'AI_INTENT' AS discoveredBy
+  FROM ap
+  JOIN vals va ON va.tbl = ap.tableA AND va.field = ap.fieldA
+  JOIN vals vb ON vb.tbl = ap.tableB AND vb.field = ap.fieldB AND vb.v = va.v
+  GROUP BY ap.tableA, ap.fieldA, ap.tableB, ap.fieldB, ap.sizeA, ap.sizeB)"""
+
+
+def link_scores_ctes() -> str:
+    """CTEs ending in ``sc`` with ``confidence`` per pair (needs ``ovl``,
+    ``apov``, ``cls``)."""
+    from starloom.functions.names import BARE_GENERIC_PATTERN
+
+    bare = lit(BARE_GENERIC_PATTERN)
+    perfect = (
+        f"(({within('tb', 'list_concat(ta, tta)')} AND {within('ta', 'tb')}) OR "
+        f"({within('ta', 'list_concat(tb, ttb)')} AND {within('tb', 'ta')}))"
+    )
+    tbl_match = (
+        f"((len(tta) > 0 AND regexp_matches(fieldA, {bare}) AND {subset('tta', 'tb')} AND len(tta) = len(tb)) OR "
+        f"(len(ttb) > 0 AND regexp_matches(fieldB, {bare}) AND {subset('ttb', 'ta')} AND len(ttb) = len(ta)))"
+    )
+    return f"""allov AS (
+  SELECT tableA, fieldA, tableB, fieldB, intersectionCount, overlapRatioA, overlapRatioB FROM ovl
+  UNION ALL
+  SELECT tableA, fieldA, tableB, fieldB, intersectionCount, overlapRatioA, overlapRatioB FROM apov),
+s AS (
+  SELECT o.*, ca.type AS classA, ca.alias AS aliasA, cb.type AS classB, cb.alias AS aliasB,
+         {tokens_sql('o.fieldA')} AS ta, {tokens_sql('o.fieldB')} AS tb,
+         {tokens_sql('o.tableA')} AS tta, {tokens_sql('o.tableB')} AS ttb
+  FROM allov o
+  LEFT JOIN cls ca ON ca.tbl = o.tableA AND ca.field = o.fieldA
+  LEFT JOIN cls cb ON cb.tbl = o.tableB AND cb.field = o.fieldB
+  WHERE o.tableA <> o.tableB),
+f AS (
+  SELECT *, lower(fieldA) = lower(fieldB) AS same_name, ta = tb AS identical,
+         {perfect} AS perfect,
+         (classA = 'IDENTIFIER' AND classB = 'IDENTIFIER') AS both_id,
+         {tbl_match} AS tbl_match,
+         (aliasA IS NOT NULL AND aliasA = aliasB AND intersectionCount > 0) AS same_alias
+  FROM s),
+sc AS (
+  SELECT *, CASE WHEN classA = 'MEASURE' OR classB = 'MEASURE'
+                   OR (coalesce(classA, '') <> 'IDENTIFIER' AND coalesce(classB, '') <> 'IDENTIFIER') THEN 0
+            ELSE (CASE WHEN same_name THEN 40 WHEN identical THEN 35 WHEN {subset('ta', 'tb')} THEN 5 ELSE 0 END)
+               + (CASE WHEN perfect THEN 45 ELSE 0 END)
+               + (CASE WHEN overlapRatioA > 0.8 OR overlapRatioB > 0.8 THEN 50 ELSE 0 END)
+               + (CASE WHEN both_id THEN 10
+                        + (CASE WHEN tbl_match THEN 40
+                                WHEN NOT identical AND NOT same_name AND NOT perfect THEN -50 ELSE 0 END)
+                        + (CASE WHEN same_alias THEN 80 ELSE 0 END)
+                  ELSE 0 END) END AS confidence
+  FROM f)"""

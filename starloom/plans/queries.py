@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from starloom.operators import analytics as an
 from starloom.operators import profile as pr
 from starloom.plans import oracle_text as ot
-from starloom.plans.driver_tables import ALL_TABLES, STAR_TABLES
+from starloom.plans import model as md
+from starloom.plans.driver_tables import ALL_TABLES, DRIVER_ALIASES, STAR_TABLES
 from starloom.sources import load_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +155,102 @@ def q_distinct_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.distinct_count_all(_t(spark, sf_dir, "lineitem")["lineitem"], "l_partkey")
 
 
+# ------------------------------------------------------------------ discovery
+def _discover(spark: SparkSession, sf_dir: str) -> md.Discovery:
+    tables = _t(spark, sf_dir, *STAR_TABLES)
+    return md.discover(tables, md.overrides_frame(spark, DRIVER_ALIASES))
+
+
+_OV = ot.overlap_ctes(STAR_TABLES)
+_CL = ot.classify_ctes(STAR_TABLES, DRIVER_ALIASES)
+
+
+@register(
+    "value_overlap",
+    f"""WITH {_OV}
+SELECT tableA, fieldA, tableB, fieldB, sizeA, sizeB, intersectionCount, overlapRatioA, overlapRatioB FROM ovl""",
+)
+def q_value_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discover(spark, sf_dir).overlap
+
+
+@register(
+    "subset_links",
+    f"""WITH {_OV}
+SELECT CASE WHEN a_in_b THEN tableA || '.' || fieldA ELSE tableB || '.' || fieldB END AS subset,
+       CASE WHEN a_in_b THEN tableB || '.' || fieldB ELSE tableA || '.' || fieldA END AS superset
+FROM (SELECT *, (intersectionCount * 100 >= sizeA * 95 AND sizeA < sizeB) AS a_in_b,
+                (intersectionCount * 100 >= sizeB * 95 AND sizeB < sizeA) AS b_in_a
+      FROM inter)
+WHERE a_in_b OR b_in_a""",
+)
+def q_subset_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discover(spark, sf_dir).subsets
+
+
+@register(
+    "alias_overlap",
+    f"""WITH {_OV}, {_CL}, {ot.alias_pairs_cte()}
+SELECT tableA, fieldA, tableB, fieldB, sizeA, sizeB, intersectionCount, overlapRatioA, overlapRatioB, discoveredBy
+FROM apov WHERE intersectionCount > 0""",
+)
+def q_alias_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discover(spark, sf_dir).alias_pairs
+
+
+@register(
+    "classify_fields",
+    f"""WITH {_CL}
+SELECT tbl AS "table", field, pos, type, alias FROM cls""",
+)
+def q_classify_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discover(spark, sf_dir).fields.select("table", "field", "pos", "type", "alias")
+
+
+@register(
+    "grain_roles",
+    f"""WITH {_CL},
+g AS (
+  SELECT tbl, max(rowCount) AS rowCount,
+         CAST(count(*) FILTER (WHERE type = 'MEASURE') AS BIGINT) AS measureCount,
+         CAST(count(*) FILTER (WHERE type = 'IDENTIFIER' AND uniquenessRatio < 0.95) AS BIGINT) AS foreignKeyCount,
+         CAST(count(*) FILTER (WHERE type = 'DATE') AS BIGINT) AS dateCount,
+         coalesce(string_agg(field, ', ' ORDER BY pos) FILTER (WHERE type = 'IDENTIFIER' AND uniquenessRatio >= 0.95), '') AS primaryKey,
+         coalesce(string_agg(field, ', ' ORDER BY pos) FILTER (WHERE type = 'IDENTIFIER' AND uniquenessRatio < 0.95), '') AS foreignKeys,
+         coalesce(string_agg(field, ', ' ORDER BY pos) FILTER (WHERE type = 'IDENTIFIER'), '') AS grainFields,
+         coalesce(string_agg(field, ' + ' ORDER BY pos) FILTER (WHERE type = 'IDENTIFIER'), 'Unknown') AS grainDescription
+  FROM cls GROUP BY tbl)
+SELECT tbl AS "table", rowCount, measureCount, foreignKeyCount, dateCount,
+       CASE WHEN (measureCount > 0 AND foreignKeyCount > 0) OR (rowCount > 50000 AND foreignKeyCount >= 2)
+            THEN 'FACT' ELSE 'DIMENSION' END AS role,
+       primaryKey, foreignKeys, grainFields, grainDescription
+FROM g""",
+)
+def q_grain_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _discover(spark, sf_dir).roles
+    return r.select(
+        "table", "rowCount", "measureCount", "foreignKeyCount", "dateCount", "role",
+        F.array_join("primaryKey", ", ").alias("primaryKey"),
+        F.array_join("foreignKeys", ", ").alias("foreignKeys"),
+        F.array_join("grainFields", ", ").alias("grainFields"),
+        "grainDescription",
+    )
+
+
+@register(
+    "link_scores",
+    f"""WITH {_OV}, {_CL}, {ot.alias_pairs_cte()}, {ot.link_scores_ctes()}
+SELECT tableA, fieldA, tableB, fieldB, CAST(confidence AS INTEGER) AS confidence FROM sc WHERE confidence >= 70""",
+)
+def q_link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discover(spark, sf_dir).links
+
+
+@register("canonical_names")
+def q_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discover(spark, sf_dir).canonical().select("table", "field", "pos", "type", "canonical")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
