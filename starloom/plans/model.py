@@ -76,3 +76,68 @@ def rename_canonical(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 def canonical_mapping(canonical: DataFrame, table: str) -> DataFrame:
     """The ``field -> canonical`` rows of one table (catalog-sized)."""
     return canonical.where(F.col("table") == table).select("field", "canonical")
+
+
+# ------------------------------------------------------------------ building
+from starloom.operators import build as bd  # noqa: E402
+from starloom.operators import structure as st  # noqa: E402
+
+
+@dataclass
+class BuiltModel:
+    tables: dict[str, DataFrame]
+    blueprint: st.Blueprint
+    keyed_facts: dict[str, DataFrame]
+    canonical: DataFrame
+
+
+def _rows(df: DataFrame) -> list:
+    """Bring a catalog-sized metadata frame (names only) to the driver."""
+    return df.collect()
+
+
+def build_model(
+    d: Discovery,
+    today: str | None = None,
+    force: str | None = None,
+    canonical: DataFrame | None = None,
+) -> BuiltModel:
+    """Rename every table to canonical names (P1), key the facts (M1), and
+    add LinkTable (M2, P4), CanonicalDateBridge (M3) and MasterCalendar (M4,
+    M5 when ``today`` is given) as the strategy (D25) asks."""
+    canon = (canonical if canonical is not None else d.canonical()).checkpoint(eager=True)
+    bp = st.blueprint(canon, d.roles, force=force)
+    names = {}
+    for r in _rows(canon.select("table", "field", "canonical")):
+        names.setdefault(r["table"], {})[r["field"]] = r["canonical"]
+    grains = {r["table"]: list(r["grainFields"]) for r in _rows(d.roles.select("table", "grainFields"))}
+    renamed = {t: rename_canonical(df, names.get(t, {})) for t, df in d.tables.items()}
+    model = dict(renamed)
+    keyed: dict[str, DataFrame] = {}
+    if bp.strategy == "LINK_TABLE" or bp.date_bridge:
+        facts = {f: renamed[f] for f in bp.facts}
+        fact_grains = {}
+        for f in bp.facts:
+            g = grains.get(f) or []
+            if not g:
+                g = [c for c, t in _id_fields(canon, f)]
+            fact_grains[f] = [names[f].get(c, c) for c in g]
+        keyed = bd.composite_keys(facts, fact_grains)
+        model.update(keyed)
+    if bp.strategy == "LINK_TABLE":
+        model["LinkTable"] = bd.link_table(keyed, bp.shared)
+        for f in bp.facts:
+            model[f] = bd.drop_fields(keyed[f], bp.shared)
+    if bp.date_bridge and bp.dates:
+        bridge = bd.date_bridge(keyed, bp.dates)
+        model["CanonicalDateBridge"] = bridge
+        calendar = bd.master_calendar(bridge)
+        if today:
+            calendar = bd.relative_deltas(calendar, today)
+        model["MasterCalendar"] = calendar
+    return BuiltModel(model, bp, keyed, canon)
+
+
+def _id_fields(canon: DataFrame, table: str) -> list:
+    rows = _rows(canon.where((F.col("table") == table) & (F.col("type") == "IDENTIFIER")).orderBy("pos").select("field", "type"))
+    return [(r["field"], r["type"]) for r in rows]

@@ -288,3 +288,27 @@ sc AS (
                         + (CASE WHEN same_alias THEN 80 ELSE 0 END)
                   ELSE 0 END) END AS confidence
   FROM f)"""
+
+
+# ---------------------------------------------------------------- building
+def key_expr(fact: str, cols: list[str]) -> str:
+    parts = ", ".join(f"coalesce(CAST({q(c)} AS VARCHAR), '')" for c in cols)
+    return f"md5(concat_ws('|', {lit(fact)}, {parts}))"
+
+
+def keys_cte(grains: dict[str, list[str]]) -> str:
+    """CTE ``keyids(h, id)``: dense numbers over the union of fact hashes."""
+    union = " UNION ".join(f"SELECT {key_expr(f, g)} AS h FROM {f}" for f, g in grains.items())
+    return f"keyids AS (SELECT h, CAST(dense_rank() OVER (ORDER BY h) AS BIGINT) AS id FROM ({union}))"
+
+
+def canonical_catalog_cte(tables: list[str], aliases) -> str:
+    """CTE ``ccat(tidx, tbl, field)``: canonical field names of the driver
+    model as far as the graph is concerned: aliased keys take their alias,
+    every other field stays unique (its own name)."""
+    amap = {(t, f): a for t, f, _ty, a in aliases if a}
+    rows = []
+    for ti, t in enumerate(tables):
+        for c in DRIVER_SCHEMAS[t]:
+            rows.append(f"({ti}, {lit(t)}, {lit(amap.get((t, c), c))})")
+    return f"ccat AS (SELECT * FROM (VALUES {', '.join(rows)}) AS c(tidx, tbl, field))"

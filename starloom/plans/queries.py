@@ -251,6 +251,291 @@ def q_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _discover(spark, sf_dir).canonical().select("table", "field", "pos", "type", "canonical")
 
 
+# ------------------------------------------------------------------ building
+TODAY = "1998-08-02"  # parameter of the relative-delta queries (never the clock)
+GRAINS = {
+    "orders": ["o_orderkey", "o_custkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+}
+
+
+def _built(spark: SparkSession, sf_dir: str):
+    return md.build_model(_discover(spark, sf_dir), today=TODAY)
+
+
+def _ts_text(df: DataFrame) -> DataFrame:
+    """Render date / timestamp columns as text (oracle-neutral)."""
+    out = []
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        c = F.col(f"`{f.name}`")
+        if t == "date":
+            out.append(F.date_format(c, "yyyy-MM-dd").alias(f.name))
+        elif t.startswith("timestamp"):
+            out.append(c.cast("string").alias(f.name))
+        else:
+            out.append(c)
+    return df.select(*out)
+
+
+_KEYS = ot.keys_cte(GRAINS)
+_OKEY = ot.key_expr("orders", GRAINS["orders"])
+_LKEY = ot.key_expr("lineitem", GRAINS["lineitem"])
+
+
+@register(
+    "composite_key",
+    f"""WITH {_KEYS}
+SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, k.id AS "%Key_lineitem"
+FROM lineitem l JOIN keyids k ON k.h = {_LKEY}""",
+)
+def q_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import build as bd
+
+    t = _t(spark, sf_dir, "orders", "lineitem")
+    keyed = bd.composite_keys(t, GRAINS)
+    return keyed["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "%Key_lineitem")
+
+
+@register(
+    "link_table",
+    f"""WITH {_KEYS}
+SELECT DISTINCT * FROM (
+  SELECT 'orders' AS "%LinkTable_SourceTable", k.id AS "%Key_orders", CAST(NULL AS BIGINT) AS "%Key_lineitem",
+         k.id AS "%DateBridgeKey", o.o_orderkey AS "Order",
+         CAST(o.o_orderdate AS VARCHAR) AS orders_o_orderdate, CAST(NULL AS VARCHAR) AS lineitem_l_shipdate
+  FROM orders o JOIN keyids k ON k.h = {_OKEY}
+  UNION ALL
+  SELECT 'lineitem', NULL, k.id, k.id, l.l_orderkey, NULL, CAST(l.l_shipdate AS VARCHAR)
+  FROM lineitem l JOIN keyids k ON k.h = {_LKEY})""",
+)
+def q_link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ts_text(_built(spark, sf_dir).tables["LinkTable"])
+
+
+@register(
+    "date_bridge",
+    f"""WITH {_KEYS}
+SELECT DISTINCT * FROM (
+  SELECT 'orders' AS "%CanonicalDateBridge_SourceTable", k.id AS "%DateBridgeKey",
+         strftime(CAST(o.o_orderdate AS DATE), '%Y-%m-%d') AS CanonicalDate, 'orders_o_orderdate' AS DateType
+  FROM orders o JOIN keyids k ON k.h = {_OKEY}
+  UNION ALL
+  SELECT 'lineitem', k.id, strftime(CAST(l.l_shipdate AS DATE), '%Y-%m-%d'), 'lineitem_l_shipdate'
+  FROM lineitem l JOIN keyids k ON k.h = {_LKEY})""",
+)
+def q_date_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ts_text(_built(spark, sf_dir).tables["CanonicalDateBridge"])
+
+
+def _week(d: str) -> str:
+    return f"CAST(floor((dayofyear({d}) - 1 + dayofweek(date_trunc('year', {d}))) / 7) + 1 AS INTEGER)"
+
+
+def _gweek(d: str) -> str:
+    return f"(CASE WHEN month({d}) = 1 AND {_week(d)} > 5 THEN 0 ELSE {_week(d)} END)"
+
+
+def _qtr(d: str) -> str:
+    return f"CAST(ceil(month({d}) / 3) AS INTEGER)"
+
+
+_T = f"DATE '{TODAY}'"
+
+
+@register(
+    "master_calendar",
+    f"""WITH d AS (
+  SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate IS NOT NULL
+  UNION SELECT DISTINCT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_shipdate IS NOT NULL)
+SELECT strftime(d, '%Y-%m-%d') AS CanonicalDate,
+       CAST(year(d) AS INTEGER) AS Year,
+       'Q' || CAST({_qtr('d')} AS VARCHAR) AS Quarter,
+       CAST(month(d) AS INTEGER) AS Month,
+       strftime(d, '%b') AS MonthName,
+       strftime(d, '%b-%Y') AS MonthYear,
+       {_week('d')} AS Week,
+       CAST(day(d) AS INTEGER) AS Day,
+       strftime(d, '%a') AS WeekDay,
+       CAST(dayofweek(d) AS INTEGER) AS WeekDayNum,
+       CAST(d - {_T} AS INTEGER) AS "Date Diff",
+       CAST((year(d) - year({_T})) * 52 + ({_gweek('d')} - {_gweek(_T)}) AS INTEGER) AS "Week Diff",
+       CAST((year(d) - year({_T})) * 12 + (month(d) - month({_T})) AS INTEGER) AS "Month Diff",
+       CAST((year(d) - year({_T})) * 4 + ({_qtr('d')} - {_qtr(_T)}) AS INTEGER) AS "Qtr Diff",
+       CAST(year(d) - year({_T}) AS INTEGER) AS "Year Diff"
+FROM d""",
+)
+def q_master_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ts_text(_built(spark, sf_dir).tables["MasterCalendar"])
+
+
+@register(
+    "model_strategy",
+    f"""WITH {_CL},
+roles AS (
+  SELECT tbl, max(tidx) AS tidx,
+         CASE WHEN (count(*) FILTER (WHERE type = 'MEASURE') > 0
+                    AND count(*) FILTER (WHERE type = 'IDENTIFIER' AND uniquenessRatio < 0.95) > 0)
+                OR (max(rowCount) > 50000 AND count(*) FILTER (WHERE type = 'IDENTIFIER' AND uniquenessRatio < 0.95) >= 2)
+              THEN 'FACT' ELSE 'DIMENSION' END AS role
+  FROM cls GROUP BY tbl),
+canon AS (
+  SELECT c.*, CASE WHEN type = 'IDENTIFIER' THEN alias ELSE tbl || '_' || field END AS canonical FROM cls c),
+fc AS (SELECT c.* FROM canon c JOIN roles r ON r.tbl = c.tbl WHERE r.role = 'FACT'),
+sh AS (SELECT canonical FROM fc WHERE type <> 'MEASURE' GROUP BY canonical HAVING count(DISTINCT tbl) > 1),
+nd AS (SELECT count(*) AS n FROM canon WHERE type = 'DATE'),
+nf AS (SELECT count(*) AS n FROM roles WHERE role = 'FACT'),
+allsh AS (SELECT canonical FROM sh
+          UNION SELECT canonical FROM fc WHERE type = 'DATE' AND (SELECT n FROM nd) > 1)
+SELECT CASE WHEN (SELECT n FROM nf) <= 1 THEN 'SINGLE_FACT'
+            WHEN (SELECT count(*) FROM allsh) >= 2 THEN 'LINK_TABLE' ELSE 'MULTI_FACT_STAR' END AS strategy,
+       coalesce((SELECT string_agg(tbl, ',' ORDER BY tidx) FROM roles WHERE role = 'FACT'), '') AS facts,
+       CASE WHEN (SELECT n FROM nf) > 1
+            THEN coalesce((SELECT string_agg(canonical, ',' ORDER BY canonical) FROM allsh), '') ELSE '' END AS shared,
+       (SELECT n FROM nd) > 1 AS date_bridge""",
+)
+def q_model_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import structure as st
+
+    d = _discover(spark, sf_dir)
+    row = st.strategy_frame(d.canonical(), d.roles)
+    return row.select(
+        "strategy", F.array_join("facts", ",").alias("facts"), F.array_join("shared", ",").alias("shared"), "date_bridge"
+    )
+
+
+_CCAT = ot.canonical_catalog_cte(STAR_TABLES, DRIVER_ALIASES)
+
+
+def _canon_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = _discover(spark, sf_dir)
+    canon = d.canonical().checkpoint(eager=True)
+    fields = canon.select("tidx", "table", F.col("canonical").alias("field"))
+    tables = canon.select("table").distinct()
+    return tables, fields
+
+
+@register(
+    "shared_fields",
+    f"""WITH {_CCAT}
+SELECT field, string_agg(tbl, ',' ORDER BY tidx) AS tables, CAST(count(*) AS INTEGER) AS n_tables
+FROM ccat GROUP BY field HAVING count(*) > 1""",
+)
+def q_shared_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import graph as gr
+
+    _, fields = _canon_fields(spark, sf_dir)
+    return gr.shared_fields(fields).select("field", F.array_join("tables", ",").alias("tables"), "n_tables")
+
+
+_EDGES = """e0 AS (SELECT field, tbl, lead(tbl) OVER (PARTITION BY field ORDER BY tidx, tbl) AS nxt FROM ccat),
+e AS (SELECT DISTINCT least(tbl, nxt) AS a, greatest(tbl, nxt) AS b FROM e0 WHERE nxt IS NOT NULL AND tbl <> nxt)"""
+
+
+@register(
+    "association_edges",
+    f"""WITH {_CCAT}, {_EDGES}
+SELECT a, b FROM e""",
+)
+def q_association_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import graph as gr
+
+    _, fields = _canon_fields(spark, sf_dir)
+    return gr.association_graph(fields)
+
+
+_REACH = """und AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e),
+reach(node, label) AS (
+  SELECT DISTINCT tbl, tbl FROM ccat
+  UNION
+  SELECT u.dst, r.label FROM reach r JOIN und u ON u.src = r.node),
+comp AS (SELECT node AS tbl, min(label) AS component FROM reach GROUP BY node)"""
+
+
+@register(
+    "islands",
+    f"""WITH RECURSIVE {_CCAT}, {_EDGES}, {_REACH}
+SELECT tbl AS "table", component FROM comp""",
+)
+def q_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import graph as gr
+
+    tables, fields = _canon_fields(spark, sf_dir)
+    return gr.islands(tables, fields)
+
+
+@register(
+    "validate_model",
+    f"""WITH RECURSIVE {_CCAT}, {_EDGES}, {_REACH},
+syn AS (
+  SELECT a.tbl AS ta, b.tbl AS tb, string_agg(a.field, '|' ORDER BY a.field) AS fs
+  FROM ccat a JOIN ccat b ON a.field = b.field AND a.tidx < b.tidx
+  GROUP BY a.tbl, b.tbl HAVING count(*) >= 2),
+c AS (
+  SELECT (SELECT CAST(count(DISTINCT tbl) AS BIGINT) FROM ccat) AS n_tables,
+         (SELECT CAST(count(*) AS BIGINT) FROM e) AS n_edges,
+         (SELECT CAST(count(DISTINCT component) AS BIGINT) FROM comp) AS n_islands,
+         (SELECT CAST(count(DISTINCT fs) AS BIGINT) FROM syn) AS n_synthetic_keys)
+SELECT n_tables, n_edges, n_islands, n_synthetic_keys,
+       n_edges > n_tables - n_islands AS has_cycle,
+       n_synthetic_keys = 0 AND NOT (n_edges > n_tables - n_islands) AS success
+FROM c""",
+)
+def q_validate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import graph as gr
+
+    tables, fields = _canon_fields(spark, sf_dir)
+    return gr.validate_model(tables, fields).drop("errors", "warnings")
+
+
+@register(
+    "header_detail",
+    """WITH lm AS (SELECT max(n) AS left_max FROM (SELECT count(*) AS n FROM orders WHERE o_orderkey IS NOT NULL GROUP BY o_orderkey)),
+rm AS (SELECT max(n) AS right_max FROM (SELECT count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey)),
+c AS (SELECT CAST(left_max AS BIGINT) AS left_max, CAST(right_max AS BIGINT) AS right_max,
+             CASE WHEN left_max = 1 AND right_max = 1 THEN '1:1' WHEN left_max = 1 THEN '1:n'
+                  WHEN right_max = 1 THEN 'n:1' ELSE 'n:m' END AS cardinality FROM lm, rm)
+SELECT 'orders' AS tableA, 'lineitem' AS tableB, cardinality,
+       CASE cardinality WHEN '1:n' THEN 'orders' WHEN 'n:1' THEN 'lineitem' END AS header,
+       CASE cardinality WHEN '1:n' THEN 'lineitem' WHEN 'n:1' THEN 'orders' END AS detail
+FROM c""",
+)
+def q_header_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import structure as st
+
+    t = _t(spark, sf_dir, "orders", "lineitem")
+    return st.header_detail(t, "orders", "lineitem", "o_orderkey", "l_orderkey")
+
+
+@register(
+    "concat_facts",
+    """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate,
+       o_orderpriority, 'orders_early' AS "%orders_early_orders_late_SourceTable"
+FROM orders WHERE year(o_orderdate) < 1998
+UNION ALL
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR), NULL, 'orders_late'
+FROM orders WHERE NOT (year(o_orderdate) < 1998)""",
+)
+def q_concat_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D22 + D23 + U1/P2/P3: two yearly slices of orders (the later one
+    without a column) are found similar and concatenated."""
+    from starloom.operators import build as bd
+    from starloom.operators import classify as cl
+    from starloom.operators import structure as st
+
+    o = _t(spark, sf_dir, "orders")["orders"]
+    early = F.year("o_orderdate") < 1998
+    split = {"orders_early": o.where(early), "orders_late": o.where(~early).drop("o_orderpriority")}
+    prof = pr.profile(split, samples=0)
+    fields = cl.classify_fields(prof)
+    groups = st.fact_groups(fields, cl.table_roles(fields))
+    members: dict[str, list[str]] = {}
+    for r in groups.orderBy("group", "member_pos").collect():  # one row per fact table (metadata)
+        members.setdefault(r["group"], []).append(r["table"])
+    collapsed = bd.collapse_facts(split, members)
+    return _ts_text(collapsed["orders_early_orders_late"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
