@@ -312,3 +312,34 @@ def canonical_catalog_cte(tables: list[str], aliases) -> str:
         for c in DRIVER_SCHEMAS[t]:
             rows.append(f"({ti}, {lit(t)}, {lit(amap.get((t, c), c))})")
     return f"ccat AS (SELECT * FROM (VALUES {', '.join(rows)}) AS c(tidx, tbl, field))"
+
+
+# ---------------------------------------------------------------- enrichment
+TAG_CASE = (
+    "CASE WHEN ty IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT') THEN '$numeric,$integer' "
+    "WHEN ty IN ('FLOAT', 'DOUBLE') OR ty LIKE 'DECIMAL%' THEN '$numeric' "
+    "WHEN ty = 'DATE' THEN '$date' WHEN ty LIKE 'TIMESTAMP%' THEN '$timestamp' "
+    "WHEN ty = 'VARCHAR' THEN '$text' ELSE '' END"
+)
+
+
+def meta_cte(tables: list[str], samples: int = 5) -> str:
+    """CTE ``meta(tidx, tbl, field, pos, tags, isKey, distinctCount, samples_list)``."""
+    parts = []
+    for ti, t in enumerate(tables):
+        for pos, c in enumerate(DRIVER_SCHEMAS[t]):
+            present = "(v IS NOT NULL AND v <> '')"
+            parts.append(
+                f"""SELECT {ti} AS tidx, {lit(t)} AS tbl, {lit(c)} AS field, {pos} AS pos,
+  any_value({TAG_CASE.replace('ty', 'ty')}) AS base_tags,
+  CAST(count(DISTINCT v) FILTER (WHERE {present}) AS BIGINT) AS distinctCount,
+  coalesce(list_slice(list_sort(list(DISTINCT v) FILTER (WHERE {present})), 1, {samples}), []) AS samples_list
+FROM (SELECT CAST({q(c)} AS VARCHAR) AS v, typeof({q(c)}) AS ty FROM {t})"""
+            )
+    return f"""m0 AS ({' UNION ALL '.join(parts)}),
+meta AS (
+  SELECT m0.*, count(*) OVER (PARTITION BY field) > 1 AS isKey,
+         CASE WHEN count(*) OVER (PARTITION BY field) > 1
+              THEN CASE WHEN base_tags = '' THEN '$key' ELSE base_tags || ',$key' END
+              ELSE base_tags END AS tags
+  FROM m0)"""

@@ -536,6 +536,332 @@ def q_concat_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ts_text(collapsed["orders_early_orders_late"])
 
 
+# ------------------------------------------------------------------ analytic tables
+@register(
+    "market_basket",
+    """SELECT a.l_partkey, b.l_partkey AS Co_l_partkey, CAST(count(a.l_orderkey) AS BIGINT) AS CoOccurrences
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
+WHERE a.l_partkey <> b.l_partkey
+GROUP BY a.l_partkey, b.l_partkey""",
+)
+def q_market_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")["lineitem"]
+    return an.market_basket(li, "l_orderkey", "l_partkey")
+
+
+_ASOF_DATES = """d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate IS NOT NULL),
+asof_rows AS (
+  SELECT d AS a, d AS dt, 'Current Day' AS p FROM d
+  UNION ALL
+  SELECT d, CAST(d - to_months(i) AS DATE), 'Rolling 12 Months' FROM d, range(0, 12) AS r(i))"""
+
+
+@register(
+    "as_of_table",
+    f"""WITH {_ASOF_DATES}
+SELECT strftime(a, '%Y-%m-%d') AS "AsOf Date", strftime(dt, '%Y-%m-%d') AS o_orderdate, p AS "Period Type" FROM asof_rows""",
+)
+def q_as_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")["orders"]
+    return _ts_text(an.as_of_table(o, "o_orderdate"))
+
+
+@register(
+    "as_of_aggregate",
+    f"""WITH {_ASOF_DATES},
+per_date AS (SELECT CAST(o_orderdate AS DATE) AS dt, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS m
+             FROM orders GROUP BY CAST(o_orderdate AS DATE))
+SELECT strftime(x.a, '%Y-%m-%d') AS "AsOf Date", x.p AS "Period Type", CAST(sum(pd.m) AS DOUBLE) AS measure_sum
+FROM asof_rows x JOIN per_date pd ON pd.dt = x.dt
+GROUP BY x.a, x.p""",
+)
+def q_as_of_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")["orders"].withColumn("o_totalprice", money("o_totalprice"))
+    res = an.as_of_aggregate(o, an.as_of_table(o, "o_orderdate"), "o_orderdate", "o_totalprice")
+    return _ts_text(res.withColumn("measure_sum", F.col("measure_sum").cast("double")))
+
+
+@register(
+    "encode_flag",
+    """SELECT l_orderkey, l_linenumber, l_linestatus,
+       CASE WHEN l_linestatus IS NULL THEN NULL
+            ELSE CAST(coalesce(list_position(['F', 'O'], l_linestatus), 0) AS INTEGER) END AS l_linestatus_Dual
+FROM lineitem""",
+)
+def q_encode_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")["lineitem"]
+    return an.encode_flag(li, "l_linestatus", ["F", "O"]).select(
+        "l_orderkey", "l_linenumber", "l_linestatus", "l_linestatus_Dual"
+    )
+
+
+@register(
+    "dense_key",
+    """SELECT l_orderkey, l_partkey, CAST(dense_rank() OVER (ORDER BY l_partkey) AS BIGINT) AS part_id FROM lineitem""",
+)
+def q_dense_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")["lineitem"].select("l_orderkey", "l_partkey")
+    return an.dense_key(li, ["l_partkey"], "part_id")
+
+
+@register(
+    "encode_keys",
+    """WITH v AS (SELECT CAST(o_orderkey AS VARCHAR) AS v FROM orders UNION SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem),
+ids AS (SELECT v, CAST(dense_rank() OVER (ORDER BY v) AS BIGINT) AS id FROM v)
+SELECT ids.id AS "Order", l.l_partkey, l.l_linenumber
+FROM lineitem l JOIN ids ON ids.v = CAST(l.l_orderkey AS VARCHAR)""",
+)
+def q_encode_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir, "orders", "lineitem")
+    model = {
+        "orders": t["orders"].withColumnRenamed("o_orderkey", "Order"),
+        "lineitem": t["lineitem"].withColumnRenamed("l_orderkey", "Order"),
+    }
+    enc = an.encode_keys(model, ["Order"])
+    return enc["lineitem"].select("Order", "l_partkey", "l_linenumber")
+
+
+# ------------------------------------------------------------------ charts
+def _rev():
+    return money("l_extendedprice") * (F.lit(1) - money("l_discount"))
+
+
+_REV_SQL = "CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))"
+
+
+@register(
+    "kpi",
+    f"SELECT CAST(sum({_REV_SQL}) AS DOUBLE) AS revenue, CAST(count(*) AS BIGINT) AS line_count FROM lineitem",
+)
+def q_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import charts as ch
+
+    li = _t(spark, sf_dir, "lineitem")["lineitem"]
+    res = ch.kpi(li, {"revenue": F.sum(_rev()), "line_count": F.count(F.lit(1))})
+    return res.withColumn("revenue", F.col("revenue").cast("double"))
+
+
+@register(
+    "bar",
+    f"""SELECT n.n_name, CAST(sum({_REV_SQL}) AS DOUBLE) AS revenue, CAST(count(*) AS BIGINT) AS line_count
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
+GROUP BY n.n_name ORDER BY n.n_name LIMIT 500""",
+)
+def q_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue by nation: the measure is summed per order, per customer and
+    per nation key before each join (H5), then the bar is cut."""
+    from starloom.operators import charts as ch
+
+    t = _t(spark, sf_dir, "lineitem", "orders", "customer", "nation")
+    per_nation = ch.rollup_through(
+        t["lineitem"],
+        "l_orderkey",
+        {"revenue": F.sum(_rev()), "line_count": F.count(F.lit(1))},
+        [ch.Hop(t["orders"], "o_orderkey", "o_custkey"), ch.Hop(t["customer"], "c_custkey", "c_nationkey")],
+    )
+    named = per_nation.join(t["nation"].select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
+    res = ch.bar(named, ["n_name"], {"revenue": F.sum("revenue"), "line_count": F.sum("line_count")})
+    return res.select("n_name", F.col("revenue").cast("double"), F.col("line_count").cast("long"))
+
+
+@register(
+    "bar_two_dims",
+    """SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty
+FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL
+GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus LIMIT 500""",
+)
+def q_bar_two_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import charts as ch
+
+    li = _t(spark, sf_dir, "lineitem")["lineitem"]
+    res = ch.bar(li, ["l_returnflag", "l_linestatus"], {"sum_qty": F.sum(money("l_quantity"))})
+    return res.withColumn("sum_qty", F.col("sum_qty").cast("double"))
+
+
+@register(
+    "line",
+    """WITH g AS (
+  SELECT strftime(o.o_orderdate, '%Y-%m') AS month, n.n_name, sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS total
+  FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
+  GROUP BY 1, 2),
+top AS (SELECT n_name FROM (SELECT n_name, row_number() OVER (ORDER BY sum(total) DESC, n_name) AS r
+                            FROM g GROUP BY n_name) WHERE r <= 12),
+p AS (SELECT g.*, row_number() OVER (PARTITION BY g.n_name ORDER BY g.month) AS rp FROM g JOIN top USING (n_name))
+SELECT month, n_name, CAST(total AS DOUBLE) AS total FROM p WHERE rp <= 2000""",
+)
+def q_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order value per month and nation (J3 association of orders, customer
+    and nation), the 12 largest nations, at most 2000 points each."""
+    from starloom.operators import charts as ch
+
+    t = _t(spark, sf_dir, "orders", "customer", "nation")
+    o = t["orders"].select(F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+                           F.col("o_custkey").alias("custkey"), money("o_totalprice").alias("price"))
+    c = t["customer"].select(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nationkey"))
+    n = t["nation"].select(F.col("n_nationkey").alias("nationkey"), "n_name")
+    joined = ch.associate([o, c, n])
+    res = ch.line(joined, "month", {"total": F.sum("price")}, series="n_name")
+    return res.withColumn("total", F.col("total").cast("double"))
+
+
+@register(
+    "table_view",
+    """SELECT r.r_name, n.n_name, CAST(count(*) AS BIGINT) AS order_count,
+       CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS order_value
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
+GROUP BY r.r_name, n.n_name""",
+)
+def q_table_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import charts as ch
+
+    t = _t(spark, sf_dir, "orders", "customer", "nation", "region")
+    per_nation = ch.rollup_through(
+        t["orders"], "o_custkey",
+        {"order_count": F.count(F.lit(1)), "order_value": F.sum(money("o_totalprice"))},
+        [ch.Hop(t["customer"], "c_custkey", "c_nationkey")],
+    )
+    dims = t["nation"].select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey").join(
+        t["region"].select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey", "left"
+    )
+    named = per_nation.join(dims, "c_nationkey", "left")
+    res = ch.table_view(named, ["r_name", "n_name"],
+                        {"order_count": F.sum("order_count"), "order_value": F.sum("order_value")})
+    return res.select("r_name", "n_name", F.col("order_count").cast("long"), F.col("order_value").cast("double"))
+
+
+@register(
+    "period_sum",
+    f"""SELECT o_orderpriority,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (
+            WHERE (year(o_orderdate) - year({_T})) * 12 + (month(o_orderdate) - month({_T})) = 0) AS DOUBLE) AS this_month,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE year(o_orderdate) = year({_T})) AS DOUBLE) AS this_year,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS all_time
+FROM orders GROUP BY o_orderpriority""",
+)
+def q_period_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.functions import calendar as cal
+    from starloom.operators import charts as ch
+
+    o = _t(spark, sf_dir, "orders")["orders"]
+    today = F.to_date(F.lit(TODAY))
+    d = F.to_date("o_orderdate")
+    m = money("o_totalprice")
+    res = o.groupBy("o_orderpriority").agg(
+        ch.set_sum(m, cal.month_diff(d, today) == 0).alias("this_month"),
+        ch.set_sum(m, (F.year(d) - F.year(today)) == 0).alias("this_year"),
+        F.sum(m).alias("all_time"),
+    )
+    return res.select("o_orderpriority", *[F.col(c).cast("double") for c in ["this_month", "this_year", "all_time"]])
+
+
+# ------------------------------------------------------------------ enrichment
+_META = ot.meta_cte(STAR_TABLES)
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import enrich as en
+
+    return en.live_metadata(_t(spark, sf_dir, *STAR_TABLES))
+
+
+@register(
+    "live_metadata",
+    f"""WITH {_META}
+SELECT tbl AS "table", field, pos, tags, isKey, distinctCount, array_to_string(samples_list, '|') AS sampleValues FROM meta""",
+)
+def q_live_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _meta(spark, sf_dir)
+    return m.select("table", "field", "pos", F.array_join("tags", ",").alias("tags"), "isKey", "distinctCount",
+                    F.array_join("sampleValues", "|").alias("sampleValues"))
+
+
+@register(
+    "data_dictionary",
+    f"""WITH {_META}
+SELECT tbl AS "table", field, distinctCount, tags,
+       array_to_string(list_transform(list_slice(samples_list, 1, 3), lambda s: substring(s, 1, 20)), '|') AS samples
+FROM meta""",
+)
+def q_data_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import enrich as en
+
+    d = en.data_dictionary(_meta(spark, sf_dir))
+    return d.select("table", "field", "distinctCount", F.array_join("tags", ",").alias("tags"),
+                    F.array_join("samples", "|").alias("samples"))
+
+
+_FLAG_BASE = """fb AS (
+  SELECT * FROM meta
+  WHERE NOT starts_with(field, '%')
+    AND NOT (tags LIKE '%$numeric%' OR tags LIKE '%$integer%')
+    AND NOT (regexp_matches(field, '(?i)^(Year|Month|Quarter|Week|Day|WeekDay|MonthYear|Date_Diff|Month_Diff|Year_Diff|Date|Time|Timestamp)$')
+             OR tags LIKE '%$date%' OR tags LIKE '%$timestamp%')
+    AND distinctCount = 2 AND len(samples_list) = 2),
+fh AS (
+  SELECT *, regexp_matches(field, '(?i)(flag|status|yes|no|active|valid|binary|imported|return)')
+            OR len(list_filter(samples_list, lambda v: list_contains(['yes', 'no', 'y', 'n', '1', '0', 'true', 'false', 'active', 'inactive'], lower(v)))) > 0 AS hit
+  FROM fb)"""
+
+
+@register(
+    "flag_candidates",
+    f"""WITH {_META}, {_FLAG_BASE}
+SELECT tbl AS "table", field, array_to_string(samples_list, '|') AS "values" FROM fh
+WHERE hit AND NOT (contains(field, 'SourceTable') AND NOT contains(lower(field), 'flag'))""",
+)
+def q_flag_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import enrich as en
+
+    return en.flag_candidates(_meta(spark, sf_dir)).select("table", "field", F.array_join("values", "|").alias("values"))
+
+
+@register(
+    "ambiguous_flags",
+    f"""WITH {_META}, {_FLAG_BASE}
+SELECT tbl AS "table", field, array_to_string(samples_list, '|') AS "values" FROM fh WHERE NOT hit""",
+)
+def q_ambiguous_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import enrich as en
+
+    return en.ambiguous_flags(_meta(spark, sf_dir)).select("table", "field", F.array_join("values", "|").alias("values"))
+
+
+@register(
+    "as_of_candidate",
+    f"""WITH {_META}
+SELECT tbl AS sourceTable, field AS dateField FROM meta
+WHERE field = 'CanonicalDate' OR tags LIKE '%$date%' OR tags LIKE '%$timestamp%'
+ORDER BY CASE WHEN field = 'CanonicalDate' THEN 0 ELSE 1 END, tidx, pos LIMIT 1""",
+)
+def q_as_of_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import enrich as en
+
+    return en.as_of_candidate(_meta(spark, sf_dir))
+
+
+@register(
+    "pareto_candidates",
+    f"""WITH {_META}, {_CL},
+ms AS (SELECT tbl, field, row_number() OVER (PARTITION BY tbl ORDER BY pos) AS r FROM meta
+       WHERE tags LIKE '%$numeric%' AND NOT starts_with(field, '%') AND NOT tags LIKE '%$key%'
+         AND tbl NOT IN ('LinkTable', 'MasterCalendar', 'CanonicalDateBridge')),
+ds AS (SELECT tbl, field, row_number() OVER (PARTITION BY tbl ORDER BY pos) AS r FROM cls
+       WHERE type = 'ATTRIBUTE' AND distinctCount > 10
+         AND NOT contains(lower(field), 'date') AND NOT contains(lower(field), 'id'))
+SELECT ms.tbl AS factTable, CAST(NULL AS VARCHAR) AS linkTable, CAST(NULL AS VARCHAR) AS keyField,
+       ds.field AS dimensionField, ms.field AS measureField
+FROM ms JOIN ds ON ds.tbl = ms.tbl AND ds.r = 1 WHERE ms.r = 1""",
+)
+def q_pareto_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import enrich as en
+
+    d = _discover(spark, sf_dir)
+    meta = en.live_metadata(d.tables)
+    return en.pareto_candidates(meta, d.fields)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
