@@ -94,7 +94,12 @@ def value_overlap(values: DataFrame, pairs: DataFrame, salts: int = 16) -> DataF
     intersectionCount, overlapRatioA, overlapRatioB`` (ratios half-up to 4
     decimals).
     """
-    inter = intersections(values, pairs, salts).join(pairs, PAIR_COLS)
+    return overlap_from(intersections(values, pairs, salts).join(pairs, PAIR_COLS))
+
+
+def overlap_from(inter: DataFrame) -> DataFrame:
+    """D3 from already counted intersections (pair columns, sizes and
+    ``intersectionCount``)."""
     i = F.col("intersectionCount")
     keep = (i > 0) & ((i * 10 > F.col("sizeA")) | (i * 10 > F.col("sizeB")))
     return inter.where(keep).select(
@@ -125,6 +130,7 @@ def alias_overlap(
     fields: DataFrame,
     existing: DataFrame,
     salts: int = 16,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs the name gate missed but that share a semantic alias.
 
@@ -156,7 +162,24 @@ def alias_overlap(
         F.col("tableA").alias("tableB"), F.col("fieldA").alias("fieldB"),
     ))
     pairs = pairs.join(ex, PAIR_COLS, "left_anti")
-    inter = intersections(values, pairs, salts).join(pairs, PAIR_COLS)
+    if known is not None:
+        # Pairs whose intersection was already counted (candidate pairs) are
+        # looked up; only the others are probed against the values again.
+        k = known.select(*PAIR_COLS, "intersectionCount")
+        k = k.unionByName(k.select(
+            F.col("tableB").alias("tableA"), F.col("fieldB").alias("fieldA"),
+            F.col("tableA").alias("tableB"), F.col("fieldA").alias("fieldB"), "intersectionCount",
+        ))
+        seen = known.select(*PAIR_COLS)
+        seen = seen.unionByName(seen.select(
+            F.col("tableB").alias("tableA"), F.col("fieldB").alias("fieldA"),
+            F.col("tableA").alias("tableB"), F.col("fieldA").alias("fieldB"),
+        ))
+        looked_up = pairs.join(k, PAIR_COLS)
+        fresh = pairs.join(seen, PAIR_COLS, "left_anti")
+        inter = looked_up.unionByName(intersections(values, fresh, salts).join(fresh, PAIR_COLS))
+    else:
+        inter = intersections(values, pairs, salts).join(pairs, PAIR_COLS)
     i = F.col("intersectionCount")
     return inter.where(i > 0).select(
         *PAIR_COLS,

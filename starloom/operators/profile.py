@@ -48,10 +48,21 @@ def catalog(model: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has
+    cores (one big file, one row group), so the wide explode that follows
+    runs on every core.  A scan of many files is left alone."""
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism)
+    return df
+
+
 def long_values(model: dict[str, DataFrame]) -> DataFrame:
     """``(tidx, pos, value)`` with one row per cell, values as text, nulls kept."""
     parts = []
     for ti, df in enumerate(model.values()):
+        df = spread(df)
         cells = F.array(
             *[
                 F.struct(F.lit(pos).alias("pos"), df[f"`{c}`"].cast("string").alias("value"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,25 +47,35 @@ def discover(
     tables: dict[str, DataFrame],
     overrides: DataFrame | None = None,
     approx: bool = False,
-    persist: bool = False,
+    persist: bool = True,
 ) -> Discovery:
+    """Profile, classify, overlap and score a model.
+
+    The single value aggregation feeds both the profile and the overlap, so
+    it is persisted (memory and disk; lost partitions are recomputed from
+    lineage).  Every catalog-sized result -- profile, fields, intersections,
+    links, roles -- is checkpointed once: later driver-side steps (strategy,
+    naming) then never re-run the data-scale work.
+    """
     counts = pr.value_counts(tables)
     if persist:
-        counts = counts.persist()
+        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     cat = pr.catalog(tables)
-    prof = pr.profile(tables, approx=approx, counts=None if approx else counts)
+    prof = pr.profile(tables, approx=approx, counts=None if approx else counts).checkpoint(eager=True)
     values = pr.distinct_values(counts, cat)
-    fields = cl.classify_fields(prof, overrides)
-    pairs = ov.candidate_pairs(prof)
-    inter = ov.intersections(values, pairs).join(pairs, ov.PAIR_COLS)
-    overlap = ov.value_overlap(values, pairs)
+    fields = cl.classify_fields(prof, overrides).checkpoint(eager=True)
+    pairs = ov.candidate_pairs(prof).checkpoint(eager=True)
+    inter = ov.intersections(values, pairs).join(pairs, ov.PAIR_COLS).checkpoint(eager=True)
+    overlap = ov.overlap_from(inter)
     subsets = ov.subset_links(inter)
-    alias_pairs = ov.alias_overlap(values, fields, overlap)
+    alias_pairs = ov.alias_overlap(values, fields, overlap, known=inter).checkpoint(eager=True)
     all_overlap = overlap.select(
         *ov.PAIR_COLS, "intersectionCount", "overlapRatioA", "overlapRatioB"
     ).unionByName(alias_pairs.select(*ov.PAIR_COLS, "intersectionCount", "overlapRatioA", "overlapRatioB"))
-    links = lk.score_links(all_overlap, fields)
-    roles = cl.table_roles(fields)
+    links = lk.score_links(all_overlap, fields).checkpoint(eager=True)
+    roles = cl.table_roles(fields).checkpoint(eager=True)
+    if persist:
+        counts.unpersist()
     return Discovery(tables, values, prof, fields, pairs, inter, overlap, subsets, alias_pairs, links, roles)
 
 
