@@ -862,6 +862,216 @@ def q_pareto_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return en.pareto_candidates(meta, d.fields)
 
 
+# ------------------------------------------------------------------ sources and sinks
+def _shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A fresh folder under the session's checkpoint directory (the shared
+    folder a cluster names in spark.checkpoint.dir)."""
+    import uuid
+
+    from starloom.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
+@register("load_folder", ot.profile_sql(["customer", "nation", "region"]))
+def q_load_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dimension tables written as CSV files with a shared name
+    prefix, loaded back raw (all text) as a folder and profiled."""
+    from starloom.sources import load_folder
+
+    folder = _shared_folder(spark, "csv")
+    t = _t(spark, sf_dir, "customer", "nation", "region")
+    for name, df in t.items():
+        df.write.option("header", True).csv(f"{folder}/tpch_{name}.csv")
+    loaded = load_folder(spark, folder)
+    return _profile_out(pr.profile(loaded))
+
+
+@register(
+    "save_model",
+    """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate,
+       o_orderpriority FROM orders""",
+)
+def q_save_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model written as parquet (replacing what was there) and read
+    back."""
+    from starloom.sources import read_model, save_model
+
+    folder = _shared_folder(spark, "model")
+    saved = save_model(_t(spark, sf_dir, "orders", "lineitem"), folder)
+    return _ts_text(read_model(spark, saved)["orders"])
+
+
+@register(
+    "sample_load",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM {t} LIMIT 1)"
+        for t in STAR_TABLES
+    ),
+)
+def q_sample_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``FIRST 1`` loads of every table (a structural check)."""
+    from starloom.sources import sample_load
+
+    parts = [
+        sample_load(df).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("table"), "n")
+        for n, df in _t(spark, sf_dir, *STAR_TABLES).items()
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register(
+    "qualify",
+    """SELECT n_nationkey AS "nation.n_nationkey", n_name AS "nation.n_name", n_regionkey AS "nation.n_regionkey" FROM nation""",
+)
+def q_qualify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.sources import qualify
+
+    return qualify(_t(spark, sf_dir, "nation")["nation"], "nation")
+
+
+@register("distinct_load", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def q_distinct_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.sources import distinct_load
+
+    return distinct_load(_t(spark, sf_dir, "orders")["orders"], ["o_orderstatus", "o_orderpriority"])
+
+
+# ------------------------------------------------------------------ more catalog rules
+@register(
+    "field_cardinality",
+    """SELECT "table", field, rowCount, distinctCount FROM (""" + ot.profile_sql(STAR_TABLES, with_samples=False) + ")",
+)
+def q_field_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pr.field_cardinality(_t(spark, sf_dir, *STAR_TABLES))
+
+
+@register(
+    "date_fields",
+    f"""WITH {_CL}
+SELECT tbl AS "table", field FROM cls WHERE type = 'DATE'""",
+)
+def q_date_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import classify as cl
+
+    return cl.date_fields(_discover(spark, sf_dir).fields).select("table", "field")
+
+
+@register(
+    "validate_keys",
+    f"""WITH {_CL}
+SELECT tbl AS "table", field FROM cls WHERE type = 'IDENTIFIER'""",
+)
+def q_validate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed keys = every grain field plus one that does not exist;
+    the missing one is dropped, native links (none among the raw names)
+    would be added."""
+    from starloom.operators import graph as gr
+    from starloom.operators import structure as st
+
+    d = _discover(spark, sf_dir)
+    proposed = d.roles.select("table", F.explode("grainFields").alias("field")).unionByName(
+        spark.createDataFrame([("orders", "o_no_such_key")], "table string, field string")
+    )
+    shared = gr.shared_fields(d.fields.select("tidx", "table", "field"))
+    return st.validate_keys(proposed, d.fields, shared)
+
+
+@register("golden_keys")
+def q_golden_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import structure as st
+
+    d = _discover(spark, sf_dir)
+    return st.golden_keys(d.fields, d.roles)
+
+
+def _split_orders(spark: SparkSession, sf_dir: str):
+    from starloom.operators import classify as cl
+
+    o = _t(spark, sf_dir, "orders")["orders"]
+    early = F.year("o_orderdate") < 1998
+    split = {"orders_early": o.where(early), "orders_late": o.where(~early).drop("o_orderpriority")}
+    fields = cl.classify_fields(pr.profile(split, samples=0))
+    return split, fields, cl.table_roles(fields)
+
+
+@register("fact_groups")
+def q_fact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import structure as st
+
+    _, fields, roles = _split_orders(spark, sf_dir)
+    return st.fact_groups(fields, roles)
+
+
+@register("conform_group")
+def q_conform_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both yearly slices end up with one canonical name per footprint."""
+    from starloom.operators import links as lk
+    from starloom.operators import structure as st
+
+    _, fields, roles = _split_orders(spark, sf_dir)
+    empty = spark.createDataFrame([], "tableA string, fieldA string, tableB string, fieldB string, confidence int")
+    canon = lk.normalize_names(fields, empty)
+    return st.conform_group(canon, st.fact_groups(fields, roles)).select("table", "field", "canonical")
+
+
+@register(
+    "grand_total",
+    """SELECT l_returnflag, CAST(s AS DOUBLE) AS qty, CAST(sum(s) OVER () AS DOUBLE) AS total_qty
+FROM (SELECT l_returnflag, sum(CAST(l_quantity AS DECIMAL(18,2))) AS s FROM lineitem GROUP BY l_returnflag)""",
+)
+def q_grand_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")["lineitem"].withColumn("l_quantity", money("l_quantity"))
+    per = an.sum_by(li, "l_returnflag", "l_quantity", "qty")
+    res = an.grand_total(per, "qty", "total_qty")
+    return res.select("l_returnflag", F.col("qty").cast("double"), F.col("total_qty").cast("double"))
+
+
+@register("profile_approx")
+def q_profile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 with ``approx=True``: one wide aggregate per table, HLL distincts."""
+    return pr.profile(_t(spark, sf_dir, *STAR_TABLES), approx=True).drop("sampleValues")
+
+
+@register("enrich_model")
+def q_enrich_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13-M18 on the built model: candidates from live metadata, each
+    derived table added only if the model stays valid; the report rows."""
+    from starloom.operators import enrich as en
+
+    built = _built(spark, sf_dir)
+    model = built.tables
+    meta = en.live_metadata(model).checkpoint(eager=True)
+    reports = []
+    asof = en.as_of_candidate(meta).first()
+    if asof:
+        model, rep = en.add_checked(
+            model, "AsOf_Table",
+            lambda m: an.as_of_table(m[asof["sourceTable"]], asof["dateField"]).withColumnRenamed(
+                asof["dateField"], f"AsOf_{asof['dateField']}"),
+            needs={asof["sourceTable"]: [asof["dateField"]]},
+        )
+        reports.append(rep)
+    for fl in en.flag_candidates(meta).collect():
+        model, rep = en.add_checked(
+            model, f"Flag_{fl['table']}_{fl['field']}",
+            lambda m, fl=fl: an.encode_flag(m[fl["table"]].select(fl["field"]).distinct(), fl["field"], list(fl["values"])),
+            needs={fl["table"]: [fl["field"]]},
+        )
+        reports.append(rep)
+    facts = meta.where(F.col("table").isin(*built.blueprint.facts)).select("tidx", "table").distinct()
+    basket = en.basket_candidate(meta, facts).first()
+    reports.append({"tool": "market_basket", "status": "candidate" if basket else "none",
+                    "reason": f"{basket['table']}.{basket['idField']} x {basket['itemField']}" if basket else ""})
+    for pc in en.pareto_candidates(meta, None).collect():
+        reports.append({"tool": f"pareto_{pc['factTable']}", "status": "candidate",
+                        "reason": f"{pc['dimensionField']} by {pc['measureField']}"})
+    return spark.createDataFrame(reports, "tool string, status string, reason string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -5,6 +5,7 @@ from starloom.sources.files import (
     distinct_load,
     inline_table,
     load_folder,
+    load_paths,
     load_tables,
     qualify,
     read_model,
@@ -21,6 +22,7 @@ __all__ = [
     "distinct_load",
     "inline_table",
     "load_folder",
+    "load_paths",
     "load_tables",
     "qualify",
     "read_model",

@@ -56,10 +56,13 @@ def load_folder(
     comma, quoted multi-line fields).  Raises ``FileNotFoundError`` for a
     missing folder.
     """
-    if not os.path.isdir(path):
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if not os.path.isdir(local):
         raise FileNotFoundError(f"source folder not found: {path}")
     exts = tuple(e.lower() for e in extensions)
-    files = sorted(f for f in os.listdir(path) if f.lower().endswith(exts))
+    # plain files, or folders of part files that Spark itself wrote (name.csv/)
+    files = sorted(f for f in os.listdir(local) if f.lower().endswith(exts))
+    path = local
     names = table_names(files)
     model: dict[str, DataFrame] = {}
     for f in files:
@@ -79,6 +82,18 @@ def load_folder(
     return model
 
 
+def load_paths(spark: SparkSession, paths: dict[str, str], fmt: str = "csv") -> dict[str, DataFrame]:
+    """S1 for shared storage: ``{table: path}`` (any Hadoop URI), read raw
+    (CSV: header, all strings) or as parquet."""
+    if fmt == "parquet":
+        return {n: spark.read.parquet(p) for n, p in paths.items()}
+    return {
+        n: spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+        .option("encoding", "UTF-8").option("escape", '"').csv(p)
+        for n, p in paths.items()
+    }
+
+
 def load_tables(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> dict[str, DataFrame]:
     """Load ``<sf_dir>/<name>.parquet`` for each name (the driver tables)."""
     return {n: spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet")) for n in names}
