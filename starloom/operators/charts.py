@@ -115,10 +115,7 @@ def line(
     g = df.dropna(subset=dims).groupBy(*dims).agg(*[e.alias(n) for n, e in measures.items()])
     first = next(iter(measures))
     if series:
-        totals = g.groupBy(series).agg(F.sum(first).alias("_tot"))
-        w = Window.orderBy(F.col("_tot").desc_nulls_last(), F.col(series).asc())
-        top = totals.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_lines).select(series)
-        g = g.join(top, series, "left_semi")
+        g = g.join(top_series(g, series, first, max_lines), series, "left_semi")
         wp = Window.partitionBy(series).orderBy(time)
         g = g.withColumn("_p", F.row_number().over(wp)).where(F.col("_p") <= max_points).drop("_p")
         return g
@@ -132,7 +129,8 @@ def table_view(df: DataFrame, dims: Sequence[str], measures: dict[str, Column],
 
 
 def top_series(df: DataFrame, series: str, measure: str, k: int = MAX_LINES) -> DataFrame:
-    """T3 helper: the ``k`` series with the largest total of ``measure``."""
+    """T3 helper: the ``k`` series with the largest total of ``measure``
+    (name breaks ties).  ``orderBy().limit(k)`` plans a distributed top-k
+    (each partition keeps k rows), never a single-partition window."""
     totals = df.groupBy(series).agg(F.sum(measure).alias("_tot"))
-    w = Window.orderBy(F.col("_tot").desc_nulls_last(), F.col(series).asc())
-    return totals.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(series)
+    return totals.orderBy(F.col("_tot").desc_nulls_last(), F.col(series).asc()).limit(k).select(series)

@@ -124,8 +124,7 @@ def as_of_candidate(meta: DataFrame) -> DataFrame:
     is_date = F.array_contains(tags, "$date") | F.array_contains(tags, "$timestamp")
     prio = F.when(F.col("field") == "CanonicalDate", 0).when(is_date, 1)
     c = meta.withColumn("_prio", prio).where(F.col("_prio").isNotNull())
-    w = Window.orderBy("_prio", "tidx", "pos")
-    return c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select(
+    return c.orderBy("_prio", "tidx", "pos").limit(1).select(
         F.col("table").alias("sourceTable"), F.col("field").alias("dateField")
     )
 

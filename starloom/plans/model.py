@@ -19,23 +19,93 @@ from starloom.operators import overlap as ov
 from starloom.operators import profile as pr
 
 
-@dataclass
 class Discovery:
-    tables: dict[str, DataFrame]
-    values: DataFrame  # (table, field, value) distinct
-    profile: DataFrame
-    fields: DataFrame  # profile + type + alias
-    pairs: DataFrame
-    intersections: DataFrame  # every candidate pair with inter > 0
-    overlap: DataFrame
-    subsets: DataFrame
-    alias_pairs: DataFrame
-    links: DataFrame
-    roles: DataFrame
+    """The discovered model, stage by stage, each computed on first use.
+
+    The single value aggregation feeds both the profile and the overlap, so
+    it is persisted (memory and disk; lost partitions are recomputed from
+    lineage).  Every catalog-sized result -- profile, fields, pairs,
+    intersections, alias pairs, links, roles -- is checkpointed once when
+    first asked for, so later driver-side steps (strategy, naming) never
+    re-run the data-scale work, and a query pays only for the stages it
+    reads.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], overrides: DataFrame | None = None,
+                 approx: bool = False, persist: bool = True):
+        self.tables = tables
+        self.overrides = overrides
+        self.approx = approx
+        self._persist = persist
+        self._cache: dict[str, DataFrame] = {}
+
+    def _get(self, key: str, make) -> DataFrame:
+        if key not in self._cache:
+            self._cache[key] = make()
+        return self._cache[key]
+
+    @property
+    def counts(self) -> DataFrame:
+        def make():
+            c = pr.value_counts(self.tables)
+            return c.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else c
+        return self._get("counts", make)
+
+    @property
+    def values(self) -> DataFrame:
+        return self._get("values", lambda: pr.distinct_values(self.counts, pr.catalog(self.tables)))
+
+    @property
+    def profile(self) -> DataFrame:
+        return self._get("profile", lambda: pr.profile(
+            self.tables, approx=self.approx, counts=None if self.approx else self.counts).checkpoint(eager=True))
+
+    @property
+    def fields(self) -> DataFrame:
+        return self._get("fields", lambda: cl.classify_fields(self.profile, self.overrides).checkpoint(eager=True))
+
+    @property
+    def pairs(self) -> DataFrame:
+        return self._get("pairs", lambda: ov.candidate_pairs(self.profile).checkpoint(eager=True))
+
+    @property
+    def intersections(self) -> DataFrame:
+        return self._get("inter", lambda: ov.intersections(self.values, self.pairs)
+                         .join(self.pairs, ov.PAIR_COLS).checkpoint(eager=True))
+
+    @property
+    def overlap(self) -> DataFrame:
+        return self._get("overlap", lambda: ov.overlap_from(self.intersections))
+
+    @property
+    def subsets(self) -> DataFrame:
+        return self._get("subsets", lambda: ov.subset_links(self.intersections))
+
+    @property
+    def alias_pairs(self) -> DataFrame:
+        return self._get("alias", lambda: ov.alias_overlap(
+            self.values, self.fields, self.overlap, known=self.intersections).checkpoint(eager=True))
+
+    @property
+    def links(self) -> DataFrame:
+        def make():
+            cols = [*ov.PAIR_COLS, "intersectionCount", "overlapRatioA", "overlapRatioB"]
+            all_overlap = self.overlap.select(*cols).unionByName(self.alias_pairs.select(*cols))
+            return lk.score_links(all_overlap, self.fields).checkpoint(eager=True)
+        return self._get("links", make)
+
+    @property
+    def roles(self) -> DataFrame:
+        return self._get("roles", lambda: cl.table_roles(self.fields).checkpoint(eager=True))
 
     def canonical(self) -> DataFrame:
         """D20 names for every field."""
-        return lk.normalize_names(self.fields, self.links)
+        return self._get("canonical", lambda: lk.normalize_names(self.fields, self.links).checkpoint(eager=True))
+
+    def release(self) -> None:
+        """Drop the persisted value aggregation."""
+        if "counts" in self._cache and self._persist:
+            self._cache["counts"].unpersist()
 
 
 def overrides_frame(spark: SparkSession, rows: list[tuple[str, str, str | None, str | None]]) -> DataFrame:
@@ -49,34 +119,9 @@ def discover(
     approx: bool = False,
     persist: bool = True,
 ) -> Discovery:
-    """Profile, classify, overlap and score a model.
-
-    The single value aggregation feeds both the profile and the overlap, so
-    it is persisted (memory and disk; lost partitions are recomputed from
-    lineage).  Every catalog-sized result -- profile, fields, intersections,
-    links, roles -- is checkpointed once: later driver-side steps (strategy,
-    naming) then never re-run the data-scale work.
-    """
-    counts = pr.value_counts(tables)
-    if persist:
-        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
-    cat = pr.catalog(tables)
-    prof = pr.profile(tables, approx=approx, counts=None if approx else counts).checkpoint(eager=True)
-    values = pr.distinct_values(counts, cat)
-    fields = cl.classify_fields(prof, overrides).checkpoint(eager=True)
-    pairs = ov.candidate_pairs(prof).checkpoint(eager=True)
-    inter = ov.intersections(values, pairs).join(pairs, ov.PAIR_COLS).checkpoint(eager=True)
-    overlap = ov.overlap_from(inter)
-    subsets = ov.subset_links(inter)
-    alias_pairs = ov.alias_overlap(values, fields, overlap, known=inter).checkpoint(eager=True)
-    all_overlap = overlap.select(
-        *ov.PAIR_COLS, "intersectionCount", "overlapRatioA", "overlapRatioB"
-    ).unionByName(alias_pairs.select(*ov.PAIR_COLS, "intersectionCount", "overlapRatioA", "overlapRatioB"))
-    links = lk.score_links(all_overlap, fields).checkpoint(eager=True)
-    roles = cl.table_roles(fields).checkpoint(eager=True)
-    if persist:
-        counts.unpersist()
-    return Discovery(tables, values, prof, fields, pairs, inter, overlap, subsets, alias_pairs, links, roles)
+    """Profile, classify, overlap and score a model (stages computed on
+    first use, see :class:`Discovery`)."""
+    return Discovery(tables, overrides, approx=approx, persist=persist)
 
 
 def rename_canonical(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
