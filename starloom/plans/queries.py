@@ -246,7 +246,26 @@ def q_link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _discover(spark, sf_dir).links
 
 
-@register("canonical_names")
+@register(
+    "canonical_names",
+    f"""WITH {_OV}, {_CL}, {ot.alias_pairs_cte()}, {ot.link_scores_ctes()},
+acc AS (SELECT tableA AS tbl, fieldA AS field FROM sc WHERE confidence >= 70
+        UNION SELECT tableB, fieldB FROM sc WHERE confidence >= 70),
+c0 AS (
+  SELECT c.*, CASE WHEN a.tbl IS NOT NULL AND lower(c.alias) <> lower(c.field) AND length(c.alias) > 2 THEN c.alias
+                   WHEN c.type = 'IDENTIFIER' THEN c.field
+                   ELSE c.tbl || '_' || c.field END AS canon0
+  FROM cls c LEFT JOIN acc a ON a.tbl = c.tbl AND a.field = c.field),
+c1 AS (SELECT c0.*, (canon0 = tbl || '_' || field AND type NOT IN ('MEASURE', 'IDENTIFIER')) AS cand,
+              field IN (SELECT canon0 FROM c0) AS is_used FROM c0),
+c2 AS (SELECT c1.*, row_number() OVER (PARTITION BY field
+                                       ORDER BY CASE WHEN cand AND NOT is_used THEN 0 ELSE 1 END, tidx, pos) AS r
+       FROM c1)
+SELECT tbl AS "table", field, pos, type,
+       CASE WHEN type = 'DATE' THEN tbl || '_' || field
+            WHEN cand AND NOT is_used AND r = 1 THEN field ELSE canon0 END AS canonical
+FROM c2""",
+)
 def q_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _discover(spark, sf_dir).canonical().select("table", "field", "pos", "type", "canonical")
 
