@@ -190,3 +190,41 @@ def alias_overlap(
         (i / F.col("sizeB")).alias("overlapRatioB"),
         F.lit("AI_INTENT").alias("discoveredBy"),
     )
+
+
+# ---------------------------------------------------------------- sketch path (H4)
+def column_sketches(tables: dict[str, DataFrame], lg_nom_entries: int = 12) -> DataFrame:
+    """``(table, field, sketch)``: a theta sketch of each column's distinct
+    non-missing text values.
+
+    One wide aggregate per table; sketches merge map-side and stay bounded
+    (about ``2**lg_nom_entries`` hashes each), so no value ever crosses the
+    network.  Below ``2**lg_nom_entries`` distinct values a sketch is exact.
+    """
+    from starloom.functions.values import is_missing
+
+    out = None
+    for name, df in tables.items():
+        cols = df.columns
+        aggs = []
+        for i, c in enumerate(cols):
+            v = df[f"`{c}`"].cast("string")
+            aggs.append(F.theta_sketch_agg(F.when(~is_missing(v), v), lg_nom_entries).alias(f"s{i}"))
+        rows = F.array(*[
+            F.struct(F.lit(name).alias("table"), F.lit(c).alias("field"), F.col(f"s{i}").alias("sketch"))
+            for i, c in enumerate(cols)
+        ])
+        part = df.agg(*aggs).select(F.inline(rows))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def approx_intersections(sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """U2 (approximate): estimated ``|A ∩ B|`` per pair from the two columns'
+    theta sketches; pairs estimated at 0 are dropped."""
+    sa = sketches.select(F.col("table").alias("tableA"), F.col("field").alias("fieldA"), F.col("sketch").alias("_sa"))
+    sb = sketches.select(F.col("table").alias("tableB"), F.col("field").alias("fieldB"), F.col("sketch").alias("_sb"))
+    est = pairs.select(*PAIR_COLS).join(sa, ["tableA", "fieldA"]).join(sb, ["tableB", "fieldB"]).select(
+        *PAIR_COLS, F.theta_sketch_estimate(F.theta_intersection("_sa", "_sb")).cast("long").alias("intersectionCount")
+    )
+    return est.where(F.col("intersectionCount") > 0)

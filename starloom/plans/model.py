@@ -70,8 +70,13 @@ class Discovery:
 
     @property
     def intersections(self) -> DataFrame:
-        return self._get("inter", lambda: ov.intersections(self.values, self.pairs)
-                         .join(self.pairs, ov.PAIR_COLS).checkpoint(eager=True))
+        def make():
+            if self.approx:
+                inter = ov.approx_intersections(ov.column_sketches(self.tables), self.pairs)
+            else:
+                inter = ov.intersections(self.values, self.pairs)
+            return inter.join(self.pairs, ov.PAIR_COLS).checkpoint(eager=True)
+        return self._get("inter", make)
 
     @property
     def overlap(self) -> DataFrame:

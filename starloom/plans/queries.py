@@ -999,6 +999,14 @@ def q_validate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.validate_keys(proposed, d.fields, shared)
 
 
+@register("value_overlap_approx")
+def q_value_overlap_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1-D3 on the sketch path: HyperLogLog distinct counts and theta-sketch
+    intersections; no value-level shuffle (exact below 4096 values)."""
+    tables = _t(spark, sf_dir, *STAR_TABLES)
+    return md.discover(tables, md.overrides_frame(spark, DRIVER_ALIASES), approx=True).overlap
+
+
 @register("golden_keys")
 def q_golden_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.operators import structure as st

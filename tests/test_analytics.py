@@ -63,3 +63,14 @@ def test_dense_key_and_encode_keys(spark):
     model = {"A": spark.createDataFrame([(10,), (20,)], "K int"), "B": spark.createDataFrame([(20,), (30,)], "K int")}
     enc = an.encode_keys(model, ["K"])
     assert sorted(r["K"] for r in enc["B"].collect()) == [2, 3]
+
+
+def test_sketch_overlap_exact_below_nominal(spark):
+    from starloom.operators import overlap as ov
+
+    a = spark.createDataFrame([(i,) for i in range(1000)], "ka int")
+    b = spark.createDataFrame([(i,) for i in range(500, 3000)], "kb int")
+    sk = ov.column_sketches({"A": a, "B": b})
+    pairs = spark.createDataFrame([("A", "ka", "B", "kb", 1000, 2500)],
+                                  "tableA string, fieldA string, tableB string, fieldB string, sizeA long, sizeB long")
+    assert ov.approx_intersections(sk, pairs).first()["intersectionCount"] == 500
