@@ -83,7 +83,9 @@ def intersections(values: DataFrame, pairs: DataFrame, salts: int = 16) -> DataF
         p, ["table", "field", "_salt"]
     )
     probe = probe.select(*PAIR_COLS, F.col("_lt").alias("table"), F.col("_lf").alias("field"), "value")
-    hits = probe.join(values, ["table", "field", "value"])
+    # only the columns that are the larger side of some pair are looked up
+    larger = p.select(F.col("_lt").alias("table"), F.col("_lf").alias("field")).distinct()
+    hits = probe.join(values.join(larger, ["table", "field"], "left_semi"), ["table", "field", "value"])
     return hits.groupBy(*PAIR_COLS).agg(F.count(F.lit(1)).alias("intersectionCount"))
 
 
@@ -177,7 +179,12 @@ def alias_overlap(
         ))
         looked_up = pairs.join(k, PAIR_COLS)
         fresh = pairs.join(seen, PAIR_COLS, "left_anti")
-        inter = looked_up.unionByName(intersections(values, fresh, salts).join(fresh, PAIR_COLS))
+        # A catalog-sized check: when every alias pair is already counted,
+        # the value join is not planned at all.
+        if fresh.isEmpty():
+            inter = looked_up
+        else:
+            inter = looked_up.unionByName(intersections(values, fresh, salts).join(fresh, PAIR_COLS))
     else:
         inter = intersections(values, pairs, salts).join(pairs, PAIR_COLS)
     i = F.col("intersectionCount")

@@ -58,17 +58,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def long_values(model: dict[str, DataFrame]) -> DataFrame:
-    """``(tidx, pos, value)`` with one row per cell, values as text, nulls kept."""
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _cell(pos: int, c, dtype: T.DataType):
+    """One long-form cell.  Integers and doubles travel in typed slots and
+    are turned into text only after aggregation (their text form is a
+    one-to-one function of the value, so distinct values and counts are the
+    same); every other type is cast to text here."""
+    txt, lng, dbl = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
+    if isinstance(dtype, _INTEGRAL):
+        lng = c.cast("long")
+    elif isinstance(dtype, T.DoubleType):
+        dbl = c
+    else:
+        txt = c.cast("string")
+    return F.struct(F.lit(pos).alias("pos"), txt.alias("_s"), lng.alias("_l"), dbl.alias("_d"))
+
+
+def _typed_cells(model: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for ti, df in enumerate(model.values()):
         df = spread(df)
-        cells = F.array(
-            *[
-                F.struct(F.lit(pos).alias("pos"), df[f"`{c}`"].cast("string").alias("value"))
-                for pos, c in enumerate(df.columns)
-            ]
-        )
+        cells = F.array(*[_cell(pos, df[f"`{f.name}`"], f.dataType) for pos, f in enumerate(df.schema.fields)])
         parts.append(df.select(F.lit(ti).alias("tidx"), F.inline(cells)))
     out = parts[0]
     for p in parts[1:]:
@@ -76,9 +88,22 @@ def long_values(model: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _as_text():
+    return F.coalesce(F.col("_s"), F.col("_l").cast("string"), F.col("_d").cast("string"))
+
+
+def long_values(model: dict[str, DataFrame]) -> DataFrame:
+    """``(tidx, pos, value)`` with one row per cell, values as text, nulls kept."""
+    return _typed_cells(model).select("tidx", "pos", _as_text().alias("value"))
+
+
 def value_counts(model: dict[str, DataFrame]) -> DataFrame:
-    """``(tidx, pos, value, n)``: multiplicity of every text value per column."""
-    return long_values(model).groupBy("tidx", "pos", "value").agg(F.count(F.lit(1)).alias("n"))
+    """``(tidx, pos, value, n)``: multiplicity of every text value per column.
+
+    Grouped on the typed slots (cheap keys, no per-cell text conversion),
+    then rendered as text once per distinct value."""
+    g = _typed_cells(model).groupBy("tidx", "pos", "_s", "_l", "_d").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("tidx", "pos", _as_text().alias("value"), "n")
 
 
 def distinct_values(counts: DataFrame, cat: DataFrame) -> DataFrame:
