@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.session import materialize
+
 
 def _side_by_side(*one_row: DataFrame) -> DataFrame:
     """Put one-row aggregates next to each other (equi-join on a constant)."""
@@ -70,7 +72,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
     labels = nodes.select(F.col("node"), F.col("node").alias("label")).distinct()
     for _ in range(max_rounds):
         msgs = und.join(labels, und.src == labels.node).select(F.col("dst").alias("node"), "label")
-        new = labels.unionByName(msgs).groupBy("node").agg(F.min("label").alias("label")).checkpoint(eager=True)
+        new = labels.unionByName(msgs).groupBy("node").agg(F.min("label").alias("label")).transform(materialize)
         changed = new.join(labels.withColumnRenamed("label", "_old"), "node").where(F.col("label") != F.col("_old"))
         labels = new
         if changed.isEmpty():

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.session import materialize
+
 _PID = "_sl_pid"
 _MID = "_sl_mid"
 
@@ -42,7 +44,7 @@ def _range_layout(df: DataFrame, order: list[Column], partitions: int | None) ->
         .withColumn(_MID, F.monotonically_increasing_id())
     )
     # Reliable checkpoint: freezes the sampled range bounds and the ids.
-    return laid.checkpoint(eager=True)
+    return laid.transform(materialize)
 
 
 def _offsets(laid: DataFrame, value: Column, name: str) -> DataFrame:

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.session import materialize
+
 
 SIMILARITY = 0.7
 FACT_ID = "%FactID"
@@ -55,8 +57,8 @@ def fact_groups(fields: DataFrame, roles: DataFrame, threshold: float = SIMILARI
     every later unassigned fact with similarity above ``threshold``.  Each
     round resolves one seed; the inputs are one row per fact pair.
     """
-    sims = fact_similarity(fields, roles).where(F.col("similarity") > threshold).checkpoint(eager=True)
-    facts = roles.where(F.col("role") == "FACT").select("tidx", "table").checkpoint(eager=True)
+    sims = fact_similarity(fields, roles).where(F.col("similarity") > threshold).transform(materialize)
+    facts = roles.where(F.col("role") == "FACT").select("tidx", "table").transform(materialize)
     spark = fields.sparkSession
     assigned = spark.createDataFrame([], "tidx int, seed int")
     while True:
@@ -72,7 +74,7 @@ def fact_groups(fields: DataFrame, roles: DataFrame, threshold: float = SIMILARI
             .unionByName(spark.createDataFrame([(s,)], "tidx int"))
             .withColumn("seed", F.lit(s))
         )
-        assigned = assigned.unionByName(members).checkpoint(eager=True)
+        assigned = assigned.unionByName(members).transform(materialize)
     sizes = assigned.groupBy("seed").agg(F.count(F.lit(1)).alias("_n"))
     g = assigned.join(sizes, "seed").where(F.col("_n") > 1).join(facts, "tidx")
     w = Window.partitionBy("seed").orderBy("tidx")

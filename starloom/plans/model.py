@@ -13,6 +13,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.session import materialize
+
 from starloom.operators import classify as cl
 from starloom.operators import links as lk
 from starloom.operators import overlap as ov
@@ -58,15 +60,15 @@ class Discovery:
     @property
     def profile(self) -> DataFrame:
         return self._get("profile", lambda: pr.profile(
-            self.tables, approx=self.approx, counts=None if self.approx else self.counts).checkpoint(eager=True))
+            self.tables, approx=self.approx, counts=None if self.approx else self.counts).transform(materialize))
 
     @property
     def fields(self) -> DataFrame:
-        return self._get("fields", lambda: cl.classify_fields(self.profile, self.overrides).checkpoint(eager=True))
+        return self._get("fields", lambda: cl.classify_fields(self.profile, self.overrides).transform(materialize))
 
     @property
     def pairs(self) -> DataFrame:
-        return self._get("pairs", lambda: ov.candidate_pairs(self.profile).checkpoint(eager=True))
+        return self._get("pairs", lambda: ov.candidate_pairs(self.profile).transform(materialize))
 
     @property
     def intersections(self) -> DataFrame:
@@ -75,7 +77,7 @@ class Discovery:
                 inter = ov.approx_intersections(ov.column_sketches(self.tables), self.pairs)
             else:
                 inter = ov.intersections(self.values, self.pairs)
-            return inter.join(self.pairs, ov.PAIR_COLS).checkpoint(eager=True)
+            return inter.join(self.pairs, ov.PAIR_COLS).transform(materialize)
         return self._get("inter", make)
 
     @property
@@ -89,23 +91,23 @@ class Discovery:
     @property
     def alias_pairs(self) -> DataFrame:
         return self._get("alias", lambda: ov.alias_overlap(
-            self.values, self.fields, self.overlap, known=self.intersections).checkpoint(eager=True))
+            self.values, self.fields, self.overlap, known=self.intersections).transform(materialize))
 
     @property
     def links(self) -> DataFrame:
         def make():
             cols = [*ov.PAIR_COLS, "intersectionCount", "overlapRatioA", "overlapRatioB"]
             all_overlap = self.overlap.select(*cols).unionByName(self.alias_pairs.select(*cols))
-            return lk.score_links(all_overlap, self.fields).checkpoint(eager=True)
+            return lk.score_links(all_overlap, self.fields).transform(materialize)
         return self._get("links", make)
 
     @property
     def roles(self) -> DataFrame:
-        return self._get("roles", lambda: cl.table_roles(self.fields).checkpoint(eager=True))
+        return self._get("roles", lambda: cl.table_roles(self.fields).transform(materialize))
 
     def canonical(self) -> DataFrame:
         """D20 names for every field."""
-        return self._get("canonical", lambda: lk.normalize_names(self.fields, self.links).checkpoint(eager=True))
+        return self._get("canonical", lambda: lk.normalize_names(self.fields, self.links).transform(materialize))
 
     def release(self) -> None:
         """Drop the persisted value aggregation."""
@@ -166,7 +168,7 @@ def build_model(
     """Rename every table to canonical names (P1), key the facts (M1), and
     add LinkTable (M2, P4), CanonicalDateBridge (M3) and MasterCalendar (M4,
     M5 when ``today`` is given) as the strategy (D25) asks."""
-    canon = (canonical if canonical is not None else d.canonical()).checkpoint(eager=True)
+    canon = (canonical if canonical is not None else d.canonical()).transform(materialize)
     bp = st.blueprint(canon, d.roles, force=force)
     names = {}
     for r in _rows(canon.select("table", "field", "canonical")):

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.session import materialize
+
 from starloom.operators import analytics as an
 from starloom.operators import profile as pr
 from starloom.plans import oracle_text as ot
@@ -428,7 +430,7 @@ _CCAT = ot.canonical_catalog_cte(STAR_TABLES, DRIVER_ALIASES)
 
 def _canon_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = _discover(spark, sf_dir)
-    canon = d.canonical().checkpoint(eager=True)
+    canon = d.canonical().transform(materialize)
     fields = canon.select("tidx", "table", F.col("canonical").alias("field"))
     tables = canon.select("table").distinct()
     return tables, fields
@@ -1071,7 +1073,7 @@ def q_enrich_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     built = _built(spark, sf_dir)
     model = built.tables
-    meta = en.live_metadata(model).checkpoint(eager=True)
+    meta = en.live_metadata(model).transform(materialize)
     reports = []
     asof = en.as_of_candidate(meta).first()
     if asof:

@@ -67,3 +67,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="starloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Reliable checkpoint that computes the plan once.
+
+    A reliable checkpoint writes its files in a second job that recomputes
+    the plan unless the rows are cached; so the rows are persisted (memory
+    and disk) while the files are written, then released.  The result reads
+    from the checkpoint folder and carries no lineage.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
