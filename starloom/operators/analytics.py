@@ -28,14 +28,10 @@ def sum_by(df: DataFrame, dim: str | Sequence[str], measure: str, out: str = "_S
 def grand_total(df: DataFrame, measure: str, out: str = "_Total") -> DataFrame:
     """Attach the grand total of ``measure`` to every row.
 
-    The total is a one-row aggregate, so broadcasting it is size-safe.
+    ``Peek`` of a one-row total becomes a scalar subquery: computed once
+    (partial sums, then one row), no join.
     """
-    total = df.agg(F.sum(measure).alias(out)).withColumn("_sl_one", F.lit(1))
-    return (
-        df.withColumn("_sl_one", F.lit(1))
-        .join(F.broadcast(total), "_sl_one")
-        .drop("_sl_one")
-    )
+    return df.withColumn(out, df.agg(F.sum(measure)).scalar())
 
 
 def pair_count(df: DataFrame, a: str, b: str, id_col: str, out: str = "CoOccurrences") -> DataFrame:

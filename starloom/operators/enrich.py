@@ -158,7 +158,7 @@ def pareto_candidates(meta: DataFrame, fields: DataFrame | None = None, link_tab
     link_keys = link.where(F.col("field").startswith("%Key_")).select(
         F.regexp_replace("field", "^%Key_", "").alias("table"), F.lit(True).alias("_linked")
     )
-    out = measures.join(link_keys, "table", "left").withColumn("_one", F.lit(1)).join(best_dim, "_one", "left")
+    out = measures.join(link_keys, "table", "left").withColumn("linkDim", best_dim.select("linkDim").scalar())
     if fields is not None:
         attrs = fields.where(
             (F.col("type") == "ATTRIBUTE")
@@ -196,8 +196,10 @@ def basket_candidate(meta: DataFrame, facts: DataFrame, link_table: str = "LinkT
     items = f.where(F.col("field").rlike(BASKET_ITEM_PATTERN)).withColumn("_one", F.lit(1))
     id_pick = _first_by(ids, "_one", ["pos"], "idField", "field")
     item_pick = _first_by(items, "_one", ["pos"], "itemField", "field")
-    tbl = target.withColumn("_one", F.lit(1))
-    return tbl.join(id_pick, "_one").join(item_pick, "_one").drop("_one")
+    row = target.select(
+        "table", id_pick.select("idField").scalar().alias("idField"), item_pick.select("itemField").scalar().alias("itemField")
+    )
+    return row.where(F.col("idField").isNotNull() & F.col("itemField").isNotNull())
 
 
 def _health(model: dict[str, DataFrame]) -> dict:

@@ -14,11 +14,11 @@ from starloom.session import materialize
 
 
 def _side_by_side(*one_row: DataFrame) -> DataFrame:
-    """Put one-row aggregates next to each other (equi-join on a constant)."""
-    out = one_row[0].withColumn("_one", F.lit(1))
-    for d in one_row[1:]:
-        out = out.join(d.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+    """One row holding every column of the given one-row aggregates, each
+    evaluated as a scalar subquery (no join)."""
+    spark = one_row[0].sparkSession
+    cols = [d.select(c).scalar().alias(c) for d in one_row for c in d.columns]
+    return spark.range(1).select(*cols)
 
 
 def shared_fields(fields: DataFrame) -> DataFrame:

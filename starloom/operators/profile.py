@@ -115,12 +115,12 @@ def distinct_values(counts: DataFrame, cat: DataFrame) -> DataFrame:
     )
 
 
-def _field_stats(counts: DataFrame) -> DataFrame:
+def _stat_aggs() -> list:
     v = F.col("value")
     present = ~is_missing(v)
     n = F.col("n")
     length = F.length(v)
-    return counts.groupBy("tidx", "pos").agg(
+    return [
         F.sum(n).alias("rowCount"),
         F.sum(F.when(~present, n).otherwise(F.lit(0))).alias("nullCount"),
         F.sum(F.when(present & is_blank(v), n).otherwise(F.lit(0))).alias("blankCount"),
@@ -131,30 +131,33 @@ def _field_stats(counts: DataFrame) -> DataFrame:
         F.count_if(present & ~is_numeric_text(v)).alias("_nonNumeric"),
         F.min(F.when(present, numeric_value(v))).alias("_minNum"),
         F.max(F.when(present, numeric_value(v))).alias("_maxNum"),
-    )
+    ]
 
 
-def _samples(counts: DataFrame, k: int) -> DataFrame:
-    """Smallest ``k`` distinct non-missing values per column, sorted.
+def _field_stats(counts: DataFrame, k: int = 0) -> DataFrame:
+    """Per-column statistics from the distinct ``(value, n)`` rows, and with
+    ``k > 0`` the ``k`` smallest present values as ``sampleValues``.
 
-    Two bounded steps instead of collecting a column's whole distinct set:
-    keep the k smallest per (column, hash bucket) with a window, then sort
-    the at most ``k * SAMPLE_BUCKETS`` survivors per column.
+    Samples stay bounded without a second pass over the values: a window
+    ranks values inside (column, hash bucket) groups, and only ranks <= k
+    are collected (at most ``k * SAMPLE_BUCKETS`` per column) by the same
+    aggregate that computes the statistics.
     """
-    d = counts.where(~is_missing(F.col("value"))).select("tidx", "pos", "value")
-    d = d.withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(SAMPLE_BUCKETS)))
-    w = Window.partitionBy("tidx", "pos", "_b").orderBy("value")
-    top = d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    return top.groupBy("tidx", "pos").agg(
-        F.slice(F.array_sort(F.collect_list("value")), 1, k).alias("sampleValues")
+    if k <= 0:
+        return counts.groupBy("tidx", "pos").agg(*_stat_aggs())
+    present = ~is_missing(F.col("value"))
+    ranked = counts.withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(SAMPLE_BUCKETS)))
+    w = Window.partitionBy("tidx", "pos", "_b").orderBy(present.desc(), F.col("value").asc())
+    ranked = ranked.withColumn("_r", F.row_number().over(w))
+    g = ranked.groupBy("tidx", "pos").agg(
+        *_stat_aggs(), F.collect_list(F.when(present & (F.col("_r") <= k), F.col("value"))).alias("_samp")
     )
+    return g.withColumn("sampleValues", F.slice(F.array_sort("_samp"), 1, k)).drop("_samp")
 
 
-def _finish(stats: DataFrame, cat: DataFrame, samples: DataFrame | None) -> DataFrame:
+def _finish(stats: DataFrame, cat: DataFrame) -> DataFrame:
     s = cat.join(stats, ["tidx", "pos"], "left")
-    if samples is not None:
-        s = s.join(samples, ["tidx", "pos"], "left")
-    else:
+    if "sampleValues" not in stats.columns:
         s = s.withColumn("sampleValues", F.lit(None).cast("array<string>"))
     rows = F.coalesce(F.col("rowCount"), F.lit(0)).cast("long")
     nulls = F.coalesce(F.col("nullCount"), F.lit(0)).cast("long")
@@ -204,9 +207,9 @@ def profile(
     """
     cat = catalog(model)
     if approx:
-        return _finish(_wide_stats(model), cat, None)
+        return _finish(_wide_stats(model), cat)
     counts = counts if counts is not None else value_counts(model)
-    return _finish(_field_stats(counts), cat, _samples(counts, samples) if samples else None)
+    return _finish(_field_stats(counts, samples), cat)
 
 
 def _wide_stats(model: dict[str, DataFrame]) -> DataFrame:

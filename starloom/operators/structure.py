@@ -130,13 +130,12 @@ def strategy_frame(canonical: DataFrame, roles: DataFrame, force: str | None = N
     )
     n_dates = dates_all.agg(F.count(F.lit(1)).alias("n_dates"))
     shared_names = by_name.select(F.col("canonical").alias("name"))
-    row = (
-        facts.agg(F.transform(F.array_sort(F.collect_list(F.struct("tidx", "table"))), lambda x: x["table"]).alias("facts"))
-        .withColumn("_one", F.lit(1))
-        .join(n_dates.withColumn("_one", F.lit(1)), "_one")
-        .join(shared_names.agg(F.array_sort(F.collect_list("name")).alias("_shared")).withColumn("_one", F.lit(1)), "_one")
-        .join(fact_dates.agg(F.array_sort(F.collect_list("d")).alias("_fd")).withColumn("_one", F.lit(1)), "_one")
-        .drop("_one")
+    spark = canonical.sparkSession
+    row = spark.range(1).select(
+        facts.agg(F.transform(F.array_sort(F.collect_list(F.struct("tidx", "table"))), lambda x: x["table"])).scalar().alias("facts"),
+        n_dates.scalar().alias("n_dates"),
+        shared_names.agg(F.array_sort(F.collect_list("name"))).scalar().alias("_shared"),
+        fact_dates.agg(F.array_sort(F.collect_list("d"))).scalar().alias("_fd"),
     )
     fd_names = F.transform(F.col("_fd"), lambda d: d["canonical"])
     bridge = F.col("n_dates") > 1
@@ -177,7 +176,7 @@ def relationship_cardinality(left: DataFrame, right: DataFrame, left_key: str, r
     right_key = right_key or left_key
     lm = left.where(F.col(left_key).isNotNull()).groupBy(left_key).count().agg(F.max("count").alias("left_max"))
     rm = right.where(F.col(right_key).isNotNull()).groupBy(right_key).count().agg(F.max("count").alias("right_max"))
-    row = lm.withColumn("_one", F.lit(1)).join(rm.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    row = lm.sparkSession.range(1).select(lm.scalar().alias("left_max"), rm.scalar().alias("right_max"))
     l_many = F.col("left_max") > 1
     r_many = F.col("right_max") > 1
     card = (

@@ -1043,7 +1043,7 @@ def q_conform_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _, fields, roles = _split_orders(spark, sf_dir)
     empty = spark.createDataFrame([], "tableA string, fieldA string, tableB string, fieldB string, confidence int")
-    canon = lk.normalize_names(fields, empty)
+    canon = lk.normalize_names(fields, empty).transform(materialize)
     return st.conform_group(canon, st.fact_groups(fields, roles)).select("table", "field", "canonical")
 
 
