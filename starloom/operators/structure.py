@@ -50,33 +50,37 @@ def fact_similarity(fields: DataFrame, roles: DataFrame) -> DataFrame:
     )
 
 
-def fact_groups(fields: DataFrame, roles: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def fact_groups(
+    fields: DataFrame, roles: DataFrame, threshold: float = SIMILARITY, max_rounds: int = 100
+) -> DataFrame:
     """Groups of similar facts, ``(group, table, member_pos)``.
 
-    Greedy as specified: the earliest unassigned fact seeds a group and takes
-    every later unassigned fact with similarity above ``threshold``.  Each
-    round resolves one seed; the inputs are one row per fact pair.
+    Greedy as specified: in table order, a fact not yet taken seeds a group
+    and takes every later untaken fact with similarity above ``threshold``.
+    The seed set is the fixpoint of "a fact is a seed iff no earlier seed
+    takes it", reached by iterating from "every fact is a seed"; each round
+    settles at least the next fact in order, so the rounds follow the
+    length of the longest take-chain, not the number of facts.  Inputs are
+    one row per fact pair (catalog-sized).
     """
-    sims = fact_similarity(fields, roles).where(F.col("similarity") > threshold).transform(materialize)
+    sims = fact_similarity(fields, roles).where(F.col("similarity") > threshold).select("ti", "tj").transform(materialize)
     facts = roles.where(F.col("role") == "FACT").select("tidx", "table").transform(materialize)
-    spark = fields.sparkSession
-    assigned = spark.createDataFrame([], "tidx int, seed int")
-    while True:
-        free = facts.join(assigned, "tidx", "left_anti")
-        seed_row = free.agg(F.min("tidx").alias("s")).first()
-        if seed_row is None or seed_row["s"] is None:
+    seeds = facts.select("tidx")
+    for _ in range(max_rounds):
+        taken = sims.join(seeds.withColumnRenamed("tidx", "ti"), "ti").select(F.col("tj").alias("tidx"))
+        new = facts.select("tidx").join(taken, "tidx", "left_anti").transform(materialize)
+        changed = new.join(seeds, "tidx", "left_anti").unionByName(seeds.join(new, "tidx", "left_anti"))
+        seeds = new
+        if changed.isEmpty():
             break
-        s = seed_row["s"]
-        members = (
-            sims.where(F.col("ti") == s)
-            .select(F.col("tj").alias("tidx"))
-            .join(free, "tidx", "left_semi")
-            .unionByName(spark.createDataFrame([(s,)], "tidx int"))
-            .withColumn("seed", F.lit(s))
-        )
-        assigned = assigned.unionByName(members).transform(materialize)
+    seed_of = (
+        sims.join(seeds.withColumnRenamed("tidx", "ti"), "ti")
+        .groupBy(F.col("tj").alias("tidx"))
+        .agg(F.min("ti").alias("seed"))
+    )
+    assigned = facts.join(seed_of, "tidx", "left").withColumn("seed", F.coalesce(F.col("seed"), F.col("tidx")))
     sizes = assigned.groupBy("seed").agg(F.count(F.lit(1)).alias("_n"))
-    g = assigned.join(sizes, "seed").where(F.col("_n") > 1).join(facts, "tidx")
+    g = assigned.join(sizes, "seed").where(F.col("_n") > 1)
     w = Window.partitionBy("seed").orderBy("tidx")
     names = g.groupBy("seed").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tidx", "table"))), lambda x: x["table"]), "_").alias("group")

@@ -119,3 +119,19 @@ def test_chart_shapes_and_null_suppression(spark):
     kept = {r["s"] for r in out.collect()}
     assert len(kept) == 12 and "s19" in kept and "s0" not in kept
     assert ch.kpi(df, {"total": F.sum("m")}).first()["total"] == 8
+
+
+def test_fact_groups_greedy_chain(spark):
+    # A~B and B~C are similar, A and C are not: the greedy takes B into A's
+    # group, so C is not taken by anyone and stays alone.
+    cols = {
+        "A": ["k", "x1", "x2", "x3"],
+        "B": ["k", "x1", "x2", "y3"],
+        "C": ["k", "x1", "y2", "y3"],
+        "D": ["q", "r", "s", "t"],
+    }
+    rows = [(ti, t, pos, f) for ti, (t, fs) in enumerate(cols.items()) for pos, f in enumerate(fs)]
+    fields = spark.createDataFrame(rows, "tidx int, table string, pos int, field string")
+    roles = spark.createDataFrame([(i, t, "FACT") for i, t in enumerate(cols)], "tidx int, table string, role string")
+    got = {(r["group"], r["table"], r["member_pos"]) for r in st.fact_groups(fields, roles, threshold=0.7).collect()}
+    assert got == {("A_B", "A", 0), ("A_B", "B", 1)}
