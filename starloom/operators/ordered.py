@@ -27,18 +27,16 @@ _PID = "_sl_pid"
 _MID = "_sl_mid"
 
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def _range_layout(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
     from starloom.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
+    # Without an explicit count AQE may coalesce the range shuffle to the
+    # data's size; it only merges adjacent ranges, so partition ids stay in
+    # key order.
+    ranged = df.repartitionByRange(int(partitions), *order) if partitions else df.repartitionByRange(*order)
     laid = (
-        df.repartitionByRange(_partitions(df, partitions), *order)
+        ranged
         .sortWithinPartitions(*order)
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())
