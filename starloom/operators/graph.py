@@ -80,19 +80,20 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
     return labels.withColumnRenamed("label", "component")
 
 
-def islands(tables: DataFrame, fields: DataFrame) -> DataFrame:
+def islands(tables: DataFrame, fields: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """``(table, component)`` for every table of the model."""
     nodes = tables.select(F.col("table").alias("node"))
-    comp = connected_components(nodes, association_graph(fields))
+    comp = connected_components(nodes, edges if edges is not None else association_graph(fields))
     return comp.select(F.col("node").alias("table"), "component")
 
 
 def circular_references(tables: DataFrame, fields: DataFrame) -> DataFrame:
     """One row ``n_tables, n_edges, n_islands, has_cycle`` where the
     graph is cyclic iff edges > tables - components."""
+    edges = association_graph(fields).transform(materialize)  # built once, read twice
     n_tables = tables.select("table").distinct().agg(F.count(F.lit(1)).alias("n_tables"))
-    n_edges = association_graph(fields).agg(F.count(F.lit(1)).alias("n_edges"))
-    n_isl = islands(tables, fields).agg(F.count_distinct("component").alias("n_islands"))
+    n_edges = edges.agg(F.count(F.lit(1)).alias("n_edges"))
+    n_isl = islands(tables, fields, edges).agg(F.count_distinct("component").alias("n_islands"))
     row = _side_by_side(n_tables, n_edges, n_isl)
     return row.withColumn(
         "has_cycle", F.col("n_edges") > (F.col("n_tables") - F.col("n_islands"))
