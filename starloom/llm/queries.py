@@ -88,7 +88,7 @@ OP5_SQL = r"""
 WITH RECURSIVE w AS (
     SELECT doc_id, list_filter(regexp_split_to_array(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
     FROM documents
 ), sets AS (
     SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
