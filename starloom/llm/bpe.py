@@ -192,6 +192,12 @@ class RankBpe:
         """Ids of whole texts as little-endian 32-bit integers."""
         return self.table.encode(texts)
 
+    def encode_array(self, texts) -> list[bytes]:
+        """The same for an Arrow array of texts."""
+        values, offsets = self.table.encode_array(texts)
+        raw, at = values.tobytes(), (offsets * 4).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def decode(self, ids: bytes) -> str:
         """The text of such ids; invalid UTF-8 becomes U+FFFD."""
         look = self.token_bytes

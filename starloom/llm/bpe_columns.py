@@ -32,7 +32,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids): ids of every whole text as little-endian 32-bit integers."""
 
     def columns(bpe, texts) -> dict:
-        return {"ids": pa.array(bpe.encode(texts.to_pylist()), type=pa.binary())}
+        return {"ids": pa.array(bpe.encode_array(texts), type=pa.binary())}
 
     return _by_slices(docs.select("doc_id", "text"), tokenizer_path, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary", columns)
 
@@ -51,7 +51,7 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     its ids decoded again, in one pass."""
 
     def columns(bpe, texts) -> dict:
-        ids = bpe.encode(texts.to_pylist())
+        ids = bpe.encode_array(texts)
         return {
             "n_tokens": pa.array([len(x) // 4 for x in ids], type=pa.int64()),
             "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]),

@@ -1,16 +1,14 @@
 """Encode whole texts through a bounded table of already encoded chunks.
 
-A chunk is a run of non-blank characters with the blanks before it.  With
-the pre-tokenizers used here no token crosses from a non-blank to a blank, so
-a text's ids are its chunks' ids one after another and each distinct chunk is
-encoded once per worker.  That needs texts whose only blanks are space and
-newline; any other blank or control separator, or a special token's string in
-the text, sends the whole text to the encoder at once (``encode_whole``).
-
-A chunk that is not in the table is split once more where tokens surely end
-(after a leading newline, and between a letter and closing punctuation), so
-that words are encoded once, not once per punctuation mark.  The table has two
-generations; a full one replaces the older, and what is met again moves up.
+A text is cut where, with the pre-tokenizers used here, tokens surely end: after
+a newline, between a word and closing punctuation, and before blanks.  A text's
+ids are its chunks' ids one after another, and each distinct chunk is encoded
+once per worker.  That needs texts whose only blanks are space and newline; any
+other blank or control separator, or a special token's string in the text, sends
+the whole text to the encoder at once (``encode_whole``).
+
+The table has two generations: a full one replaces the older, and what is met
+again moves up.
 """
 
 from __future__ import annotations
@@ -18,12 +16,25 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+
+from starloom.llm.text_bytes import Block, blocks
+
 _ODD = re.compile(r"[^\S \n]")
-_WITH_BLANKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_WITHOUT_BLANKS = re.compile(r"[^ \n]+")
+#: a word or a newline or closing punctuation, each where a token must end
+#: after it; else all up to the next blank
+_WITH_BLANKS = re.compile(
+    r" ?[^\W\d_]+(?=[ \n.,!?;:]|$)|\n(?= ?[^ \n])|[.,!?;:]+(?=[ \n]|$)|[ \n]*[^ \n]+|[ \n]+"
+)
+#: the same where blanks are no tokens and texts are lower-cased (U+0130 then
+#: ends in a mark, not in a letter)
+_WITHOUT_BLANKS = re.compile(r"[^\W\d_\u0130]+(?=[ \n.,!?;:]|$)|[.,!?;:]+(?=[ \n]|$)|[^ \n]+")
+
+_CLOSES, _LETTER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_CLOSES[[ord(c) for c in ".,!?;:"]] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
-#: punctuation that no token joins to a letter before it
-_CLOSING = ".,!?;:|*$%&#()\""
 #: entries of a generation of a worker's table
 MAX_ENTRIES = 250_000
 #: characters of text that are looked at together
@@ -31,25 +42,27 @@ GROUP_CHARS = 1 << 20
 
 
 class ChunkTable:
-    """``encode_parts``: parts of chunks to little-endian 32-bit ids, one
-    bytes each; ``encode_whole``: the same for one odd text; ``keep_blanks``:
+    """``encode_many``: chunks to little-endian 32-bit ids, one bytes each; ``encode_whole``: the same for one odd text; ``keep_blanks``:
     whether blanks belong to tokens; ``specials``: strings that make a text
     odd."""
 
     def __init__(
         self,
-        encode_parts: Callable[[list[str]], list[bytes]],
+        encode_many: Callable[[list[str]], list[bytes]],
         encode_whole: Callable[[str], bytes],
         keep_blanks: bool,
         specials: Iterable[str],
         max_entries: int = MAX_ENTRIES,
     ) -> None:
-        self.encode_parts, self.encode_whole = encode_parts, encode_whole
+        self.encode_many, self.encode_whole = encode_many, encode_whole
         self.cut = (_WITH_BLANKS if keep_blanks else _WITHOUT_BLANKS).findall
+        self.keep_blanks = keep_blanks
         self.specials = tuple(specials)
         self.max_entries = max_entries
         self.table: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.by_hash: dict[int, bytes] = {}
+        self.older_hash: dict[int, bytes] = {}
 
     def _odd(self, text: str) -> bool:
         return _ODD.search(text) is not None or any(s in text for s in self.specials)
@@ -76,7 +89,7 @@ class ChunkTable:
         for chunks in cut:
             if chunks:
                 missing.update(chunks)
-        missing -= known
+        missing = {c for c in missing if c not in known}
         self._learn(missing)
         look = self.table.__getitem__
         return [
@@ -86,29 +99,117 @@ class ChunkTable:
 
     def _learn(self, missing: set[str]) -> None:
         table, older = self.table, self.older
-        split: dict[str, tuple[str, ...]] = {}
-        parts: dict[str, bytes] = {}
-        for chunk in missing:
-            if chunk in older:
-                table[chunk] = older[chunk]
-                continue
-            split[chunk] = found = parts_of(chunk)
-            for part in found:
-                if part not in parts:
-                    parts[part] = table.get(part) or older.get(part) or b""
-        new = [p for p, ids in parts.items() if not ids]
-        parts.update(zip(new, self.encode_parts(new), strict=True))
-        for chunk, found in split.items():
-            table[chunk] = parts[found[0]] if len(found) == 1 else b"".join([parts[p] for p in found])
-
-
-def parts_of(chunk: str) -> tuple[str, ...]:
-    """The chunk cut where a token surely ends."""
-    lead, rest = "", chunk
-    if chunk[0] == "\n" and len(chunk) > 1 and chunk[1] != "\n" and (chunk[1] != " " or chunk[2:3] not in (" ", "\n", "")):
-        lead, rest = "\n", chunk[1:]
-    core = rest.rstrip(_CLOSING)
-    tail = rest[len(core) :]
-    if not (tail and core and core[-1].isalpha() and core[-1].lower()[-1].isalpha()):
-        core, tail = rest, ""
-    return tuple(p for p in (lead, core, tail) if p)
+        for chunk in missing & older.keys():
+            table[chunk] = older[chunk]
+        new = list(missing - older.keys())
+        table.update(zip(new, self.encode_many(new), strict=True))
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow array of texts and each text's offset in them.
+
+        Plain texts are cut and told apart by byte arithmetic on the whole
+        block (64-bit hashes of chunks); odd ones go through ``encode``."""
+        values, counts = [np.zeros(0, dtype="<u4")], [np.zeros(1, dtype=np.int64)]
+        for block in blocks(texts):
+            odd = self._odd_rows(block)
+            ids, lengths = self._plain_block(block, ~odd)
+            at = np.flatnonzero(odd)
+            if len(at):
+                raw = block.data.tobytes()
+                cut = [raw[block.offsets[i] : block.offsets[i + 1]].decode() for i in at]
+                found = [np.frombuffer(x, dtype="<u4") for x in self.encode(cut)]
+                ends = np.cumsum(lengths)
+                parts, last = [], 0
+                for i, own in zip(at.tolist(), found, strict=True):
+                    parts += [ids[last : ends[i]], own]
+                    last = ends[i]
+                    lengths[i] = len(own)
+                ids = np.concatenate([*parts, ids[last:]])
+            values.append(ids)
+            counts.append(lengths)
+        return np.concatenate(values), np.cumsum(np.concatenate(counts))
+
+    def _odd_rows(self, block: Block) -> np.ndarray:
+        """Texts with blanks or controls other than space and newline, with
+        ``<|`` (special tokens), or, where blanks count, with blanks side by
+        side or at an end."""
+        d = block.data
+        if not len(d):
+            return np.zeros(block.rows, dtype=bool)
+        bad = (d < 0x20) & (d != 0x0A)
+        one = np.append(d[1:], 0)
+        high = np.flatnonzero(d >= 0xC2)
+        lead, second = d[high], one[high]
+        third = d[np.minimum(high + 2, len(d) - 1)]
+        wide = (lead == 0xC2) & ((second == 0x85) | (second == 0xA0))
+        wide |= (lead == 0xE1) & (second == 0x9A)
+        wide |= (lead == 0xE2) & (second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF))
+        wide |= (lead == 0xE2) & (second == 0x81) & (third == 0x9F)
+        wide |= (lead == 0xE3) & (second == 0x80) & (third == 0x80)
+        bad[high[wide]] = True
+        bad |= (d == 0x3C) & (one == 0x7C)
+        if self.keep_blanks:
+            blank = (d == 0x20) | (d == 0x0A)
+            bad |= blank & np.append(blank[1:], True)
+            filled = np.flatnonzero(np.diff(block.offsets))
+            firsts, lasts = block.offsets[filled], block.offsets[filled + 1] - 1
+            bad[firsts] |= blank[firsts]
+            bad[lasts] |= blank[lasts]
+        return block.per_row(bad) > 0
+
+    def _plain_block(self, block: Block, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, row = block.words
+        mine = plain[row] if len(row) else np.zeros(0, dtype=bool)
+        starts, ends, row = starts[mine], ends[mine], row[mine]
+        lengths = np.zeros(block.rows, dtype=np.int64)
+        if not len(starts):
+            return np.zeros(0, dtype="<u4"), lengths
+        d = block.data
+        before = d[np.maximum(starts - 1, 0)]
+        kind = np.where(starts == block.offsets[row], 0, np.where(before == 0x0A, 2, 1))
+        if not self.keep_blanks:
+            kind[:] = 0
+        # closing punctuation after a plain letter is a chunk of its own
+        split = (ends - starts >= 2) & _CLOSES[d[ends - 1]] & _LETTER[d[np.maximum(ends - 2, 0)]]
+        place = np.arange(len(starts)) + np.cumsum(split) - split
+        n = len(starts) + int(split.sum())
+        s, e, k = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
+        s[place], e[place], k[place] = starts, ends - split, kind
+        tails = place[split] + 1
+        s[tails], e[tails] = ends[split] - 1, ends[split]
+        rows = np.empty(n, np.int64)
+        rows[place], rows[tails] = row, row[split]
+        keys = block.hashes(s, e) + k.astype(np.uint64)
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        found = self._ids_of(distinct.tolist(), block, s[first], e[first], k[first])
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        pool = np.frombuffer(b"".join(found), dtype="<u4")
+        places = np.cumsum(sizes) - sizes
+        each = sizes[inverse]
+        total = np.cumsum(each)
+        index = np.repeat(places[inverse] - (total - each), each) + np.arange(total[-1])
+        lengths += np.bincount(rows, weights=each, minlength=block.rows).astype(np.int64)
+        return pool[index], lengths
+
+    def _ids_of(self, keys: list[int], block: Block, s, e, kind) -> list[bytes]:
+        if len(self.by_hash) > self.max_entries:
+            self.by_hash, self.older_hash = {}, self.by_hash
+        table, older = self.by_hash, self.older_hash
+        found = [table.get(k) for k in keys]
+        gone = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in gone:
+            ids = older.get(keys[i])
+            if ids is None:
+                new.append(i)
+            else:
+                found[i] = table[keys[i]] = ids
+        if new:
+            raw = block.data.tobytes()
+            prefix = ("", " ", "\n")
+            at = np.array(new)
+            spans = zip(s[at].tolist(), e[at].tolist(), kind[at].tolist(), strict=True)
+            chunks = [prefix[c] + raw[a:b].decode() for a, b, c in spans]
+            for i, ids in zip(new, self.encode_many(chunks), strict=True):
+                found[i] = table[keys[i]] = ids
+        return found

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from starloom.llm.library_tokens import library_table, vocabulary
 from starloom.llm.store import stored
-from starloom.llm.token_files import SLICE
+from starloom.llm.token_files import SLICE, with_end
 
 WINDOW = 4096
 GROUP_PIECES = 50_000
@@ -94,24 +94,26 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW) -> DataFrame:
     """One row a piece: the encoded document and its end id, cut into windows."""
     vocab = vocabulary(docs.sparkSession, tokenizer_path)
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = library_table(vocab.value)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                rows = []
-                encoded = table.encode(batch.column(1).to_pylist())
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                    ids = memoryview(ids + end)
-                    n = len(ids) // 4
-                    for start in range(0, n, window):
-                        cut = ids[4 * start : 4 * (start + window)]
-                        rows.append((doc_id, start, len(cut) // 4, zlib.crc32(cut), n))
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                columns = [pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                values, offsets = with_end(*table.encode_array(batch.column(1)), end_id)
+                raw = memoryview(np.ascontiguousarray(values, dtype="<u4")).cast("B")
+                sizes = np.diff(offsets)
+                parts = -(-sizes // window)  # every document has its end id
+                doc = np.repeat(np.arange(len(sizes)), parts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * window
+                length = np.minimum(window, sizes[doc] - start)
+                first = (offsets[doc] + start) * 4
+                spans = zip(first.tolist(), (first + length * 4).tolist(), strict=True)
+                crc = [zlib.crc32(raw[a:b]) for a, b in spans]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, type=pa.int64()), pa.array(sizes[doc])],
+                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, PIECES)

@@ -68,7 +68,7 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "tokens")
     docs = table(spark, sf_dir, "documents")
     token_files.write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
-    return token_files.with_crc(token_files.read_token_files(spark, path))
+    return token_files.read_digests(spark, path)
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,11 +32,17 @@ STRIDE = 1000  # rows between entries of the row index
 SCHEMA = "doc_id long, place long, n_tokens long, tokens array<int>"
 
 
+def with_end(values: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets with ``end_id`` after each text."""
+    if end_id is None:
+        return values, offsets
+    return np.insert(values, offsets[1:], end_id), offsets + np.arange(len(offsets))
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
     """(doc_id, place, n_tokens, tokens) in the order of the rows; ``place``
     counts the ids before the document in its partition."""
     vocab = vocabulary(docs.sparkSession, tokenizer_path)
-    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = library_table(vocab.value)
@@ -44,13 +50,10 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFra
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                ids = [x + end for x in table.encode(batch.column(1).to_pylist())]
-                counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                offsets = np.concatenate(([0], np.cumsum(counts)))
-                values = np.frombuffer(b"".join(ids), dtype="<i4")
-                tokens = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(values))
+                values, offsets = with_end(*table.encode_array(batch.column(1)), end_id)
+                tokens = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(values.view("<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(place + offsets[:-1]), pa.array(counts), tokens],
+                    [batch.column(0), pa.array(place + offsets[:-1]), pa.array(np.diff(offsets)), tokens],
                     names=["doc_id", "place", "n_tokens", "tokens"],
                 )
                 place += int(offsets[-1])
@@ -74,15 +77,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     )
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, tokens): every document with its position in
-    the whole stream, from the files."""
+def _rows_and_bases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Stored rows with their file's part number, and the ids before each part."""
     rows = spark.read.schema(SCHEMA).orc(path)
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
     rows = rows.withColumn("part", part)
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows, sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, tokens): every document with its position in
+    the whole stream, from the files."""
+    rows, base = _rows_and_bases(spark, path)
     return rows.join(base, "part").select(
         "doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "tokens"
     )
@@ -94,18 +102,25 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(path).where(F.col("doc_id").isin(doc_ids))
 
 
-def with_crc(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the stored ids."""
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from the stored ids.  The ids are
+    reduced to their checksum where they are read, before any join."""
+    rows, base = _rows_and_bases(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("tokens")
-            values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).astype("<u4").tobytes()
-            at = np.asarray(lists.offsets) * 4
-            crc = [zlib.crc32(memoryview(values)[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            values = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
+            at = (np.asarray(lists.offsets) * 4).tolist()
+            crc = [zlib.crc32(values[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, type=pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                [*(batch.column(c) for c in ("doc_id", "place", "n_tokens", "part")), pa.array(crc, type=pa.int64())],
+                names=["doc_id", "place", "n_tokens", "part", "ids_crc32"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    digests = rows.select("doc_id", "place", "n_tokens", "part", "tokens").mapInArrow(
+        run, "doc_id long, place long, n_tokens long, part int, ids_crc32 long"
+    )
+    return digests.join(base, "part").select(
+        "doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32"
+    )
