@@ -12,8 +12,8 @@ sets are one class first, so copies cost one row each.  Classes that share a
 key are a bucket, and its pairs are not listed: each member meets the
 bucket's hub, links give components, and then only members outside the bucket's
 largest component are compared again, first with other hubs of it
-(``HUB_ROUNDS``), last with all members of other components whose size and
-signature bits allow a link.  So no pair that shares a key and is not already
+(``HUB_ROUNDS``), last with all members of other components, chunk by chunk in
+tasks that return links only.  So no pair that shares a key and is not already
 connected is left out, and a bucket of many copies of one text costs one
 comparison a member.  Components come from ``components``; all steps are
 joins and aggregates over stored tables.
@@ -31,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ from starloom.llm.text_bytes import Block, blocks, lowered, mix
 PERMUTATIONS = 96
 BAND_FUNCTIONS = 3  # functions a band; each gives two values
 HUB_ROUNDS = 2
+CHUNK = 1024  # members of a bucket that a task compares with as many others
 SIGMAS = 5.0  # allowance of the signature-bit filter, in deviations
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -189,15 +191,11 @@ def _bit_limit(percent: int) -> int:
     return int(np.ceil(values * p + SIGMAS * np.sqrt(values * (1.5 * p - p * p))))
 
 
-def _may_link(percent: int, longs: int, a: str = "a", b: str = "b") -> Column:
-    """Whether sizes and signature bits of the columns n_<side> and
-    bits_<side> allow a link."""
-    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
-    differing = sum(
-        (F.bit_count(F.col(f"bits_{a}")[i].bitwiseXOR(F.col(f"bits_{b}")[i])) for i in range(1, longs)),
-        F.bit_count(F.col(f"bits_{a}")[0].bitwiseXOR(F.col(f"bits_{b}")[0])),
-    )
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differing <= _bit_limit(percent))
+def _may_link(percent: int, longs: int) -> Column:
+    """Whether sizes and signature bits of a pair allow a link."""
+    unlike = [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(longs)]
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    return (100 * small >= percent * large) & (sum(unlike[1:], unlike[0]) <= _bit_limit(percent))
 
 
 class _Search:
@@ -271,6 +269,55 @@ class _Search:
         tops = tops.where("parts > 1").select("key", F.col("top.comp").alias("top"))
         return parts.join(tops, "key")
 
+    def _rest_links(self, left: DataFrame) -> DataFrame:
+        """Links (a, b, linked) between the components that share a bucket:
+        every member outside a bucket's largest component against all members
+        of other components.  Both sides are dealt in chunks of ``CHUNK``, a
+        task holds one chunk of each, and only links leave it (one from a
+        member to a component).  Buckets of two were compared by their hub."""
+        sizes = left.groupBy("key").agg(
+            F.count("*").alias("m"), F.sum((F.col("comp") != F.col("top")).cast("int")).alias("u")
+        )
+        sizes = sizes.where("m > 2").select("key", *(F.ceil(F.col(c) / CHUNK).cast("int").alias(f"{c}_parts") for c in "mu"))
+        rows = left.join(sizes, "key").join(self.sets, "cid")
+        spread = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+        cells = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        is_open = F.col("comp") != F.col("top")
+        every = rows.select(
+            "key", "cid", "comp", "shingles", F.lit(False).alias("open"),
+            spread("m_parts").alias("j"), F.explode(cells("u_parts")).alias("i"),
+        )
+        opened = rows.where(is_open).select(
+            "key", "cid", "comp", "shingles", F.lit(True).alias("open"),
+            F.explode(cells("m_parts")).alias("j"), spread("u_parts").alias("i"),
+        )
+        percent = self.percent
+
+        def links(group: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            side = group["open"].to_numpy()
+            if side.any() and not side.all():
+                cid, comp = group["cid"].to_numpy(), group["comp"].to_numpy()
+                sets = group["shingles"].to_numpy()
+                size = np.array([len(x) for x in sets], dtype=np.int64)
+                values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+                ends = np.cumsum(size)
+                xs, ys = np.flatnonzero(side), np.flatnonzero(~side)
+                y_codes = np.concatenate([codes[ends[y] - size[y] : ends[y]] for y in ys])
+                y_starts = np.cumsum(size[ys]) - size[ys]
+                for x in xs:
+                    mine = np.zeros(len(values), dtype=np.int64)
+                    mine[codes[ends[x] - size[x] : ends[x]]] = 1
+                    common = np.add.reduceat(mine[y_codes], y_starts)
+                    linked = 100 * common >= percent * (size[x] + size[ys] - common)
+                    hits = ys[linked & (comp[ys] != comp[x])]
+                    _, once = np.unique(comp[hits], return_index=True)
+                    found += [(min(cid[x], cid[y]), max(cid[x], cid[y]), True) for y in hits[once]]
+            return pd.DataFrame(found, columns=["a", "b", "linked"])
+
+        both = every.union(opened)
+        return both.groupBy("key", "i", "j").applyInPandas(links, "a long, b long, linked boolean").distinct()
+
     def run(self) -> DataFrame:
         """(cid, comp) of every class."""
         pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -283,25 +330,8 @@ class _Search:
             )
             again = left.where("comp <> top").join(hubs, "key").select(*pair("cid", "hub.cid"))
             self.check(self.filtered(again.distinct()))
-        left = stored(self.open_buckets(), "dedup-open")
-        x = left.where("comp <> top").select("key", F.col("cid").alias("x"), F.col("comp").alias("x_comp"))
-        y = left.selectExpr("key", "cid AS y", "comp AS y_comp", "comp <> top AS y_open")
-        x = x.join(self._attributes("x"), "x")
-        y = y.join(self._attributes("y"), "y")
-        rest = x.join(
-            y,
-            (x["key"] == y["key"])
-            & (F.col("x_comp") != F.col("y_comp"))
-            & (~F.col("y_open") | (F.col("x") < F.col("y")))
-            & _may_link(self.percent, self.longs, "x", "y"),
-        )
-        low = F.col("x") < F.col("y")
-        rest = rest.select(
-            *pair("x", "y"),
-            F.when(low, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"),
-            F.when(low, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"),
-        )
-        self.check(rest.distinct())
+        rest = self._rest_links(stored(self.open_buckets(), "dedup-open"))
+        self.checked = self.checked.union(stored(rest, "dedup-checked"))
         found = self.components().select(F.col("node").alias("cid"), F.col("component").alias("comp"))
         return self.classes.join(found, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"))
 
