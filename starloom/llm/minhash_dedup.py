@@ -369,7 +369,7 @@ def drop_near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
         F.col("fp2").alias("w_2"), "times",
     ).distinct()
     kept = stored(kept, "dedup-kept")
-    once = docs.join(kept.where("times = 1").select("w_id"), F.col("doc_id") == F.col("w_id"), "left_semi")
+    once = docs.join(kept.where("times = 1").select("w_id"), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
     # Repeated ids: told apart by their sets.
     ids = kept.where("times > 1").select("w_id").distinct()
     some = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")

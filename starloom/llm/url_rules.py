@@ -76,7 +76,7 @@ def with_rules(urls: DataFrame, rules: list[tuple[str, str, str]], max_rules: in
     return (
         urls.join(best, ["host", "path"], "left")
         .withColumns({"rule": F.col("best.rule"), "ruled": F.col("best.verdict")})
-        .drop("best")
+        .select(*[c for c in urls.columns if c not in ("rule", "ruled")], "rule", "ruled")
     )
 
 
