@@ -32,9 +32,18 @@ def is_numeric_text(c: Column) -> Column:
 
 
 def numeric_value(c: Column) -> Column:
-    """Double value of a numeric text cell, null when it is not numeric."""
+    """Double value of a numeric text cell, null when it is not numeric.
+
+    Hex cells of up to 15 digits convert at once; longer ones digit by digit,
+    since ``conv`` fails beyond 64 bits."""
     stripped = F.regexp_replace(c, WHITESPACE_EDGES, "")
-    hex_val = F.conv(F.substring(stripped, 3, 64), 16, 10).cast("double")
+    digits = F.substring(stripped, 3, 2**31 - 1)
+    long_val = F.aggregate(
+        F.filter(F.split(digits, ""), lambda d: d != ""),
+        F.lit(0.0),
+        lambda total, d: total * 16 + F.conv(d, 16, 10).cast("double"),
+    )
+    hex_val = F.when(F.length(digits) <= 15, F.conv(digits, 16, 10).cast("double")).otherwise(long_val)
     return (
         F.when(c.rlike(HEX_PATTERN), hex_val)
         .when(c.rlike(DECIMAL_PATTERN), stripped.try_cast("double"))

@@ -181,7 +181,7 @@ def as_of_table(
     """M6: one ``Current Day`` row per distinct date plus ``months`` rows
     ``Rolling <months> Months`` with the date shifted back 0..months-1
     months (month-end clamped, like ``add_months``)."""
-    dates = df.select(F.to_date(F.col(date_col)).alias("_d")).where(F.col("_d").isNotNull()).distinct()
+    dates = df.select(F.col(date_col).try_cast("date").alias("_d")).where(F.col("_d").isNotNull()).distinct()
     current = dates.select(
         F.col("_d").alias(as_of), F.col("_d").alias(date_col), F.lit(CURRENT_DAY_LABEL).alias(period)
     )
@@ -208,7 +208,7 @@ def as_of_aggregate(
     hot date with many rows; shifted dates missing from the data drop out
     (inner join).
     """
-    per_date = fact.groupBy(F.to_date(F.col(date_col)).alias(date_col)).agg(F.sum(measure).alias("_m"))
+    per_date = fact.groupBy(F.col(date_col).try_cast("date").alias(date_col)).agg(F.sum(measure).alias("_m"))
     joined = as_of.join(per_date, date_col)
     return joined.groupBy(as_of_col, period).agg(F.sum("_m").alias(out))
 

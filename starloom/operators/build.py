@@ -130,7 +130,7 @@ def date_bridge(keyed_facts: dict[str, DataFrame], dates: Sequence[tuple[str, st
             df.select(
                 F.lit(fact).alias(BRIDGE_SOURCE),
                 F.col(f"`{k}`").alias(BRIDGE_KEY),
-                F.to_date(F.col(f"`{field}`")).alias(CANONICAL_DATE),
+                F.col(f"`{field}`").try_cast("date").alias(CANONICAL_DATE),
                 F.lit(field).alias(DATE_TYPE),
             ).where(F.col(BRIDGE_KEY).isNotNull())
         )
@@ -145,7 +145,7 @@ def master_calendar(dates: DataFrame, date_col: str = CANONICAL_DATE) -> DataFra
     """M4: one row per distinct date: Year, Quarter (``Q1``..``Q4``), Month,
     MonthName, MonthYear (``MMM-yyyy``), Week (Sunday weeks restarting on
     Jan 1), Day, WeekDay (name) and WeekDayNum (Sunday = 0)."""
-    d = dates.select(F.to_date(F.col(f"`{date_col}`")).alias(date_col)).where(F.col(date_col).isNotNull()).distinct()
+    d = dates.select(F.col(f"`{date_col}`").try_cast("date").alias(date_col)).where(F.col(date_col).isNotNull()).distinct()
     c = F.col(date_col)
     return d.select(
         c,

@@ -25,11 +25,14 @@ MAX_POINTS = 2000
 
 def associate(tables: Sequence[DataFrame], how: str = "left") -> DataFrame:
     """Implicit association: each next table joins on every column name
-    it shares with what is joined so far."""
+    it shares with what is joined so far.  A table that shares none is an
+    island; it has no place in the rows and is refused."""
     out = tables[0]
     for t in tables[1:]:
         on = [c for c in t.columns if c in out.columns]
-        out = out.join(t, on, how) if on else out.unionByName(t, allowMissingColumns=True)
+        if not on:
+            raise ValueError(f"no column links {t.columns} to {out.columns}")
+        out = out.join(t, on, how)
     return out
 
 
@@ -86,16 +89,17 @@ def bar(
     dims: Sequence[str],
     measures: dict[str, Column],
     order_by: str = "dims",
-    page: int = PAGE_ROWS,
+    page: int | None = None,
 ) -> DataFrame:
     """One dimension with n measures, or two dimensions with one
-    measure; null dimension values suppressed, zero measures kept; first
-    ``page`` rows in sort order (T2, T4)."""
+    measure; null dimension values suppressed, zero measures kept; sorted
+    (T4), and only the first ``page`` rows if a page is asked for (T2)."""
     if not ((len(dims) == 1 and len(measures) >= 1) or (len(dims) == 2 and len(measures) == 1)):
         raise ValueError("bar: (1 dimension, n measures) or (2 dimensions, 1 measure)")
     _check_page(dims, measures)
     g = df.dropna(subset=list(dims)).groupBy(*dims).agg(*[e.alias(n) for n, e in measures.items()])
-    return g.orderBy(*sort_spec(dims, list(measures), order_by)).limit(page)
+    out = g.orderBy(*sort_spec(dims, list(measures), order_by))
+    return out if page is None else out.limit(page)
 
 
 def line(
@@ -103,11 +107,11 @@ def line(
     time: str,
     measures: dict[str, Column],
     series: str | None = None,
-    max_lines: int = MAX_LINES,
-    max_points: int = MAX_POINTS,
+    max_lines: int | None = None,
+    max_points: int | None = None,
 ) -> DataFrame:
     """Measures over time (optionally per series); gaps stay gaps (no
-    zero fill); at most ``max_lines`` series -- the ones with the largest
+    zero fill); if asked, at most ``max_lines`` series -- the ones with the largest
     total of the first measure, name breaking ties -- and ``max_points``
     points per series in time order (T3)."""
     dims = [time] + ([series] if series else [])
@@ -115,11 +119,14 @@ def line(
     g = df.dropna(subset=dims).groupBy(*dims).agg(*[e.alias(n) for n, e in measures.items()])
     first = next(iter(measures))
     if series:
-        g = g.join(top_series(g, series, first, max_lines), series, "left_semi")
-        wp = Window.partitionBy(series).orderBy(time)
-        g = g.withColumn("_p", F.row_number().over(wp)).where(F.col("_p") <= max_points).drop("_p")
+        if max_lines is not None:
+            g = g.join(top_series(g, series, first, max_lines), series, "left_semi")
+        if max_points is not None:
+            wp = Window.partitionBy(series).orderBy(time)
+            g = g.withColumn("_p", F.row_number().over(wp)).where(F.col("_p") <= max_points).drop("_p")
         return g
-    return g.orderBy(time).limit(max_points)
+    out = g.orderBy(time)
+    return out if max_points is None else out.limit(max_points)
 
 
 def table_view(df: DataFrame, dims: Sequence[str], measures: dict[str, Column], order_by: str = "dims") -> DataFrame:

@@ -97,9 +97,11 @@ def grain(fields: DataFrame) -> DataFrame:
     )
 
 
-def table_roles(fields: DataFrame) -> DataFrame:
-    """FACT when (measures > 0 and foreign keys > 0) or (rows > 50,000
-    and foreign keys >= 2), else DIMENSION; with the grain columns."""
+def table_roles(fields: DataFrame, fact_rows: int | None = FACT_ROWS) -> DataFrame:
+    """FACT when (measures > 0 and foreign keys > 0) or (rows >
+    ``fact_rows`` and foreign keys >= 2), else DIMENSION; with the grain
+    columns.  ``fact_rows=None`` leaves the row count out of the rule."""
+    many_rows = F.lit(False) if fact_rows is None else F.col("rowCount") > fact_rows
     is_fk = (F.col("type") == "IDENTIFIER") & (F.col("uniquenessRatio") < PRIMARY_KEY_UNIQUENESS)
     counts = fields.groupBy("tidx", "table").agg(
         F.max("rowCount").alias("rowCount"),
@@ -109,7 +111,7 @@ def table_roles(fields: DataFrame) -> DataFrame:
     )
     role = F.when(
         ((F.col("measureCount") > 0) & (F.col("foreignKeyCount") > 0))
-        | ((F.col("rowCount") > FACT_ROWS) & (F.col("foreignKeyCount") >= 2)),
+        | (many_rows & (F.col("foreignKeyCount") >= 2)),
         F.lit("FACT"),
     ).otherwise(F.lit("DIMENSION"))
     return counts.withColumn("role", role).join(grain(fields), ["tidx", "table"])

@@ -59,7 +59,7 @@ def association_graph(fields: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, component)``: min-label propagation until no label changes.
 
     ``nodes(node)``, ``edges(a, b)`` undirected.  Each round is a join and a
@@ -70,7 +70,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))
     )
     labels = nodes.select(F.col("node"), F.col("node").alias("label")).distinct()
-    for _ in range(max_rounds):
+    while True:
         msgs = und.join(labels, und.src == labels.node).select(F.col("dst").alias("node"), "label")
         new = labels.unionByName(msgs).groupBy("node").agg(F.min("label").alias("label")).transform(materialize)
         changed = new.join(labels.withColumnRenamed("label", "_old"), "node").where(F.col("label") != F.col("_old"))

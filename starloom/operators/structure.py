@@ -50,9 +50,7 @@ def fact_similarity(fields: DataFrame, roles: DataFrame) -> DataFrame:
     )
 
 
-def fact_groups(
-    fields: DataFrame, roles: DataFrame, threshold: float = SIMILARITY, max_rounds: int = 100
-) -> DataFrame:
+def fact_groups(fields: DataFrame, roles: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Groups of similar facts, ``(group, table, member_pos)``.
 
     Greedy as specified: in table order, a fact not yet taken seeds a group
@@ -66,7 +64,7 @@ def fact_groups(
     sims = fact_similarity(fields, roles).where(F.col("similarity") > threshold).select("ti", "tj").transform(materialize)
     facts = roles.where(F.col("role") == "FACT").select("tidx", "table").transform(materialize)
     seeds = facts.select("tidx")
-    for _ in range(max_rounds):
+    while True:
         taken = sims.join(seeds.withColumnRenamed("tidx", "ti"), "ti").select(F.col("tj").alias("tidx"))
         new = facts.select("tidx").join(taken, "tidx", "left_anti").transform(materialize)
         changed = new.join(seeds, "tidx", "left_anti").unionByName(seeds.join(new, "tidx", "left_anti"))

@@ -722,7 +722,9 @@ def q_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t["customer"].select(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nationkey"))
     n = t["nation"].select(F.col("n_nationkey").alias("nationkey"), "n_name")
     joined = ch.associate([o, c, n])
-    res = ch.line(joined, "month", {"total": F.sum("price")}, series="n_name")
+    res = ch.line(
+        joined, "month", {"total": F.sum("price")}, series="n_name", max_lines=ch.MAX_LINES, max_points=ch.MAX_POINTS
+    )
     return res.withColumn("total", F.col("total").cast("double"))
 
 

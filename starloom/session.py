@@ -27,19 +27,17 @@ def get_spark(
 ) -> SparkSession:
     """Build (or reuse) a session with AQE, skew-join handling and UTC time.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]`` only when no master is
-    configured in the environment, so the same call works under spark-submit.
+    ``master`` is set only if given; otherwise the launcher's choice holds
+    (spark-submit's ``--master``, else all local cores).
     """
     builder = SparkSession.builder.appName(app)
-    if master is None and "SPARK_MASTER" not in os.environ and not os.environ.get("SPARK_HOME_CLUSTER"):
-        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
     if master:
         builder = builder.master(master)
     conf = dict(_BASE_CONF)
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
-        conf.setdefault("spark.driver.memory", "16g")
+        conf["spark.driver.memory"] = "16g"
     conf.update(extra_conf or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -64,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="starloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,24 +16,13 @@ TABLE_EXTENSIONS = (".csv", ".txt", ".parquet")
 
 
 def common_prefix(names: Sequence[str]) -> str:
-    """Shared prefix of the file names, cut after the last separator in it.
-
-    One file (or none) has no prefix.
-    """
-    if not names or len(names) <= 1:
+    """Text that all file names start with, up to its last separator if it
+    has one.  One file (or none) has no prefix."""
+    if len(names) < 2:
         return ""
-    ordered = sorted(names)
-    first, last = ordered[0], ordered[-1]
-    i = 0
-    while i < len(first) and i < len(last) and first[i] == last[i]:
-        i += 1
-    prefix = first[:i]
-    cut = -1
-    for sep in PREFIX_SEPARATORS:
-        j = prefix.rfind(sep)
-        if j != -1:
-            cut = max(cut, j + len(sep) - 1)
-    return prefix[: cut + 1] if cut != -1 else prefix
+    shared = os.path.commonprefix(list(names))
+    ends = [m.end() for sep in PREFIX_SEPARATORS for m in re.finditer(re.escape(sep), shared)]
+    return shared[: max(ends, default=len(shared))]
 
 
 def table_names(files: Sequence[str]) -> dict[str, str]:
