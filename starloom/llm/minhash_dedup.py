@@ -12,7 +12,8 @@ sets are one class first, so copies cost one row each.  Classes that share a
 key are a bucket, and its pairs are not listed: each member meets the
 bucket's hub, links give components, and then only members outside the bucket's
 largest component are compared again, first with other hubs of it
-(``HUB_ROUNDS``), last with all members of other components, chunk by chunk in
+(``HUB_ROUNDS``; buckets of one component are done, and new links merge the
+components so far), last with all members of other components, chunk by chunk in
 tasks that return links only.  So no pair that shares a key and is not already
 connected is left out, and a bucket of many copies of one text costs one
 comparison a member.  Components come from ``components``; all steps are
@@ -220,6 +221,7 @@ class _Search:
         self.members = stored(keys.join(buckets, "key"), "dedup-members")
         self.sets = stored(self._candidate_sets(docs, words), "dedup-sets")
         self.checked: DataFrame | None = None
+        self.labels: DataFrame | None = None  # (node, component) of the linked classes
 
     def _candidate_sets(self, docs: DataFrame, words: int) -> DataFrame:
         """(cid, shingles) of the classes that share a key with another."""
@@ -252,22 +254,37 @@ class _Search:
         done = two.select("a", "b", "n_a", "n_b", common.alias("common")).select("a", "b", linked.alias("linked"))
         done = stored(done, "dedup-checked")
         self.checked = done if self.checked is None else self.checked.union(done)
-
-    def components(self) -> DataFrame:
-        links = self.checked.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        return stored(connected_components(links), "dedup-components")
+        self.merge(done)
+
+    def merge(self, links: DataFrame) -> None:
+        """Take new links (a, b, linked) into the components: only links
+        between components that differ are edges of the next search."""
+        links = links.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        if self.labels is None:
+            self.labels = stored(connected_components(links), "dedup-components")
+            return
+        for end in ("src", "dst"):
+            own = self.labels.select(F.col("node").alias(end), F.col("component").alias("_to"))
+            links = links.join(own, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        merged = stored(connected_components(links.select("src", "dst")), "dedup-merged")
+        to = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        old = self.labels.join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+        single = merged.join(self.labels.select("node"), "node", "left_anti")
+        self.labels = stored(old.union(single), "dedup-components")
 
     def open_buckets(self) -> DataFrame:
         """Members (key, cid, comp, top) of the buckets that hold several
-        components; ``top`` is the bucket's largest component."""
+        components; ``top`` is the bucket's largest component.  The others
+        need no further look."""
         parts = self.members.select("key", "cid").join(
-            self.components().select(F.col("node").alias("cid"), "component"), "cid", "left"
+            self.labels.select(F.col("node").alias("cid"), "component"), "cid", "left"
         )
         parts = stored(parts.select("key", "cid", F.coalesce("component", "cid").alias("comp")), "dedup-parts")
         sizes = parts.groupBy("key", "comp").agg(F.count("*").alias("m"))
         tops = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("parts"))
         tops = tops.where("parts > 1").select("key", F.col("top.comp").alias("top"))
-        return parts.join(tops, "key")
+        self.members = stored(parts.join(tops, "key"), "dedup-open")
+        return self.members
 
     def _rest_links(self, left: DataFrame) -> DataFrame:
         """Links (a, b, linked) between the components that share a bucket:
@@ -324,15 +341,15 @@ class _Search:
         first = self.members.where("cid <> hub").select(*pair("cid", "hub")).distinct()
         self.check(self.filtered(first))
         for turn in range(HUB_ROUNDS):
-            left = stored(self.open_buckets(), "dedup-open")
+            left = self.open_buckets()
             hubs = left.where("comp = top").groupBy("key").agg(
                 F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid")).alias("hub")
             )
             again = left.where("comp <> top").join(hubs, "key").select(*pair("cid", "hub.cid"))
             self.check(self.filtered(again.distinct()))
-        rest = self._rest_links(stored(self.open_buckets(), "dedup-open"))
-        self.checked = self.checked.union(stored(rest, "dedup-checked"))
-        found = self.components().select(F.col("node").alias("cid"), F.col("component").alias("comp"))
+        rest = self._rest_links(self.open_buckets())
+        self.merge(stored(rest, "dedup-checked"))
+        found = self.labels.select(F.col("node").alias("cid"), F.col("component").alias("comp"))
         return self.classes.join(found, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"))
 
 
