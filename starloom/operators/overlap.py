@@ -1,17 +1,15 @@
 """Relationship discovery by distinct-value overlap (SURVEY 2.3 J4, 2.7 U2/U3,
 2.8 D2-D5).
 
-Data-scale work is one join per candidate pair *set*, not per pair:
-
-* ``values``: distinct ``(table, field, value)`` rows (from the profiler's
-  single value aggregation);
-* each candidate pair is probed from its smaller side: the smaller side's
-  values are tagged with the pair (a join against the pair catalog), then
-  looked up in the larger side's values on ``(table, field, value)`` -- a key
-  that is unique on the looked-up side, so no hot key exists there;
-* the pair-catalog join is salted (``value`` hash into ``salts`` buckets,
-  the catalog replicated per bucket), so one huge column never lands in a
-  single task.
+Data-scale work is one shuffle for all pairs, on ``value``:
+
+* ``values``: distinct ``(tidx, pos, value)`` rows (from the profiler's single
+  value aggregation), filtered to columns that some candidate pair names;
+* grouped by value to the set of columns that hold it.  A value is in a column
+  once, so a group has at most one row per column of the model, whatever the
+  data: there is no hot key;
+* equal column sets are counted (map-side first), and only these counts meet
+  the pair catalog.
 
 Catalog-scale work (pair candidates) is a self-join of the field catalog,
 one row per column of the model; it grows with the schema, not the data.
@@ -19,7 +17,9 @@ one row per column of the model; it grows with the schema, not the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.names import ID_LIKE_PATTERN, squash_name
@@ -28,6 +28,11 @@ from starloom.functions.values import round_ratio
 PAIR_COLS = ["tableA", "fieldA", "tableB", "fieldB"]
 
 
+def column_id(tidx: str, pos: str) -> Column:
+    """One long for a column of the model: table index and position."""
+    return (F.col(tidx).cast("long") * 1_000_000 + F.col(pos)).cast("long")
+
+
 def candidate_pairs(fields: DataFrame) -> DataFrame:
     """Pairs of non-empty columns worth comparing.
 
@@ -60,43 +65,36 @@ def candidate_pairs(fields: DataFrame) -> DataFrame:
         F.col("field_b").alias("fieldB"),
         F.col("distinctCount_a").alias("sizeA"),
         F.col("distinctCount_b").alias("sizeB"),
+        column_id("tidx_a", "pos_a").alias("colA"),
+        column_id("tidx_b", "pos_b").alias("colB"),
     )
 
 
-def intersections(values: DataFrame, pairs: DataFrame, salts: int = 16) -> DataFrame:
+def intersections(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """``|values(A) ∩ values(B)|`` for every pair (pairs with an
     empty intersection are absent).
 
-    ``values``: ``(table, field, value)`` distinct; ``pairs``: ``tableA,
-    fieldA, tableB, fieldB, sizeA, sizeB``.
+    ``values``: ``(tidx, pos, value)`` distinct; ``pairs``: the pair columns
+    with ``colA, colB`` (one row per pair of columns, schema-sized).
     """
-    small_a = F.col("sizeA") <= F.col("sizeB")
-    p = pairs.select(
-        *PAIR_COLS,
-        F.when(small_a, F.col("tableA")).otherwise(F.col("tableB")).alias("table"),
-        F.when(small_a, F.col("fieldA")).otherwise(F.col("fieldB")).alias("field"),
-        F.when(small_a, F.col("tableB")).otherwise(F.col("tableA")).alias("_lt"),
-        F.when(small_a, F.col("fieldB")).otherwise(F.col("fieldA")).alias("_lf"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-    )
-    probe = values.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")).join(
-        p, ["table", "field", "_salt"]
-    )
-    probe = probe.select(*PAIR_COLS, F.col("_lt").alias("table"), F.col("_lf").alias("field"), "value")
-    # only the columns that are the larger side of some pair are looked up
-    larger = p.select(F.col("_lt").alias("table"), F.col("_lf").alias("field")).distinct()
-    hits = probe.join(values.join(larger, ["table", "field"], "left_semi"), ["table", "field", "value"])
-    return hits.groupBy(*PAIR_COLS).agg(F.count(F.lit(1)).alias("intersectionCount"))
+    # the columns that take part: one row per column of the model
+    used = pairs.select(F.explode(F.array("colA", "colB")).alias("col")).distinct().collect()
+    cell = values.select(column_id("tidx", "pos").alias("col"), "value").where(F.col("col").isin([r["col"] for r in used]))
+    held = cell.groupBy("value").agg(F.array_sort(F.collect_set("col")).alias("cols"))
+    sets = held.where(F.size("cols") > 1).groupBy("cols").agg(F.count(F.lit(1)).alias("n"))
+    hits = sets.select("cols", "n", F.explode("cols").alias("colA")).join(pairs.select(*PAIR_COLS, "colA", "colB"), "colA")
+    hits = hits.where(F.array_contains("cols", F.col("colB")))
+    return hits.groupBy(*PAIR_COLS).agg(F.sum("n").alias("intersectionCount"))
 
 
-def value_overlap(values: DataFrame, pairs: DataFrame, salts: int = 16) -> DataFrame:
+def value_overlap(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """D3: pairs sharing values with ``inter/|A| > 0.1`` or ``inter/|B| > 0.1``.
 
     Columns: ``tableA, fieldA, tableB, fieldB, sizeA, sizeB,
     intersectionCount, overlapRatioA, overlapRatioB`` (ratios half-up to 4
     decimals).
     """
-    return overlap_from(intersections(values, pairs, salts).join(pairs, PAIR_COLS))
+    return overlap_from(intersections(values, pairs).join(pairs, PAIR_COLS))
 
 
 def overlap_from(inter: DataFrame) -> DataFrame:
@@ -128,11 +126,11 @@ def subset_links(inter: DataFrame) -> DataFrame:
 
 
 def alias_overlap(
-    values: DataFrame,
+    values: DataFrame | None,
     fields: DataFrame,
     existing: DataFrame,
-    salts: int = 16,
     known: DataFrame | None = None,
+    count: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Pairs the name gate missed but that share a semantic alias.
 
@@ -140,8 +138,10 @@ def alias_overlap(
     IDENTIFIER/ATTRIBUTE fields with an alias take part, from different
     tables.  Pairs already in ``existing`` (either orientation) are skipped.
     Any shared value suffices; ratios are not rounded; ``discoveredBy`` is
-    ``AI_INTENT``.
+    ``AI_INTENT``.  ``known`` has intersections that were already counted; the
+    others are counted by ``count(pairs)``, by default :func:`intersections`.
     """
+    count = count or (lambda pairs: intersections(values, pairs))
     f = fields.where(F.col("type").isin("IDENTIFIER", "ATTRIBUTE") & F.col("alias").isNotNull()).select(
         "tidx", "table", "pos", "field", "alias", "distinctCount"
     )
@@ -157,6 +157,8 @@ def alias_overlap(
         F.col("field_b").alias("fieldB"),
         F.col("distinctCount_a").alias("sizeA"),
         F.col("distinctCount_b").alias("sizeB"),
+        column_id("tidx_a", "pos_a").alias("colA"),
+        column_id("tidx_b", "pos_b").alias("colB"),
     )
     ex = existing.select(*PAIR_COLS)
     ex = ex.unionByName(ex.select(
@@ -179,14 +181,9 @@ def alias_overlap(
         ))
         looked_up = pairs.join(k, PAIR_COLS)
         fresh = pairs.join(seen, PAIR_COLS, "left_anti")
-        # A catalog-sized check: when every alias pair is already counted,
-        # the value join is not planned at all.
-        if fresh.isEmpty():
-            inter = looked_up
-        else:
-            inter = looked_up.unionByName(intersections(values, fresh, salts).join(fresh, PAIR_COLS))
+        inter = looked_up.unionByName(count(fresh).join(fresh, PAIR_COLS))
     else:
-        inter = intersections(values, pairs, salts).join(pairs, PAIR_COLS)
+        inter = count(pairs).join(pairs, PAIR_COLS)
     i = F.col("intersectionCount")
     return inter.where(i > 0).select(
         *PAIR_COLS,

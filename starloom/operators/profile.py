@@ -29,8 +29,7 @@ from starloom.functions.values import (
     numeric_value,
     round_ratio,
 )
-
-SAMPLE_BUCKETS = 64
+from starloom.session import stage
 
 
 def catalog(model: dict[str, DataFrame]) -> DataFrame:
@@ -48,16 +47,6 @@ def catalog(model: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer partitions than the cluster has
-    cores (one big file, one row group), so the wide explode that follows
-    runs on every core.  A scan of many files is left alone."""
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism)
-    return df
-
-
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -76,12 +65,17 @@ def _cell(pos: int, c, dtype: T.DataType):
     return F.struct(F.lit(pos).alias("pos"), txt.alias("_s"), lng.alias("_l"), dbl.alias("_d"))
 
 
-def _typed_cells(model: dict[str, DataFrame]) -> DataFrame:
+def _typed_cells(model: dict[str, DataFrame], scan_columns: int | None = None) -> DataFrame:
+    """One row per cell.  With ``scan_columns`` a table is read in slices of
+    that many columns, each a scan of its own: columnar files are still read
+    once, and a row group is worked on by several tasks without a shuffle.
+    Row formats and derived tables are better read whole (None)."""
     parts = []
     for ti, df in enumerate(model.values()):
-        df = spread(df)
-        cells = F.array(*[_cell(pos, df[f"`{f.name}`"], f.dataType) for pos, f in enumerate(df.schema.fields)])
-        parts.append(df.select(F.lit(ti).alias("tidx"), F.inline(cells)))
+        cells = [_cell(pos, df[f"`{f.name}`"], f.dataType) for pos, f in enumerate(df.schema.fields)]
+        step = scan_columns or max(1, len(cells))
+        for lo in range(0, len(cells), step):
+            parts.append(df.select(F.lit(ti).alias("tidx"), F.inline(F.array(*cells[lo : lo + step]))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -97,22 +91,18 @@ def long_values(model: dict[str, DataFrame]) -> DataFrame:
     return _typed_cells(model).select("tidx", "pos", _as_text().alias("value"))
 
 
-def value_counts(model: dict[str, DataFrame]) -> DataFrame:
+def value_counts(model: dict[str, DataFrame], scan_columns: int | None = None) -> DataFrame:
     """``(tidx, pos, value, n)``: multiplicity of every text value per column.
 
     Grouped on the typed slots (cheap keys, no per-cell text conversion),
     then rendered as text once per distinct value."""
-    g = _typed_cells(model).groupBy("tidx", "pos", "_s", "_l", "_d").agg(F.count(F.lit(1)).alias("n"))
+    g = _typed_cells(model, scan_columns).groupBy("tidx", "pos", "_s", "_l", "_d").agg(F.count(F.lit(1)).alias("n"))
     return g.select("tidx", "pos", _as_text().alias("value"), "n")
 
 
-def distinct_values(counts: DataFrame, cat: DataFrame) -> DataFrame:
-    """``(table, field, value)``: the distinct non-missing values per column."""
-    return (
-        counts.where(~is_missing(F.col("value")))
-        .join(cat.select("tidx", "pos", "table", "field"), ["tidx", "pos"])
-        .select("table", "field", "value")
-    )
+def distinct_values(counts: DataFrame) -> DataFrame:
+    """``(tidx, pos, value)``: the distinct non-missing values per column."""
+    return counts.where(~is_missing(F.col("value"))).select("tidx", "pos", "value")
 
 
 def _stat_aggs() -> list:
@@ -138,21 +128,17 @@ def _field_stats(counts: DataFrame, k: int = 0) -> DataFrame:
     """Per-column statistics from the distinct ``(value, n)`` rows, and with
     ``k > 0`` the ``k`` smallest present values as ``sampleValues``.
 
-    Samples stay bounded without a second pass over the values: a window
-    ranks values inside (column, hash bucket) groups, and only ranks <= k
-    are collected (at most ``k * SAMPLE_BUCKETS`` per column) by the same
-    aggregate that computes the statistics.
+    Statistics are combined map-side, so a column sends one row per task.
+    Samples are ranked with a limit that Spark applies inside each task
+    before the shuffle, so a column sends at most ``k`` values per task.
     """
+    stats = counts.groupBy("tidx", "pos").agg(*_stat_aggs())
     if k <= 0:
-        return counts.groupBy("tidx", "pos").agg(*_stat_aggs())
-    present = ~is_missing(F.col("value"))
-    ranked = counts.withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(SAMPLE_BUCKETS)))
-    w = Window.partitionBy("tidx", "pos", "_b").orderBy(present.desc(), F.col("value").asc())
-    ranked = ranked.withColumn("_r", F.row_number().over(w))
-    g = ranked.groupBy("tidx", "pos").agg(
-        *_stat_aggs(), F.collect_list(F.when(present & (F.col("_r") <= k), F.col("value"))).alias("_samp")
-    )
-    return g.withColumn("sampleValues", F.slice(F.array_sort("_samp"), 1, k)).drop("_samp")
+        return stats
+    smallest = F.row_number().over(Window.partitionBy("tidx", "pos").orderBy("value"))
+    ranked = distinct_values(counts).withColumn("_r", smallest).where(F.col("_r") <= k)
+    samples = ranked.groupBy("tidx", "pos").agg(F.array_sort(F.collect_list("value")).alias("sampleValues"))
+    return stats.join(samples, ["tidx", "pos"], "left")
 
 
 def _finish(stats: DataFrame, cat: DataFrame) -> DataFrame:
@@ -192,6 +178,7 @@ def profile(
     approx: bool = False,
     samples: int = 3,
     counts: DataFrame | None = None,
+    scan_columns: int | None = None,
 ) -> DataFrame:
     """D1 (A2-A7): the field profile of every column of every table.
 
@@ -203,12 +190,16 @@ def profile(
     Null = missing or empty text; blank = whitespace only (not null);
     distinct counts are exact (no cap) unless ``approx``.  Pass ``counts``
     (from :func:`value_counts`) to share one value aggregation with the
-    overlap step.
+    overlap step; otherwise it is written to the checkpoint folder once if
+    samples are asked for.
     """
     cat = catalog(model)
     if approx:
         return _finish(_wide_stats(model), cat)
-    counts = counts if counts is not None else value_counts(model)
+    if counts is None:
+        counts = value_counts(model, scan_columns)
+        if samples > 0:  # read by the statistics and by the samples
+            counts = stage(counts, "values")
     return _finish(_field_stats(counts, samples), cat)
 
 

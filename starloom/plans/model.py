@@ -1,7 +1,7 @@
 """Model discovery: profile -> classify -> overlap -> score -> names -> roles.
 
 ``discover`` chains the operators lazily; the value aggregation that feeds
-both the profile and the overlap is persisted once because two branches
+both the profile and the overlap is written once because two branches
 read it.
 """
 
@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.session import materialize
+from starloom.session import materialize, stage
 
 from starloom.operators import classify as cl
 from starloom.operators import links as lk
@@ -25,8 +24,8 @@ class Discovery:
     """The discovered model, stage by stage, each computed on first use.
 
     The single value aggregation feeds both the profile and the overlap, so
-    it is persisted (memory and disk; lost partitions are recomputed from
-    lineage).  Every catalog-sized result -- profile, fields, pairs,
+    it is written once to the shared checkpoint folder (nothing stays cached
+    after a query).  Every catalog-sized result -- profile, fields, pairs,
     intersections, alias pairs, links, roles -- is checkpointed once when
     first asked for, so later driver-side steps (strategy, naming) never
     re-run the data-scale work, and a query pays only for the stages it
@@ -34,11 +33,11 @@ class Discovery:
     """
 
     def __init__(self, tables: dict[str, DataFrame], overrides: DataFrame | None = None,
-                 approx: bool = False, persist: bool = True):
+                 approx: bool = False, scan_columns: int | None = None):
         self.tables = tables
         self.overrides = overrides
         self.approx = approx
-        self._persist = persist
+        self.scan_columns = scan_columns
         self._cache: dict[str, DataFrame] = {}
 
     def _get(self, key: str, make) -> DataFrame:
@@ -48,14 +47,11 @@ class Discovery:
 
     @property
     def counts(self) -> DataFrame:
-        def make():
-            c = pr.value_counts(self.tables)
-            return c.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else c
-        return self._get("counts", make)
+        return self._get("counts", lambda: stage(pr.value_counts(self.tables, self.scan_columns), "values"))
 
     @property
     def values(self) -> DataFrame:
-        return self._get("values", lambda: pr.distinct_values(self.counts, pr.catalog(self.tables)))
+        return self._get("values", lambda: pr.distinct_values(self.counts))
 
     @property
     def profile(self) -> DataFrame:
@@ -70,15 +66,19 @@ class Discovery:
     def pairs(self) -> DataFrame:
         return self._get("pairs", lambda: ov.candidate_pairs(self.profile).transform(materialize))
 
+    @property
+    def sketches(self) -> DataFrame:
+        return self._get("sketches", lambda: ov.column_sketches(self.tables).transform(materialize))
+
+    def _count(self, pairs: DataFrame) -> DataFrame:
+        """Intersections of any pairs: from sketches under ``approx``."""
+        if self.approx:
+            return ov.approx_intersections(self.sketches, pairs)
+        return ov.intersections(self.values, pairs)
+
     @property
     def intersections(self) -> DataFrame:
-        def make():
-            if self.approx:
-                inter = ov.approx_intersections(ov.column_sketches(self.tables), self.pairs)
-            else:
-                inter = ov.intersections(self.values, self.pairs)
-            return inter.join(self.pairs, ov.PAIR_COLS).transform(materialize)
-        return self._get("inter", make)
+        return self._get("inter", lambda: self._count(self.pairs).join(self.pairs, ov.PAIR_COLS).transform(materialize))
 
     @property
     def overlap(self) -> DataFrame:
@@ -91,7 +91,7 @@ class Discovery:
     @property
     def alias_pairs(self) -> DataFrame:
         return self._get("alias", lambda: ov.alias_overlap(
-            self.values, self.fields, self.overlap, known=self.intersections).transform(materialize))
+            None, self.fields, self.overlap, known=self.intersections, count=self._count).transform(materialize))
 
     @property
     def links(self) -> DataFrame:
@@ -109,11 +109,6 @@ class Discovery:
         """D20 names for every field."""
         return self._get("canonical", lambda: lk.normalize_names(self.fields, self.links).transform(materialize))
 
-    def release(self) -> None:
-        """Drop the persisted value aggregation."""
-        if "counts" in self._cache and self._persist:
-            self._cache["counts"].unpersist()
-
 
 def overrides_frame(spark: SparkSession, rows: list[tuple[str, str, str | None, str | None]]) -> DataFrame:
     """``(table, field, type, alias)`` overrides of the classification."""
@@ -124,11 +119,11 @@ def discover(
     tables: dict[str, DataFrame],
     overrides: DataFrame | None = None,
     approx: bool = False,
-    persist: bool = True,
+    scan_columns: int | None = None,
 ) -> Discovery:
     """Profile, classify, overlap and score a model (stages computed on
     first use, see :class:`Discovery`)."""
-    return Discovery(tables, overrides, approx=approx, persist=persist)
+    return Discovery(tables, overrides, approx=approx, scan_columns=scan_columns)
 
 
 def rename_canonical(df: DataFrame, mapping: dict[str, str]) -> DataFrame:

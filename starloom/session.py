@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -80,3 +80,13 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df, tag: str):
+    """Write ``df`` as Parquet under the checkpoint folder and return a reader
+    of it: for rows that several branches read.  Unlike cached rows they
+    survive a lost executor, and later queries do not pick them up."""
+    base = str(ensure_checkpoint_dir(df.sparkSession)).rstrip("/")
+    path = f"{base}/{tag}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
