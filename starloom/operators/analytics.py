@@ -166,8 +166,12 @@ def market_basket(
         grid.alias("_ci"),
         chunk.alias("_cj"),
     )
-    pairs = left.join(right, [id_col, "_ci", "_cj"]).where(F.col(item) != F.col(co_item))
-    return pairs.groupBy(item, co_item).agg(F.sum(F.col("_n") * F.col("_n2")).alias(out))
+    pairs = left.join(right, [id_col, "_ci", "_cj"]).where(F.col(item) < F.col(co_item))
+    counts = pairs.groupBy(item, co_item).agg(F.sum(F.col("_n") * F.col("_n2")).alias(out))
+    # the count of a pair is that of its mirror, so one direction is joined
+    there = F.struct(F.col(item), F.col(co_item), F.col(out))
+    back = F.struct(F.col(co_item).alias(item), F.col(item).alias(co_item), F.col(out))
+    return counts.select(F.inline(F.array(there, back)))
 
 
 # ---------------------------------------------------------------- M6 / M7 as-of

@@ -73,17 +73,24 @@ def composite_keys(
     facts: dict[str, DataFrame],
     grains: dict[str, Sequence[str]],
     partitions: int | None = None,
+    mode: str = "number",
 ) -> dict[str, DataFrame]:
     """M1: ``AutoNumber(Hash128(a & '|' & b ..)) AS [%Key_<fact>]``.
 
     The hash covers the fact name too, so equal grains of two facts never
     share a key; the integers are numbered once over the union of all facts'
     hashes (sorted hash order), so a key names one fact row-grain only.
+    ``mode="hash"`` leaves the 128-bit hash itself as the key: a projection,
+    without a shuffle.
     """
+    if mode not in ("number", "hash"):
+        raise ValueError(f"mode is number or hash, not {mode}")
     hashed = {
         n: df.withColumn("_sl_h", key_hash([F.col(f"`{c}`") for c in grains[n]], prefix=n))
         for n, df in facts.items()
     }
+    if mode == "hash":
+        return {n: d.withColumnRenamed("_sl_h", fact_key_name(n)) for n, d in hashed.items()}
     all_h = None
     for d in hashed.values():
         h = d.select("_sl_h")
@@ -141,6 +148,16 @@ def date_bridge(keyed_facts: dict[str, DataFrame], dates: Sequence[tuple[str, st
 
 
 # ---------------------------------------------------------------- M4 / M5
+def calendar_dates(facts: dict[str, DataFrame], dates: Sequence[tuple[str, str]]) -> DataFrame:
+    """The distinct dates of the ``(fact, field)`` list, as ``CanonicalDate``,
+    read from the facts without their keys."""
+    out = None
+    for fact, field in dates:
+        part = facts[fact].select(F.col(f"`{field}`").try_cast("date").alias(CANONICAL_DATE)).distinct()
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
 def master_calendar(dates: DataFrame, date_col: str = CANONICAL_DATE) -> DataFrame:
     """M4: one row per distinct date: Year, Quarter (``Q1``..``Q4``), Month,
     MonthName, MonthYear (``MMM-yyyy``), Week (Sunday weeks restarting on

@@ -62,20 +62,30 @@ def association_graph(fields: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, component)``: min-label propagation until no label changes.
 
-    ``nodes(node)``, ``edges(a, b)`` undirected.  Each round is a join and a
-    grouped min; the labels are checkpointed per round so the lineage stays
-    flat.  The component id is the smallest node name in it.
+    ``nodes(node)``, ``edges(a, b)`` undirected.  A round takes the smallest
+    label of a node and its neighbours, then the label of that label, so
+    rounds grow with the logarithm of a chain's length.  Labels are
+    checkpointed per round so the lineage stays flat.  The component id is the
+    smallest node name in it.
     """
     und = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
         edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))
     )
     labels = nodes.select(F.col("node"), F.col("node").alias("label")).distinct()
     while True:
-        msgs = und.join(labels, und.src == labels.node).select(F.col("dst").alias("node"), "label")
-        new = labels.unionByName(msgs).groupBy("node").agg(F.min("label").alias("label")).transform(materialize)
-        changed = new.join(labels.withColumnRenamed("label", "_old"), "node").where(F.col("label") != F.col("_old"))
-        labels = new
-        if changed.isEmpty():
+        own = labels.select("node", "label", F.col("label").alias("_old"))
+        msgs = und.join(labels, und.src == labels.node).select(
+            F.col("dst").alias("node"), "label", F.lit(None).cast("string").alias("_old")
+        )
+        near = own.unionByName(msgs).groupBy("node").agg(F.min("label").alias("label"), F.max("_old").alias("_old"))
+        # only nodes of the list carry a label of their own
+        near = near.where(F.col("_old").isNotNull())
+        far = near.select(F.col("node").alias("_at"), F.col("label").alias("_far"))
+        jumped = near.join(far, F.col("label") == F.col("_at"), "left").select(
+            "node", F.least("label", "_far").alias("label"), "_old"
+        ).transform(materialize)
+        labels = jumped.select("node", "label")
+        if jumped.where(F.col("label") != F.col("_old")).isEmpty():
             break
     return labels.withColumnRenamed("label", "component")
 

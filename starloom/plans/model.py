@@ -141,6 +141,22 @@ from starloom.operators import build as bd  # noqa: E402
 from starloom.operators import structure as st  # noqa: E402
 
 
+@dataclass
+class ModelPlan:
+    """Names and strategy, before any table of the model is made."""
+
+    renamed: dict[str, DataFrame]
+    blueprint: st.Blueprint
+    grains: dict[str, list[str]]
+    canonical: DataFrame
+
+    def calendar(self, today: str | None = None) -> DataFrame:
+        """M4, and M5 when ``today`` is given."""
+        dates = bd.calendar_dates(self.renamed, self.blueprint.dates)
+        calendar = bd.master_calendar(dates)
+        return bd.relative_deltas(calendar, today) if today else calendar
+
+
 @dataclass
 class BuiltModel:
     tables: dict[str, DataFrame]
@@ -154,46 +170,47 @@ def _rows(df: DataFrame) -> list:
     return df.collect()
 
 
-def build_model(
-    d: Discovery,
-    today: str | None = None,
-    force: str | None = None,
-    canonical: DataFrame | None = None,
-) -> BuiltModel:
-    """Rename every table to canonical names (P1), key the facts (M1), and
-    add LinkTable (M2, P4), CanonicalDateBridge (M3) and MasterCalendar (M4,
-    M5 when ``today`` is given) as the strategy (D25) asks."""
-    canon = (canonical if canonical is not None else d.canonical()).transform(materialize)
+def plan_model(d: Discovery, force: str | None = None, canonical: DataFrame | None = None) -> ModelPlan:
+    """Rename every table to canonical names (P1) and choose the strategy."""
+    canon = canonical if canonical is not None else d.canonical()
     bp = st.blueprint(canon, d.roles, force=force)
     names = {}
     for r in _rows(canon.select("table", "field", "canonical")):
         names.setdefault(r["table"], {})[r["field"]] = r["canonical"]
     grains = {r["table"]: list(r["grainFields"]) for r in _rows(d.roles.select("table", "grainFields"))}
     renamed = {t: rename_canonical(df, names.get(t, {})) for t, df in d.tables.items()}
-    model = dict(renamed)
+    fact_grains = {}
+    for f in bp.facts:
+        g = grains.get(f) or [c for c, _ in _id_fields(canon, f)]
+        fact_grains[f] = [names[f].get(c, c) for c in g]
+    return ModelPlan(renamed, bp, fact_grains, canon)
+
+
+def build_model(
+    d: Discovery,
+    today: str | None = None,
+    force: str | None = None,
+    canonical: DataFrame | None = None,
+    key_mode: str = "number",
+) -> BuiltModel:
+    """Rename every table to canonical names (P1), key the facts (M1, in
+    ``key_mode``), and add LinkTable (M2, P4), CanonicalDateBridge (M3) and
+    MasterCalendar (M4, M5 when ``today`` is given) as the strategy (D25) asks."""
+    plan = plan_model(d, force, canonical)
+    bp = plan.blueprint
+    model = dict(plan.renamed)
     keyed: dict[str, DataFrame] = {}
     if bp.strategy == "LINK_TABLE" or bp.date_bridge:
-        facts = {f: renamed[f] for f in bp.facts}
-        fact_grains = {}
-        for f in bp.facts:
-            g = grains.get(f) or []
-            if not g:
-                g = [c for c, t in _id_fields(canon, f)]
-            fact_grains[f] = [names[f].get(c, c) for c in g]
-        keyed = bd.composite_keys(facts, fact_grains)
+        keyed = bd.composite_keys({f: plan.renamed[f] for f in bp.facts}, plan.grains, mode=key_mode)
         model.update(keyed)
     if bp.strategy == "LINK_TABLE":
         model["LinkTable"] = bd.link_table(keyed, bp.shared)
         for f in bp.facts:
             model[f] = bd.drop_fields(keyed[f], bp.shared)
     if bp.date_bridge and bp.dates:
-        bridge = bd.date_bridge(keyed, bp.dates)
-        model["CanonicalDateBridge"] = bridge
-        calendar = bd.master_calendar(bridge)
-        if today:
-            calendar = bd.relative_deltas(calendar, today)
-        model["MasterCalendar"] = calendar
-    return BuiltModel(model, bp, keyed, canon)
+        model["CanonicalDateBridge"] = bd.date_bridge(keyed, bp.dates)
+        model["MasterCalendar"] = plan.calendar(today)
+    return BuiltModel(model, bp, keyed, plan.canonical)
 
 
 def _id_fields(canon: DataFrame, table: str) -> list:

@@ -308,18 +308,38 @@ _OKEY = ot.key_expr("orders", GRAINS["orders"])
 _LKEY = ot.key_expr("lineitem", GRAINS["lineitem"])
 
 
-@register(
-    "composite_key",
-    f"""WITH {_KEYS}
-SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, k.id AS "%Key_lineitem"
-FROM lineitem l JOIN keyids k ON k.h = {_LKEY}""",
-)
+def _keyed_sql(key: str, join: str) -> str:
+    """Both facts with their grain, padded to four columns, and key."""
+    return f"""SELECT 'orders' AS fact, o_orderkey AS g1, o_custkey AS g2, CAST(NULL AS BIGINT) AS g3,
+       CAST(NULL AS BIGINT) AS g4, {key.format(h=_OKEY)} AS key FROM orders {join.format(h=_OKEY)}
+UNION ALL
+SELECT 'lineitem', l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT), {key.format(h=_LKEY)}
+FROM lineitem {join.format(h=_LKEY)}"""
+
+
+def _keyed_rows(keyed: dict[str, DataFrame]) -> DataFrame:
+    parts = []
+    for fact, grain in GRAINS.items():
+        g = [F.col(c).cast("long") for c in grain] + [F.lit(None).cast("long")] * (4 - len(grain))
+        parts.append(keyed[fact].select(
+            F.lit(fact).alias("fact"), *[c.alias(f"g{i}") for i, c in enumerate(g, 1)], F.col(f"`%Key_{fact}`").alias("key")
+        ))
+    return parts[0].unionByName(parts[1])
+
+
+@register("composite_key", f"WITH {_KEYS}\n" + _keyed_sql("k.id", "JOIN keyids k ON k.h = {h}"))
 def q_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.operators import build as bd
 
-    t = _t(spark, sf_dir, "orders", "lineitem")
-    keyed = bd.composite_keys(t, GRAINS)
-    return keyed["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "%Key_lineitem")
+    return _keyed_rows(bd.composite_keys(_t(spark, sf_dir, "orders", "lineitem"), GRAINS))
+
+
+@register("composite_key_hash", _keyed_sql("{h}", ""))
+def q_composite_key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 without numbering: the hash is the key."""
+    from starloom.operators import build as bd
+
+    return _keyed_rows(bd.composite_keys(_t(spark, sf_dir, "orders", "lineitem"), GRAINS, mode="hash"))
 
 
 @register(
@@ -391,7 +411,7 @@ SELECT strftime(d, '%Y-%m-%d') AS CanonicalDate,
 FROM d""",
 )
 def q_master_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ts_text(_built(spark, sf_dir).tables["MasterCalendar"])
+    return _ts_text(md.plan_model(_discover(spark, sf_dir)).calendar(TODAY))
 
 
 @register(
