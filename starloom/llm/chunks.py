@@ -41,6 +41,37 @@ MAX_ENTRIES = 250_000
 GROUP_CHARS = 1 << 20
 
 
+def _gather(pool: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` that begin at ``places``, one after another."""
+    total = np.cumsum(sizes)
+    count = int(total[-1]) if len(total) else 0
+    return pool[np.repeat(places - (total - sizes), sizes) + np.arange(count)]
+
+
+class _Learned:
+    """Ids of chunks by the chunks' 64-bit hashes, which are kept sorted."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.places, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype="<u4")
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key would stand, and whether it is there."""
+        at = np.searchsorted(self.keys, keys)
+        if not len(self.keys):
+            return at, np.zeros(len(keys), dtype=bool)
+        return at, self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Learn new keys (sorted) with their ids one after another."""
+        at = np.searchsorted(self.keys, keys)
+        self.places = np.insert(self.places, at, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.keys = np.insert(self.keys, at, keys)
+        self.pool = np.concatenate([self.pool, ids])
+
+
 class ChunkTable:
     """``encode_many``: chunks to little-endian 32-bit ids, one bytes each; ``encode_whole``: the same for one odd text; ``keep_blanks``:
     whether blanks belong to tokens; ``specials``: strings that make a text
@@ -61,8 +92,7 @@ class ChunkTable:
         self.max_entries = max_entries
         self.table: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.by_hash: dict[int, bytes] = {}
-        self.older_hash: dict[int, bytes] = {}
+        self.by_hash, self.older_hash = _Learned(), _Learned()
 
     def _odd(self, text: str) -> bool:
         return _ODD.search(text) is not None or any(s in text for s in self.specials)
@@ -181,35 +211,29 @@ class ChunkTable:
         rows[place], rows[tails] = row, row[split]
         keys = block.hashes(s, e) + k.astype(np.uint64)
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        found = self._ids_of(distinct.tolist(), block, s[first], e[first], k[first])
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        pool = np.frombuffer(b"".join(found), dtype="<u4")
-        places = np.cumsum(sizes) - sizes
+        places, sizes, pool = self._ids_of(distinct, block, s[first], e[first], k[first])
         each = sizes[inverse]
-        total = np.cumsum(each)
-        index = np.repeat(places[inverse] - (total - each), each) + np.arange(total[-1])
         lengths += np.bincount(rows, weights=each, minlength=block.rows).astype(np.int64)
-        return pool[index], lengths
+        return _gather(pool, places[inverse], each), lengths
 
-    def _ids_of(self, keys: list[int], block: Block, s, e, kind) -> list[bytes]:
-        if len(self.by_hash) > self.max_entries:
-            self.by_hash, self.older_hash = {}, self.by_hash
+    def _ids_of(self, keys: np.ndarray, block: Block, s, e, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and number of each key's ids in a pool, and the pool."""
+        if len(self.by_hash.keys) > self.max_entries:
+            self.by_hash, self.older_hash = _Learned(), self.by_hash
         table, older = self.by_hash, self.older_hash
-        found = [table.get(k) for k in keys]
-        gone = [i for i, ids in enumerate(found) if ids is None]
-        new = []
-        for i in gone:
-            ids = older.get(keys[i])
-            if ids is None:
-                new.append(i)
-            else:
-                found[i] = table[keys[i]] = ids
-        if new:
+        at, known = table.find(keys)
+        gone = np.flatnonzero(~known)
+        if len(gone):
+            there, met = older.find(keys[gone])
+            there = there[met]
+            sizes = older.sizes[there]
+            table.add(keys[gone[met]], sizes, _gather(older.pool, older.places[there], sizes))
+            new = gone[~met]
             raw = block.data.tobytes()
             prefix = ("", " ", "\n")
-            at = np.array(new)
-            spans = zip(s[at].tolist(), e[at].tolist(), kind[at].tolist(), strict=True)
-            chunks = [prefix[c] + raw[a:b].decode() for a, b, c in spans]
-            for i, ids in zip(new, self.encode_many(chunks), strict=True):
-                found[i] = table[keys[i]] = ids
-        return found
+            spans = zip(s[new].tolist(), e[new].tolist(), kind[new].tolist(), strict=True)
+            found = self.encode_many([prefix[c] + raw[x:y].decode() for x, y, c in spans])
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+            table.add(keys[new], sizes, np.frombuffer(b"".join(found), dtype="<u4"))
+            at, _ = table.find(keys)
+        return table.places[at], table.sizes[at], table.pool
