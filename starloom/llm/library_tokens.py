@@ -15,6 +15,9 @@ from pyspark.sql import SparkSession
 
 from starloom.llm.chunks import ChunkTable
 
+#: parts encoded as one string; long strings were measured slower
+JOINED = 128
+
 _tables: dict[tuple, ChunkTable] = {}
 
 
@@ -51,8 +54,8 @@ def library_table(text: str) -> ChunkTable:
             out: list[bytes] = [b""] * len(parts)
             plain = [i for i, p in enumerate(parts) if mark not in p and p.strip()]
             other = sorted(set(range(len(parts))).difference(plain))
-            for at in range(0, len(plain), 4096):
-                some = plain[at : at + 4096]
+            for at in range(0, len(plain), JOINED):
+                some = plain[at : at + JOINED]
                 joined = mark.join([parts[i] for i in some])
                 ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
                 marks = np.flatnonzero(ids == mark_ids[0])
