@@ -9,7 +9,6 @@ operators  the operators of the model builder (profile, overlap, link
            scoring, naming, strategy, build, graph checks, analytic tables,
            chart aggregates, enrichment candidates)
 plans      end-to-end model building and the registered test queries
-streaming  (intentionally empty, see its docstring)
 """
 
 from starloom.session import get_spark, ensure_checkpoint_dir

@@ -39,3 +39,11 @@ def test_components_chain(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e")], "a string, b string")
     comp = {r["node"]: r["component"] for r in gr.connected_components(nodes, edges).collect()}
     assert comp == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f"}
+
+
+def test_components_of_a_long_chain(spark):
+    names = [f"n{i:03d}" for i in range(300)]
+    nodes = spark.createDataFrame([(n,) for n in names] + [("alone",)], "node string")
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
+    got = {r["node"]: r["component"] for r in gr.connected_components(nodes, edges).collect()}
+    assert got == {**dict.fromkeys(names, "n000"), "alone": "alone"}
