@@ -317,6 +317,48 @@ def test_ann(spark):
     assert ann.nearest(frame.where("vec_id < 3"), F.col("vec_id") % 50 == 0).count() == 2
 
 
+@pytest.mark.parametrize("width, share", [(8, 0.5), (48, 1.0)])
+def test_ann_width_follows_the_data(spark, monkeypatch, width, share):
+    """A window that covers a small share of the table is widened until the
+    neighbours are found; in many even directions every row is met."""
+    reach_workers(spark)
+    n, curves, chosen = 12000, 6, []
+    x = np.random.default_rng(2).normal(size=(n, width))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    measure = ann._width
+    monkeypatch.setattr(ann, "_width", lambda *a: chosen.append(measure(*a)) or chosen[-1])
+    got = ann.nearest(frame, F.col("vec_id") % 50 == 0, 5, window=4, curves=curves).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit[::50] @ unit.T
+    score[np.arange(n // 50), np.arange(0, n, 50)] = -9
+    want = {(50 * i, int(j)) for i, row in enumerate(score) for j in np.argsort(-row)[:5]}
+    assert len(got) == len(want)
+    found = len(want & {(r.query_id, r.vec_id) for r in got}) / len(want)
+    assert 4 < chosen[0]
+    if share < 1:
+        assert 3 * curves * chosen[0] < share * n
+        assert found >= 0.93
+    else:
+        assert 3 * curves * chosen[0] >= n
+        assert found == 1
+
+
+def test_ann_blocks_and_reach(spark, monkeypatch):
+    """Runs shorter than the width and queries in blocks lose nothing."""
+    reach_workers(spark)
+    x = np.random.default_rng(3).normal(size=(1500, 4))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ask = F.col("vec_id") % 3 == 0
+    plain = ann.nearest(frame, ask, 5, window=40, curves=4).collect()
+    monkeypatch.setattr(ann, "RUN", 24)
+    monkeypatch.setattr(ann, "ASKED", 100)
+    cut = ann.nearest(frame, ask, 5, window=40, curves=4).collect()
+    exact = ann.nearest(frame, ask, 5, window=1500).collect()
+    rows = [{(r.query_id, r.vec_id) for r in found} for found in (plain, cut, exact)]
+    assert [len(r) for r in rows] == [2500] * 3
+    assert min(len(rows[2] & r) for r in rows) >= 0.95 * 2500
+
+
 def test_url_rules(spark):
     reach_workers(spark)
     rules = [("allow", "com", "/"), ("block", "bad.com", "/x"), ("block", "net", "/es/")]
