@@ -666,6 +666,28 @@ def q_encode_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enc["lineitem"].select("Order", "l_partkey", "l_linenumber")
 
 
+@register(
+    "encode_keys_tables",
+    """WITH v AS (SELECT CAST(o_orderkey AS VARCHAR) AS v FROM orders UNION SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem),
+ids AS (SELECT v, CAST(dense_rank() OVER (ORDER BY v) AS BIGINT) AS id FROM v)
+SELECT 'orders' AS fact, ids.id AS "Order", o.o_custkey, NULL AS l_partkey, NULL AS l_linenumber
+FROM orders o JOIN ids ON ids.v = CAST(o.o_orderkey AS VARCHAR)
+UNION ALL SELECT 'lineitem', ids.id, NULL, l.l_partkey, l.l_linenumber
+FROM lineitem l JOIN ids ON ids.v = CAST(l.l_orderkey AS VARCHAR)""",
+)
+def q_encode_keys_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both encoded tables."""
+    t = _t(spark, sf_dir, "orders", "lineitem")
+    model = {
+        "orders": t["orders"].withColumnRenamed("o_orderkey", "Order"),
+        "lineitem": t["lineitem"].withColumnRenamed("l_orderkey", "Order"),
+    }
+    enc = an.encode_keys(model, ["Order"])
+    orders = enc["orders"].select(F.lit("orders").alias("fact"), "Order", "o_custkey")
+    lines = enc["lineitem"].select(F.lit("lineitem").alias("fact"), "Order", "l_partkey", "l_linenumber")
+    return orders.unionByName(lines, allowMissingColumns=True)
+
+
 # ------------------------------------------------------------------ charts
 def _rev():
     return money("l_extendedprice") * (F.lit(1) - money("l_discount"))
@@ -934,6 +956,18 @@ def q_load_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile_out(pr.profile(loaded))
 
 
+@register("load_folder_facts", ot.profile_sql(["orders", "lineitem"]))
+def q_load_folder_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact tables, their dates as text, loaded back and profiled
+    like the dimension tables."""
+    from starloom.sources import load_folder
+
+    folder = _shared_folder(spark, "csv")
+    for name, df in _t(spark, sf_dir, "orders", "lineitem").items():
+        _ts_text(df).write.option("header", True).csv(f"{folder}/tpch_{name}.csv")
+    return _profile_out(pr.profile(load_folder(spark, folder)))
+
+
 @register(
     "save_model",
     """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate,
@@ -949,6 +983,22 @@ def q_save_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ts_text(read_model(spark, saved)["orders"])
 
 
+@register(
+    "save_model_tables",
+    """SELECT 'orders' AS "table", * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate) FROM orders
+UNION ALL BY NAME
+SELECT 'lineitem' AS "table", * REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate) FROM lineitem""",
+)
+def q_save_model_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every table of the saved model read back."""
+    from starloom.sources import read_model, save_model
+
+    folder = _shared_folder(spark, "model")
+    back = read_model(spark, save_model(_t(spark, sf_dir, "orders", "lineitem"), folder))
+    orders, lines = (_ts_text(back[n]).withColumn("table", F.lit(n)) for n in ("orders", "lineitem"))
+    return orders.unionByName(lines, allowMissingColumns=True)
+
+
 @register(
     "sample_load",
     " UNION ALL ".join(
@@ -1063,13 +1113,13 @@ def q_fact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("conform_group")
 def q_conform_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both yearly slices end up with one canonical name per footprint."""
+    """Both yearly slices, with the links discovered between them, end up
+    with one canonical name per footprint."""
     from starloom.operators import links as lk
     from starloom.operators import structure as st
 
-    _, fields, roles = _split_orders(spark, sf_dir)
-    empty = spark.createDataFrame([], "tableA string, fieldA string, tableB string, fieldB string, confidence int")
-    canon = lk.normalize_names(fields, empty).transform(materialize)
+    split, fields, roles = _split_orders(spark, sf_dir)
+    canon = lk.normalize_names(fields, md.discover(split).links).transform(materialize)
     return st.conform_group(canon, st.fact_groups(fields, roles)).select("table", "field", "canonical")
 
 

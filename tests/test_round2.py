@@ -50,3 +50,17 @@ def test_unlinked_tables_and_pages(spark):
 
 def test_fact_rows_is_an_argument():
     assert "fact_rows" in table_roles.__annotations__
+
+
+def test_conform_group_takes_the_links_of_its_slices(spark, monkeypatch):
+    from tests.conftest import SF_SMALL
+    from starloom.operators import links as lk
+    from starloom.plans import queries as q
+
+    seen, normalize = [], lk.normalize_names
+    monkeypatch.setattr(lk, "normalize_names", lambda fields, links: seen.append(links.count()) or normalize(fields, links))
+    rows = q.q_conform_group(spark, SF_SMALL).collect()
+    assert seen and seen[-1] > 0
+    names = {(r["table"], r["field"]): r["canonical"] for r in rows}
+    shared = {f for t, f in names if t == "orders_late"}
+    assert shared and all(names["orders_early", f] == names["orders_late", f] for f in shared)
