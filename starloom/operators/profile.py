@@ -191,11 +191,14 @@ def profile(
     distinct counts are exact (no cap) unless ``approx``.  Pass ``counts``
     (from :func:`value_counts`) to share one value aggregation with the
     overlap step; otherwise it is written to the checkpoint folder once if
-    samples are asked for.
+    samples are asked for.  Under ``approx`` samples take one scan a sample.
     """
     cat = catalog(model)
     if approx:
-        return _finish(_wide_stats(model), cat)
+        stats = _wide_stats(model)
+        if samples > 0:
+            stats = stats.join(_smallest(model, samples), ["tidx", "pos"], "left")
+        return _finish(stats, cat)
     if counts is None:
         counts = value_counts(model, scan_columns)
         if samples > 0:  # read by the statistics and by the samples
@@ -251,6 +254,31 @@ def _wide_stats(model: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _smallest(model: dict[str, DataFrame], k: int) -> DataFrame:
+    """The ``k`` smallest present values of every column as ``sampleValues``:
+    a wide aggregate per table and sample takes each column's least value above
+    the one before, so no value but these leaves its task."""
+    spark = next(iter(model.values())).sparkSession
+    rows = []
+    for ti, df in enumerate(model.values()):
+        found: list[list[str]] = [[] for _ in df.columns]
+        left = list(range(len(df.columns)))
+        for _ in range(k):
+            if not left:
+                break
+            aggs = []
+            for pos in left:
+                v = df[f"`{df.columns[pos]}`"].cast("string")
+                more = v > F.lit(found[pos][-1]) if found[pos] else F.lit(True)
+                aggs.append(F.min(F.when(~is_missing(v) & more, v)).alias(f"v{pos}"))
+            least = df.agg(*aggs).first()
+            left = [pos for pos in left if least[f"v{pos}"] is not None]
+            for pos in left:
+                found[pos].append(least[f"v{pos}"])
+        rows += [(ti, pos, values) for pos, values in enumerate(found)]
+    return spark.createDataFrame(rows, "tidx int, pos int, sampleValues array<string>")
+
+
 def table_stats(model: dict[str, DataFrame]) -> DataFrame:
     """``table, rowCount, columnCount, tableDensity`` per table.
 
