@@ -12,7 +12,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import ann, bpe_columns, kd_shards, minhash_dedup, packing, quality_classifier, quality_rules, token_files, url_rules, warc
+from starloom.llm import (
+    alignment, ann, bpe_columns, collocations, kd_shards, minhash_dedup, ngram_join, packing, quality_classifier,
+    quality_rules, token_files, url_rules, warc,
+)
 from starloom.llm.store import reach_workers, shared_folder
 
 END_ID = 2
@@ -201,6 +204,98 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_documents(docs, *paths)
+
+
+def op12_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 1),
+                           lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS s
+    FROM w
+), classes AS (
+    SELECT list_sort(s) AS k, min(doc_id) AS cid, any_value(len(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY 1
+), items AS (SELECT cid, n, unnest(k) AS item FROM classes
+), pairs AS (
+    SELECT a.cid AS a, b.cid AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+    FROM items a JOIN items b ON a.item = b.item AND a.cid < b.cid
+         AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    GROUP BY a.cid, b.cid
+), links AS (
+    SELECT a, b FROM pairs WHERE 100 * common >= 90 * (na + nb - common)
+    UNION SELECT b, a FROM pairs WHERE 100 * common >= 90 * (na + nb - common)
+), reach(a, b) AS (
+    SELECT cid, cid FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), comps AS (SELECT a AS cid, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id AS doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(p.component_id, s.doc_id) AS component_id
+FROM sets s LEFT JOIN classes c ON c.k = list_sort(s.s) LEFT JOIN comps p ON p.cid = c.cid
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrase_collocations(table(spark, sf_dir, "documents"), 10, 50, 2000)
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), split AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), f1 AS (
+    SELECT lang, p, count(*) AS f FROM (SELECT lang, unnest(w) AS p FROM split) GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang
+), f2 AS (
+    SELECT lang, p, count(*) AS f
+    FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: {'x': w[i], 'y': w[i + 1]})) AS p FROM split)
+    GROUP BY ALL HAVING count(*) >= 10
+), f3 AS (
+    SELECT lang, p, count(*) AS f
+    FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1),
+                 lambda i: {'x': w[i], 'y': w[i + 1], 'z': w[i + 2]})) AS p FROM split)
+    GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+    SELECT lang, p, max(f) AS f FROM (
+        SELECT lang, {'x': p.x, 'y': p.y} AS p, f FROM f3 UNION ALL SELECT lang, {'x': p.y, 'y': p.z}, f FROM f3
+    ) GROUP BY lang, p
+), cuts AS (
+    SELECT c.lang AS lang, c.p.x || ' ' || c.p.y AS phrase, c.f AS a, 1 AS k, l.f AS l, r.f AS r
+    FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.p = c.p.x JOIN f1 r ON r.lang = c.lang AND r.p = c.p.y
+    LEFT JOIN longer g ON g.lang = c.lang AND g.p = c.p
+    WHERE g.f IS NULL OR 100 * g.f < 50 * c.f
+    UNION ALL
+    SELECT c.lang, c.p.x || ' ' || c.p.y || ' ' || c.p.z, c.f, 1, l.f, r.f
+    FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.p = c.p.x
+    JOIN f2 r ON r.lang = c.lang AND r.p = {'x': c.p.y, 'y': c.p.z}
+    UNION ALL
+    SELECT c.lang, c.p.x || ' ' || c.p.y || ' ' || c.p.z, c.f, 2, l.f, r.f
+    FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.p = {'x': c.p.x, 'y': c.p.y}
+    JOIN f1 r ON r.lang = c.lang AND r.p = c.p.z
+), scored AS (
+    SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_hilbert": op2_hilbert,
@@ -212,5 +307,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_bpe": op9_bpe,
     "op10_classifier": op10_classifier,
+    "op11_alignment": op11_alignment,
+    "op12_ngrams": op12_ngrams,
+    "op13_collocations": op13_collocations,
+}
+ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL,
+    "op5_minhash": OP5_SQL,
+    "op7_urls": OP7_SQL,
+    "op12_ngrams": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op5_minhash": OP5_SQL, "op7_urls": OP7_SQL}
