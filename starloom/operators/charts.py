@@ -1,11 +1,12 @@
 """Chart-style aggregates.
 
 A chart is a grouped aggregate of measures over dimensions with null
-dimension values suppressed, zeros kept, a sort spec and a first page.
-``rollup_through`` is the scale path for a measure whose dimension sits
-several joins away: it aggregates at each grain before the next join (sum
-and count distribute over the joins), so every join sees one row per key
-instead of one per fact row.
+dimension values suppressed, zeros kept, a sort spec and a first page.  It is
+asked of a model by field names (``association.ChartModel`` and ``Measure``),
+or of one frame with measures as columns.
+``rollup_through`` is the path of staged sums written by hand: it aggregates
+at each grain before the next join (sum and count distribute over the joins),
+so every join sees one row per key instead of one per fact row.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.operators.association import ChartModel, Measure
+
 # Chart page and line-chart limits.
 PAGE_ROWS = 500
 PAGE_COLUMNS = 17
@@ -66,9 +69,18 @@ def set_sum(measure: Column, condition: Column) -> Column:
     return F.sum(F.when(condition, measure))
 
 
-def _check_page(dims: Sequence[str], measures: dict[str, Column]) -> None:
-    if len(dims) + len(measures) > PAGE_COLUMNS:
-        raise ValueError(f"a chart page holds at most {PAGE_COLUMNS} columns")
+Measures = dict[str, Column] | dict[str, Measure]
+
+
+def _check_page(dims: Sequence[str], measures: Measures, limit: int | None) -> None:
+    if limit is not None and len(dims) + len(measures) > limit:
+        raise ValueError(f"a chart page holds at most {limit} columns")
+
+
+def _grouped(source: DataFrame | ChartModel, dims: Sequence[str], measures: Measures, via: Sequence[str]) -> DataFrame:
+    if isinstance(source, ChartModel):
+        return source.aggregate(dims, measures, via)
+    return source.dropna(subset=list(dims)).groupBy(*dims).agg(*[e.alias(n) for n, e in measures.items()])
 
 
 def sort_spec(dims: Sequence[str], measures: Sequence[str], order_by: str = "dims") -> list[Column]:
@@ -79,44 +91,50 @@ def sort_spec(dims: Sequence[str], measures: Sequence[str], order_by: str = "dim
     return m[:1] + d + m[1:] if order_by == "measure" else d + m
 
 
-def kpi(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
+def kpi(df: DataFrame | ChartModel, measures: Measures) -> DataFrame:
     """One row of measures, no dimension."""
+    if isinstance(df, ChartModel):
+        return df.aggregate([], measures)
     return df.agg(*[e.alias(n) for n, e in measures.items()])
 
 
 def bar(
-    df: DataFrame,
+    df: DataFrame | ChartModel,
     dims: Sequence[str],
-    measures: dict[str, Column],
+    measures: Measures,
     order_by: str = "dims",
     page: int | None = None,
+    via: Sequence[str] = (),
+    max_columns: int | None = PAGE_COLUMNS,
 ) -> DataFrame:
     """One dimension with n measures, or two dimensions with one
     measure; null dimension values suppressed, zero measures kept; sorted
-    (T4), and only the first ``page`` rows if a page is asked for (T2)."""
+    (T4), and only the first ``page`` rows if a page is asked for (T2).
+    ``via``: tables of a model that the path must hold."""
     if not ((len(dims) == 1 and len(measures) >= 1) or (len(dims) == 2 and len(measures) == 1)):
         raise ValueError("bar: (1 dimension, n measures) or (2 dimensions, 1 measure)")
-    _check_page(dims, measures)
-    g = df.dropna(subset=list(dims)).groupBy(*dims).agg(*[e.alias(n) for n, e in measures.items()])
-    out = g.orderBy(*sort_spec(dims, list(measures), order_by))
+    _check_page(dims, measures, max_columns)
+    out = _grouped(df, dims, measures, via).orderBy(*sort_spec(dims, list(measures), order_by))
     return out if page is None else out.limit(page)
 
 
 def line(
-    df: DataFrame,
+    df: DataFrame | ChartModel,
     time: str,
-    measures: dict[str, Column],
+    measures: Measures,
     series: str | None = None,
     max_lines: int | None = None,
     max_points: int | None = None,
+    via: Sequence[str] = (),
+    max_columns: int | None = PAGE_COLUMNS,
 ) -> DataFrame:
     """Measures over time (optionally per series); gaps stay gaps (no
     zero fill); if asked, at most ``max_lines`` series -- the ones with the largest
     total of the first measure, name breaking ties -- and ``max_points``
     points per series in time order (T3)."""
     dims = [time] + ([series] if series else [])
-    _check_page(dims, measures)
-    g = df.dropna(subset=dims).groupBy(*dims).agg(*[e.alias(n) for n, e in measures.items()])
+    _check_page(dims, measures, max_columns)
+    g = _grouped(df, dims, measures, via)
     first = next(iter(measures))
     if series:
         if max_lines is not None:
@@ -129,10 +147,11 @@ def line(
     return out if max_points is None else out.limit(max_points)
 
 
-def table_view(df: DataFrame, dims: Sequence[str], measures: dict[str, Column], order_by: str = "dims") -> DataFrame:
+def table_view(
+    df: DataFrame | ChartModel, dims: Sequence[str], measures: Measures, order_by: str = "dims", via: Sequence[str] = ()
+) -> DataFrame:
     """Any dimensions x any measures, no totals row, sorted (T4)."""
-    g = df.dropna(subset=list(dims)).groupBy(*dims).agg(*[e.alias(n) for n, e in measures.items()])
-    return g.orderBy(*sort_spec(dims, list(measures), order_by))
+    return _grouped(df, dims, measures, via).orderBy(*sort_spec(dims, list(measures), order_by))
 
 
 def top_series(df: DataFrame, series: str, measure: str, k: int = MAX_LINES) -> DataFrame:
