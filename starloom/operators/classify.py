@@ -35,7 +35,7 @@ def date_fields(fields: DataFrame) -> DataFrame:
     )
 
 
-def classify_fields(profile: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def classify_fields(profile: DataFrame, overrides: DataFrame | None = None, types: DataFrame | None = None) -> DataFrame:
     """Add ``type`` (one of the five classes) and ``alias``.
 
     Rule: IDENTIFIER by name (``key``/``number`` suffix, ``id``/``code``/
@@ -44,8 +44,17 @@ def classify_fields(profile: DataFrame, overrides: DataFrame | None = None) -> D
     numeric fields of a table with >= 2 foreign keys, or >= 1 foreign key and
     a date; ATTRIBUTE otherwise.  ``overrides(table, field, type, alias)``
     wins; the alias defaults to the field's own name.
+
+    ``types(table, field, type)``, from ``typed.column_types``, lets the values
+    of raw text columns say whether they are dates: a column of dates is DATE by
+    any name, and a date-like name alone does not make one.
     """
     p = profile
+    by_name = ~F.col("isNumeric") & F.col("field").rlike(DATE_NAME_PATTERN)
+    if types is not None:
+        p = p.join(types.select("table", "field", F.col("type").alias("_vtype")), ["table", "field"], "left")
+        by_values = F.col("_vtype").isin(*DATE_TYPES)
+        by_name = F.when(F.col("_vtype").isNull(), by_name).otherwise(by_values)
     if overrides is not None:
         o = overrides.select(
             "table", "field", F.col("type").alias("_otype"), F.col("alias").alias("_oalias")
@@ -53,7 +62,7 @@ def classify_fields(profile: DataFrame, overrides: DataFrame | None = None) -> D
         p = p.join(o, ["table", "field"], "left")
     else:
         p = p.withColumn("_otype", F.lit(None).cast("string")).withColumn("_oalias", F.lit(None).cast("string"))
-    is_date = F.col("dtype").isin(*DATE_TYPES) | (~F.col("isNumeric") & F.col("field").rlike(DATE_NAME_PATTERN))
+    is_date = F.col("dtype").isin(*DATE_TYPES) | by_name
     base = (
         F.when(F.col("_otype").isNotNull(), F.col("_otype"))
         .when(is_identifier_name(F.col("field")), F.lit("IDENTIFIER"))
@@ -68,7 +77,7 @@ def classify_fields(profile: DataFrame, overrides: DataFrame | None = None) -> D
     measure = F.col("isNumeric") & ((F.col("_fks") >= 2) | ((F.col("_fks") >= 1) & (F.col("_dates") >= 1)))
     typ = F.coalesce(F.col("_base"), F.when(measure, F.lit("MEASURE")).otherwise(F.lit("ATTRIBUTE")))
     return p.withColumn("type", typ).withColumn("alias", F.coalesce(F.col("_oalias"), F.col("field"))).drop(
-        "_otype", "_oalias", "_base", "_fks", "_dates"
+        "_otype", "_oalias", "_base", "_fks", "_dates", "_vtype"
     )
 
 

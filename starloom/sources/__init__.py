@@ -4,10 +4,12 @@ from starloom.sources.files import (
     common_prefix,
     distinct_load,
     inline_table,
+    list_folder,
     load_folder,
     load_paths,
     load_tables,
     qualify,
+    read_csv,
     read_model,
     resident,
     sample_load,
@@ -21,10 +23,12 @@ __all__ = [
     "common_prefix",
     "distinct_load",
     "inline_table",
+    "list_folder",
     "load_folder",
     "load_paths",
     "load_tables",
     "qualify",
+    "read_csv",
     "read_model",
     "resident",
     "sample_load",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+import urllib.parse
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -35,53 +37,81 @@ def table_names(files: Sequence[str]) -> dict[str, str]:
     return out
 
 
+def _literal(path: str) -> str:
+    """A path as a reader takes it, where some letters would be a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store that Spark reads: its files, and the
+    folders that hold files; hidden ones (``_``, ``.``) are left out.  It is
+    the listing that a reader plans with, no task runs."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_literal(path)).inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"source folder not found: {path}") from e
+        raise
+    scheme = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:/*")
+    folder = "/" + scheme.sub("", path).strip("/") + "/"
+    plain = ("/" + scheme.sub("", urllib.parse.unquote(f)) for f in found)
+    return sorted({f.split(folder, 1)[1].split("/", 1)[0] for f in plain if folder in f})
+
+
+def _has_long_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell of a CSV file goes on in the next line, that is,
+    whether some line holds an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """A CSV table as raw text (header row, UTF-8, comma, doubled quotes).
+
+    ``multi_line``: whether cells may hold line ends, so that a file is read as
+    a whole by one task.  By default that is measured by a scan of the lines;
+    files without such cells are split.  (Spark reads files as a whole by
+    patterns, so their names must not hold ``[``, ``{``, ``*`` or ``?``.)"""
+    path = _literal(path)
+    if multi_line is None:
+        multi_line = _has_long_rows(spark, path)
+    reader = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
+    return reader.option("encoding", "UTF-8").option("escape", '"').csv(path)
+
+
 def load_folder(
     spark: SparkSession,
     path: str,
     extensions: Iterable[str] = TABLE_EXTENSIONS,
+    multi_line: bool | None = None,
 ) -> dict[str, DataFrame]:
     """Every ``.csv``/``.txt``/``.parquet`` file of a folder becomes a table.
 
-    CSV is read raw (header row names the columns, all values strings, UTF-8,
-    comma, quoted multi-line fields).  Raises ``FileNotFoundError`` for a
-    missing folder.
+    The folder may lie in any store that Spark reads.  CSV is read raw
+    (:func:`read_csv`, all values strings); :func:`~starloom.operators.typed.typed_model`
+    gives its columns types.  Raises ``FileNotFoundError`` for a missing folder.
     """
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if not os.path.isdir(local):
-        raise FileNotFoundError(f"source folder not found: {path}")
     exts = tuple(e.lower() for e in extensions)
     # plain files, or folders of part files that Spark itself wrote (name.csv/)
-    files = sorted(f for f in os.listdir(local) if f.lower().endswith(exts))
-    path = local
+    files = [f for f in list_folder(spark, path) if f.lower().endswith(exts)]
     names = table_names(files)
-    model: dict[str, DataFrame] = {}
-    for f in files:
-        full = os.path.join(path, f)
-        if f.lower().endswith(".parquet"):
-            df = spark.read.parquet(full)
-        else:
-            df = (
-                spark.read.option("header", True)
-                .option("inferSchema", False)
-                .option("multiLine", True)
-                .option("encoding", "UTF-8")
-                .option("escape", '"')
-                .csv(full)
-            )
-        model[names[f]] = df
-    return model
-
-
-def load_paths(spark: SparkSession, paths: dict[str, str], fmt: str = "csv") -> dict[str, DataFrame]:
+    root = path.rstrip("/")
+    return {
+        names[f]: spark.read.parquet(_literal(f"{root}/{f}"))
+        if f.lower().endswith(".parquet")
+        else read_csv(spark, f"{root}/{f}", multi_line)
+        for f in files
+    }
+
+
+def load_paths(
+    spark: SparkSession, paths: dict[str, str], fmt: str = "csv", multi_line: bool | None = None
+) -> dict[str, DataFrame]:
     """S1 for shared storage: ``{table: path}`` (any Hadoop URI), read raw
     (CSV: header, all strings) or as parquet."""
     if fmt == "parquet":
         return {n: spark.read.parquet(p) for n, p in paths.items()}
-    return {
-        n: spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
-        .option("encoding", "UTF-8").option("escape", '"').csv(p)
-        for n, p in paths.items()
-    }
+    return {n: read_csv(spark, p, multi_line) for n, p in paths.items()}
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> dict[str, DataFrame]:
