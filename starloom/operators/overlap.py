@@ -4,15 +4,16 @@
 Data-scale work is one shuffle for all pairs, on ``value``:
 
 * ``values``: distinct ``(tidx, pos, value)`` rows (from the profiler's single
-  value aggregation), filtered to columns that some candidate pair names;
+  value aggregation), filtered to columns that can be in a pair;
 * grouped by value to the set of columns that hold it.  A value is in a column
   once, so a group has at most one row per column of the model, whatever the
   data: there is no hot key;
-* equal column sets are counted (map-side first), and only these counts meet
-  the pair catalog.
+* equal column sets are counted (map-side first), and only these counts
+  (``held_sets``) meet the pair catalog.
 
-Catalog-scale work (pair candidates) is a self-join of the field catalog,
-one row per column of the model; it grows with the schema, not the data.
+Pairs of columns (D2) are found without comparing every column with every
+other: names by an index of their substrings, identifier-like columns by the
+column sets, so that only columns which share a value meet.
 """
 
 from __future__ import annotations
@@ -33,60 +34,109 @@ def column_id(tidx: str, pos: str) -> Column:
     return (F.col(tidx).cast("long") * 1_000_000 + F.col(pos)).cast("long")
 
 
-def candidate_pairs(fields: DataFrame) -> DataFrame:
+def _gate(fields: DataFrame) -> DataFrame:
+    """The non-empty columns with what the pair gate looks at."""
+    return fields.where(F.col("distinctCount") > 0).select(
+        column_id("tidx", "pos").alias("col"), "table", "field", "distinctCount",
+        squash_name(F.col("field")).alias("sq"),
+        F.col("field").rlike(ID_LIKE_PATTERN).alias("idl"),
+    )
+
+
+def _name_pairs(gate: DataFrame) -> DataFrame:
+    """(colA, colB), colA < colB, of columns whose squashed names are equal or
+    one within the other: the distinct substrings of each name meet the whole
+    names.  An empty squashed name is within no other name."""
+    size = F.length("sq")
+    parts = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), size),
+            lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("sq"), i, n)),
+        )
+    )
+    index = gate.select(F.col("col").alias("long"), F.explode(F.when(size > 0, F.array_distinct(parts)).otherwise(F.array(F.lit("")))).alias("sq"))
+    met = index.join(gate.select(F.col("col").alias("short"), "sq"), "sq").where(F.col("long") != F.col("short"))
+    return met.select(F.least("long", "short").alias("colA"), F.greatest("long", "short").alias("colB")).distinct()
+
+
+def _id_pairs(gate: DataFrame, held: DataFrame) -> DataFrame:
+    """(colA, colB), colA < colB, of identifier-like columns that share a value."""
+    ids = gate.where("idl").select("col")
+    flat = held.select("cols", F.explode("cols").alias("col")).join(ids, "col")
+    sets = flat.groupBy("cols").agg(F.array_sort(F.collect_list("col")).alias("ids")).where(F.size("ids") > 1)
+    one = sets.select(F.col("ids").alias("cols")).distinct().select("cols", F.explode("cols").alias("colA"))
+    return one.select("colA", F.explode(F.filter("cols", lambda c: c > F.col("colA"))).alias("colB")).distinct()
+
+
+def gate_columns(fields: DataFrame) -> DataFrame:
+    """``col`` of the columns that can be in a pair: identifier-like ones and
+    those in a pair by name."""
+    gate = _gate(fields)
+    named = _name_pairs(gate)
+    return gate.where("idl").select("col").union(named.select("colA")).union(named.select("colB")).distinct()
+
+
+def candidate_pairs(fields: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Pairs of non-empty columns worth comparing.
 
     ``fields`` needs ``tidx, table, pos, field, distinctCount`` (profile).
     A pair is kept when the squashed names (lowercase, no whitespace or
     ``_``) are equal or one contains the other, or when both names look like
-    identifiers.  Pairs are ordered by (table index, position); same-table
-    pairs are included (the scorer drops them).
+    identifiers and, by ``held`` (:func:`held_sets`), share a value; without
+    ``held`` pairs of the second kind are left out.  Pairs are ordered by (table
+    index, position); same-table pairs are included (the scorer drops them).
     """
-    f = fields.where(F.col("distinctCount") > 0).select(
-        "tidx", "table", "pos", "field", "distinctCount",
-        squash_name(F.col("field")).alias("sq"),
-        F.col("field").rlike(ID_LIKE_PATTERN).alias("idl"),
-    )
-    a = f.select(*[F.col(c).alias(f"{c}_a") for c in f.columns])
-    b = f.select(*[F.col(c).alias(f"{c}_b") for c in f.columns])
-    order = (F.col("tidx_a") < F.col("tidx_b")) | (
-        (F.col("tidx_a") == F.col("tidx_b")) & (F.col("pos_a") < F.col("pos_b"))
-    )
-    name_match = (
-        (F.col("sq_a") == F.col("sq_b"))
-        | F.col("sq_a").contains(F.col("sq_b"))
-        | F.col("sq_b").contains(F.col("sq_a"))
-    )
-    both_id = F.col("idl_a") & F.col("idl_b")
-    return a.join(b, order & (name_match | both_id)).select(
-        F.col("table_a").alias("tableA"),
-        F.col("field_a").alias("fieldA"),
-        F.col("table_b").alias("tableB"),
-        F.col("field_b").alias("fieldB"),
-        F.col("distinctCount_a").alias("sizeA"),
-        F.col("distinctCount_b").alias("sizeB"),
-        column_id("tidx_a", "pos_a").alias("colA"),
-        column_id("tidx_b", "pos_b").alias("colB"),
-    )
+    gate = _gate(fields)
+    met = _name_pairs(gate)
+    if held is not None:
+        met = met.union(_id_pairs(gate, held)).distinct()
+    side = lambda x: gate.select(
+        F.col("col").alias(f"col{x}"), F.col("table").alias(f"table{x}"), F.col("field").alias(f"field{x}"),
+        F.col("distinctCount").alias(f"size{x}"),
+    )
+    return met.join(side("A"), "colA").join(side("B"), "colB").select(*PAIR_COLS, "sizeA", "sizeB", "colA", "colB")
+
+
+def all_id_pairs(fields: DataFrame) -> DataFrame:
+    """The pairs of two identifier-like columns, shared value or not, in the
+    form of :func:`candidate_pairs`: for the sketch path, which has no values.
+    Each column meets the sorted list of the others, one row a column."""
+    gate = _gate(fields).where("idl")
+    side = lambda x: gate.select(
+        F.col("col").alias(f"col{x}"), F.col("table").alias(f"table{x}"), F.col("field").alias(f"field{x}"),
+        F.col("distinctCount").alias(f"size{x}"),
+    )
+    every = gate.agg(F.array_sort(F.collect_list("col")).alias("cols")).select("cols")
+    one = every.select(F.col("cols"), F.explode("cols").alias("colA"))
+    met = one.select("colA", F.explode(F.filter("cols", lambda c: c > F.col("colA"))).alias("colB"))
+    return met.join(side("A"), "colA").join(side("B"), "colB").select(*PAIR_COLS, "sizeA", "sizeB", "colA", "colB")
+
+
+def held_sets(values: DataFrame, columns: DataFrame) -> DataFrame:
+    """(cols, n): each set of two or more of ``columns`` (``col``) that hold the
+    very same value, and how many values it holds.
+
+    ``values``: ``(tidx, pos, value)`` distinct.  ``columns`` has one row per
+    column of the model, whose schema the driver holds, so it is broadcast."""
+    cell = values.select(column_id("tidx", "pos").alias("col"), "value").join(F.broadcast(columns.select("col")), "col", "left_semi")
+    held = cell.groupBy("value").agg(F.array_sort(F.collect_set("col")).alias("cols"))
+    return held.where(F.size("cols") > 1).groupBy("cols").agg(F.count(F.lit(1)).alias("n"))
 
 
-def intersections(values: DataFrame, pairs: DataFrame) -> DataFrame:
+def intersections_of(held: DataFrame, pairs: DataFrame) -> DataFrame:
     """``|values(A) ∩ values(B)|`` for every pair (pairs with an
-    empty intersection are absent).
-
-    ``values``: ``(tidx, pos, value)`` distinct; ``pairs``: the pair columns
-    with ``colA, colB`` (one row per pair of columns, schema-sized).
-    """
-    # the columns that take part: one row per column of the model
-    used = pairs.select(F.explode(F.array("colA", "colB")).alias("col")).distinct().collect()
-    cell = values.select(column_id("tidx", "pos").alias("col"), "value").where(F.col("col").isin([r["col"] for r in used]))
-    held = cell.groupBy("value").agg(F.array_sort(F.collect_set("col")).alias("cols"))
-    sets = held.where(F.size("cols") > 1).groupBy("cols").agg(F.count(F.lit(1)).alias("n"))
-    hits = sets.select("cols", "n", F.explode("cols").alias("colA")).join(pairs.select(*PAIR_COLS, "colA", "colB"), "colA")
+    empty intersection are absent), from :func:`held_sets` of their columns."""
+    hits = held.select("cols", "n", F.explode("cols").alias("colA")).join(pairs.select(*PAIR_COLS, "colA", "colB"), "colA")
     hits = hits.where(F.array_contains("cols", F.col("colB")))
     return hits.groupBy(*PAIR_COLS).agg(F.sum("n").alias("intersectionCount"))
 
 
+def intersections(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """:func:`intersections_of` from the values themselves."""
+    used = pairs.select(F.explode(F.array("colA", "colB")).alias("col")).distinct()
+    return intersections_of(held_sets(values, used), pairs)
+
+
 def value_overlap(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """D3: pairs sharing values with ``inter/|A| > 0.1`` or ``inter/|B| > 0.1``.
 

@@ -18,6 +18,7 @@ from starloom.operators import classify as cl
 from starloom.operators import links as lk
 from starloom.operators import overlap as ov
 from starloom.operators import profile as pr
+from starloom.operators.association import ChartModel
 
 
 class Discovery:
@@ -33,8 +34,9 @@ class Discovery:
     """
 
     def __init__(self, tables: dict[str, DataFrame], overrides: DataFrame | None = None,
-                 approx: bool = False, scan_columns: int | None = None):
+                 approx: bool = False, scan_columns: int | None = None, types: DataFrame | None = None):
         self.tables = tables
+        self.types = types
         self.overrides = overrides
         self.approx = approx
         self.scan_columns = scan_columns
@@ -60,11 +62,21 @@ class Discovery:
 
     @property
     def fields(self) -> DataFrame:
-        return self._get("fields", lambda: cl.classify_fields(self.profile, self.overrides).transform(materialize))
+        return self._get("fields", lambda: cl.classify_fields(self.profile, self.overrides, self.types).transform(materialize))
 
     @property
     def pairs(self) -> DataFrame:
-        return self._get("pairs", lambda: ov.candidate_pairs(self.profile).transform(materialize))
+        def make():
+            if self.approx:
+                named = ov.candidate_pairs(self.profile)
+                return named.unionByName(ov.all_id_pairs(self.profile)).distinct().transform(materialize)
+            return ov.candidate_pairs(self.profile, self.held).transform(materialize)
+        return self._get("pairs", make)
+
+    @property
+    def held(self) -> DataFrame:
+        """Column sets that hold the same values, with their counts."""
+        return self._get("held", lambda: stage(ov.held_sets(self.values, ov.gate_columns(self.profile)), "held"))
 
     @property
     def sketches(self) -> DataFrame:
@@ -78,7 +90,10 @@ class Discovery:
 
     @property
     def intersections(self) -> DataFrame:
-        return self._get("inter", lambda: self._count(self.pairs).join(self.pairs, ov.PAIR_COLS).transform(materialize))
+        def make():
+            found = self._count(self.pairs) if self.approx else ov.intersections_of(self.held, self.pairs)
+            return found.join(self.pairs, ov.PAIR_COLS).transform(materialize)
+        return self._get("inter", make)
 
     @property
     def overlap(self) -> DataFrame:
@@ -120,10 +135,12 @@ def discover(
     overrides: DataFrame | None = None,
     approx: bool = False,
     scan_columns: int | None = None,
+    types: DataFrame | None = None,
 ) -> Discovery:
     """Profile, classify, overlap and score a model (stages computed on
-    first use, see :class:`Discovery`)."""
-    return Discovery(tables, overrides, approx=approx, scan_columns=scan_columns)
+    first use, see :class:`Discovery`).  ``types`` are those that raw text
+    columns should have (``typed.column_types``)."""
+    return Discovery(tables, overrides, approx=approx, scan_columns=scan_columns, types=types)
 
 
 def rename_canonical(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -164,6 +181,11 @@ class BuiltModel:
     keyed_facts: dict[str, DataFrame]
     canonical: DataFrame
 
+    def charts(self) -> ChartModel:
+        """The model for charts.  Its tables are written once, since a chart
+        reads some of them several times."""
+        return ChartModel({n: stage(df, "model") for n, df in self.tables.items()})
+
 
 def _rows(df: DataFrame) -> list:
     """Bring a catalog-sized metadata frame (names only) to the driver."""

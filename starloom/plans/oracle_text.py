@@ -290,6 +290,51 @@ sc AS (
   FROM f)"""
 
 
+def canonical_ctes() -> str:
+    """CTEs ending in ``canon`` (cls with ``canonical``): links are taken one by
+    one, the best first, and merged unless a table would be in a group twice
+    (needs ``sc``, ``cls`` and WITH RECURSIVE)."""
+    return """lk AS (
+  SELECT row_number() OVER (ORDER BY confidence DESC, least(ca.c, cb.c), greatest(ca.c, cb.c)) AS i, ca.c AS a, cb.c AS b
+  FROM sc JOIN (SELECT tbl, field, tidx * 100000 + pos AS c FROM cls) ca ON ca.tbl = tableA AND ca.field = fieldA
+  JOIN (SELECT tbl, field, tidx * 100000 + pos AS c FROM cls) cb ON cb.tbl = tableB AND cb.field = fieldB
+  WHERE confidence >= 70),
+steps(i, s) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list({'c': tidx * 100000 + pos, 't': tbl, 'g': tidx * 100000 + pos}) FROM cls)
+  UNION ALL
+  SELECT i, CASE WHEN list_has_any(list_transform(list_filter(s, lambda x: x.g = ga), lambda x: x.t),
+                                   list_transform(list_filter(s, lambda x: x.g = gb), lambda x: x.t)) THEN s
+                 ELSE list_transform(s, lambda x: {'c': x.c, 't': x.t, 'g': CASE WHEN x.g = gb THEN ga ELSE x.g END}) END
+  FROM (SELECT l.i, st.s, list_filter(st.s, lambda x: x.c = l.a)[1].g AS ga, list_filter(st.s, lambda x: x.c = l.b)[1].g AS gb
+        FROM steps st JOIN lk l ON l.i = st.i + 1)),
+member AS (SELECT unnest((SELECT max_by(s, i) FROM steps)) AS m),
+grp AS (
+  SELECT cls.tbl, cls.field, cls.tidx, cls.pos, cls.alias, m.g AS g, count(*) OVER (PARTITION BY m.g) AS n
+  FROM member JOIN cls ON cls.tidx * 100000 + cls.pos = m.c),
+by_alias AS (
+  SELECT g, alias, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, alias) AS r FROM grp
+  WHERE n > 1 AND lower(alias) <> lower(field) AND length(alias) > 2 GROUP BY g, alias),
+by_column AS (
+  SELECT g, field, row_number() OVER (PARTITION BY g ORDER BY regexp_matches(field, '(?i)^(id|key|code|num|number)$'),
+                                      length(field) DESC, tidx, pos) AS r FROM grp WHERE n > 1),
+named AS (
+  SELECT grp.tbl, grp.field, coalesce(a.alias, c.field) AS group_name
+  FROM grp JOIN by_column c ON c.g = grp.g AND c.r = 1 LEFT JOIN by_alias a ON a.g = grp.g AND a.r = 1 WHERE grp.n > 1),
+c0 AS (
+  SELECT cls.*, CASE WHEN named.group_name IS NOT NULL THEN named.group_name
+                     WHEN type = 'IDENTIFIER' THEN cls.field ELSE cls.tbl || '_' || cls.field END AS canon0
+  FROM cls LEFT JOIN named ON named.tbl = cls.tbl AND named.field = cls.field),
+c1 AS (SELECT c0.*, (canon0 = tbl || '_' || field AND type NOT IN ('MEASURE', 'IDENTIFIER')) AS cand,
+              field IN (SELECT canon0 FROM c0) AS is_used FROM c0),
+c2 AS (SELECT c1.*, row_number() OVER (PARTITION BY field
+                                       ORDER BY CASE WHEN cand AND NOT is_used THEN 0 ELSE 1 END, tidx, pos) AS r
+       FROM c1),
+canon AS (
+  SELECT c2.*, CASE WHEN type = 'DATE' THEN tbl || '_' || field
+                    WHEN cand AND NOT is_used AND r = 1 THEN field ELSE canon0 END AS canonical
+  FROM c2)"""
+
+
 # ---------------------------------------------------------------- building
 def key_expr(fact: str, cols: list[str]) -> str:
     parts = ", ".join(f"coalesce(CAST({q(c)} AS VARCHAR), '')" for c in cols)

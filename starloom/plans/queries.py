@@ -254,23 +254,8 @@ def q_link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "canonical_names",
-    f"""WITH {_OV}, {_CL}, {ot.alias_pairs_cte()}, {ot.link_scores_ctes()},
-acc AS (SELECT tableA AS tbl, fieldA AS field FROM sc WHERE confidence >= 70
-        UNION SELECT tableB, fieldB FROM sc WHERE confidence >= 70),
-c0 AS (
-  SELECT c.*, CASE WHEN a.tbl IS NOT NULL AND lower(c.alias) <> lower(c.field) AND length(c.alias) > 2 THEN c.alias
-                   WHEN c.type = 'IDENTIFIER' THEN c.field
-                   ELSE c.tbl || '_' || c.field END AS canon0
-  FROM cls c LEFT JOIN acc a ON a.tbl = c.tbl AND a.field = c.field),
-c1 AS (SELECT c0.*, (canon0 = tbl || '_' || field AND type NOT IN ('MEASURE', 'IDENTIFIER')) AS cand,
-              field IN (SELECT canon0 FROM c0) AS is_used FROM c0),
-c2 AS (SELECT c1.*, row_number() OVER (PARTITION BY field
-                                       ORDER BY CASE WHEN cand AND NOT is_used THEN 0 ELSE 1 END, tidx, pos) AS r
-       FROM c1)
-SELECT tbl AS "table", field, pos, type,
-       CASE WHEN type = 'DATE' THEN tbl || '_' || field
-            WHEN cand AND NOT is_used AND r = 1 THEN field ELSE canon0 END AS canonical
-FROM c2""",
+    f"""WITH RECURSIVE {_OV}, {_CL}, {ot.alias_pairs_cte()}, {ot.link_scores_ctes()}, {ot.canonical_ctes()}
+SELECT tbl AS "table", field, pos, type, canonical FROM canon""",
 )
 def q_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _discover(spark, sf_dir).canonical().select("table", "field", "pos", "type", "canonical")
@@ -689,6 +674,17 @@ def q_encode_keys_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ charts
+def _star(spark: SparkSession, sf_dir: str):
+    """The star tables for charts, associated by the names of their keys."""
+    from starloom.operators.association import ChartModel
+
+    names: dict[str, dict[str, str]] = {}
+    for table, field, _, alias in DRIVER_ALIASES:
+        names.setdefault(table, {})[field] = alias
+    tables = _t(spark, sf_dir, *STAR_TABLES)
+    return ChartModel({n: md.rename_canonical(df, names.get(n, {})) for n, df in tables.items()})
+
+
 def _rev():
     return money("l_extendedprice") * (F.lit(1) - money("l_discount"))
 
@@ -716,20 +712,14 @@ JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.
 GROUP BY n.n_name ORDER BY n.n_name LIMIT 500""",
 )
 def q_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue by nation: the measure is summed per order, per customer and
-    per nation key before each join (H5), then the bar is cut."""
+    """Revenue by the customer's nation, asked of the model: the measure is
+    summed per order, per customer and per nation key before each join (H5).
+    The supplier's nation would be nearer, so the path is named."""
     from starloom.operators import charts as ch
 
-    t = _t(spark, sf_dir, "lineitem", "orders", "customer", "nation")
-    per_nation = ch.rollup_through(
-        t["lineitem"],
-        "l_orderkey",
-        {"revenue": F.sum(_rev()), "line_count": F.count(F.lit(1))},
-        [ch.Hop(t["orders"], "o_orderkey", "o_custkey"), ch.Hop(t["customer"], "c_custkey", "c_nationkey")],
-    )
-    named = per_nation.join(t["nation"].select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
-    res = ch.bar(named, ["n_name"], {"revenue": F.sum("revenue"), "line_count": F.sum("line_count")})
-    return res.select("n_name", F.col("revenue").cast("double"), F.col("line_count").cast("long"))
+    measures = {"revenue": ch.Measure("sum", _rev(), "lineitem"), "line_count": ch.Measure("count", table="lineitem")}
+    res = ch.bar(_star(spark, sf_dir), ["n_name"], measures, via=["orders", "customer"])
+    return res.withColumn("revenue", F.col("revenue").cast("double"))
 
 
 @register(
@@ -758,19 +748,17 @@ p AS (SELECT g.*, row_number() OVER (PARTITION BY g.n_name ORDER BY g.month) AS
 SELECT month, n_name, CAST(total AS DOUBLE) AS total FROM p WHERE rp <= 2000""",
 )
 def q_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order value per month and nation (J3 association of orders, customer
-    and nation), the 12 largest nations, at most 2000 points each."""
+    """Order value per month and nation, asked of the model, the 12 largest
+    nations, at most 2000 points each."""
     from starloom.operators import charts as ch
 
-    t = _t(spark, sf_dir, "orders", "customer", "nation")
-    o = t["orders"].select(F.date_format("o_orderdate", "yyyy-MM").alias("month"),
-                           F.col("o_custkey").alias("custkey"), money("o_totalprice").alias("price"))
-    c = t["customer"].select(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nationkey"))
-    n = t["nation"].select(F.col("n_nationkey").alias("nationkey"), "n_name")
-    joined = ch.associate([o, c, n])
+    star = _star(spark, sf_dir)
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    model = ch.ChartModel(star.tables | {"orders": star.tables["orders"].withColumn("month", month)})
     res = ch.line(
-        joined, "month", {"total": F.sum("price")}, series="n_name", max_lines=ch.MAX_LINES, max_points=ch.MAX_POINTS
-    )
+        model, "month", {"total": ch.Measure("sum", money("o_totalprice"), "orders")},
+        series="n_name", max_lines=ch.MAX_LINES, max_points=ch.MAX_POINTS,
+    )
     return res.withColumn("total", F.col("total").cast("double"))
 
 
@@ -785,19 +773,54 @@ GROUP BY r.r_name, n.n_name""",
 def q_table_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.operators import charts as ch
 
-    t = _t(spark, sf_dir, "orders", "customer", "nation", "region")
-    per_nation = ch.rollup_through(
-        t["orders"], "o_custkey",
-        {"order_count": F.count(F.lit(1)), "order_value": F.sum(money("o_totalprice"))},
-        [ch.Hop(t["customer"], "c_custkey", "c_nationkey")],
-    )
-    dims = t["nation"].select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey").join(
-        t["region"].select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey", "left"
-    )
-    named = per_nation.join(dims, "c_nationkey", "left")
-    res = ch.table_view(named, ["r_name", "n_name"],
-                        {"order_count": F.sum("order_count"), "order_value": F.sum("order_value")})
-    return res.select("r_name", "n_name", F.col("order_count").cast("long"), F.col("order_value").cast("double"))
+    measures = {"order_count": ch.Measure("count", table="orders"), "order_value": ch.Measure("sum", money("o_totalprice"), "orders")}
+    res = ch.table_view(_star(spark, sf_dir), ["r_name", "n_name"], measures)
+    return res.withColumn("order_value", F.col("order_value").cast("double"))
+
+
+@register(
+    "bar_each_once",
+    """WITH met AS (SELECT DISTINCT l.l_orderkey, p.p_brand FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey)
+SELECT m.p_brand, CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS order_value,
+       CAST(count(*) AS BIGINT) AS order_count, CAST(count(DISTINCT o.o_custkey) AS BIGINT) AS customers
+FROM met m JOIN orders o ON o.o_orderkey = m.l_orderkey WHERE m.p_brand IS NOT NULL GROUP BY m.p_brand""",
+)
+def q_bar_each_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by the brands of their parts: an order has many lines, but
+    counts once for a brand."""
+    from starloom.operators import charts as ch
+
+    measures = {
+        "order_value": ch.Measure("sum", money("o_totalprice"), "orders"),
+        "order_count": ch.Measure("count", table="orders"),
+        "customers": ch.Measure("count_distinct", "Customer", "orders"),
+    }
+    res = ch.bar(_star(spark, sf_dir), ["p_brand"], measures)
+    return res.withColumn("order_value", F.col("order_value").cast("double"))
+
+
+@register(
+    "bar_link_table",
+    """WITH o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS "Year", CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS ordered
+           FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+l AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS "Year", CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS shipped,
+             CAST(count(*) AS BIGINT) AS lines
+      FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1)
+SELECT "Year", ordered, shipped, lines FROM o FULL JOIN l USING ("Year")""",
+)
+def q_bar_link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both facts by calendar year through LinkTable, date bridge and
+    calendar of the built model: no total is multiplied on the way."""
+    from starloom.operators import charts as ch
+
+    built = md.build_model(_discover(spark, sf_dir), key_mode="hash")
+    measures = {
+        "ordered": ch.Measure("sum", money("orders_o_totalprice"), "orders"),
+        "shipped": ch.Measure("sum", money("lineitem_l_extendedprice"), "lineitem"),
+        "lines": ch.Measure("count", table="lineitem"),
+    }
+    res = ch.bar(built.charts(), ["Year"], measures)
+    return res.withColumns({c: F.col(c).cast("double") for c in ("ordered", "shipped")})
 
 
 @register(
@@ -1037,6 +1060,88 @@ def q_distinct_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_load(_t(spark, sf_dir, "orders")["orders"], ["o_orderstatus", "o_orderpriority"])
 
 
+# ------------------------------------------------------------------ typed reload of raw text
+def _csv_model(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
+    """The tables written as CSV files with a shared name prefix and loaded
+    back raw, in the order of ``names``."""
+    from starloom.sources import load_folder
+
+    folder = _shared_folder(spark, "csv")
+    for name, df in _t(spark, sf_dir, *names).items():
+        _ts_text(df).write.option("header", True).csv(f"{folder}/tpch_{name}.csv")
+    loaded = load_folder(spark, folder)
+    return {n: loaded[n] for n in names}
+
+
+_TYPED = f"""SELECT table_name AS "table", column_name AS field,
+       CASE WHEN data_type IN ('INTEGER', 'BIGINT') THEN 'bigint' WHEN data_type = 'DOUBLE' THEN 'double'
+            WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp' ELSE 'string' END AS type, CAST(0 AS BIGINT) AS rejects
+FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in STAR_TABLES)})"""
+
+
+@register("typed_columns", _TYPED)
+def q_typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of the star tables' columns, found in their CSV text."""
+    from starloom.operators import typed as ty
+
+    return ty.column_types(_csv_model(spark, sf_dir, STAR_TABLES)).select("table", "field", "type", "rejects")
+
+
+@register(
+    "typed_load",
+    """SELECT 'orders' AS "table", * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate) FROM orders
+UNION ALL BY NAME
+SELECT 'lineitem' AS "table", * REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate, CAST(l_linenumber AS BIGINT) AS l_linenumber)
+FROM lineitem""",
+)
+def q_typed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both facts, from CSV text back to typed rows."""
+    from starloom.operators import typed as ty
+
+    model = ty.typed_model(_csv_model(spark, sf_dir, ["orders", "lineitem"]))
+    orders, lines = (_ts_text(model[n]).withColumn("table", F.lit(n)) for n in ("orders", "lineitem"))
+    return orders.unionByName(lines, allowMissingColumns=True)
+
+
+def _csv_discovery(spark: SparkSession, sf_dir: str) -> md.Discovery:
+    from starloom.operators import typed as ty
+
+    return md.discover(ty.typed_model(_csv_model(spark, sf_dir, STAR_TABLES)), md.overrides_frame(spark, DRIVER_ALIASES))
+
+
+@register("link_table_csv", ORACLE["link_table"])
+def q_link_table_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The link table of the star tables loaded from CSV: that of their
+    Parquet files."""
+    return _ts_text(md.build_model(_csv_discovery(spark, sf_dir)).tables["LinkTable"])
+
+
+@register("as_of_candidate_csv", ORACLE["as_of_candidate"])
+def q_as_of_candidate_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import enrich as en
+
+    return en.as_of_candidate(en.live_metadata(_csv_discovery(spark, sf_dir).tables))
+
+
+@register("pareto_candidates_csv", ORACLE["pareto_candidates"])
+def q_pareto_candidates_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.operators import enrich as en
+
+    d = _csv_discovery(spark, sf_dir)
+    return en.pareto_candidates(en.live_metadata(d.tables), d.fields)
+
+
+@register("classify_fields_csv", ORACLE["classify_fields"])
+def q_classify_fields_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D15 on raw text, where the values say which columns are dates."""
+    from starloom.operators import typed as ty
+
+    raw = _csv_model(spark, sf_dir, STAR_TABLES)
+    types = ty.column_types(raw).transform(materialize)
+    d = md.discover(raw, md.overrides_frame(spark, DRIVER_ALIASES), types=types)
+    return d.fields.select("table", "field", "pos", "type", "alias")
+
+
 # ------------------------------------------------------------------ more catalog rules
 @register(
     "field_cardinality",
