@@ -102,13 +102,21 @@ def test_chunks_equal_whole_texts(monkeypatch):
              "<0x0A>", "</s>", "<|endoftext|>", "Word", "x" * 20, "́", "-", "http://a.b/c?d=e"]
     texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(2500)]
     aligner = alignment.Aligner(open(A, encoding="utf-8").read(), open(B, "rb").read())
-    got = [(*numbers, digest) for numbers, digest, _, _ in aligner.align(texts)]
+    got = [(*n, d) for numbers, digests, *_ in aligner.align(texts) for n, d in zip(numbers.tolist(), digests)]
     assert got == [(*m[:4], m[6]) for m in brute(texts)]
 
 
-def test_crossed_group():
-    """A group of several tokens each side links all its occurrences."""
-    links = {}
-    alignment.Aligner._cross([5, 5, 7], [1, 2, 1], links)
-    code = lambda a, b: a * alignment.B_IDS + b
-    assert links == {code(5, 1): 4, code(5, 2): 2, code(7, 1): 2, code(7, 2): 1}
+def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
+    """Pairs of a group, listed one by one or by its distinct ids."""
+    a, b = open(A, encoding="utf-8").read(), open(B, "rb").read()
+    texts = ["\u3042\u3044\u3046" * 9 + " word", "\u3042" * 30, "plain text"]
+    listed = list(alignment.Aligner(a, b).align(texts))
+    monkeypatch.setattr(alignment, "LISTED", 1)
+    for one, other in zip(listed, alignment.Aligner(a, b).align(texts)):
+        for x, y in zip(one, other):
+            assert np.array_equal(x, y)
+    counted = {}
+    for numbers, _, sizes, _, times in listed:
+        assert times.sum() == numbers[:, 3].sum() and sizes.sum() == len(times)
+        counted["links"] = numbers[:, 3].tolist()
+    assert counted["links"] == [m[3] for m in brute(texts)]
