@@ -2,16 +2,16 @@
 
 The occurrence relation of length k holds, for each occurrence of a phrase, its
 piece, its position in it and its words.  It is persisted in sorted segments: a
-row of the table is one language's share of a few megabytes of text, with the
-columns piece, position and words as arrays in the order (piece, position).
+row of the table is the share of a few megabytes of text, with the columns
+piece, position and words in the order (piece, position), packed and compressed.
 Pieces are never cut, so a segment joins with itself alone.
 
 * Length 1 is written while the texts are cut.
-* ``_extend``: occurrences of frequent phrases are merge-joined with those one
-  position on in the same piece that begin with the words the first ends with.
+* ``Segment.extended``: occurrences of frequent phrases are merge-joined with
+  those one position on in the same piece.
 * The joined groups are counted, in the segment first, then by an aggregate.
-* ``_frequent``: only occurrences of groups counted often enough (a semi-join)
-  are persisted as the next length and extended again.
+* ``Relation.frequent``: only occurrences of groups counted often enough (a
+  semi-join) are extended again; from length 2 on they are persisted before.
 
 The semi-join's right side is broadcast as 64-bit hashes up to
 ``BROADCAST_GROUPS`` groups; beyond, each segment's distinct groups meet the
@@ -19,8 +19,9 @@ frequent ones by a shuffled semi-join and go back to their segment.  Both keep
 every frequent group; what else a hash lets through is not frequent and falls
 out of the next count, so results are exact either way.
 
-Words are carried as 64-bit hashes.  The vocabulary is checked: where two words
-share a hash, all but one get another, and the texts are cut anew.
+Words are carried as 64-bit hashes of language and word.  A second hash of each
+tells whether two share the first; then all but one of them get another, and
+the texts are cut anew.  The words themselves are fetched for candidates only.
 
 Edge cases: a null text is empty; a null language is ``und``; an empty text or
 one without words adds nothing; a text of any length is read whole (its pieces
@@ -37,13 +38,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm.store import stored
-from starloom.llm.text_bytes import Block, blocks, lowered, mix
+from starloom.llm.text_bytes import blocks, lowered, mix
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 BROADCAST_GROUPS = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,186 +55,283 @@ ENDS_PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 ENDS_WORD = ENDS_PIECE.copy()
 ENDS_WORD[[0x20, 0x09]] = True
 
+#: (language, word) -> its first hash, which others share, and its new one
+Renamed = dict[tuple[str, str], tuple[int, int]]
 
-def _words(block: Block, bits: int, renamed: dict[bytes, int]) -> tuple[np.ndarray, ...]:
-    """Starts, ends, row, piece, position and item (hash) of the words."""
-    block = lowered(block)
-    starts, ends, row = block.spans(~ENDS_WORD[block.data])
-    piece = np.cumsum(ENDS_PIECE[block.data])[starts] + row if len(starts) else row
-    first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1]))[: len(piece)])
-    sizes = np.diff(np.append(first, len(piece)))
-    at = np.arange(len(piece)) - np.repeat(first, sizes)
-    item = (block.hashes(starts, ends) >> np.uint64(64 - bits)).view(np.int64)
-    if renamed:
-        raw = block.data.tobytes()
-        for i in np.flatnonzero(np.isin(item, [k for _, k in renamed.values()])):
-            word = raw[starts[i] : ends[i]]
-            if word in renamed:
-                item[i] = renamed[word][0]
-    return block.data, starts, ends, row, piece, at, item
-
-
-def _occurrences(docs: DataFrame, bits: int, renamed: dict[bytes, tuple[int, int]]) -> DataFrame:
-    """Length 1: segments (segment, lang, piece, at, w1) with their vocabulary
-    (items, counts, words)."""
-    schema = (
-        "lang string, piece array<int>, at array<int>, w1 array<long>, "
-        "items array<long>, counts array<long>, words array<string>"
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            named = pc.dictionary_encode(pc.fill_null(batch.column(0), "und"))
-            lang, names = named.indices.to_numpy(), named.dictionary.to_pylist()
-            for block in blocks(batch.column(1), SEGMENT_BYTES):
-                data, starts, ends, row, piece, at, item = _words(block, bits, renamed)
-                raw = data.tobytes()
-                own = lang[block.first + row]
-                for code in np.unique(own):
-                    mine = np.flatnonzero(own == code)
-                    items, place, counts = np.unique(item[mine], return_index=True, return_counts=True)
-                    s, e = starts[mine[place]].tolist(), ends[mine[place]].tolist()
-                    words = [raw[x:y].decode() for x, y in zip(s, e, strict=True)]
-                    line = [names[code], piece[mine].astype(np.int32), at[mine].astype(np.int32), item[mine], items, counts, words]
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in line], names=[f.split()[0] for f in schema.split(", ")])
+def _zip(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    texts = docs.select(F.col("lang").cast("string").alias("lang"), "text")
-    return texts.mapInArrow(run, schema).withColumn("segment", F.monotonically_increasing_id())
 
+def _unzip(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
-def _vocabulary(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """The occurrences of length 1 and the count of each (lang, w1, word),
-    where no two words share an item."""
-    renamed: dict[bytes, tuple[int, int]] = {}
-    while True:
-        segments = stored(_occurrences(docs, bits, renamed), "phrases-1")
-        flat = segments.select("lang", F.explode(F.arrays_zip("items", "counts", "words")).alias("v"))
-        counts = flat.groupBy("lang", F.col("v.items").alias("w1"), F.col("v.words").alias("word"))
-        counts = stored(counts.agg(F.sum("v.counts").alias("n")), "phrases-counts")
-        shared = counts.groupBy("w1").agg(F.min("word").alias("stays"), F.max("word").alias("other")).where("stays <> other")
-        clash = counts.join(shared, "w1").where("word <> stays").select("w1", "word").distinct().collect()
-        if not clash:
-            return segments, counts
-        for r in clash:
-            word = r["word"].encode()
-            tag = hashlib.blake2b(word, digest_size=8, salt=str(len(renamed)).encode()).digest()
-            renamed[word] = (int.from_bytes(tag, "little", signed=True), r["w1"])
+
+def _pack(values: np.ndarray) -> bytes:
+    """Hashes as they are, other whole numbers in their narrowest type."""
+    narrow = values if values.dtype == np.uint64 else values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    if narrow.dtype == np.uint64 and values.dtype != np.uint64:
+        narrow = values.astype(np.int64)
+    return narrow.dtype.char.encode() + _zip(narrow.tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    found = np.frombuffer(_unzip(packed[1:]), dtype=np.dtype(chr(packed[0])))
+    return found if found.dtype == np.uint64 else found.astype(np.int64)
+
+
+class Segment:
+    """Sorted occurrences: pieces, positions, and for each word of the phrase
+    its place among the segment's distinct items."""
+
+    def __init__(self, piece: np.ndarray, at: np.ndarray, items: np.ndarray, words: list[np.ndarray]) -> None:
+        self.piece, self.at, self.items, self.words = piece, at, items, words
+
+    def where(self, rows: np.ndarray) -> Segment:
+        return Segment(self.piece[rows], self.at[rows], self.items, [w[rows] for w in self.words])
+
+    def extended(self) -> Segment:
+        """Merge-join of the occurrences with those one position on in the same
+        piece, which begin with the words that these end with."""
+        place = (self.piece << 32) + self.at
+        right = np.minimum(np.searchsorted(place, place + 1), max(len(place) - 1, 0))
+        left = np.flatnonzero(place[right] == place + 1)
+        longer = self.where(left)
+        longer.words.append(self.words[-1][right[left]])
+        return longer
+
+    def groups(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """Items of the distinct phrases, word by word, and their counts."""
+        code, high = self.words[0], len(self.items)
+        for w in self.words[1:]:
+            if high * len(self.items) >= 1 << 62:
+                values, code = np.unique(code, return_inverse=True)
+                high = len(values)
+            code, high = code * len(self.items) + w, high * len(self.items)
+        _, first, counts = np.unique(code, return_index=True, return_counts=True)
+        return [self.items[w[first]] for w in self.words], counts
+
+    def keys(self) -> np.ndarray:
+        return _group_keys([self.items[w] for w in self.words])
+
+    def packed(self) -> list[bytes]:
+        used, places = np.unique(np.concatenate(self.words), return_inverse=True)
+        places = places.reshape(len(self.words), -1)
+        return [_pack(np.diff(self.piece, prepend=0)), _pack(self.at), _pack(self.items[used]), *map(_pack, places)]
+
+
+def _columns(k: int) -> list[str]:
+    """Packed columns of a segment of length k."""
+    return ["piece", "at", "items", *(f"w{i + 1}" for i in range(k))]
+
+
+def _segment(batch: pa.RecordBatch, i: int, k: int) -> Segment:
+    steps, at, items, *words = (_unpack(batch.column(c)[i].as_py()) for c in _columns(k))
+    return Segment(np.cumsum(steps), at, items, words)
 
 
 def _group_keys(words: list[np.ndarray]) -> np.ndarray:
     """A 64-bit hash of each group of words."""
-    key = mix(words[0].view(np.uint64))
+    key = mix(words[0])
     for w in words[1:]:
-        key = mix(key * _GOLD + w.view(np.uint64))
+        key = mix(key * _GOLD + w)
     return key
 
 
-def _column(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
-    return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+_VOCABULARY = ["items", "counts", "checks", "langs", "words"]
 
 
-def _extend(piece: np.ndarray, at: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Merge-join of sorted occurrences with themselves: (left, right) places of
-    the pairs in one piece whose positions are one apart.  Right begins with the
-    words that left has after its first, being the same text."""
-    place = (piece.astype(np.int64) << 32) + at
-    left = np.arange(len(place))
-    right = np.minimum(np.searchsorted(place, place + 1), max(len(place) - 1, 0))
-    met = place[right] == place + 1
-    return left[met], right[met]
+def _occurrences(docs: DataFrame, bits: int, renamed: Renamed) -> DataFrame:
+    """Segments of length 1, each with its vocabulary: counts, second hashes,
+    languages and words of its items, and the words of each language counted."""
+    names = [*_columns(1), *_VOCABULARY[1:], "lang_names", "lang_counts"]
+    schema = ", ".join(f"{n} binary" for n in names[:-2]) + ", lang_names array<string>, lang_counts array<long>"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = np.array([old for old, _ in renamed.values()], dtype=np.uint64)
+        for batch in batches:
+            named = pc.dictionary_encode(pc.fill_null(batch.column(0), "und"))
+            lang, langs = named.indices.to_numpy(), named.dictionary.to_pylist()
+            seeds = [xxhash.xxh64_intdigest(x.encode()) for x in langs]
+            for block in map(lowered, blocks(batch.column(1), SEGMENT_BYTES)):
+                starts, ends, row = block.spans(~ENDS_WORD[block.data])
+                if not len(starts):
+                    continue
+                raw, own = block.data.tobytes(), lang[block.first + row]
+                piece = np.cumsum(ENDS_PIECE[block.data])[starts] + row
+                first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
+                at = np.arange(len(piece)) - np.repeat(first, np.diff(np.append(first, len(piece))))
+                item = mix(block.hashes(starts, ends) ^ np.array(seeds, dtype=np.uint64)[own]) >> np.uint64(64 - bits)
+                for i in np.flatnonzero(np.isin(item, shared)):
+                    _, item[i] = renamed.get((langs[own[i]], raw[starts[i] : ends[i]].decode()), (0, item[i]))
+                items, place, word, counts = np.unique(item, return_index=True, return_inverse=True, return_counts=True)
+                words = [raw[x:y] for x, y in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
+                code = own[place]
+                checks = [xxhash.xxh64_intdigest(w, seeds[c]) for w, c in zip(words, code.tolist(), strict=True)]
+                line = [
+                    _pack(np.diff(piece, prepend=0)), _pack(at), _pack(items), _pack(word), _pack(counts),
+                    _pack(np.array(checks, dtype=np.uint64)), _pack(code), _zip(b"\n".join(words)),
+                    langs, np.bincount(own, minlength=len(langs)).tolist(),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in line], names=names)
+
+    texts = docs.select(F.col("lang").cast("string").alias("lang"), "text")
+    return texts.mapInArrow(run, schema).withColumn("segment", F.monotonically_increasing_id())
 
-def _group_counts(segments: DataFrame, k: int) -> DataFrame:
-    """(lang, w1 .. wk, n) of occurrences of length k - 1 joined to length k."""
-    names = [f"w{i + 1}" for i in range(k)]
-    schema = "lang string, " + ", ".join(f"{n} long" for n in names) + ", n long"
+
+def _word_counts(segments: DataFrame) -> DataFrame:
+    """(w1, n, low, high): each item's count, and the least and greatest second
+    hash of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [[_unpack(x.as_py()) for x in column] for column in batch.columns]
+            if not parts[0]:
+                continue
+            items, counts, checks = map(np.concatenate, parts)
+            order = np.lexsort((checks, items))
+            items, counts, checks = items[order], counts[order], checks[order]
+            first = np.flatnonzero(np.concatenate(([True], (items[1:] != items[:-1]) | (checks[1:] != checks[:-1]))))
+            columns = [items[first].view(np.int64), np.add.reduceat(counts, first), checks[first].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w1", "n", "low"])
+
+    parts = segments.select(*_VOCABULARY[:3]).mapInArrow(run, "w1 long, n long, low long")
+    return parts.groupBy("w1").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("low").alias("high"))
+
+
+def _words_of(segments: DataFrame, needed: DataFrame, limit: int) -> DataFrame:
+    """Distinct (w1, lang, word) of the items ``needed`` (w1)."""
+    known = None
+    if needed.count() <= limit:
+        known = _sent(needed.select("w1"), lambda words: np.sort(words[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                words = [_column(batch, n, i) for n in names[:-1]]
-                left, right = _extend(_column(batch, "piece", i), _column(batch, "at", i), words)
-                group = [w[left] for w in words] + [words[-1][right]]
-                # exact codes of groups: words numbered within the segment
-                code = np.zeros(len(left), dtype=np.int64)
-                for w in group:
-                    values, own = np.unique(w, return_inverse=True)
-                    _, code = np.unique(code * len(values) + own, return_inverse=True)
-                _, first, counts = np.unique(code, return_index=True, return_counts=True)
-                columns = [w[first] for w in group]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(batch.column("lang")[i], len(first)), *map(pa.array, columns), pa.array(counts)],
-                    names=["lang", *names, "n"],
-                )
-
-    parts = segments.select("lang", "piece", "at", *names[:-1]).mapInArrow(run, schema)
-    return parts.groupBy("lang", *names).agg(F.sum("n").alias("n"))
-
-
-def _frequent(segments: DataFrame, groups: DataFrame, k: int, joined: bool, limit: int) -> DataFrame:
-    """Segments with the occurrences of length k whose group is in ``groups``
-    (lang, w1 .. wk).  ``joined``: ``segments`` hold length k - 1 and are
-    joined to length k first."""
-    names = [f"w{i + 1}" for i in range(k)]
-    before = names[:-1] if joined else names
-    schema = "segment long, lang string, piece array<int>, at array<int>, " + ", ".join(f"{n} array<long>" for n in names)
-    columns = ["segment", "lang", "piece", "at", *before]
-    small = groups.count() <= limit
-
-    def grown(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        piece, at = _column(batch, "piece", i), _column(batch, "at", i)
-        words = [_column(batch, n, i) for n in before]
-        if not joined:
-            return piece, at, words
-        left, right = _extend(piece, at, words)
-        return piece[left], at[left], [w[left] for w in words] + [words[-1][right]]
-
-    def keep(found: Callable[[pa.RecordBatch, int], np.ndarray]):
-        """Rows of the relation whose group's key is among the sorted keys found."""
+                items, langs = (_unpack(batch.column(c)[i].as_py()) for c in ("items", "langs"))
+                here = np.flatnonzero(_among(items, known.value)) if known else np.arange(len(items))
+                words = _unzip(batch.column("words")[i].as_py()).split(b"\n")
+                names = batch.column("lang_names")[i].as_py()
+                columns = [items[here].view(np.int64), [names[c] for c in langs[here].tolist()], [words[k].decode() for k in here.tolist()]]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c, pa.string()) for c in columns[1:])], names=["w1", "lang", "word"])
+
+    rows = segments.select("items", "langs", "words", "lang_names").mapInArrow(run, "w1 long, lang string, word string")
+    return (rows if known else rows.join(needed.select("w1"), "w1", "left_semi")).distinct()
+
+
+def _sent(groups: DataFrame, form: Callable[[list[np.ndarray]], np.ndarray]):
+    """A broadcast of what ``form`` makes of the words of some groups, whose
+    number was checked."""
+    rows = groups.toArrow()
+    words = [rows.column(c).to_numpy().view(np.uint64) for c in rows.column_names]
+    return groups.sparkSession.sparkContext.broadcast(form(words))
+
+
+def _vocabulary(docs: DataFrame, bits: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The segments of length 1 and the count of each word (w1, n), where no
+    two words share an item."""
+    renamed: Renamed = {}
+    while True:
+        segments = stored(_occurrences(docs, bits, renamed), "phrases-1")
+        counts = stored(_word_counts(segments), "phrases-counts")
+        shared = counts.where("low <> high").select("w1")
+        if shared.isEmpty():
+            return segments, counts.select("w1", "n")
+        # hashes of 64 bits that meet are few; all but the least word move
+        stays = Window.partitionBy("w1").orderBy("lang", "word")
+        moves = _words_of(segments, shared, limit).withColumn("place", F.row_number().over(stays)).where("place > 1")
+        for r in moves.collect():
+            tag = hashlib.blake2b(f"{r['lang']}\n{r['word']}".encode(), digest_size=8, salt=str(len(renamed)).encode()).digest()
+            renamed[r["lang"], r["word"]] = (r["w1"] % (1 << 64), int.from_bytes(tag, "little"))
+
+
+class _Frequent:
+    """Semi-join of a segment's occurrences with frequent groups: their keys as
+    a broadcast, or in a column of the segment."""
+
+    def __init__(self, column: str | None, sent) -> None:
+        self.column, self.sent = column, sent
+
+    def __call__(self, segment: Segment, batch: pa.RecordBatch, i: int) -> Segment:
+        known = self.sent.value if self.column is None else np.sort(np.array(batch.column(self.column)[i].as_py(), np.int64).view(np.uint64))
+        if len(segment.words) == 1:  # once for each item
+            return segment.where(_among(mix(segment.items), known)[segment.words[0]])
+        return segment.where(_among(segment.keys(), known))
+
+
+def _extend(segment: Segment, batch: pa.RecordBatch, i: int) -> Segment:
+    return segment.extended()
+
+
+class Relation:
+    """Segments of length ``k`` and what is done to each when it is read."""
+
+    def __init__(self, segments: DataFrame, k: int, steps: tuple = ()) -> None:
+        self.segments, self.k, self.steps = segments, k, steps
+        self.length = k + sum(s is _extend for s in steps)
+
+    def extended(self) -> Relation:
+        return Relation(self.segments, self.k, (*self.steps, _extend))
+
+    def _map(self, make: Callable[[Segment, pa.RecordBatch, int], pa.RecordBatch], schema: str) -> DataFrame:
+        k, steps = self.k, self.steps
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    piece, at, words = grown(batch, i)
-                    keys, known = _group_keys(words), found(batch, i)
-                    near = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-                    here = known[near] == keys if len(known) else np.zeros(len(keys), bool)
-                    if here.any():
-                        line = [batch.column("segment")[i].as_py(), batch.column("lang")[i].as_py()]
-                        line += [x[here] for x in (piece, at, *words)]
-                        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in line], names=["segment", "lang", "piece", "at", *names])
-
-        return run
-
-    if small:
-        table: dict[str, np.ndarray] = {}
-        rows = groups.select("lang", *names).toArrow()
-        langs = np.array(rows.column("lang").to_pylist(), dtype=object)
-        keys = _group_keys([rows.column(n).to_numpy() for n in names]) if len(langs) else np.zeros(0, np.uint64)
-        for lang in set(langs):
-            table[lang] = np.sort(keys[langs == lang])
-        sent = segments.sparkSession.sparkContext.broadcast(table)
-        none = np.zeros(0, np.uint64)
-        return segments.select(columns).mapInArrow(keep(lambda b, i: sent.value.get(b.column("lang")[i].as_py(), none)), schema)
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                _, _, words = grown(batch, i)
-                keys, first = np.unique(_group_keys(words), return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.repeat(batch.column("segment")[i], len(keys)), pa.repeat(batch.column("lang")[i], len(keys)),
-                        *(pa.array(w[first]) for w in words), pa.array(keys.view(np.int64)),
-                    ],
-                    names=["segment", "lang", *names, "key"],
-                )
-
-    flat = "segment long, lang string, " + ", ".join(f"{n} long" for n in names) + ", key long"
-    own = segments.select(columns).mapInArrow(distinct, flat).join(groups, ["lang", *names], "left_semi")
-    own = own.groupBy("segment").agg(F.collect_list("key").alias("keys"))
-    rows = segments.select(columns).join(own, "segment")
-    return rows.mapInArrow(keep(lambda b, i: np.sort(_column(b, "keys", i).view(np.uint64))), schema)
+                    segment = _segment(batch, i, k)
+                    for step in steps:
+                        segment = step(segment, batch, i)
+                    if len(segment.at):
+                        yield make(segment, batch, i)
+
+        more = [s.column for s in steps if isinstance(s, _Frequent) and s.column]
+        return self.segments.select("segment", *_columns(k), *more).mapInArrow(run, schema)
+
+    def counts(self) -> DataFrame:
+        """(w1 .. wk, n) of all phrases."""
+        names = [f"w{i + 1}" for i in range(self.length)]
+
+        def make(segment: Segment, batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+            words, n = segment.groups()
+            return pa.RecordBatch.from_arrays([*(pa.array(w.view(np.int64)) for w in words), pa.array(n)], names=[*names, "n"])
+
+        return self._map(make, ", ".join(f"{n} long" for n in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n"))
+
+    def frequent(self, groups: DataFrame, limit: int) -> Relation:
+        """The occurrences of the groups (w1 .. wk)."""
+        names = [f"w{i + 1}" for i in range(self.length)]
+        groups = groups.select(*names)
+        if groups.count() <= limit:
+            step = _Frequent(None, _sent(groups, lambda words: np.sort(_group_keys(words))))
+            return Relation(self.segments, self.k, (*self.steps, step))
+
+        def make(segment: Segment, batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+            words, n = segment.groups()
+            columns = [pa.repeat(batch.column("segment")[i], len(n)), *(pa.array(w.view(np.int64)) for w in words)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(_group_keys(words).view(np.int64))], names=["segment", *names, "key"])
+
+        column = f"known{self.length}"
+        own = self._map(make, ", ".join(f"{n} long" for n in ["segment", *names, "key"])).join(groups, names, "left_semi")
+        own = own.groupBy("segment").agg(F.collect_list("key").alias(column))
+        return Relation(stored(self.segments.join(own, "segment"), "phrases-known"), self.k, (*self.steps, _Frequent(column, None)))
+
+    def persisted(self) -> Relation:
+        names = _columns(self.length)
+
+        def make(segment: Segment, batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+            line = [batch.column("segment")[i].as_py(), *segment.packed()]
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in line], names=["segment", *names])
+
+        schema = "segment long, " + ", ".join(f"{n} binary" for n in names)
+        return Relation(stored(self._map(make, schema), f"phrases-{self.length}"), self.length)
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -254,42 +353,45 @@ def phrase_collocations(
     of two or three words that occur ``least`` times or more, without those
     that occur inside a longer one ``inside_percent`` of their times or more.
     ``bits``: width of the words' hashes."""
-    first, vocabulary = _vocabulary(docs, bits)
-    totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("total"))
+    segments, counted = _vocabulary(docs, bits, broadcast_groups)
+    totals = segments.select(F.explode(F.map_from_arrays("lang_names", "lang_counts")).alias("lang", "n"))
+    totals = totals.groupBy("lang").agg(F.sum("n").alias("total")).where("total > 0")
     often = F.col("n") >= least
-    words = stored(vocabulary.where(often), "phrases-words")
-    relation = stored(_frequent(first, words, 1, False, broadcast_groups), "phrases-1")
-    pairs = stored(_group_counts(relation, 2).where(often), "phrases-pairs")
-    relation = stored(_frequent(relation, pairs, 2, True, broadcast_groups), "phrases-2")
-    triples = stored(_group_counts(relation, 3).where(often), "phrases-triples")
+    singles = stored(counted.where(often), "phrases-singles")
+    one = Relation(segments, 1).frequent(singles, broadcast_groups).extended()
+    pairs = stored(one.counts().where(often), "phrases-pairs")
+    two = one.frequent(pairs, broadcast_groups).persisted().extended()
+    triples = stored(two.counts().where(often), "phrases-triples")
+    used = pairs.select(F.explode(F.array("w1", "w2")).alias("w1")).distinct()
+    words = stored(_words_of(segments, used, broadcast_groups).join(singles, "w1"), "phrases-words")
 
     def word(at: str, tag: str) -> DataFrame:
-        return words.select("lang", F.col("w1").alias(at), F.col("word").alias(f"t{tag}"), F.col("n").alias(f"f{tag}"))
+        return words.select(F.col("w1").alias(at), F.col("word").alias(f"t{tag}"), F.col("n").alias(f"f{tag}"))
 
     def pair(x: str, y: str, count: str) -> DataFrame:
-        return pairs.select("lang", F.col("w1").alias(x), F.col("w2").alias(y), F.col("n").alias(count))
+        return pairs.select(F.col("w1").alias(x), F.col("w2").alias(y), F.col("n").alias(count))
 
     # longer candidates, dropped or not, that hold a pair
-    around = triples.select("lang", "w1", "w2", "n").union(triples.select("lang", "w2", "w3", "n"))
-    around = around.groupBy("lang", "w1", "w2").agg(F.max("n").alias("longer"))
-    two = pairs.join(around, ["lang", "w1", "w2"], "left")
+    around = triples.select("w1", "w2", "n").union(triples.select("w2", "w3", "n"))
+    around = around.groupBy("w1", "w2").agg(F.max("n").alias("longer"))
+    two = pairs.join(around, ["w1", "w2"], "left")
     two = two.where(F.col("longer").isNull() | (100 * F.col("longer") < inside_percent * F.col("n")))
-    two = two.join(word("w1", "1"), ["lang", "w1"]).join(word("w2", "2"), ["lang", "w2"])
+    two = two.join(word("w1", "1"), "w1").join(word("w2", "2"), "w2")
     two = two.select(
-        "lang", F.concat_ws(" ", "t1", "t2").alias("phrase"), F.col("n").alias("a"),
+        "w1", F.concat_ws(" ", "t1", "t2").alias("phrase"), F.col("n").alias("a"),
         F.col("f1").alias("l"), F.col("f2").alias("r"),
     ).withColumn("score", _score("a", "l", "r"))
-    three = triples.join(word("w1", "1"), ["lang", "w1"]).join(word("w2", "2"), ["lang", "w2"])
-    three = three.join(word("w3", "3"), ["lang", "w3"])
-    three = three.join(pair("w1", "w2", "f12"), ["lang", "w1", "w2"]).join(pair("w2", "w3", "f23"), ["lang", "w2", "w3"])
+    three = triples.join(word("w1", "1"), "w1").join(word("w2", "2"), "w2").join(word("w3", "3"), "w3")
+    three = three.join(pair("w1", "w2", "f12"), ["w1", "w2"]).join(pair("w2", "w3", "f23"), ["w2", "w3"])
     cuts = F.least(
         F.struct(_score("n", "f1", "f23").alias("score"), F.lit(1).alias("k"), F.col("f1").alias("l"), F.col("f23").alias("r")),
         F.struct(_score("n", "f12", "f3").alias("score"), F.lit(2).alias("k"), F.col("f12").alias("l"), F.col("f3").alias("r")),
     )
-    three = three.select("lang", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), F.col("n").alias("a"), cuts.alias("cut"))
-    three = three.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    three = three.select("w1", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), F.col("n").alias("a"), cuts.alias("cut"))
+    three = three.select("w1", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = two.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    found = two.unionByName(three).join(words.select("w1", "lang"), "w1")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return best.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score"
     )

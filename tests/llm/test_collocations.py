@@ -80,8 +80,28 @@ def test_score_is_exact(spark):
 
 
 def test_merge_join_of_sorted_occurrences():
-    piece, at = np.array([0, 0, 0, 2, 2, 5], np.int32), np.array([0, 1, 3, 0, 1, 0], np.int32)
-    left, right = collocations._extend(piece, at, [])
-    assert list(zip(left, right)) == [(0, 1), (3, 4)]
-    none = np.zeros(0, np.int32)
-    assert len(collocations._extend(none, none, [])[0]) == 0
+    piece, at, word = np.array([0, 0, 0, 2, 2, 5]), np.array([0, 1, 3, 0, 1, 0]), np.array([4, 1, 2, 0, 3, 4])
+    items = np.array([10, 11, 12, 13, 14], np.uint64)
+    two = collocations.Segment(piece, at, items, [word]).extended()
+    assert [w.tolist() for w in two.words] == [[4, 0], [1, 3]] and two.piece.tolist() == [0, 2]
+    none = np.zeros(0, np.int64)
+    assert len(collocations.Segment(none, none, items, [none]).extended().at) == 0
+
+
+def test_groups_are_counted_exactly_whatever_the_number_of_items(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = [rng.integers(0, 5, 400) for _ in range(3)]
+    small = collocations.Segment(np.zeros(400, np.int64), np.arange(400), np.arange(5).astype(np.uint64), words)
+    wide = collocations.Segment(small.piece, small.at, np.arange(1 << 21).astype(np.uint64), words)  # codes pass 62 bits
+    want = Counter(zip(*(w.tolist() for w in words)))
+    for segment in (small, wide):
+        found, n = segment.groups()
+        assert Counter(dict(zip(zip(*(w.tolist() for w in found)), n.tolist()))) == want
+
+
+def test_packed_numbers_come_back():
+    for values in ([], [0], [255, 3], [70000, 1], [1 << 40, 0]):
+        x = np.array(values, dtype=np.int64)
+        assert np.array_equal(collocations._unpack(collocations._pack(x)), x)
+    x = np.array([(1 << 64) - 1, 0], dtype=np.uint64)
+    assert np.array_equal(collocations._unpack(collocations._pack(x)), x)
