@@ -6,7 +6,8 @@ edges are stars: no node points at two others, or points and is pointed at.
 Rounds grow with the logarithm of the longest chain.
 Each round's edges are a table in the shared folder, so a lost executor does
 not force earlier rounds again, and no neighbourhood is ever collected: a
-node's smallest neighbour is an aggregate, joined back.
+node's smallest neighbour is an aggregate, joined back, for nodes of many
+neighbours apart (``skew``).
 
 The loop ends only when all edges are stars; there is no cap on rounds.
 """
@@ -16,23 +17,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.llm.skew import split_join
 from starloom.llm.store import stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """Large star: each node's larger neighbours point at its least known node."""
     both = edges.union(edges.select("dst", "src"))
-    least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"))
-    out = both.where(F.col("dst") > F.col("src")).join(least, "src")
+    least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"), F.count("*").alias("m"))
+    out = split_join(both.where(F.col("dst") > F.col("src")), stored(least, "least"), "src", "m")
     return out.select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
 
 
 def _small_stars(edges: DataFrame) -> DataFrame:
     """Small star on edges src > dst: a node and its smaller neighbours point
     at the least of them."""
-    least = edges.groupBy("src").agg(F.min("dst").alias("least"))
-    out = edges.join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
-    return out.where(F.col("src") != F.col("dst")).union(least).distinct()
+    least = stored(edges.groupBy("src").agg(F.min("dst").alias("least"), F.count("*").alias("m")), "least")
+    out = split_join(edges, least, "src", "m").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
+    return out.where(F.col("src") != F.col("dst")).union(least.select("src", "least")).distinct()
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -52,7 +54,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     edges = stored(edges.distinct(), "edges")
     while not _are_stars(edges):
-        edges = stored(_small_stars(_stars(edges)), "edges")
+        edges = stored(_small_stars(stored(_stars(edges), "edges")), "edges")
     roots = edges.select("dst").distinct()
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(
         roots.select("dst", "dst")

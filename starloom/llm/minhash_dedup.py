@@ -5,19 +5,22 @@ A text's set is its distinct shingles of lower-cased words.  Each of
 the maximum over the set, so half the hash evaluations fill a signature.
 Bands of six values (minima and maxima of three functions) make the keys under
 which texts become candidates; at a similarity of 0.8 a pair shares none of
-the 32 keys with probability 6e-5.
+the 32 keys with probability 6e-5.  Small sets, where that chance is larger, have
+keys that any two linked ones share for certain too (``part_keys``): links between
+sets of up to ``SMALL`` shingles are all found.
 
 Links are confirmed on full sets (as 64-bit hashes of the shingles).  Equal
 sets are one class first, so copies cost one row each.  Classes that share a
 key are a bucket, and its pairs are not listed: each member meets the
-bucket's hub, links give components, and then only members outside the bucket's
-largest component are compared again, first with other hubs of it
-(``HUB_ROUNDS``; buckets of one component are done, and new links merge the
-components so far), last with all members of other components, chunk by chunk in
-tasks that return links only.  So no pair that shares a key and is not already
-connected is left out, and a bucket of many copies of one text costs one
-comparison a member.  Components come from ``components``; all steps are
-joins and aggregates over stored tables.
+bucket's hub, unless a filter on signature bits drops the pair, links give
+components, and then only members outside the bucket's largest component are
+compared again, first with other hubs of it (``HUB_ROUNDS``; buckets of one
+component are done, and new links merge the components so far), last, without the
+filter, with all members of other components, chunk by chunk in tasks that return
+links only.  So no pair that shares a key and is not already connected is left
+out, and a bucket of many copies of one text costs one comparison a member.
+Components come from ``components``; all steps are joins and aggregates over stored
+tables, and keys that many classes share are joined apart (``skew``).
 
 Edge cases: a text with fewer words than a shingle is one shingle as a whole;
 a null or empty text, or one of blanks only, has an empty set and links with
@@ -39,6 +42,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from starloom.llm.components import connected_components
+from starloom.llm.part_keys import key_lists, part_keys
+from starloom.llm.skew import BROADCAST_ROWS, split_join
 from starloom.llm.store import stored
 from starloom.llm.text_bytes import Block, blocks, lowered, mix
 
@@ -46,6 +51,7 @@ PERMUTATIONS = 96
 BAND_FUNCTIONS = 3  # functions a band; each gives two values
 HUB_ROUNDS = 2
 CHUNK = 1024  # members of a bucket that a task compares with as many others
+SMALL = 40  # shingles of a set that also has certain keys
 SIGMAS = 5.0  # allowance of the signature-bit filter, in deviations
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -139,7 +145,18 @@ def _lists(values: np.ndarray, filled: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)))
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
+def _all_keys(rows: np.ndarray, keys: np.ndarray, size: np.ndarray, signature: np.ndarray, percent: int) -> pa.Array:
+    """Band keys of every set, and the certain keys of small ones."""
+    filled = np.flatnonzero(size)
+    bands = _band_keys(signature, BAND_FUNCTIONS)
+    small = np.where(size <= SMALL, size, 0)
+    few = small[rows] > 0
+    some, parts = part_keys(rows[few], keys[few], small, percent)
+    both = np.concatenate([np.repeat(filled, bands.shape[1]), some])
+    return key_lists(both, np.concatenate([bands.reshape(-1).view(np.uint64), parts]), len(size))
+
+
+def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n, fp1, fp2, bands, bits) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +170,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     [
                         batch.column(0).slice(block.first, block.rows),
                         *(pa.array(x) for x in (size, fp1, fp2)),
-                        _lists(_band_keys(signature, BAND_FUNCTIONS), filled, block.rows),
+                        _all_keys(rows, keys, size, signature, percent),
                         _lists(_bits(signature), filled, block.rows),
                     ],
                     names=["doc_id", "n", "fp1", "fp2", "bands", "bits"],
@@ -202,13 +219,15 @@ def _may_link(percent: int, longs: int) -> Column:
 class _Search:
     """State of the link search over classes of equal sets."""
 
-    def __init__(self, docs: DataFrame, words: int, percent: int) -> None:
-        self.percent = percent
-        signed = signatures(docs, words).withColumn("rid", F.monotonically_increasing_id())
+    def __init__(self, docs: DataFrame, words: int, percent: int, broadcast_rows: int) -> None:
+        self.percent, self.broadcast_rows = percent, broadcast_rows
+        signed = signatures(docs, words, percent).withColumn("rid", F.monotonically_increasing_id())
         self.signed = stored(signed, "dedup-signatures")
         filled = self.signed.where("n > 0")
         # partial aggregates: a class that a third of the rows share is cheap
-        classes = filled.groupBy("n", "fp1", "fp2").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("min_doc"))
+        classes = filled.groupBy("n", "fp1", "fp2").agg(
+            F.min("rid").alias("cid"), F.min("doc_id").alias("min_doc"), F.count("*").alias("rows")
+        )
         self.classes = stored(classes, "dedup-classes")
         reps = filled.join(self.classes.select("cid"), F.col("rid") == F.col("cid"))
         self.reps = stored(reps.select("cid", "doc_id", "n", "fp1", "fp2", "bands", "bits"), "dedup-reps")
@@ -217,21 +236,29 @@ class _Search:
         buckets = keys.groupBy("key").agg(
             F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("hub"), F.count("*").alias("m")
         )
-        buckets = buckets.where("m > 1").select("key", F.col("hub.cid").alias("hub"))
-        self.members = stored(keys.join(buckets, "key"), "dedup-members")
+        buckets = stored(buckets.where("m > 1").select("key", F.col("hub.cid").alias("hub"), "m"), "dedup-buckets")
+        self.members = stored(self._by_key(keys, buckets), "dedup-members")
         self.sets = stored(self._candidate_sets(docs, words), "dedup-sets")
         self.checked: DataFrame | None = None
         self.labels: DataFrame | None = None  # (node, component) of the linked classes
 
+    def _by_key(self, rows: DataFrame, buckets: DataFrame) -> DataFrame:
+        """``rows`` with the columns of ``buckets`` (a row a key, ``m`` members)."""
+        return split_join(rows, buckets, "key", "m", self.broadcast_rows)
+
     def _candidate_sets(self, docs: DataFrame, words: int) -> DataFrame:
         """(cid, shingles) of the classes that share a key with another."""
         need = self.reps.join(self.members.select("cid").distinct(), "cid", "left_semi")
         need = need.select("cid", F.col("doc_id").alias("at_doc"), "n", "fp1", "fp2")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        found = texts.join(need, F.col("doc_id").eqNullSafe(F.col("at_doc")))
+        found = texts.join(need.where("at_doc IS NOT NULL"), F.col("doc_id") == F.col("at_doc"))
         found = with_sets(found, words, ["cid", "n", "fp1", "fp2"])
         same = (F.col("f_n") == F.col("n")) & (F.col("f_1") == F.col("fp1")) & (F.col("f_2") == F.col("fp2"))
-        return found.where(same).select("cid", "shingles").dropDuplicates(["cid"])
+        found = found.where(same).select("cid", "shingles")
+        # classes of rows without id: by their fingerprint
+        bare = with_sets(texts.where("doc_id IS NULL"), words, ["doc_id"]).drop("doc_id")
+        bare = bare.dropDuplicates(["f_n", "f_1", "f_2"]).join(need.where("at_doc IS NULL"), same)
+        return found.unionByName(bare.select("cid", "shingles")).dropDuplicates(["cid"])
 
     def _attributes(self, side: str) -> DataFrame:
         return self.reps.select(
@@ -272,6 +299,17 @@ class _Search:
         single = merged.join(self.labels.select("node"), "node", "left_anti")
         self.labels = stored(old.union(single), "dedup-components")
 
+    def check_twos(self, left: DataFrame) -> None:
+        """Compare the pairs of buckets that hold two open members and whose
+        pair the filter dropped."""
+        twos = left.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("a"), F.max("cid").alias("b"))
+        pairs = twos.where("m = 2").select("a", "b").distinct()
+        size = self.reps.select("cid", "n")
+        for side in "ab":
+            pairs = pairs.join(size.withColumnsRenamed({"cid": side, "n": f"n_{side}"}), side)
+        near = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+        self.check(pairs.where(near).select("a", "b", "n_a", "n_b"))
+
     def open_buckets(self) -> DataFrame:
         """Members (key, cid, comp, top) of the buckets that hold several
         components; ``top`` is the bucket's largest component.  The others
@@ -281,9 +319,11 @@ class _Search:
         )
         parts = stored(parts.select("key", "cid", F.coalesce("component", "cid").alias("comp")), "dedup-parts")
         sizes = parts.groupBy("key", "comp").agg(F.count("*").alias("m"))
-        tops = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("parts"))
-        tops = tops.where("parts > 1").select("key", F.col("top.comp").alias("top"))
-        self.members = stored(parts.join(tops, "key"), "dedup-open")
+        tops = sizes.groupBy("key").agg(
+            F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("m").alias("m")
+        )
+        tops = stored(tops.where("parts > 1").select("key", F.col("top.comp").alias("top"), "m"), "dedup-tops")
+        self.members = stored(self._by_key(parts, tops), "dedup-open")
         return self.members
 
     def _rest_links(self, left: DataFrame) -> DataFrame:
@@ -291,12 +331,12 @@ class _Search:
         every member outside a bucket's largest component against all members
         of other components.  Both sides are dealt in chunks of ``CHUNK``, a
         task holds one chunk of each, and only links leave it (one from a
-        member to a component).  Buckets of two were compared by their hub."""
+        member to a component).  Buckets of two are done."""
         sizes = left.groupBy("key").agg(
             F.count("*").alias("m"), F.sum((F.col("comp") != F.col("top")).cast("int")).alias("u")
         )
-        sizes = sizes.where("m > 2").select("key", *(F.ceil(F.col(c) / CHUNK).cast("int").alias(f"{c}_parts") for c in "mu"))
-        rows = left.join(sizes, "key").join(self.sets, "cid")
+        sizes = sizes.where("m > 2").select("key", "m", *(F.ceil(F.col(c) / CHUNK).cast("int").alias(f"{c}_parts") for c in "mu"))
+        rows = self._by_key(left, stored(sizes, "dedup-sizes")).join(self.sets, "cid")
         spread = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
         cells = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         is_open = F.col("comp") != F.col("top")
@@ -342,58 +382,64 @@ class _Search:
         self.check(self.filtered(first))
         for turn in range(HUB_ROUNDS):
             left = self.open_buckets()
-            hubs = left.where("comp = top").groupBy("key").agg(
-                F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid")).alias("hub")
-            )
-            again = left.where("comp <> top").join(hubs, "key").select(*pair("cid", "hub.cid"))
+            inside = F.when(F.col("comp") == F.col("top"), F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid"))
+            hubs = left.groupBy("key").agg(F.min(inside).alias("hub"), F.count("*").alias("m"))
+            hubs = stored(hubs.select("key", F.col("hub.cid").alias("hub"), "m"), "dedup-hubs")
+            again = self._by_key(left.where("comp <> top"), hubs).select(*pair("cid", "hub"))
             self.check(self.filtered(again.distinct()))
+        self.check_twos(self.open_buckets())
         rest = self._rest_links(self.open_buckets())
         self.merge(stored(rest, "dedup-checked"))
         found = self.labels.select(F.col("node").alias("cid"), F.col("component").alias("comp"))
         return self.classes.join(found, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"))
 
 
-def near_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, fp1, fp2) of every row of ``docs``."""
-    search = _Search(docs, words, percent)
+def near_components(docs: DataFrame, words: int, percent: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, fp1, fp2, comp) of every row of
+    ``docs``; ``comp`` numbers the components (null for empty sets).  ``broadcast_rows``: rows of a key table that are broadcast whole."""
+    search = _Search(docs, words, percent, broadcast_rows)
     comps = stored(search.run(), "dedup-classes")
     known = search.classes.join(comps, "cid")
     least = known.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
-    named = known.join(least, "comp").select(
-        F.col("n").alias("c_n"), F.col("fp1").alias("c_1"), F.col("fp2").alias("c_2"), "comp", "component_id"
-    )
-    same = (F.col("n") == F.col("c_n")) & (F.col("fp1") == F.col("c_1")) & (F.col("fp2") == F.col("c_2"))
-    rows = search.signed.join(named, same, "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select(
+    key = F.struct("n", "fp1", "fp2")
+    named = stored(known.join(least, "comp").select(key.alias("set"), "component_id", "comp", "rows"), "dedup-named")
+    rows = search.signed.select("doc_id", "n", "fp1", "fp2", key.alias("set"))
+    found = split_join(rows.where("n > 0"), named, "set", "rows", broadcast_rows // 10)
+    empty = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
+    found = found.unionByName(empty, allowMissingColumns=True)
+    return found.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
         "fp1",
         "fp2",
+        "comp",
     )
 
 
 def drop_near_copies(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """One row of ``docs`` for each component: that with its smallest doc_id.
-    Of rows that repeat one doc_id in a component one stays."""
+    Of rows that repeat one doc_id in a component one stays; so does one row of
+    each component that only rows without id have."""
     found = stored(near_components(docs, words, percent), "dedup-result")
-    times = found.groupBy("doc_id").agg(F.count("*").alias("times"))
-    kept = found.where("kept").join(times.withColumnRenamed("doc_id", "t_id"), F.col("doc_id").eqNullSafe(F.col("t_id")))
-    kept = kept.select(
-        F.col("doc_id").alias("w_id"), F.col("n_shingles").alias("w_n"), F.col("fp1").alias("w_1"),
-        F.col("fp2").alias("w_2"), "times",
-    ).distinct()
-    kept = stored(kept, "dedup-kept")
-    once = docs.join(kept.where("times = 1").select("w_id"), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
-    # Repeated ids: told apart by their sets.
-    ids = kept.where("times > 1").select("w_id").distinct()
-    some = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    has_id = F.col("doc_id").isNotNull()
+    times = found.where(has_id).groupBy(F.col("doc_id").alias("w_id")).agg(F.count("*").alias("times"))
+    a_set = F.struct(F.col("n_shingles").alias("w_n"), F.col("fp1").alias("w_1"), F.col("fp2").alias("w_2"))
+    kept = found.where("kept").select(F.col("doc_id").alias("w_id"), "comp", a_set.alias("w"))
+    # of a component without any id the least set stays
+    bare = kept.where("w_id IS NULL").groupBy("w_id", "comp").agg(F.min("w").alias("w"))
+    kept = kept.where("w_id IS NOT NULL").unionByName(bare).select("w_id", "w.*").distinct()
+    kept = stored(kept.join(times, "w_id", "left"), "dedup-kept")
+    once = docs.join(kept.where("times = 1").select("w_id"), F.col("doc_id") == F.col("w_id"), "left_semi")
+    # Repeated and missing ids: told apart by their sets.
+    again = kept.where("times > 1 OR w_id IS NULL")
+    ids = again.where("w_id IS NOT NULL").select("w_id").distinct()
+    some = docs.join(ids, F.col("doc_id") == F.col("w_id"), "left_semi").union(docs.where(F.col("doc_id").isNull()))
     some = with_sets(some, words, some.columns, sets=False)
     same = (
         F.col("doc_id").eqNullSafe(F.col("w_id"))
         & (F.col("f_n") == F.col("w_n")) & (F.col("f_1") == F.col("w_1")) & (F.col("f_2") == F.col("w_2"))
     )
-    some = some.join(kept.where("times > 1"), same, "left_semi").dropDuplicates(["doc_id", "f_n", "f_1", "f_2"])
-    return once.union(some.select(*[f"`{c}`" for c in docs.columns]))
+    some = some.join(again, same, "left_semi").dropDuplicates(["doc_id", "f_n", "f_1", "f_2"])
+    return once.union(some.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -14,8 +14,10 @@ suffixes instead of being tried one by one.
 Edge cases: a null url, or one without ``://``, has empty host and path, no
 rule and no aliases, so it is allowed; of equally long rules the one with the
 longer host, then the smaller text decides; repeated rows get equal verdicts;
-chains and cycles of redirects are one class; an empty table gives an empty
-result; further columns are ignored.
+chains and cycles of redirects are one class; html and urls of any length are
+read whole, where a tag ends at its first ``>``; character references in a
+link that name no character stay as they are; an empty table gives an empty
+result; of further columns those named host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.components import connected_components
+from starloom.llm.skew import split_left_join
 from starloom.llm.store import stored
 
 MAX_RULES = 200
 
 _ATTR = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: named character references that links are written with
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_REFERENCE = r"(?s)^(amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});(.*)$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,29 +86,71 @@ def with_rules(urls: DataFrame, rules: list[tuple[str, str, str]], max_rules: in
     )
 
 
+def decoded(text: Column) -> Column:
+    """``text`` with its character references decoded."""
+
+    def one(piece: Column) -> Column:
+        """What follows an ``&``: the character a reference names, then the rest."""
+        name = F.regexp_extract(piece, _REFERENCE, 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7))
+        code = F.when(name.startswith("#"), code.cast("int"))
+        fine = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        other = F.decode(F.unhex(F.lpad(F.hex(F.when(fine, code)), 8, "0")), "UTF-32")
+        for known, letter in _NAMED.items():
+            other = F.when(name == known, F.lit(letter)).otherwise(other)
+        tail = F.regexp_extract(piece, _REFERENCE, 2)
+        return F.coalesce(F.concat(F.when(name != "", other), tail), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
+    return F.when(text.contains("&"), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(text)
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    found = rf"(?is)\b{name}\s*=\s*{_ATTR}"
-    return F.concat(*[F.regexp_extract(tag, found, i) for i in (1, 2, 3)])
+    found = rf"(?is)\s{name}\s*=\s*{_ATTR}"
+    return decoded(F.concat(*[F.regexp_extract(tag, found, i) for i in (1, 2, 3)]))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == ".", done)
+        .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    last = F.element_at(parts, -1)
+    end = F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    plain = F.concat(F.lit("/"), F.array_join(kept, "/"), end)
+    return F.when(path.startswith("/") & path.contains("/."), plain).otherwise(path)
 
 
 def normal_url(url: Column) -> Column:
-    """A url as a node of the alias graph: scheme and host lower-cased and
-    the fragment, which never reaches a server, cut off."""
+    """A url as a node of the alias graph: scheme and host lower-cased, dot
+    segments resolved, and the fragment, which never reaches a server, cut off."""
     scheme = F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.concat(scheme, F.lit("://"), url_host(url), F.when(rest == "", "/").otherwise(rest))
+    path = without_dots(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    return F.concat(scheme, F.lit("://"), url_host(url), F.when(path == "", "/").otherwise(path), query)
 
 
 def absolute(base: Column, link: Column) -> Column:
-    """``link`` resolved against the absolute url ``base`` (no dot segments)."""
+    """``link`` resolved against the absolute url ``base``; dot segments are
+    left to :func:`normal_url`."""
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
-    folder = F.when(folder.endswith("/") & ~folder.endswith("://"), folder).otherwise(F.concat(origin, F.lit("/")))
+    page = F.regexp_extract(base, r"(?s)^(.*?://[^?#]*)", 1)
+    whole = F.regexp_extract(base, r"(?s)^([^#]*)", 1)
+    folder = F.concat(origin, F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*/)?", 1))
+    folder = F.when(folder == origin, F.concat(origin, F.lit("/"))).otherwise(folder)
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("?"), F.concat(page, link))
+        .when(link.startswith("#"), F.concat(whole, link))
         .otherwise(F.concat(folder, link))
     )
 
@@ -117,7 +165,8 @@ def page_links(pages: DataFrame) -> DataFrame:
     found = pages.where(F.col("url").contains("://")).select("url", F.explode(tags).alias("tag"))
     found = stored(found, "url-tags")
     is_link = F.lower(F.col("tag")).startswith("<link")
-    canonical = F.when(is_link & (F.lower(_attribute(F.col("tag"), "rel")) == "canonical"), _attribute(F.col("tag"), "href"))
+    kinds = F.split(F.lower(_attribute(F.col("tag"), "rel")), r"[ \t\n\f\r]+")
+    canonical = F.when(is_link & F.array_contains(kinds, "canonical"), _attribute(F.col("tag"), "href"))
     refresh = F.when(
         ~is_link & (F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh"),
         F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1),
@@ -164,8 +213,7 @@ def judge_urls(
         F.col("node").alias("_node"), F.lit(True).alias("_condemned")
     )
     return (
-        judged.withColumn("_node", node)
-        .join(condemned, "_node", "left")
+        split_left_join(judged.withColumn("_node", node), stored(condemned, "url-condemned"), "_node")
         .withColumn(
             "verdict", F.coalesce("ruled", F.when(F.col("_condemned"), F.lit("block")).otherwise(F.lit("allow")))
         )

@@ -10,8 +10,9 @@ are read too.
 
 Writing takes rows of (record_id, record_type, target_uri, refers_to, payload,
 payload_bytes, payload_digest) and makes one file a task.  A task writes under
-a name of its own attempt; the commit on the driver gives the files their final
-names, so a retried or lost task leaves nothing behind.
+a name of its own attempt; the commit on the driver gives the files of the
+attempts that count their final names and removes what other attempts of the
+write left (a reader would not look at it).
 
 ``archive_pages`` turns pages into records: of equal payloads of at least
 ``least`` bytes the largest page_id is the response and the others are
@@ -20,8 +21,9 @@ revisits without a payload.
 Edge cases: a null payload is empty; a null url has no target header; a null
 page_id is never the largest of its group and is written as ``null``; rows that
 tie on the largest page_id of a group are all responses; control characters
-in header values are percent-encoded; an empty table gives no archive, and
-reading a folder without archives gives no rows.
+in header values are percent-encoded; a payload of any length is one record;
+further columns are not read; an empty table gives no archive, and reading a
+folder without archives gives no rows.
 """
 
 from __future__ import annotations
@@ -48,6 +50,9 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from starloom.llm.skew import split_join
+from starloom.llm.store import stored
+
 LEAST_REVISIT = 1000
 HEAD = 16_384  # bytes inflated at first to find the header block
 READ = 1 << 22
@@ -335,11 +340,16 @@ class WarcWriter(DataSourceArrowWriter):
         fs, path = _open(self.path)
         for name in (n for m in messages if m for n in m.names):
             fs.move(f"{path}/{name}.open", f"{path}/{name}.warc.gz")
+        self._clear(fs, path)
 
     def abort(self, messages) -> None:
-        fs, path = _open(self.path)
-        for name in (n for m in messages if m for n in m.names):
-            fs.delete_file(f"{path}/{name}.open")
+        self._clear(*_open(self.path))
+
+    def _clear(self, fs: pafs.FileSystem, path: str) -> None:
+        """Remove the unfinished files of this write."""
+        for info in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+            if info.base_name.startswith(self.run) and info.base_name.endswith(".open"):
+                fs.delete_file(info.path)
 
 
 class WarcDataSource(DataSource):
@@ -384,7 +394,7 @@ def archive_pages(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> No
     large = rows.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
     tops = large.groupBy("payload_digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null")
     revisits = (
-        large.join(tops.drop("n"), "payload_digest")
+        split_join(large, stored(tops, "warc-tops"), "payload_digest", "n")
         .where(F.col("page_id").isNull() | (F.col("page_id") < F.col("top")))
         .select(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest"), "top")
         .distinct()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from starloom.llm import ngram_join
+from starloom.llm.part_keys import part_keys
 from starloom.llm.prefix_tree import linked
 from starloom.llm.store import reach_workers
 from tests.llm.test_operators import LONG, jaccard_components
@@ -81,7 +82,7 @@ def test_linked_sets_share_a_key(percent):
                 continue
             grams = np.concatenate([one, two])
             row = np.repeat([0, 1], [len(one), len(two)])
-            rows, keys = ngram_join.part_keys(row, grams, np.array([len(one), len(two)]), percent)
+            rows, keys = part_keys(row, grams, np.array([len(one), len(two)]), percent)
             assert set(keys[rows == 0]) & set(keys[rows == 1])
 
 

@@ -3,7 +3,9 @@ nulls, empty and long texts, ties, repeated rows, empty tables and clashing
 column names."""
 
 import hashlib
+import html
 import re
+import urllib.parse
 import zlib
 from collections import Counter
 
@@ -19,6 +21,7 @@ from starloom.llm import (
 )
 from starloom.llm.bpe import RankBpe
 from starloom.llm.components import connected_components
+from starloom.llm.skew import split_left_join
 from starloom.llm.store import reach_workers, shared_folder
 
 SF = "/root/testdata/sf0.001"
@@ -250,6 +253,45 @@ def test_minhash_components_match_brute_force(spark, docs, none):
     assert minhash_dedup.near_components(none, 2, 80).count() == 0
 
 
+def test_minhash_rows_without_id_and_long_texts(spark):
+    """2,000 rows without id in three components, and long near copies."""
+    reach_workers(spark)
+    base = [f"w{i}" for i in range(40)]
+    bare = [(None, " ".join([*base, f"x{i}"])) for i in range(1200)] + [(None, f"t{i % 2} other text here now") for i in range(800)]
+    words = [f"long{i}" for i in range(60000)]
+    other = [w if i % 50 else "changed" for i, w in enumerate(words)]
+    far = [w if i % 2 else "changed" for i, w in enumerate(words)]
+    rows = bare + [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for limit in (minhash_dedup.BROADCAST_ROWS, 0):  # all keys broadcast; heavy ones only
+        got = minhash_dedup.near_components(frame, 2, 80, limit).collect()
+        assert len(got) == len(rows)
+        assert {r.doc_id: r.component_id for r in got if r.doc_id} == {1: 1, 2: 1, 3: 3}
+        # counted without any set: distinct neighbouring words
+        assert {r.doc_id: r.n_shingles for r in got if r.doc_id} == {
+            i: len(set(zip(w, w[1:]))) for i, w in ((1, words), (2, other), (3, far))
+        }
+        bare_comps = Counter(r.comp for r in got if r.doc_id is None)
+        assert sorted(bare_comps.values()) == [400, 400, 1200]
+    kept = minhash_dedup.drop_near_copies(frame, 2, 80).collect()
+    assert Counter(r.doc_id for r in kept) == {None: 3, 1: 1, 3: 1}
+
+
+def test_minhash_finds_all_links_of_small_sets(spark):
+    """Pairs of short texts at the very threshold, where bands alone miss some."""
+    reach_workers(spark)
+    rows = []
+    for k in range(1500):
+        words = [f"p{k}w{i}" for i in range(10)]  # nine shingles; the copy has eight of them and no other
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:9]))]
+        n = 5 + k % 30
+        words = [f"q{k}w{i}" for i in range(n)]
+        rows += [(100000 + 2 * k, " ".join(words)), (100001 + 2 * k, " ".join([*words, f"q{k}end"]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_components(frame, 2, 80).collect()}
+    assert all(got[i] == i - i % 2 for i, _ in rows)
+
+
 def test_components(spark):
     reach_workers(spark)
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
@@ -389,6 +431,61 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.where("false"), rules).count() == 0
 
 
+def test_url_links_in_all_forms(spark):
+    """Links as pages write them, against urllib and html."""
+    reach_workers(spark)
+    base = "http://Host.org/a/b/page?q=1#top"
+    written = [
+        "c", "./c", "../c", "../../../c", "/c/./d/../e", "?x=1", "#part", "//Other.net/z", "https://x.y/a/../b?q#f", "c?u=/../v",
+        "a=1&amp;b=2", "?a=1&#38;b=2", "?a=1&#x26;b=2", "?q=&quot;&lt;&gt;&apos;", "?n=&#233;&#x4E2D;&#128512;", "?b=&unknown;&#0;&;&", "d/.", "d/..", "..",
+        "x:y", "",
+    ]
+    links = spark.createDataFrame([(base, w) for w in written], "base string, link string")
+    got = links.select("link", url_rules.decoded(F.col("link")).alias("plain")).select(
+        "link", "plain", url_rules.normal_url(url_rules.absolute(F.lit(base), F.col("plain"))).alias("node")
+    ).collect()
+    for r in got:
+        # html.unescape drops &#0; to U+FFFD, which is no link
+        plain = r.link if "unknown" in r.link else html.unescape(r.link)
+        assert r.plain == plain
+        if r.link in ("", "x:y"):  # the page itself is dropped before; no scheme without //
+            continue
+        full = urllib.parse.urlsplit(urllib.parse.urljoin(base, plain))
+        if "/." in full.path:  # of an absolute link
+            full = full._replace(path=urllib.parse.urljoin("/", full.path))
+        want = f"{full.scheme}://{full.netloc.lower()}{full.path or '/'}" + (f"?{full.query}" if full.query else "")
+        assert r.node == want, r.link
+
+
+def test_url_links_of_pages(spark):
+    reach_workers(spark)
+    rules = [("block", "bad.net", "/")]
+    rel = '<link {}>'
+    rows = [
+        (1, "http://a.org/p", rel.format('rel="shortlink  Canonical" href="http://bad.net/x?a=1&amp;b=2"')),
+        (2, "http://b.org/p", rel.format('href="http://bad.net/q/../x?a=1&#38;b=2" rel=canonical')),
+        (3, "http://c.org/d/p?old", rel.format("rel='canonical' href='?new'")),
+        (4, "http://c.org/d/p?new", '<META http-equiv=Refresh content="5;URL=\'../../d/../e\'">'),
+        (5, "http://c.org/e", rel.format('rel="canonical" href="http://bad.net"')),
+        (6, "http://d.org/", rel.format('rel="noncanonical" href="http://bad.net/"')),
+        (7, "http://e.org/", rel.format('data-rel="canonical" href="http://bad.net/"')),
+        (8, None, rel.format('rel="canonical" href="http://bad.net/"')),
+    ]
+    rows += [(100 + i, "http://c.org/e", None) for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, rules).collect()}
+    assert [got[i] for i in range(1, 9)] == ["block"] * 5 + ["allow"] * 3
+    assert {got[i] for i in got if i >= 100} == {"block"}
+
+
+def test_left_join_by_heavy_keys(spark):
+    rows = spark.createDataFrame([(None if i % 7 == 0 else "hot" if i % 2 else f"k{i}", i) for i in range(3000)], "k string, i long")
+    table = spark.createDataFrame([("hot", 1), ("k2", 2), ("nobody", 3)], "k string, v int")
+    want = Counter((r.k, r.i, {"hot": 1, "k2": 2}.get(r.k)) for r in rows.collect())
+    for limit in (10, 0):
+        assert Counter(map(tuple, split_left_join(rows, table, "k", limit).select("k", "i", "v").collect())) == want
+
+
 def test_warc_round_trip(spark):
     reach_workers(spark)
     big = "é" * 700
