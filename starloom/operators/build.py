@@ -104,35 +104,72 @@ def composite_keys(
 
 
 # ---------------------------------------------------------------- M2
-def link_table(keyed_facts: dict[str, DataFrame], shared: Sequence[str]) -> DataFrame:
+def link_table(
+    keyed_facts: dict[str, DataFrame], shared: Sequence[str], header: str | None = None, detail: str | None = None
+) -> DataFrame:
     """M2: per fact holding a shared field: source tag, its key, the same key
     as ``%DateBridgeKey``, and the shared fields it has; union by name;
-    distinct (a link row repeated would multiply joins)."""
+    distinct (a link row repeated would multiply joins).
+
+    With ``header`` and ``detail`` (from :func:`header_keys`) a detail row also
+    carries its header's key and shared fields, and the bridge key of both is
+    the header's; headers without a detail row have rows of their own."""
     parts = {}
     for n, df in keyed_facts.items():
         have = [s for s in shared if s in df.columns]
         if not have:
             continue
         k = fact_key_name(n)
+        bridge, more = k, []
+        if n == detail:
+            bridge = fact_key_name(header)
+            more = [F.col(f"`{bridge}`")]
+        elif n == header:
+            df = df.where(~F.col(HAS_DETAIL))
         parts[n] = df.select(
             F.lit(n).alias(LINK_SOURCE),
             F.col(f"`{k}`").alias(k),
-            F.col(f"`{k}`").alias(BRIDGE_KEY),
+            *more,
+            F.col(f"`{bridge}`").alias(BRIDGE_KEY),
             *[F.col(f"`{s}`") for s in have],
         )
     return concatenate(parts).distinct()
 
 
+HAS_DETAIL = "%HasDetail"
+
+
+def header_keys(keyed_facts: dict[str, DataFrame], header: str, detail: str, link: str) -> dict[str, DataFrame]:
+    """The facts, where each row of ``detail`` has the key and the other
+    fields of the ``header`` row with the same ``link`` value, and each header
+    row says whether a detail row has its value.  ``link`` is unique in the
+    header, so no row is multiplied."""
+    key = fact_key_name(header)
+    top, low = keyed_facts[header], keyed_facts[detail]
+    own = set(low.columns)
+    carried = [c for c in top.columns if c == link or c not in own]
+    joined = low.join(top.select(*[F.col(f"`{c}`") for c in carried]), link, "left")
+    met = low.select(link).where(F.col(f"`{link}`").isNotNull()).distinct().withColumn(HAS_DETAIL, F.lit(True))
+    marked = top.join(met, link, "left").withColumn(HAS_DETAIL, F.coalesce(HAS_DETAIL, F.lit(False)))
+    return keyed_facts | {detail: joined, header: marked.select(*[F.col(f"`{c}`") for c in [*top.columns, HAS_DETAIL]])}
+
+
 # ---------------------------------------------------------------- M3
-def date_bridge(keyed_facts: dict[str, DataFrame], dates: Sequence[tuple[str, str]]) -> DataFrame:
+def date_bridge(
+    keyed_facts: dict[str, DataFrame],
+    dates: Sequence[tuple[str, str]],
+    header: str | None = None,
+    detail: str | None = None,
+) -> DataFrame:
     """M3: one row per (fact key, date field): source, key, ``CanonicalDate``
     (as date), ``DateType`` (the field name); null keys dropped; distinct.
     Dates are read from the facts themselves, so a bridge exists even when
-    the strategy made no link table."""
+    the strategy made no link table.  With ``header`` and ``detail`` (from
+    :func:`header_keys`) the dates of both hang on the header's key."""
     parts = []
     for fact, field in dates:
         df = keyed_facts[fact]
-        k = fact_key_name(fact)
+        k = fact_key_name(header if fact == detail else fact)
         parts.append(
             df.select(
                 F.lit(fact).alias(BRIDGE_SOURCE),

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.functions.values import is_missing
+from starloom.operators.overlap import column_id
 from starloom.session import materialize
 
 
@@ -62,6 +64,8 @@ def fact_groups(fields: DataFrame, roles: DataFrame, threshold: float = SIMILARI
     one row per fact pair (catalog-sized).
     """
     sims = fact_similarity(fields, roles).where(F.col("similarity") > threshold).select("ti", "tj").transform(materialize)
+    if sims.isEmpty():
+        return sims.sparkSession.createDataFrame([], "group string, table string, member_pos int")
     facts = roles.where(F.col("role") == "FACT").select("tidx", "table").transform(materialize)
     seeds = facts.select("tidx")
     while True:
@@ -187,6 +191,32 @@ def relationship_cardinality(left: DataFrame, right: DataFrame, left_key: str, r
     return row.select(F.col("left_max").cast("long"), F.col("right_max").cast("long"), card.alias("cardinality"))
 
 
+def link_cardinalities(counts: DataFrame, fields: DataFrame, links: DataFrame) -> DataFrame:
+    """J5 of all links at once: ``tableA, fieldA, tableB, fieldB, confidence,
+    maxA, maxB, cardinality``, from the value counts ``(tidx, pos, value, n)`` of
+    the profile, without another scan.  ``maxA`` is the most rows that a value
+    which both columns hold has in A.
+
+    Values are grouped to the columns that hold them (at most one row per
+    column of the model in a group), and only columns of links take part."""
+    place = lambda x: fields.select(
+        F.col("table").alias(f"table{x}"), F.col("field").alias(f"field{x}"), column_id("tidx", "pos").alias(f"col{x}")
+    )
+    found = links.join(place("A"), ["tableA", "fieldA"]).join(place("B"), ["tableB", "fieldB"])
+    used = found.select(F.col("colA").alias("col")).union(found.select("colB")).distinct()
+    cells = counts.where(~is_missing(F.col("value"))).select(column_id("tidx", "pos").alias("col"), "value", "n")
+    # schema-sized: one row per column
+    held = cells.join(F.broadcast(used), "col").groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("col", "n"))).alias("at"))
+    met = held.where(F.size("at") > 1).select("at", F.explode(F.map_keys("at")).alias("colA")).join(F.broadcast(found.select("colA", "colB").distinct()), "colA")
+    both = met.select("colA", "colB", F.col("at")[F.col("colA")].alias("a"), F.col("at")[F.col("colB")].alias("b")).where(F.col("b").isNotNull())
+    most = both.groupBy("colA", "colB").agg(F.max("a").alias("maxA"), F.max("b").alias("maxB"))
+    many_a, many_b = F.col("maxA") > 1, F.col("maxB") > 1
+    label = F.when(~many_a & ~many_b, "1:1").when(~many_a, "1:n").when(~many_b, "n:1").otherwise("n:m")
+    return found.join(most, ["colA", "colB"]).select(
+        "tableA", "fieldA", "tableB", "fieldB", "confidence", "maxA", "maxB", label.alias("cardinality")
+    )
+
+
 def header_detail(model: dict[str, DataFrame], a: str, b: str, key_a: str, key_b: str) -> DataFrame:
     """Classify the relation of two facts sharing a key: ``header`` and
     ``detail`` when it is 1:n (either way), else both stay peers."""

@@ -26,6 +26,14 @@ DRIVER_SCHEMAS: dict[str, list[str]] = {
     "conversations": ["conv_id", "turn", "role", "text"],
 }
 
+# Two slices of orders by year, the later one without a column: similar facts.
+ORDER_SLICES = {
+    "orders_early": DRIVER_SCHEMAS["orders"],
+    "orders_late": [c for c in DRIVER_SCHEMAS["orders"] if c != "o_orderpriority"],
+}
+SLICED = "_".join(ORDER_SLICES)
+SLICED_COLUMNS = [*DRIVER_SCHEMAS["orders"], f"%{SLICED}_SourceTable"]
+
 STAR_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 ALL_TABLES = list(DRIVER_SCHEMAS)
 

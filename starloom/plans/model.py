@@ -7,17 +7,22 @@ read it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.session import materialize, stage
 
+from starloom.operators import build as bd
 from starloom.operators import classify as cl
+from starloom.operators import collapse as co
+from starloom.operators import cycles
+from starloom.operators import graph as gr
 from starloom.operators import links as lk
 from starloom.operators import overlap as ov
 from starloom.operators import profile as pr
+from starloom.operators import structure as st
 from starloom.operators.association import ChartModel
 
 
@@ -34,13 +39,15 @@ class Discovery:
     """
 
     def __init__(self, tables: dict[str, DataFrame], overrides: DataFrame | None = None,
-                 approx: bool = False, scan_columns: int | None = None, types: DataFrame | None = None):
+                 approx: bool = False, scan_columns: int | None = None, types: DataFrame | None = None,
+                 counts: DataFrame | None = None):
         self.tables = tables
         self.types = types
         self.overrides = overrides
         self.approx = approx
         self.scan_columns = scan_columns
-        self._cache: dict[str, DataFrame] = {}
+        self._cache: dict[str, DataFrame] = {} if counts is None else {"counts": counts}
+        self._grouped: Discovery | None = None
 
     def _get(self, key: str, make) -> DataFrame:
         if key not in self._cache:
@@ -124,6 +131,33 @@ class Discovery:
         """D20 names for every field."""
         return self._get("canonical", lambda: lk.normalize_names(self.fields, self.links).transform(materialize))
 
+    @property
+    def cardinalities(self) -> DataFrame:
+        """J5 of every accepted link, from the value counts."""
+        return self._get("cardinalities", lambda: st.link_cardinalities(
+            self.counts, self.fields, self.links).transform(materialize))
+
+    def grouped(self) -> Discovery:
+        """The discovery of the model whose similar facts are one table each
+        (D22-D24); itself where there are none."""
+        if self._grouped is None:
+            groups: dict[str, list[str]] = {}
+            found = st.fact_groups(self.fields, self.roles)
+            for r in _rows(found.orderBy("group", "member_pos")):  # one row a fact
+                groups.setdefault(r["group"], []).append(r["table"])
+            self._grouped = self._collapsed(groups) if groups else self
+        return self._grouped
+
+    def _collapsed(self, groups: dict[str, list[str]]) -> Discovery:
+        plan = co.collapse(self.tables, groups)
+        spark = self.fields.sparkSession
+        rows = {r["table"]: r["rowCount"] for r in _rows(self.roles.select("table", "rowCount"))}
+        counts = None if self.approx else stage(co.merged_counts(spark, self.counts, plan, rows), "values")
+        overrides = co.moved_overrides(spark, self.overrides, plan)
+        out = Discovery(plan.tables, overrides, self.approx, self.scan_columns, counts=counts)
+        out._grouped = out
+        return out
+
 
 def overrides_frame(spark: SparkSession, rows: list[tuple[str, str, str | None, str | None]]) -> DataFrame:
     """``(table, field, type, alias)`` overrides of the classification."""
@@ -148,16 +182,7 @@ def rename_canonical(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(mapping.get(c, c)) for c in df.columns])
 
 
-def canonical_mapping(canonical: DataFrame, table: str) -> DataFrame:
-    """The ``field -> canonical`` rows of one table (catalog-sized)."""
-    return canonical.where(F.col("table") == table).select("field", "canonical")
-
-
 # ------------------------------------------------------------------ building
-from starloom.operators import build as bd  # noqa: E402
-from starloom.operators import structure as st  # noqa: E402
-
-
 @dataclass
 class ModelPlan:
     """Names and strategy, before any table of the model is made."""
@@ -166,6 +191,9 @@ class ModelPlan:
     blueprint: st.Blueprint
     grains: dict[str, list[str]]
     canonical: DataFrame
+    #: (table, field, new name) of the associations given up, or (fact, field,
+    #: None) of fields moved to the link table, to leave no cycle
+    repairs: list[tuple[str, str, str | None]] = field(default_factory=list)
 
     def calendar(self, today: str | None = None) -> DataFrame:
         """M4, and M5 when ``today`` is given."""
@@ -173,6 +201,52 @@ class ModelPlan:
         calendar = bd.master_calendar(dates)
         return bd.relative_deltas(calendar, today) if today else calendar
 
+    def columns(self) -> dict[str, list[str]]:
+        """The columns that the model's tables will have, as far as they can
+        link tables."""
+        bp = self.blueprint
+        out = {t: list(df.columns) for t, df in self.renamed.items()}
+        keys = {f: bd.fact_key_name(f) for f in bp.facts}
+        if bp.strategy == "LINK_TABLE" or bp.date_bridge:
+            for f, k in keys.items():
+                out[f].append(k)
+        if bp.strategy == "LINK_TABLE":
+            own = [f for f in bp.facts if any(c in bp.shared for c in out[f])]
+            held = [c for c in bp.shared if any(c in out[f] for f in own)]
+            out["LinkTable"] = [bd.LINK_SOURCE, *(keys[f] for f in own), bd.BRIDGE_KEY, *held]
+            for f in bp.facts:
+                out[f] = [c for c in out[f] if c not in bp.shared]
+        if bp.date_bridge and bp.dates:
+            out["CanonicalDateBridge"] = [bd.BRIDGE_SOURCE, bd.BRIDGE_KEY, bd.CANONICAL_DATE, bd.DATE_TYPE]
+            out["MasterCalendar"] = [bd.CANONICAL_DATE]
+        return out
+
+    def repaired(self, scores: dict[tuple[str, str], int]) -> ModelPlan:
+        """D14 -> D25: while an association closes a cycle (or makes a
+        synthetic key), the one with the worst score goes: a field that several
+        facts have moves to the link table, any other is named after its table,
+        so that it links no more."""
+        plan = self
+        while True:
+            columns, bp = plan.columns(), plan.blueprint
+            made = ["LinkTable", "CanonicalDateBridge", "MasterCalendar"]
+            closing = cycles.closing_fields(columns, scores, bp.facts, made)
+            closing = [(t, c) for t, c in closing if t not in made and not c.startswith("%")]
+            if not closing:
+                return plan
+            table, name = closing[-1]
+            holders = [f for f in bp.facts if name in columns[f]]
+            if table in bp.facts and len(holders) > 1:
+                shared = sorted({*bp.shared, name})
+                plan = replace(plan, blueprint=replace(bp, strategy="LINK_TABLE", shared=shared), repairs=[*plan.repairs, (table, name, None)])
+                continue
+            new = f"{table}_{name}"
+            while new in columns[table] or any(new in c for c in columns.values()):
+                new += "_1"
+            renamed = plan.renamed | {table: plan.renamed[table].withColumnRenamed(name, new)}
+            grains = plan.grains | {table: [new if c == name else c for c in plan.grains[table]]} if table in plan.grains else plan.grains
+            plan = replace(plan, renamed=renamed, grains=grains, repairs=[*plan.repairs, (table, name, new)])
+
 
 @dataclass
 class BuiltModel:
@@ -180,20 +254,41 @@ class BuiltModel:
     blueprint: st.Blueprint
     keyed_facts: dict[str, DataFrame]
     canonical: DataFrame
+    repairs: list[tuple[str, str, str | None]] = field(default_factory=list)
 
     def charts(self) -> ChartModel:
         """The model for charts.  Its tables are written once, since a chart
         reads some of them several times."""
         return ChartModel({n: stage(df, "model") for n, df in self.tables.items()})
 
+    def report(self) -> DataFrame:
+        """D14 of the built tables."""
+        spark = self.canonical.sparkSession
+        rows = [(i, t, c) for i, (t, df) in enumerate(self.tables.items()) for c in df.columns]
+        fields = spark.createDataFrame(rows, "tidx int, table string, field string")
+        return gr.validate_model(fields.select("table").distinct(), fields)
+
 
 def _rows(df: DataFrame) -> list:
     """Bring a catalog-sized metadata frame (names only) to the driver."""
     return df.collect()
 
 
+def link_weights(d: Discovery, canonical: DataFrame) -> dict[tuple[str, str], int]:
+    """The best score of the accepted links of each (table, canonical field)."""
+    ends = d.links.select(F.col("tableA").alias("table"), F.col("fieldA").alias("field"), "confidence").union(
+        d.links.select("tableB", "fieldB", "confidence")
+    )
+    best = ends.join(canonical.select("table", "field", "canonical"), ["table", "field"])
+    best = best.groupBy("table", "canonical").agg(F.max("confidence").alias("score"))
+    return {(r["table"], r["canonical"]): r["score"] for r in _rows(best)}
+
+
 def plan_model(d: Discovery, force: str | None = None, canonical: DataFrame | None = None) -> ModelPlan:
-    """Rename every table to canonical names (P1) and choose the strategy."""
+    """Put similar facts together (D22-D24, unless names are given), rename
+    every table to canonical names (P1) and choose the strategy (D25)."""
+    if canonical is None:
+        d = d.grouped()
     canon = canonical if canonical is not None else d.canonical()
     bp = st.blueprint(canon, d.roles, force=force)
     names = {}
@@ -214,25 +309,53 @@ def build_model(
     force: str | None = None,
     canonical: DataFrame | None = None,
     key_mode: str = "number",
+    repair: bool = True,
+    header_detail: bool = False,
 ) -> BuiltModel:
-    """Rename every table to canonical names (P1), key the facts (M1, in
-    ``key_mode``), and add LinkTable (M2, P4), CanonicalDateBridge (M3) and
-    MasterCalendar (M4, M5 when ``today`` is given) as the strategy (D25) asks."""
+    """Put similar facts together, rename every table to canonical names (P1),
+    key the facts (M1, in ``key_mode``), and add LinkTable (M2, P4),
+    CanonicalDateBridge (M3) and MasterCalendar (M4, M5 when ``today`` is given)
+    as the strategy (D25) asks.
+
+    ``repair``: associations that close a cycle are given up
+    (:meth:`ModelPlan.repaired`).  ``header_detail`` (D27): of two facts whose
+    link is one to many, the rows of the many carry the key of the one into the
+    link table, and the date bridge hangs on that key."""
+    d = d.grouped() if canonical is None else d
     plan = plan_model(d, force, canonical)
+    if repair:
+        plan = plan.repaired(link_weights(d, plan.canonical))
     bp = plan.blueprint
     model = dict(plan.renamed)
     keyed: dict[str, DataFrame] = {}
+    pair = _header_and_detail(d, plan) if header_detail else None
     if bp.strategy == "LINK_TABLE" or bp.date_bridge:
         keyed = bd.composite_keys({f: plan.renamed[f] for f in bp.facts}, plan.grains, mode=key_mode)
         model.update(keyed)
     if bp.strategy == "LINK_TABLE":
-        model["LinkTable"] = bd.link_table(keyed, bp.shared)
+        linked = bd.header_keys(keyed, *pair) if pair else keyed
+        model["LinkTable"] = bd.link_table(linked, bp.shared, *(pair[:2] if pair else ()))
         for f in bp.facts:
             model[f] = bd.drop_fields(keyed[f], bp.shared)
     if bp.date_bridge and bp.dates:
-        model["CanonicalDateBridge"] = bd.date_bridge(keyed, bp.dates)
+        linked = bd.header_keys(keyed, *pair) if pair else keyed
+        model["CanonicalDateBridge"] = bd.date_bridge(linked, bp.dates, *(pair[:2] if pair else ()))
         model["MasterCalendar"] = plan.calendar(today)
-    return BuiltModel(model, bp, keyed, plan.canonical)
+    return BuiltModel(model, bp, keyed, plan.canonical, plan.repairs)
+
+
+def _header_and_detail(d: Discovery, plan: ModelPlan) -> tuple[str, str, str] | None:
+    """(header, detail, field) of the accepted link between two facts that is
+    one to many, by best score, or None (catalog-sized rows)."""
+    facts = plan.blueprint.facts
+    names = {(r["table"], r["field"]): r["canonical"] for r in _rows(plan.canonical.select("table", "field", "canonical"))}
+    both = d.cardinalities.where(F.col("tableA").isin(facts) & F.col("tableB").isin(facts))
+    for r in _rows(both.orderBy(F.desc("confidence"), "tableA", "fieldA", "tableB", "fieldB")):
+        name = names[r["tableA"], r["fieldA"]]
+        if name == names[r["tableB"], r["fieldB"]] and r["cardinality"] in ("1:n", "n:1"):
+            ends = (r["tableA"], r["tableB"]) if r["cardinality"] == "1:n" else (r["tableB"], r["tableA"])
+            return (*ends, name)
+    return None
 
 
 def _id_fields(canon: DataFrame, table: str) -> list:

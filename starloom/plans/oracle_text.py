@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from starloom.functions.values import BLANK_PATTERN, DECIMAL_PATTERN, HEX_PATTERN, WHITESPACE_EDGES
-from starloom.plans.driver_tables import DRIVER_SCHEMAS, STRING_COLUMNS
+from starloom.plans.driver_tables import DRIVER_SCHEMAS, ORDER_SLICES, SLICED, SLICED_COLUMNS, STRING_COLUMNS
+
+
+def columns_of(table: str) -> list[str]:
+    return SLICED_COLUMNS if table == SLICED else ORDER_SLICES.get(table) or DRIVER_SCHEMAS[table]
 
 
 def q(name: str) -> str:
@@ -38,7 +42,7 @@ def profile_sql(tables: list[str], with_samples: bool = True) -> str:
     """Per-column profile, one SELECT per column, UNION ALL."""
     parts = []
     for t in tables:
-        for pos, c in enumerate(DRIVER_SCHEMAS[t]):
+        for pos, c in enumerate(columns_of(t)):
             present = "(v IS NOT NULL AND v <> '')"
             samples = (
                 f"array_to_string(list_slice(list_sort(list(DISTINCT v) FILTER (WHERE {present})), 1, 3), '|')"
@@ -71,7 +75,7 @@ FROM (SELECT CAST({q(c)} AS VARCHAR) AS v FROM {t})"""
 def table_metrics_sql(tables: list[str]) -> str:
     parts = []
     for t in tables:
-        cols = DRIVER_SCHEMAS[t]
+        cols = columns_of(t)
         present = " + ".join(
             (
                 f"count(*) FILTER (WHERE {q(c)} IS NOT NULL AND {q(c)} <> '')"
@@ -93,7 +97,7 @@ def long_values_sql(tables: list[str]) -> str:
     """``(tbl, field, tidx, pos, v)``: distinct non-missing text values."""
     parts = []
     for ti, t in enumerate(tables):
-        for pos, c in enumerate(DRIVER_SCHEMAS[t]):
+        for pos, c in enumerate(columns_of(t)):
             parts.append(
                 f"SELECT DISTINCT {lit(t)} AS tbl, {lit(c)} AS field, {ti} AS tidx, {pos} AS pos, "
                 f"CAST({q(c)} AS VARCHAR) AS v FROM {t} "
@@ -147,6 +151,13 @@ ovl AS (
     AND (intersectionCount * 10 > sizeA OR intersectionCount * 10 > sizeB))"""
 
 
+def slices_ctes() -> str:
+    """CTEs ``orders_early, orders_late``."""
+    when = "year(o_orderdate) < 1998"
+    parts = zip(ORDER_SLICES.items(), (when, f"NOT ({when})"), strict=True)
+    return ",\n".join(f"{t} AS (SELECT {', '.join(cols)} FROM orders WHERE {w})" for (t, cols), w in parts)
+
+
 def overrides_values(rows) -> str:
     vals = ", ".join(
         f"({lit(t)}, {lit(f)}, {lit(ty) if ty else 'CAST(NULL AS VARCHAR)'}, {lit(al) if al else 'CAST(NULL AS VARCHAR)'})"
@@ -160,7 +171,7 @@ def classify_ctes(tables: list[str], overrides) -> str:
     alias, uniquenessRatio, rowCount, isNumeric, distinctCount)."""
     prof_parts = []
     for ti, t in enumerate(tables):
-        for pos, c in enumerate(DRIVER_SCHEMAS[t]):
+        for pos, c in enumerate(columns_of(t)):
             present = "(v IS NOT NULL AND v <> '')"
             nn = f"count(*) FILTER (WHERE {present})"
             prof_parts.append(
@@ -290,6 +301,33 @@ sc AS (
   FROM f)"""
 
 
+def roles_cte() -> str:
+    """CTE ``roles(tbl, tidx, role)`` (needs ``cls``)."""
+    fks = "count(*) FILTER (WHERE type = 'IDENTIFIER' AND uniquenessRatio < 0.95)"
+    return f"""roles AS (
+  SELECT tbl, max(tidx) AS tidx,
+         CASE WHEN (count(*) FILTER (WHERE type = 'MEASURE') > 0 AND {fks} > 0) OR (max(rowCount) > 50000 AND {fks} >= 2)
+              THEN 'FACT' ELSE 'DIMENSION' END AS role
+  FROM cls GROUP BY tbl)"""
+
+
+def groups_ctes() -> str:
+    """CTEs ``fp, sims, grouped`` (D22) of a model in which no fact is similar
+    to more than one other (needs ``cls``, ``roles``)."""
+    return r"""fp AS (
+  SELECT c.tbl, c.tidx, c.pos, c.field, lower(regexp_replace(c.field, '[\s_-]', '', 'g')) AS f
+  FROM cls c JOIN roles r ON r.tbl = c.tbl WHERE r.role = 'FACT'),
+sims AS (
+  SELECT ta, tb FROM (
+    SELECT a.tbl AS ta, b.tbl AS tb, a.tidx AS ia, b.tidx AS ib, count(*) AS m
+    FROM (SELECT DISTINCT tbl, tidx, f FROM fp) a JOIN fp b ON a.f = b.f AND a.tidx < b.tidx GROUP BY ALL)
+  JOIN (SELECT tbl, count(DISTINCT f) AS n FROM fp GROUP BY tbl) na ON na.tbl = ta
+  JOIN (SELECT tbl, count(*) AS n FROM fp GROUP BY tbl) nb ON nb.tbl = tb
+  WHERE m / greatest(na.n, nb.n) > 0.7),
+grouped AS (
+  SELECT ta || '_' || tb AS grp, ta AS tbl, 0 AS member_pos FROM sims UNION ALL SELECT ta || '_' || tb, tb, 1 FROM sims)"""
+
+
 def canonical_ctes() -> str:
     """CTEs ending in ``canon`` (cls with ``canonical``): links are taken one by
     one, the best first, and merged unless a table would be in a group twice
@@ -354,7 +392,7 @@ def canonical_catalog_cte(tables: list[str], aliases) -> str:
     amap = {(t, f): a for t, f, _ty, a in aliases if a}
     rows = []
     for ti, t in enumerate(tables):
-        for c in DRIVER_SCHEMAS[t]:
+        for c in columns_of(t):
             rows.append(f"({ti}, {lit(t)}, {lit(amap.get((t, c), c))})")
     return f"ccat AS (SELECT * FROM (VALUES {', '.join(rows)}) AS c(tidx, tbl, field))"
 
@@ -372,7 +410,7 @@ def meta_cte(tables: list[str], samples: int = 5) -> str:
     """CTE ``meta(tidx, tbl, field, pos, tags, isKey, distinctCount, samples_list)``."""
     parts = []
     for ti, t in enumerate(tables):
-        for pos, c in enumerate(DRIVER_SCHEMAS[t]):
+        for pos, c in enumerate(columns_of(t)):
             present = "(v IS NOT NULL AND v <> '')"
             parts.append(
                 f"""SELECT {ti} AS tidx, {lit(t)} AS tbl, {lit(c)} AS field, {pos} AS pos,

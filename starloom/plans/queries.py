@@ -19,7 +19,7 @@ from starloom.operators import analytics as an
 from starloom.operators import profile as pr
 from starloom.plans import oracle_text as ot
 from starloom.plans import model as md
-from starloom.plans.driver_tables import ALL_TABLES, DRIVER_ALIASES, STAR_TABLES
+from starloom.plans.driver_tables import ALL_TABLES, DRIVER_ALIASES, DRIVER_SCHEMAS, ORDER_SLICES, SLICED, STAR_TABLES
 from starloom.sources import load_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1208,7 +1208,13 @@ def _split_orders(spark: SparkSession, sf_dir: str):
     return split, fields, cl.table_roles(fields)
 
 
-@register("fact_groups")
+_SLICES = list(ORDER_SLICES)
+_NO_ALIAS = [("no table", "no field", None, None)]
+_SLICE_CLS = f"{ot.slices_ctes()}, {ot.classify_ctes(_SLICES, _NO_ALIAS)}, {ot.roles_cte()}, {ot.groups_ctes()}"
+
+
+@register("fact_groups", f"""WITH {_SLICE_CLS}
+SELECT grp AS "group", tbl AS "table", member_pos FROM grouped""")
 def q_fact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starloom.operators import structure as st
 
@@ -1216,7 +1222,15 @@ def q_fact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.fact_groups(fields, roles)
 
 
-@register("conform_group")
+@register(
+    "conform_group",
+    f"""WITH RECURSIVE {_SLICE_CLS}, {ot.overlap_ctes(_SLICES)}, {ot.alias_pairs_cte()}, {ot.link_scores_ctes()}, {ot.canonical_ctes()},
+named_fp AS (SELECT canon.*, g.grp, g.member_pos, lower(regexp_replace(canon.field, '[\\s_-]', '', 'g')) AS f
+             FROM canon LEFT JOIN grouped g ON g.tbl = canon.tbl)
+SELECT tbl AS "table", field, CASE WHEN grp IS NULL THEN canonical
+       ELSE first_value(canonical) OVER (PARTITION BY grp, f ORDER BY member_pos, pos) END AS canonical
+FROM named_fp""",
+)
 def q_conform_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both yearly slices, with the links discovered between them, end up
     with one canonical name per footprint."""
@@ -1228,6 +1242,178 @@ def q_conform_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.conform_group(canon, st.fact_groups(fields, roles)).select("table", "field", "canonical")
 
 
+def _sliced_discovery(spark: SparkSession, sf_dir: str) -> md.Discovery:
+    """The star tables with orders in two slices."""
+    tables = _t(spark, sf_dir, *STAR_TABLES)
+    early = F.year("o_orderdate") < 1998
+    slices = [tables["orders"].where(early), tables["orders"].where(~early).drop("o_orderpriority")]
+    model: dict[str, DataFrame] = {}
+    for n, df in tables.items():
+        model |= dict(zip(ORDER_SLICES, slices)) if n == "orders" else {n: df}
+    aliases = [(t, f, k, a) for n, f, k, a in DRIVER_ALIASES for t in (ORDER_SLICES if n == "orders" else [n])]
+    return md.discover(model, md.overrides_frame(spark, aliases), scan_columns=SCAN_COLUMNS)
+
+
+_GROUPED = f"""{SLICED} AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+         CASE WHEN year(o_orderdate) < 1998 THEN o_orderpriority END AS o_orderpriority,
+         CASE WHEN year(o_orderdate) < 1998 THEN 'orders_early' ELSE 'orders_late' END AS "%{SLICED}_SourceTable" FROM orders)"""
+_GRAINS2 = {SLICED: GRAINS["orders"], "lineitem": GRAINS["lineitem"]}
+_SKEY = ot.key_expr(SLICED, GRAINS["orders"])
+
+
+@register(
+    "profile_grouped",
+    f"WITH {_GROUPED} {ot.profile_sql([SLICED])}",
+)
+def q_profile_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of the two slices' union, from the slices' value
+    counts, without a scan of the union."""
+    found = _sliced_discovery(spark, sf_dir).grouped().profile
+    return _profile_out(found.where(F.col("table") == SLICED))
+
+
+@register(
+    "link_table_grouped",
+    f"""WITH {_GROUPED}, {ot.keys_cte(_GRAINS2)}
+SELECT DISTINCT * FROM (
+  SELECT '{SLICED}' AS "%LinkTable_SourceTable", k.id AS "%Key_{SLICED}", CAST(NULL AS BIGINT) AS "%Key_lineitem",
+         k.id AS "%DateBridgeKey", o.o_orderkey AS "Order",
+         CAST(o.o_orderdate AS VARCHAR) AS {SLICED}_o_orderdate, CAST(NULL AS VARCHAR) AS lineitem_l_shipdate
+  FROM {SLICED} o JOIN keyids k ON k.h = {_SKEY}
+  UNION ALL
+  SELECT 'lineitem', NULL, k.id, k.id, l.l_orderkey, NULL, CAST(l.l_shipdate AS VARCHAR)
+  FROM lineitem l JOIN keyids k ON k.h = {_LKEY})""",
+)
+def q_link_table_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D22-D24 inside the build: the link table over orders in two slices is
+    that over orders."""
+    return _ts_text(md.build_model(_sliced_discovery(spark, sf_dir)).tables["LinkTable"])
+
+
+# ------------------------------------------------------------------ cardinalities, header and detail, repair
+@register(
+    "link_cardinalities",
+    f"""WITH {_OV}, {_CL}, {ot.alias_pairs_cte()}, {ot.link_scores_ctes()},
+many AS ({" UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS field, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}" for t in STAR_TABLES for c in DRIVER_SCHEMAS[t])}),
+most AS (
+  SELECT sc.tableA, sc.fieldA, sc.tableB, sc.fieldB, CAST(sc.confidence AS INTEGER) AS confidence,
+         CAST(max(a.n) AS BIGINT) AS maxA, CAST(max(b.n) AS BIGINT) AS maxB
+  FROM sc JOIN many a ON a.tbl = sc.tableA AND a.field = sc.fieldA
+  JOIN many b ON b.tbl = sc.tableB AND b.field = sc.fieldB AND b.v = a.v
+  WHERE sc.confidence >= 70 GROUP BY ALL)
+SELECT *, CASE WHEN maxA = 1 AND maxB = 1 THEN '1:1' WHEN maxA = 1 THEN '1:n' WHEN maxB = 1 THEN 'n:1' ELSE 'n:m' END AS cardinality
+FROM most""",
+)
+def q_link_cardinalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discover(spark, sf_dir).cardinalities
+
+
+def _with_details(spark: SparkSession, sf_dir: str) -> md.BuiltModel:
+    return md.build_model(_discover(spark, sf_dir), today=TODAY, key_mode="hash", header_detail=True)
+
+
+@register(
+    "header_detail_link",
+    f"""SELECT DISTINCT * FROM (
+  SELECT 'lineitem' AS "%LinkTable_SourceTable", {_LKEY} AS "%Key_lineitem",
+         CASE WHEN o_orderkey IS NOT NULL THEN {_OKEY} END AS "%Key_orders",
+         CASE WHEN o_orderkey IS NOT NULL THEN {_OKEY} END AS "%DateBridgeKey", l_orderkey AS "Order",
+         CAST(o_orderdate AS VARCHAR) AS orders_o_orderdate, CAST(l_shipdate AS VARCHAR) AS lineitem_l_shipdate
+  FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey
+  UNION ALL
+  SELECT 'orders', NULL, {_OKEY}, {_OKEY}, o_orderkey, CAST(o_orderdate AS VARCHAR), NULL
+  FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL))""",
+)
+def q_header_detail_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines carry their order's key into the link table."""
+    return _ts_text(_with_details(spark, sf_dir).tables["LinkTable"])
+
+
+@register(
+    "header_detail_bridge",
+    f"""SELECT DISTINCT * FROM (
+  SELECT 'orders' AS "%CanonicalDateBridge_SourceTable", {_OKEY} AS "%DateBridgeKey",
+         strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS CanonicalDate, 'orders_o_orderdate' AS DateType FROM orders
+  UNION ALL
+  SELECT 'lineitem', {_OKEY}, strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d'), 'lineitem_l_shipdate'
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)""",
+)
+def q_header_detail_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dates hang on the order."""
+    return _ts_text(_with_details(spark, sf_dir).tables["CanonicalDateBridge"])
+
+
+_REPAIR = f"""{_OV}, {_CL}, {ot.alias_pairs_cte()}, {ot.link_scores_ctes()}, {ot.canonical_ctes()}, {ot.roles_cte()},
+weight AS (
+  SELECT tbl, field, max(confidence) AS score
+  FROM (SELECT tableA AS tbl, fieldA AS field, confidence FROM sc UNION ALL SELECT tableB, fieldB, confidence FROM sc)
+  WHERE confidence >= 70 GROUP BY tbl, field),
+moved AS (  -- what goes to the link table: fields of two facts, and dates of facts
+  SELECT canonical FROM canon JOIN roles USING (tbl) WHERE role = 'FACT' AND canon.type <> 'MEASURE'
+  GROUP BY canonical HAVING count(DISTINCT tbl) > 1 OR bool_or(canon.type = 'DATE')),
+edge AS (
+  SELECT row_number() OVER (ORDER BY coalesce(w.score, 0) DESC, r.role <> 'FACT', c.tidx, c.pos) AS i, c.tbl, c.canonical AS field
+  FROM canon c JOIN roles r ON r.tbl = c.tbl LEFT JOIN weight w ON w.tbl = c.tbl AND w.field = c.field
+  WHERE NOT (r.role = 'FACT' AND c.canonical IN (SELECT canonical FROM moved))
+    AND c.canonical IN (SELECT canonical FROM canon GROUP BY canonical HAVING count(*) > 1)),
+facts AS (SELECT min(tbl) AS hub FROM roles WHERE role = 'FACT'),  -- facts hang together through the link table
+forest(i, s, out) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list({{'n': n, 'g': g}}) FROM (
+    SELECT 't ' || tbl AS n, CASE WHEN role = 'FACT' THEN 't ' || (SELECT hub FROM facts) ELSE 't ' || tbl END AS g FROM roles
+    UNION ALL SELECT DISTINCT 'f ' || field, 'f ' || field FROM edge)), false
+  UNION ALL
+  SELECT i, CASE WHEN ga = gb THEN s ELSE list_transform(s, lambda x: {{'n': x.n, 'g': CASE WHEN x.g = gb THEN ga ELSE x.g END}}) END, ga = gb
+  FROM (SELECT e.i, f.s, list_filter(f.s, lambda x: x.n = 't ' || e.tbl)[1].g AS ga,
+               list_filter(f.s, lambda x: x.n = 'f ' || e.field)[1].g AS gb
+        FROM forest f JOIN edge e ON e.i = f.i + 1)),
+closing AS (SELECT e.tbl, e.field FROM forest f JOIN edge e ON e.i = f.i WHERE f.out)"""
+
+
+@register(
+    "cycle_fields",
+    f"""WITH RECURSIVE {_REPAIR}
+SELECT tbl AS "table", field, tbl || '_' || field AS new_name FROM closing""",
+)
+def q_cycle_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D14 -> D25: the associations of the star model that close a cycle, and
+    what becomes of their fields."""
+    plan = md.plan_model(_discover(spark, sf_dir))
+    plan = plan.repaired(md.link_weights(_discover(spark, sf_dir), plan.canonical))
+    return spark.createDataFrame(plan.repairs, '`table` string, field string, new_name string')
+
+
+@register(
+    "validate_repaired",
+    f"""WITH RECURSIVE {_REPAIR},
+model AS (
+  SELECT c.tbl, c.canonical AS field FROM canon c JOIN roles r ON r.tbl = c.tbl
+  WHERE NOT (r.role = 'FACT' AND c.canonical IN (SELECT canonical FROM moved))
+    AND NOT EXISTS (SELECT 1 FROM closing x WHERE x.tbl = c.tbl AND x.field = c.canonical)
+  UNION SELECT 'LinkTable', canonical FROM moved
+  UNION SELECT tbl, '%Key_' || tbl FROM roles WHERE role = 'FACT'
+  UNION SELECT 'LinkTable', '%Key_' || tbl FROM roles WHERE role = 'FACT'
+  UNION VALUES ('LinkTable', '%DateBridgeKey'), ('CanonicalDateBridge', '%DateBridgeKey'),
+               ('CanonicalDateBridge', 'CanonicalDate'), ('MasterCalendar', 'CanonicalDate')),
+pair AS (SELECT DISTINCT a.tbl AS a, b.tbl AS b FROM model a JOIN model b ON a.field = b.field AND a.tbl < b.tbl),
+reach(node, label) AS (
+  SELECT DISTINCT tbl, tbl FROM model UNION
+  SELECT p.dst, r.label FROM reach r JOIN (SELECT a AS src, b AS dst FROM pair UNION SELECT b, a FROM pair) p ON p.src = r.node),
+syn AS (SELECT a.tbl AS a, b.tbl AS b FROM model a JOIN model b ON a.field = b.field AND a.tbl < b.tbl GROUP BY ALL HAVING count(*) > 1),
+link AS (SELECT CAST(sum(n - 1) AS BIGINT) AS n_edges FROM (SELECT count(*) AS n FROM model GROUP BY field))
+SELECT (SELECT count(DISTINCT tbl) FROM model) AS n_tables, n_edges,
+       (SELECT count(DISTINCT label) FROM (SELECT node, min(label) AS label FROM reach GROUP BY node)) AS n_islands,
+       (SELECT count(*) FROM syn) AS n_synthetic_keys,
+       n_edges > (SELECT count(DISTINCT tbl) FROM model) - 1 AS has_cycle, (SELECT count(*) FROM syn) = 0 AS success,
+       '' AS errors, '' AS warnings
+FROM link""",
+)
+def q_validate_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D14 of the rebuilt star model: clean."""
+    report = md.build_model(_discover(spark, sf_dir), key_mode="hash").report()
+    return report.withColumns({c: F.array_join(c, "; ") for c in ("errors", "warnings")})
+
+
 @register(
     "grand_total",
     """SELECT l_returnflag, CAST(s AS DOUBLE) AS qty, CAST(sum(s) OVER () AS DOUBLE) AS total_qty
