@@ -1,54 +1,65 @@
 """Approximate nearest neighbours on shifted Hilbert curves.
 
-Each of ``curves`` orderings projects the unit vectors on a few random
+Each of a number of orderings projects the unit vectors on a few random
 orthogonal axes, shifts them, cuts every axis into cells and numbers the cells
-along a Hilbert curve.  Rows are range-partitioned by (curve, key) and get
-their position on each curve; positions are cut into runs of at most ``RUN`` rows.  A query
-meets its own run and the runs beside it, so every row within the search's width
-is among its candidates.  A task multiplies the queries of a run with
-its rows, keeps the best few a query, and these lists of all curves are merged:
-scores are exact cosines of the original vectors, so merging loses nothing.
-
-The width follows the data.  ``SAMPLE`` queries are compared with all rows, and
-the width is the smallest, but at least ``window``, with which ``recall`` of their
-true neighbours lie that near on some curve.  Where curves of that width would
-meet as many rows as the table has, each query is compared with every row instead,
-and nothing is missed.
-
+along a Hilbert curve; equal numbers are told apart by a hash of the row.  The
+curve is cut into runs of about equally many rows, at quantiles of a sample of
+``SAMPLE_ROWS`` rows, and all rows are dealt to their runs on every curve.  A
+query meets the rows of its own run and of the ``REACH`` runs on each side.
+
+Along the curves goes a short code of each row, four bits a component, not its
+vector.  A run's task multiplies the codes of its queries and rows and keeps
+the best few a query; the lists of all curves are merged to ``RERANK`` rows a
+query, and these are ranked by the exact cosine of the original vectors.
+
+How many curves and how short the runs are follows from the data.  ``SAMPLE``
+queries are compared with all rows; of the numbers of curves and runs with
+which ``recall`` of their true neighbours are met, those that meet the fewest
+rows are taken.  Many short runs need many curves.  Where nothing less finds
+the neighbours, as in small tables, one curve with one run meets every row.
+
+Vectors of different lengths share no curve: the length is part of a run's name,
+and each length has runs by its share of the sample (one, if it is rare).
 Equal vectors lie in one class with one place on the curves, and a class
 keeps its smallest ids, so a vector that a third of the rows share is one row
 of the search and its copies are still found, ties to the smaller id.
 
 Edge cases: null, zero, or non-finite vectors and vectors with null components
-take no part, neither as query nor as candidate; vectors of another length
-than the most frequent one take no part either; rows with a null vec_id take
+take no part, neither as query nor as candidate; rows with a null vec_id take
 no part; of a repeated query id one row asks, and a repeated candidate id is
-found once for each vector it has; with fewer candidates than k all are returned; an empty table gives an empty result.
+found once for each vector it has; with fewer candidates than k all are
+returned (a query whose length no other row has finds none); other columns are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm.store import stored
+from starloom.llm.text_bytes import mix
 
-CURVES = 16
+#: numbers of curves and of runs that are tried
+CURVES = (1, 8, 16, 32, 64, 96, 128)
+RUNS = (1, *(int(12 * 1.2**i) for i in range(31)))
+#: runs on each side that a query meets beside its own
+REACH = 4
 AXES = 8
 BITS = 4
-WINDOW = 2048
 RECALL = 0.95
 SAMPLE = 256
-# Rows of a run and queries that one task holds against them, at most.
-RUN = 8192
-ASKED = 16384
-# Runs of the comparison with every row, at least.
-PARTS = 32
+#: rows, and components in all, of the sample that runs are cut by
+SAMPLE_ROWS = 16_384
+SAMPLE_VALUES = 1 << 22
+#: runs that one task holds together, and rows of a query's list
+STRETCH = 64
+RERANK = 64
 SEED = 20240131
 
 
@@ -84,25 +95,89 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 def curve_maps(width: int, curves: int, axes: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each curve random orthogonal axes and a shift of up to half a
     standard deviation each way."""
-    rng = np.random.default_rng(seed)
     out = []
-    for _ in range(curves):
-        basis, _ = np.linalg.qr(rng.standard_normal((width, width)))
-        out.append((basis[:, : min(axes, width)], rng.uniform(-0.5, 0.5, min(axes, width))))
+    for c in range(curves):  # a curve is the same whatever the number of curves
+        rng = np.random.default_rng((seed, c))
+        basis, _ = np.linalg.qr(rng.standard_normal((width, min(axes, width))))
+        out.append((basis, rng.uniform(-0.5, 0.5, basis.shape[1])))
     return out
 
 
-def curve_keys(vectors: np.ndarray, maps, bits: int) -> np.ndarray:
-    """Hilbert key of each unit vector on each curve (n x curves).  A unit
-    vector's coordinate on a random axis has deviation 1 / sqrt(width); cells
-    cover 2.2 deviations each way, beyond them the outer cells."""
+def curve_keys(vectors: np.ndarray, ids: np.ndarray, maps, bits: int) -> np.ndarray:
+    """Place of each unit vector on each curve (curves x n): its Hilbert key,
+    then a hash of its id.  A unit vector's coordinate on a random axis has
+    deviation 1 / sqrt(width); cells cover 2.2 deviations each way, beyond them
+    the outer cells."""
     scale = np.sqrt(vectors.shape[1])
-    keys = []
-    for axes, shift in maps:
+    tie = (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(33)).astype(np.int64)
+    keys = np.empty((len(maps), len(vectors)), dtype=np.int64)
+    for i, (axes, shift) in enumerate(maps):
         at = (vectors @ axes) * scale + shift
         cells = np.clip((at + 2.2) / 4.4 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
-        keys.append(hilbert_keys(cells, bits))
-    return np.stack(keys, axis=1)
+        keys[i] = (hilbert_keys(cells, bits) << 31) | tie
+    return keys
+
+
+def short_codes(vectors: np.ndarray) -> np.ndarray:
+    """Four bits a component: its share of the row's largest, in sevenths."""
+    top = np.abs(vectors).max(axis=1, keepdims=True)
+    steps = (np.rint(vectors / top * 7) + 8).astype(np.uint8)
+    if steps.shape[1] % 2:
+        steps = np.concatenate([steps, np.full((len(steps), 1), 8, np.uint8)], axis=1)
+    return steps[:, ::2] << 4 | steps[:, 1::2]
+
+
+def from_codes(codes: np.ndarray) -> np.ndarray:
+    """Unit vectors of the codes, in single precision."""
+    out = np.empty((len(codes), 2 * codes.shape[1]), dtype=np.float32)
+    out[:, ::2], out[:, 1::2] = codes >> 4, codes & 15
+    out -= 8
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+@dataclass
+class Layout:
+    """The curves of a search, and for each length of vectors where they are
+    cut into runs (curves x cuts)."""
+
+    curves: int
+    axes: int
+    bits: int
+    seed: int
+    cuts: dict[int, np.ndarray]
+
+    def runs(self, vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The run of each unit vector on each curve (curves x n)."""
+        width = vectors.shape[1]
+        if width not in self.cuts or not self.cuts[width].shape[1]:
+            return np.zeros((self.curves, len(vectors)), dtype=np.int64)
+        maps = _maps(width, self.curves, self.axes, self.seed)
+        keys = curve_keys(vectors, ids, maps, self.bits)
+        return np.stack([np.searchsorted(c, k, side="right") for c, k in zip(self.cuts[width], keys, strict=True)])
+
+
+_known_maps: dict[tuple, list] = {}
+
+
+def _maps(width: int, curves: int, axes: int, seed: int) -> list:
+    key = (width, axes, seed)
+    if len(_known_maps.get(key, ())) < curves:
+        _known_maps[key] = curve_maps(width, curves, axes, seed)
+    return _known_maps[key][:curves]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of the vectors in a column: the rows, and their matrix."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ends = np.cumsum(sizes)
+    for width in np.unique(sizes):
+        rows = np.flatnonzero(sizes == width)
+        yield rows, flat[(ends[rows] - width)[:, None] + np.arange(width)]
 
 
 def _usable(vector: Column) -> Column:
@@ -111,35 +186,28 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(number, lambda v: v != 0)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(column), width)
-
-
 def nearest(
     rows: DataFrame,
     is_query: Column,
     k: int = 5,
-    curves: int = CURVES,
+    curves: tuple[int, ...] = CURVES,
+    runs: tuple[int, ...] = RUNS,
     axes: int = AXES,
     bits: int = BITS,
-    window: int = WINDOW,
     seed: int = SEED,
     recall: float = RECALL,
+    rerank: int = RERANK,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row of ``rows``
     (vec_id, embedding) the ``k`` nearest rows found, its own id left out.
-    ``window`` is the least width, ``recall`` what a sample of queries must reach."""
+    ``curves`` and ``runs`` are the numbers of them to choose from, ``recall``
+    what a sample of queries must reach, ``rerank`` the rows of a query whose
+    exact cosine is taken."""
     spark = rows.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
     base = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("embedding"))).select(
         F.col("vec_id").cast("long").alias("vec_id"), is_query.alias("q"), "embedding"
     )
-    widths = base.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if widths is None:
-        return spark.createDataFrame([], result)
-    width = int(widths["w"])
-    base = base.where(F.size("embedding") == width)
     # Classes of equal vectors: the smallest k + 1 ids of each.  The limit of
     # a ranking is applied before its shuffle too, so a hot class sends few rows.
     place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
@@ -149,67 +217,26 @@ def nearest(
     )
     asked = base.where("q").select("embedding").distinct().withColumn("asked", F.lit(True))
     classes = classes.join(asked, "embedding", "left").select("cid", "ids", F.coalesce("asked", F.lit(False)).alias("asked"), "embedding")
-    classes = stored(classes, "ann-classes")
-    count, queries = classes.agg(F.count("*"), F.count_if("asked")).first()
-    if not queries:
+    # a class is known by a number: one id may have several vectors
+    classes = stored(classes.withColumn("num", F.monotonically_increasing_id()), "ann-classes")
+    if classes.where("asked").isEmpty():
         return spark.createDataFrame([], result)
-    placed, reach = None, None
-    if 3 * curves * window < count:
-        placed = _positions(_keys(classes, width, curves, axes, bits, seed))
-        reach = _width(classes, placed, width, k, recall, window)
-        run = min(reach, RUN)
-        reach = -(-reach // run)
-        if curves * (2 * reach + 1) * run >= count:
-            placed = None
-    # Rows go to their own run; queries to their run and those in reach, or to all.
-    if placed is None:
-        runs = max(min(PARTS, count), -(-count // RUN))
-        blocks = -(-queries // ASKED)
-        whole = classes.withColumns({"curve": F.lit(0), "run": F.pmod(F.xxhash64("cid"), F.lit(runs))})
-        meets = F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))
-    else:
-        blocks = -(-(2 * reach + 1) * run * queries // (count * ASKED))
-        whole = placed.withColumn("run", F.floor(F.col("at") / run).cast("long")).drop("at").join(classes, "cid")
-        meets = F.sequence(F.col("run") - reach, F.col("run") + reach)
-    # Many queries meet a run in blocks, so a task's size does not grow with them.
-    as_row = whole.select(
-        "curve", "run", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.lit(False).alias("ask"), "cid", "ids", "embedding",
-    )
-    as_query = whole.where("asked").select(
-        "curve",
-        F.explode(meets).alias("run"),
-        F.pmod(F.hash("cid"), F.lit(blocks)).alias("block"),
-        F.lit(True).alias("ask"),
-        "cid",
-        F.array().cast("array<long>").alias("ids"),
-        "embedding",
-    )
-
-    def rerank(group: pd.DataFrame) -> pd.DataFrame:
-        ask = group["ask"].to_numpy()
-        found: list[tuple] = []
-        if ask.any() and not ask.all():
-            queries, there = group[ask], group[~ask]
-            q = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-            c = np.stack(there["embedding"].to_numpy()).astype(np.float64)
-            ids, members = there["cid"].to_numpy(), there["ids"].to_numpy()
-            for i, j, score in _top(q, c, ids, k + 1):
-                found += [(queries["cid"].iat[i], ids[x], y, members[x]) for x, y in zip(j, score)]
-        return pd.DataFrame(found, columns=["qcid", "cid", "score", "ids"])
-
-    hits = as_row.union(as_query).groupBy("curve", "run", "block").applyInPandas(
-        rerank, "qcid long, cid long, score double, ids array<long>"
-    )
-    # The same pair may be found on many curves; k + 1 classes a query suffice.
-    pairs = hits.groupBy("qcid", "cid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    flat = pairs.select("qcid", "score", F.explode("ids").alias("vec_id"))
-    order = Window.partitionBy("qcid").orderBy(F.desc("score"), "vec_id")
+    layout = choose_layout(classes, k, curves, runs, axes, bits, seed, recall)
+    pairs = _candidates(classes, layout, k, max(rerank, k + 1))
+    pairs = stored(pairs, "ann-pairs")
+    # exact cosines of the lists
+    ask = classes.select(F.col("num").alias("qnum"), F.col("embedding").alias("qv"))
+    met = pairs.join(ask, "qnum").join(classes.select("num", "cid", "ids", "embedding"), "num")
+    scored = met.select("qnum", "cid", "ids", "qv", "embedding").mapInArrow(_cosines, "qnum long, cid long, ids array<long>, score double")
+    top = Window.partitionBy("qnum").orderBy(F.desc("score"), "cid")
+    scored = scored.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1)
+    flat = scored.select("qnum", "score", F.explode("ids").alias("vec_id"))
+    order = Window.partitionBy("qnum").orderBy(F.desc("score"), "vec_id")
     best = flat.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    lists = best.groupBy("qcid").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("found"))
+    lists = best.groupBy("qnum").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("found"))
     queries = base.where("q").select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
-    queries = queries.join(classes.select(F.col("cid").alias("qcid"), "embedding"), "embedding").select("query_id", "qcid")
-    own = queries.join(lists, "qcid").select(
+    queries = queries.join(classes.select(F.col("num").alias("qnum"), "embedding"), "embedding").select("query_id", "qnum")
+    own = queries.join(lists, "qnum").select(
         "query_id",
         F.slice(F.array_sort(F.filter("found", lambda f: f["vec_id"] != F.col("query_id"))), 1, k).alias("found"),
     )
@@ -219,6 +246,195 @@ def nearest(
     )
 
 
+def choose_layout(classes: DataFrame, k: int, curves, runs, axes: int, bits: int, seed: int, recall: float) -> Layout:
+    """The curves and runs that meet the fewest rows and still ``recall`` of
+    the true neighbours of ``SAMPLE`` queries; measured on these and cut by the
+    quantiles of ``SAMPLE_ROWS`` rows, both of them bounded."""
+    width = classes.agg(F.max(F.size("embedding"))).first()[0]
+    limit = max(256, min(SAMPLE_ROWS, SAMPLE_VALUES // width))
+    picked = classes.orderBy(F.xxhash64("num"), "num").limit(limit).select("num", "embedding").toArrow().combine_chunks()
+    near = _true_neighbours(classes, k)
+    named = classes.sparkSession.createDataFrame([(int(n),) for n in {n for p in near for n in p}], "num long")
+    ends = classes.join(named, "num").select("num", "embedding").toArrow().combine_chunks()
+    most = max(curves)
+    keys: dict[int, np.ndarray] = {}  # sorted sample keys of each length
+    for rows, x in _by_length(_chunk(picked, "embedding")):
+        ids = _chunk(picked, "num").to_numpy()[rows]
+        keys[x.shape[1]] = np.sort(curve_keys(_unit(x), ids, _maps(x.shape[1], most, axes, seed), bits), axis=1)
+    at: dict[int, tuple[int, np.ndarray]] = {}
+    for rows, x in _by_length(_chunk(ends, "embedding")):
+        ids = _chunk(ends, "num").to_numpy()[rows]
+        found = curve_keys(_unit(x), ids, _maps(x.shape[1], most, axes, seed), bits)
+        at |= {int(i): (x.shape[1], found[:, j]) for j, i in enumerate(ids)}
+    # the pairs by length, each curve's keys of both ends
+    pairs: dict[int, list[np.ndarray]] = {}
+    for width in keys:
+        own = [(at[a][1], at[b][1]) for a, b in near if at[a][0] == width]
+        if own:
+            pairs[width] = [np.stack(x, axis=1) for x in zip(*own)]
+    lost = sum(at[a][0] not in keys for a, _ in near)  # rare lengths: one run, always met
+    best: tuple[float, int, int] | None = None
+    for many in runs:
+        met = [np.ones((most, lost), dtype=bool)]
+        for width, (a, b) in pairs.items():
+            cuts = _cuts(keys[width], many * keys[width].shape[1] / picked.num_rows)
+            apart = [np.searchsorted(c, x, "right") - np.searchsorted(c, y, "right") for c, x, y in zip(cuts, a, b, strict=True)]
+            met.append(np.abs(np.array(apart).reshape(most, -1)) <= REACH)
+        found = np.maximum.accumulate(np.concatenate(met, axis=1), axis=0)
+        for c in curves:
+            share = c * min(1.0, (2 * REACH + 1) / many)
+            if (not near or found[c - 1].mean() >= recall) and (best is None or (share, c) < best[:2]):
+                best = (share, c, many)
+    _, c, many = best or (1.0, 1, 1)
+    return Layout(c, axes, bits, seed, {w: _cuts(s, many * s.shape[1] / picked.num_rows)[:c] for w, s in keys.items()})
+
+
+def _chunk(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name)
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
+def _cuts(keys: np.ndarray, runs: float) -> np.ndarray:
+    """The inner ends of so many runs on each curve, from its sorted keys."""
+    count = max(1, min(round(runs), keys.shape[1]))
+    return keys[:, (np.arange(1, count) * keys.shape[1]) // count]
+
+
+def _true_neighbours(classes: DataFrame, k: int) -> list[tuple[int, int]]:
+    """(query, neighbour) of a sample of queries and their ``k`` nearest rows,
+    by comparing each with all rows."""
+    sample = classes.where("asked").orderBy(F.xxhash64("num"), "num").limit(SAMPLE).select("num", "embedding").collect()
+    asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for width in {len(r["embedding"]) for r in sample}:
+        own = [r for r in sample if len(r["embedding"]) == width]
+        asked[width] = (np.array([r["num"] for r in own]), np.array([r["embedding"] for r in own], dtype=np.float64))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list] = {int(n): [] for nums, _ in asked.values() for n in nums}
+        for batch in batches:
+            ids = batch.column("num").to_numpy(zero_copy_only=False)
+            for rows, x in _by_length(batch.column("embedding")):
+                if x.shape[1] not in asked:
+                    continue
+                nums, q = asked[x.shape[1]]
+                for i, near, score in _top(q, x, ids[rows], k + 1):
+                    n = int(nums[i])
+                    best[n] = sorted(best[n] + list(zip((-score).tolist(), ids[rows][near].tolist())))[: k + 1]
+        flat = [(n, c, -s) for n, found in best.items() for s, c in found]
+        columns = zip(*flat) if flat else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["qnum", "num", "score"])
+
+    near = classes.select("num", "embedding").mapInArrow(compared, "qnum long, num long, score double")
+    order = Window.partitionBy("qnum").orderBy(F.desc("score"), "num")
+    near = near.where(F.col("qnum") != F.col("num")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    return [(r["qnum"], r["num"]) for r in near.collect()]
+
+
+_PARTS = ("runs", "nums", "codes", "q_runs", "q_nums", "q_codes")
+
+
+def _candidates(classes: DataFrame, layout: Layout, k: int, rerank: int) -> DataFrame:
+    """(qnum, num): for each query the ``rerank`` rows met on the curves that
+    are nearest by their codes."""
+    sent = classes.sparkSession.sparkContext.broadcast(layout)
+    keep = max(k + 5, -(-2 * rerank // layout.curves))  # of a query's list from one stretch of a curve
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows and queries, packed by the stretches of runs that they go to."""
+        plan = sent.value
+        for batch in batches:
+            nums = batch.column("num").to_numpy(zero_copy_only=False)
+            asks = batch.column("asked").to_numpy(zero_copy_only=False)
+            for rows, x in _by_length(batch.column("embedding")):
+                unit, width = _unit(x), x.shape[1]
+                codes, ids, ask = short_codes(unit), nums[rows], np.flatnonzero(asks[rows])
+                lines = []
+                for curve, run in enumerate(plan.runs(unit, ids)):
+                    own = run // STRETCH
+                    # a query goes to the stretches of the runs beside it too
+                    beside = np.unique(np.stack([np.tile(ask, 3), np.concatenate([(run[ask] + d) // STRETCH for d in (-REACH, 0, REACH)])]), axis=1)
+                    order, q_order = np.argsort(own, kind="stable"), np.argsort(beside[1], kind="stable")
+                    starts, q_starts = own[order], beside[1][q_order]
+                    for stretch in np.union1d(starts, q_starts[q_starts >= 0]):
+                        mine = order[slice(*np.searchsorted(starts, [stretch, stretch + 1]))]
+                        asking = beside[0][q_order[slice(*np.searchsorted(q_starts, [stretch, stretch + 1]))]]
+                        parts = [y for at in (mine, asking) for y in (run[at].astype(np.int32), ids[at], codes[at])]
+                        lines.append((width, curve, int(stretch), *(p.tobytes() for p in parts)))
+                kinds = [pa.int32()] * 3 + [pa.binary()] * len(_PARTS)
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*lines), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["width", "curve", "stretch", *_PARTS])
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best rows of each query of a stretch, from its sorted lines."""
+        held: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("width", "curve", "stretch", *_PARTS)]
+            for line in zip(*columns, strict=True):
+                if held and held[-1][:3] != line[:3]:
+                    yield from _stretch(held, keep)
+                    held = []
+                held.append(line)
+        if held:
+            yield from _stretch(held, keep)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qnum, lists in zip(batch.column("qnum").to_pylist(), batch.column("lists").to_pylist(), strict=True):
+                nums = np.concatenate([np.frombuffer(x["nums"], np.int64) for x in lists])
+                scores = np.concatenate([np.frombuffer(x["scores"], np.float32) for x in lists])
+                order = np.lexsort((nums, -scores))
+                _, first = np.unique(nums[order], return_index=True)
+                best = nums[order][np.sort(first)[:rerank]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qnum)), pa.array(best)], names=["qnum", "num"])
+
+    names = ", ".join(f"{p} binary" for p in _PARTS)
+    lines = classes.select("num", "asked", "embedding").mapInArrow(dealt, f"width int, curve int, stretch int, {names}")
+    lines = lines.repartition("width", "curve", "stretch").sortWithinPartitions("width", "curve", "stretch")
+    lists = lines.mapInArrow(searched, "qnum long, nums binary, scores binary")
+    # a query has at most a few short lists a curve
+    lists = lists.groupBy("qnum").agg(F.collect_list(F.struct("nums", "scores")).alias("lists"))
+    return lists.mapInArrow(merged, "qnum long, num long")
+
+
+def _stretch(lines: list[tuple], keep: int) -> Iterator[pa.RecordBatch]:
+    """Queries of a stretch against the rows of their run and those beside it."""
+    width = (lines[0][0] + 1) // 2
+    kinds = (np.int32, np.int64, np.uint8)
+    runs, nums, codes, q_runs, q_nums, q_codes = (
+        np.concatenate([np.frombuffer(line[3 + i], kinds[i % 3]) for line in lines]) for i in range(6)
+    )
+    if not len(runs) or not len(q_runs):
+        return
+    order, q_order = np.argsort(runs, kind="stable"), np.argsort(q_runs, kind="stable")
+    runs, nums, rows = runs[order], nums[order], from_codes(codes.reshape(-1, width)[order])
+    q_runs, q_nums, asks = q_runs[q_order], q_nums[q_order], from_codes(q_codes.reshape(-1, width)[q_order])
+    out: list[tuple] = []
+    for run in np.unique(q_runs):
+        lo, hi = np.searchsorted(runs, [run - REACH, run + REACH + 1])
+        first, last = np.searchsorted(q_runs, [run, run + 1])
+        if hi == lo:
+            continue
+        for at in range(first, last, 256):
+            scores = asks[at : min(last, at + 256)] @ rows[lo:hi].T
+            few = min(keep, hi - lo)
+            best = np.argpartition(-scores, few - 1, axis=1)[:, :few]
+            found = np.take_along_axis(scores, best, axis=1)
+            out += [
+                (int(q_nums[at + i]), nums[lo + best[i]].tobytes(), found[i].astype(np.float32).tobytes()) for i in range(len(best))
+            ]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["qnum", "nums", "scores"])
+
+
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        scores = np.empty(batch.num_rows)
+        for rows, q in _by_length(batch.column("qv")):
+            c = np.stack([batch.column("embedding")[int(i)].values.to_numpy(zero_copy_only=False) for i in rows]).astype(np.float64)
+            scores[rows] = np.einsum("ij,ij->i", q, c) / (np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores)], names=["qnum", "cid", "ids", "score"])
+
+
 def _top(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its ``k`` best rows and their cosines, ties to the smaller id."""
     norm, least = np.linalg.norm(c, axis=1), max(0, len(c) - k)
@@ -230,64 +446,3 @@ def _top(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tupl
             near = np.flatnonzero(row >= bar[i])
             near = near[np.lexsort((ids[near], -row[near]))[:k]]
             yield lo + i, near, row[near]
-
-
-def _keys(classes: DataFrame, width: int, curves: int, axes: int, bits: int, seed: int) -> DataFrame:
-    """(cid, curve, key)."""
-    maps = curve_maps(width, curves, axes, seed)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column("embedding"), width)
-            keys = curve_keys(x / np.linalg.norm(x, axis=1, keepdims=True), maps, bits)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), curves).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), lists], names=["cid", "keys"])
-
-    keys = classes.select("cid", "embedding").mapInArrow(keyed, "cid long, keys array<long>")
-    return keys.select("cid", F.posexplode("keys").alias("curve", "key"))
-
-
-def _width(classes: DataFrame, placed: DataFrame, width: int, k: int, recall: float, least: int) -> int:
-    """The smallest width, at least ``least``, with which ``recall`` of the true
-    neighbours of a sample of queries are within that many places on some curve."""
-    sample = classes.where("asked").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("cid", "embedding").collect()
-    asked = np.array([r["cid"] for r in sample])
-    q = np.array([r["embedding"] for r in sample], dtype=np.float64)
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [[] for _ in asked]
-        for batch in batches:
-            ids = batch.column("cid").to_numpy(zero_copy_only=False)
-            if len(ids):
-                for i, near, score in _top(q, _matrix(batch.column("embedding"), width), ids, k + 1):
-                    best[i] = sorted(best[i] + list(zip((-score).tolist(), ids[near].tolist())))[: k + 1]
-        flat = [(int(a), c, -s) for a, found in zip(asked, best) for s, c in found]
-        yield pa.RecordBatch.from_pylist(
-            [{"qcid": a, "cid": c, "score": s} for a, c, s in flat],
-            pa.schema([("qcid", pa.int64()), ("cid", pa.int64()), ("score", pa.float64())]),
-        )
-
-    near = classes.select("cid", "embedding").mapInArrow(compared, "qcid long, cid long, score double")
-    order = Window.partitionBy("qcid").orderBy(F.desc("score"), "cid")
-    near = near.where(F.col("qcid") != F.col("cid")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    pairs = [(r["qcid"], r["cid"]) for r in near.collect()]
-    named = classes.sparkSession.createDataFrame([(int(c),) for c in {c for p in pairs for c in p}], "cid long")
-    at: dict[int, dict[int, int]] = {}
-    for r in placed.join(named, "cid").collect():
-        at.setdefault(r["cid"], {})[r["curve"]] = r["at"]
-    apart = sorted(min(abs(at[a][c] - at[b][c]) for c in at[a]) for a, b in pairs)
-    return max(least, apart[min(len(apart), int(np.ceil(recall * len(apart)))) - 1])
-
-
-def _positions(keys: DataFrame) -> DataFrame:
-    """(cid, curve, at): each row's position on its curve.  Range partitions are
-    sorted and stored, so a position is the row's
-    place in its partition plus the rows before that partition."""
-    laid = keys.repartitionByRange("curve", "key", "cid").sortWithinPartitions("curve", "key", "cid")
-    laid = stored(laid.withColumn("place", F.monotonically_increasing_id()), "ann-keys")
-    laid = laid.withColumn("part", F.shiftright("place", 33))
-    runs = laid.groupBy("part", "curve").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = runs.select("part", "curve", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    at = (F.col("place") + F.col("shift")).alias("at")
-    return laid.join(shift, ["part", "curve"]).select("cid", "curve", at)

@@ -399,10 +399,11 @@ def near_components(docs: DataFrame, words: int, percent: int, broadcast_rows: i
     ``docs``; ``comp`` numbers the components (null for empty sets).  ``broadcast_rows``: rows of a key table that are broadcast whole."""
     search = _Search(docs, words, percent, broadcast_rows)
     comps = stored(search.run(), "dedup-classes")
-    known = search.classes.join(comps, "cid")
-    least = known.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
+    known = stored(search.classes.join(comps, "cid"), "dedup-known")
+    least = known.groupBy("comp").agg(F.min("min_doc").alias("component_id"), F.count("*").alias("m"))
+    known = split_join(known, stored(least, "dedup-least"), "comp", "m", broadcast_rows)
     key = F.struct("n", "fp1", "fp2")
-    named = stored(known.join(least, "comp").select(key.alias("set"), "component_id", "comp", "rows"), "dedup-named")
+    named = stored(known.select(key.alias("set"), "component_id", "comp", "rows"), "dedup-named")
     rows = search.signed.select("doc_id", "n", "fp1", "fp2", key.alias("set"))
     found = split_join(rows.where("n > 0"), named, "set", "rows", broadcast_rows // 10)
     empty = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))

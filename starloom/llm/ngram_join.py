@@ -155,9 +155,10 @@ def jaccard_components(
     comps = connected_components(_links(sets, percent, cell_grams)).withColumnsRenamed({"node": "cid", "component": "comp"})
     known = classes.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     known = stored(known, "ngram-known")
-    least = known.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
+    least = known.groupBy("comp").agg(F.min("min_doc").alias("component_id"), F.count("*").alias("m"))
+    known = split_join(known, stored(least, "ngram-least"), "comp", "m", broadcast_rows)
     key = F.struct("n", "fp1", "fp2")
-    named = stored(known.join(least, "comp").select(key.alias("set"), "component_id", "rows"), "ngram-named")
+    named = stored(known.select(key.alias("set"), "component_id", "rows"), "ngram-named")
     rows = signed.select("doc_id", "n", key.alias("set"))
     found = split_join(rows.where("n > 0"), named, "set", "rows", broadcast_rows // 10)
     empty = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))

@@ -339,7 +339,7 @@ def test_ann(spark):
     rows += [(1200, [1.0, 2.0], 0), (None, [1.0] * 16, 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").repartition(4)
     got = {}
-    for r in ann.nearest(frame, F.col("vec_id") % 50 == 0, 5, window=64, curves=12).collect():
+    for r in ann.nearest(frame, F.col("vec_id") % 50 == 0, 5).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = 0
@@ -359,46 +359,87 @@ def test_ann(spark):
     assert ann.nearest(frame.where("vec_id < 3"), F.col("vec_id") % 50 == 0).count() == 2
 
 
-@pytest.mark.parametrize("width, share", [(8, 0.5), (48, 1.0)])
-def test_ann_width_follows_the_data(spark, monkeypatch, width, share):
-    """A window that covers a small share of the table is widened until the
-    neighbours are found; in many even directions every row is met."""
-    reach_workers(spark)
-    n, curves, chosen = 12000, 6, []
-    x = np.random.default_rng(2).normal(size=(n, width))
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    measure = ann._width
-    monkeypatch.setattr(ann, "_width", lambda *a: chosen.append(measure(*a)) or chosen[-1])
-    got = ann.nearest(frame, F.col("vec_id") % 50 == 0, 5, window=4, curves=curves).collect()
+def _neighbours(x, ask, k):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    score = unit[::50] @ unit.T
-    score[np.arange(n // 50), np.arange(0, n, 50)] = -9
-    want = {(50 * i, int(j)) for i, row in enumerate(score) for j in np.argsort(-row)[:5]}
+    score = unit[ask] @ unit.T
+    score[np.arange(len(ask)), ask] = -9
+    return {(int(q), int(j)) for q, row in zip(ask, score) for j in np.argsort(-row, kind="stable")[:k]}
+
+
+def _layouts(monkeypatch):
+    """The layouts that searches choose from now on."""
+    chosen, choose = [], ann.choose_layout
+    monkeypatch.setattr(ann, "choose_layout", lambda *a: chosen.append(choose(*a)) or chosen[-1])
+    return chosen
+
+
+def _share(layout, width):
+    return layout.curves * min(1, (2 * ann.REACH + 1) / (layout.cuts[width].shape[1] + 1))
+
+
+def test_ann_searches_the_given_vectors_on_curves(spark, monkeypatch):
+    """No comparison with every row: many curves in short runs."""
+    reach_workers(spark)
+    chosen = _layouts(monkeypatch)
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = frame.orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], dtype=np.float64)
+    assert [r.vec_id for r in rows] == list(range(len(rows)))
+    got = ann.nearest(frame, F.col("vec_id") % 50 == 0, 5).collect()
+    want = _neighbours(x, np.arange(0, len(x), 50), 5)
     assert len(got) == len(want)
-    found = len(want & {(r.query_id, r.vec_id) for r in got}) / len(want)
-    assert 4 < chosen[0]
-    if share < 1:
-        assert 3 * curves * chosen[0] < share * n
-        assert found >= 0.93
-    else:
-        assert 3 * curves * chosen[0] >= n
-        assert found == 1
-
-
-def test_ann_blocks_and_reach(spark, monkeypatch):
-    """Runs shorter than the width and queries in blocks lose nothing."""
+    assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
+    assert chosen[0].curves > 1 and _share(chosen[0], x.shape[1]) < 0.9
+
+
+@pytest.mark.parametrize("width, most", [(4, 0.15), (8, 0.4)])
+def test_ann_layout_follows_the_data(spark, monkeypatch, width, most):
+    """The fewer the directions, the smaller the share of rows that is met."""
     reach_workers(spark)
-    x = np.random.default_rng(3).normal(size=(1500, 4))
+    chosen = _layouts(monkeypatch)
+    x = np.random.default_rng(2).normal(size=(12000, width))
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    ask = F.col("vec_id") % 3 == 0
-    plain = ann.nearest(frame, ask, 5, window=40, curves=4).collect()
-    monkeypatch.setattr(ann, "RUN", 24)
-    monkeypatch.setattr(ann, "ASKED", 100)
-    cut = ann.nearest(frame, ask, 5, window=40, curves=4).collect()
-    exact = ann.nearest(frame, ask, 5, window=1500).collect()
-    rows = [{(r.query_id, r.vec_id) for r in found} for found in (plain, cut, exact)]
-    assert [len(r) for r in rows] == [2500] * 3
-    assert min(len(rows[2] & r) for r in rows) >= 0.95 * 2500
+    got = ann.nearest(frame, F.col("vec_id") % 50 == 0, 5).collect()
+    want = _neighbours(x, np.arange(0, len(x), 50), 5)
+    assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.93 * len(want)
+    assert _share(chosen[0], width) < most
+
+
+def test_ann_searches_every_length(spark):
+    reach_workers(spark)
+    rng = np.random.default_rng(5)
+    by_width = {w: rng.normal(size=(n, w)) for w, n in ((2, 60), (3, 400), (5, 8))}
+    rows, base = [], {}
+    for w, x in by_width.items():
+        base[w] = 10_000 * w
+        rows += [(base[w] + i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(frame, F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for w, x in by_width.items():
+        ask = np.arange(0, len(x), 50)
+        want = _neighbours(x, ask, 5)
+        found = {(q - base[w], v - base[w]) for q, vs in got.items() if q // 10_000 == w for v in vs}
+        assert {q for q, _ in found} == set(ask.tolist())
+        assert len(want & found) >= 0.9 * len(want) and len(found) == len(want)
+
+
+def test_ann_of_few_rows_is_exact(spark):
+    """One curve with one run is every row, and lists as long as the table."""
+    reach_workers(spark)
+    x = np.random.default_rng(3).normal(size=(300, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, F.col("vec_id") % 3 == 0, 5, curves=(1,), runs=(1,), rerank=300).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == _neighbours(x, np.arange(0, 300, 3), 5)
+
+
+def test_short_codes():
+    x = np.random.default_rng(4).normal(size=(50, 33))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    again = ann.from_codes(ann.short_codes(unit))
+    assert again.shape == (50, 34) and np.allclose(again[:, 33], 0)
+    assert ((again[:, :33] * unit).sum(1) > 0.985).all()
 
 
 def test_url_rules(spark):
