@@ -7,14 +7,19 @@ candidate rules are filters over its catalog rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starloom.operators import analytics as an
 from starloom.operators import graph as gr
 from starloom.operators import profile as pr
+from starloom.operators.cycles import closing_fields
+from starloom.session import materialize
+from starloom.sources.versions import ModelStore
 
 # The flag and calendar vocabularies of the enrichment rules.
 FLAG_NAME_PATTERN = r"(?i)(flag|status|yes|no|active|valid|binary|imported|return)"
@@ -202,42 +207,152 @@ def basket_candidate(meta: DataFrame, facts: DataFrame, link_table: str = "LinkT
     return row.where(F.col("idField").isNotNull() & F.col("itemField").isNotNull())
 
 
-def _health(model: dict[str, DataFrame]) -> dict:
-    """D14 report of a model as one driver-side metadata row, with the
-    number of edges beyond a forest (``excess``)."""
-    cat = pr.catalog(model).select("tidx", "table", "field")
-    r = gr.validate_model(cat.select("table").distinct(), cat).first()
-    return {
-        "n_synthetic_keys": r["n_synthetic_keys"],
-        "excess": r["n_edges"] - (r["n_tables"] - r["n_islands"]),
-        "errors": list(r["errors"]),
-    }
+def is_one_to_many(df: DataFrame, id_col: str, item: str) -> bool:
+    """A11 as a gate: whether an id has two different items.  The least and the
+    greatest item of each id are kept map-side, so a hot id is one row a task."""
+    both = df.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{item}`").isNotNull())
+    ends = both.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min(f"`{item}`").alias("_low"), F.max(f"`{item}`").alias("_high"))
+    return not ends.where(F.col("_low") != F.col("_high")).isEmpty()
+
+
+@dataclass(frozen=True)
+class Step:
+    """A derived table: its name, the fields it needs by table, and how it is
+    made (a built-in operator or any user callable over the model)."""
+
+    name: str
+    needs: Mapping[str, Sequence[str]]
+    make: Callable[[dict[str, DataFrame]], DataFrame]
+
+
+def _columns(model: dict[str, DataFrame]) -> dict[str, list[str]]:
+    return {t: df.columns for t, df in model.items()}
+
+
+def _refusal(model: dict[str, DataFrame], step: Step, derived: DataFrame) -> str:
+    """Why a derived table may not be added, as far as its schema tells: it
+    would close a cycle or make a synthetic key that the model does not have."""
+    before = set(closing_fields(_columns(model), {}))
+    after = closing_fields(_columns(model | {step.name: derived}), {})
+    new = [f"{t}.{c}" for t, c in after if (t, c) not in before]
+    return f"closes a cycle by {', '.join(new)}" if len(after) > len(before) else ""
+
+
+def _missing(model: dict[str, DataFrame], step: Step) -> str:
+    for table, cols in step.needs.items():
+        if table not in model:
+            return f"missing table {table}"
+        gone = [c for c in cols if c not in model[table].columns]
+        if gone:
+            return f"missing fields {gone} in {table}"
+    return ""
+
+
+def _loose(model: dict[str, DataFrame], table: DataFrame) -> str:
+    """Why a table's rows do not hang on the model: a linking field without a
+    value that the other tables have."""
+    for c in table.columns:
+        others = [df.select(F.col(f"`{c}`").alias("_v")) for df in model.values() if c in df.columns]
+        if others:
+            held = others[0]
+            for o in others[1:]:
+                held = held.unionByName(o)
+            own = table.select(F.col(f"`{c}`").alias("_v")).where("_v IS NOT NULL").distinct()
+            if own.join(held, "_v", "left_semi").isEmpty():
+                return f"no value of {c} is in the model"
+    return ""
 
 
 def add_checked(
     model: dict[str, DataFrame],
     name: str,
     step: Callable[[dict[str, DataFrame]], DataFrame],
-    needs: dict[str, Sequence[str]] | None = None,
+    needs: Mapping[str, Sequence[str]] | None = None,
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Add one derived table only if its inputs exist and it makes the
-    model no worse: no new synthetic key and no new cycle edge (a model that
-    already has a cycle can still take a table that hangs off it).  ``step`` is a built-in
-    operator or any user callable over the model.  Returns the (possibly
-    extended) model and a report ``{tool, status, reason}``."""
-    for table, cols in (needs or {}).items():
-        if table not in model:
-            return model, {"tool": name, "status": "rejected", "reason": f"missing table {table}"}
-        missing = [c for c in cols if c not in model[table].columns]
-        if missing:
-            return model, {"tool": name, "status": "rejected", "reason": f"missing fields {missing} in {table}"}
+    """M18 on schemas alone: add one derived table only if its inputs exist and
+    it closes no cycle and makes no synthetic key that the model does not have
+    (a model with a cycle can still take a table that hangs off it).  Returns
+    the (possibly extended) model and a report ``{tool, status, reason}``."""
+    made = Step(name, needs or {}, step)
+    reason = _missing(model, made)
+    if not reason:
+        try:
+            derived = step(model)
+        except Exception as e:  # noqa: BLE001 - report, do not crash the model
+            return model, {"tool": name, "status": "rejected", "reason": f"{type(e).__name__}: {e}"}
+        reason = _refusal(model, made, derived)
+    if reason:
+        return model, {"tool": name, "status": "rejected", "reason": reason}
+    return model | {name: derived}, {"tool": name, "status": "added", "reason": ""}
+
+
+def add_to_store(store: ModelStore, step: Step) -> dict[str, str]:
+    """M18 as a transaction: the derived table is written, checked on its rows
+    (it has some, and each linking field has values of the model) and taken into
+    the next version of the saved model, or left out of it.  A step that fails
+    while it runs leaves the model as it was.  The report is ``{tool, status,
+    reason, rows}``."""
+    report = {"tool": step.name, "status": "rejected", "reason": "", "rows": 0}
+    model = store.read()
+    report["reason"] = _missing(model, step)
+    if report["reason"]:
+        return report
     try:
-        derived = step(model)
-    except Exception as e:  # noqa: BLE001 - report, do not crash the model
-        return model, {"tool": name, "status": "rejected", "reason": f"{type(e).__name__}: {e}"}
-    extended = dict(model)
-    extended[name] = derived
-    before, after = _health(model), _health(extended)
-    if after["n_synthetic_keys"] > before["n_synthetic_keys"] or after["excess"] > before["excess"]:
-        return model, {"tool": name, "status": "rejected", "reason": "; ".join(after["errors"])}
-    return extended, {"tool": name, "status": "added", "reason": ""}
+        derived = step.make(model)
+        report["reason"] = _refusal(model, step, derived)
+        if report["reason"]:
+            return report
+        path, rows = store.write_table(step.name, derived)
+        written = store.spark.read.parquet(path)
+        report["reason"] = "no rows" if not rows else _loose(model, written)
+        if report["reason"]:
+            return report
+        store.commit(store.manifest() | {step.name: (path, rows)})
+    except Exception as e:  # noqa: BLE001 - report, the saved model is as it was
+        first = str(e).strip().splitlines()
+        return report | {"status": "error", "reason": f"{type(e).__name__}: {first[0] if first else ''}"}
+    return report | {"status": "added", "rows": rows}
+
+
+def enrichment_steps(model: dict[str, DataFrame], meta: DataFrame, fields: DataFrame | None = None, facts: Sequence[str] = ()) -> list[Step]:
+    """The catalog's steps for a model: as-of table (M15), flags (M13), Pareto
+    tables (M16) and the market basket (M17, if its ids have several items,
+    A11).  ``meta`` is :func:`live_metadata`; what is read of it on the driver
+    are names, a row a candidate."""
+    steps: list[Step] = []
+    for r in as_of_candidate(meta).collect():
+        table, date = r["sourceTable"], r["dateField"]
+        steps.append(Step("AsOf_Table", {table: [date]}, lambda m, t=table, d=date: an.as_of_table(m[t].withColumn(d, F.col(f"`{d}`").try_cast("date")), d)))
+    for r in flag_candidates(meta).orderBy("tidx", "pos").collect():
+        table, name, values = r["table"], r["field"], list(r["values"])
+        steps.append(Step(f"Flag_{table}_{name}", {table: [name]}, lambda m, t=table, f=name, v=values: an.encode_flag(
+            m[t].select(F.col(f"`{f}`")).where(F.col(f"`{f}`").isNotNull()).distinct(), f, v)))
+    for r in pareto_candidates(meta, fields).orderBy("factTable").collect():
+        fact, link, key, dim, measure = (r[c] for c in ("factTable", "linkTable", "keyField", "dimensionField", "measureField"))
+        if link:
+            steps.append(Step(f"Pareto_{fact}", {fact: [key, measure], link: [key, dim]}, lambda m, f=fact, n=link, k=key, d=dim, x=measure: an.pareto(
+                m[f], m[n].where(F.col(f"`{k}`").isNotNull()), k, d, x, flag=f"{f}_pareto").withColumnsRenamed(_own(f))))
+        else:
+            steps.append(Step(f"Pareto_{fact}", {fact: [dim, measure]}, lambda m, f=fact, d=dim, x=measure: an.pareto_self(
+                m[f], d, x, flag=f"{f}_pareto").withColumnsRenamed(_own(f))))
+    first = [(i, t) for i, t in enumerate(model) if t in facts]
+    frame = meta.sparkSession.createDataFrame(first, "tidx int, table string")
+    for r in basket_candidate(meta, frame).collect():
+        table, id_col, item = r["table"], r["idField"], r["itemField"]
+        if is_one_to_many(model[table], id_col, item):
+            steps.append(Step(f"Basket_{item}", {table: [id_col, item]}, lambda m, t=table, i=id_col, x=item: an.market_basket(m[t], i, x)))
+    return steps
+
+
+def _own(fact: str) -> dict[str, str]:
+    """Pareto columns under names of their own, so that two Pareto tables
+    share no field but their dimension."""
+    return {"measure_sum": f"{fact}_measure_sum", "cum_share": f"{fact}_cum_share"}
+
+
+def enrich(store: ModelStore, fields: DataFrame | None = None, facts: Sequence[str] = ()) -> list[dict[str, str]]:
+    """Add all steps of the catalog to a saved model, one transaction each, and
+    report each; ``fields`` are classified fields (M16)."""
+    model = store.read()
+    meta = live_metadata(model).transform(materialize)
+    return [add_to_store(store, s) for s in enrichment_steps(model, meta, fields, facts)]

@@ -1432,40 +1432,81 @@ def q_profile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.profile(_t(spark, sf_dir, *STAR_TABLES), approx=True).drop("sampleValues")
 
 
-@register("enrich_model")
+_SALES = ["lineitem", "orders", "customer", "supplier", "part", "nation", "region"]
+
+
+def _sales(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The star tables, lines first, associated by their keys' names; a part
+    is called a product."""
+    tables = _star(spark, sf_dir).tables
+    return {n: tables[n].withColumnRenamed("Part", "Product") for n in _SALES}
+
+
+def _pareto_sql(table: str, dim: str, measure: str) -> str:
+    return f"""SELECT 'Pareto_{table}' AS tool, {dim} AS a,
+       CASE WHEN acc / tot <= 0.8 THEN 'Top 80%' ELSE 'Bottom 20%' END AS b, CAST(s AS DOUBLE) AS n
+FROM (SELECT {dim}, s, sum(s) OVER (ORDER BY s DESC NULLS LAST, {dim} ROWS UNBOUNDED PRECEDING) AS acc, sum(s) OVER () AS tot
+      FROM (SELECT {dim}, sum(CAST({measure} AS DOUBLE)) AS s FROM {table} GROUP BY {dim}))
+WHERE (SELECT count(DISTINCT {dim}) FROM {table}) > 10"""
+
+
+@register(
+    "enrich_model",
+    f"""WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_shipdate IS NOT NULL)
+SELECT 'AsOf_Table' AS tool, strftime(d, '%Y-%m-%d') AS a, strftime(d, '%Y-%m-%d') || ' Current Day' AS b, CAST(NULL AS DOUBLE) AS n FROM d
+UNION ALL SELECT 'AsOf_Table', strftime(d, '%Y-%m-%d'), strftime(CAST(d - to_months(i) AS DATE), '%Y-%m-%d') || ' Rolling 12 Months', NULL
+FROM d, range(0, 12) AS r(i)
+UNION ALL SELECT DISTINCT 'Flag_lineitem_l_linestatus', l_linestatus, NULL, CASE l_linestatus WHEN 'F' THEN 1.0 ELSE 2.0 END FROM lineitem
+UNION ALL {_pareto_sql('customer', 'c_name', 'c_acctbal')}
+UNION ALL {_pareto_sql('supplier', 's_name', 's_acctbal')}
+UNION ALL {_pareto_sql('part', 'p_name', 'p_size')}
+UNION ALL SELECT 'Basket_Product', CAST(a.l_partkey AS VARCHAR), CAST(b.l_partkey AS VARCHAR), CAST(count(*) AS DOUBLE)
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey <> b.l_partkey GROUP BY a.l_partkey, b.l_partkey""",
+)
 def q_enrich_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M13-M18 on the built model: candidates from live metadata, each
-    derived table added only if the model stays valid; the report rows."""
+    """The rows of the tables that enrichment adds to the saved
+    model, one transaction each."""
+    from starloom.operators import enrich as en
+    from starloom.sources import ModelStore
+
+    model = _sales(spark, sf_dir)
+    store = ModelStore(spark, _shared_folder(spark, "enriched"))
+    store.save(model)
+    keys = [(t, "Product" if a == "Part" else a, "IDENTIFIER", None) for t, _, _, a in DRIVER_ALIASES]
+    en.enrich(store, md.discover(model, md.overrides_frame(spark, keys)).fields, ["lineitem", "orders"])
+    made = {n: df for n, df in store.read().items() if n not in model}
+    parts = []
+    for name, df in made.items():
+        c = [F.col(f"`{x}`") for x in df.columns]
+        if name == "AsOf_Table":
+            a, b, n = F.date_format(c[0], "yyyy-MM-dd"), F.concat_ws(" ", F.date_format(c[1], "yyyy-MM-dd"), c[2]), F.lit(None)
+        elif name.startswith("Pareto"):
+            a, b, n = c[0], c[3], c[1]
+        else:
+            a, b, n = c[0], c[1] if len(c) > 2 else F.lit(None), c[-1]
+        parts.append(df.select(
+            F.lit(name).alias("tool"), a.cast("string").alias("a"), b.cast("string").alias("b"), n.cast("double").alias("n")
+        ))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register(
+    "basket_candidate",
+    """SELECT 'lineitem' AS "table", 'Order' AS idField, 'Product' AS itemField,
+       (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING min(l_partkey) <> max(l_partkey))) > 0 AS viable""",
+)
+def q_basket_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M17 with its A11 gate."""
     from starloom.operators import enrich as en
 
-    built = _built(spark, sf_dir)
-    model = built.tables
-    meta = en.live_metadata(model).transform(materialize)
-    reports = []
-    asof = en.as_of_candidate(meta).first()
-    if asof:
-        model, rep = en.add_checked(
-            model, "AsOf_Table",
-            lambda m: an.as_of_table(m[asof["sourceTable"]], asof["dateField"]).withColumnRenamed(
-                asof["dateField"], f"AsOf_{asof['dateField']}"),
-            needs={asof["sourceTable"]: [asof["dateField"]]},
-        )
-        reports.append(rep)
-    for fl in en.flag_candidates(meta).collect():
-        model, rep = en.add_checked(
-            model, f"Flag_{fl['table']}_{fl['field']}",
-            lambda m, fl=fl: an.encode_flag(m[fl["table"]].select(fl["field"]).distinct(), fl["field"], list(fl["values"])),
-            needs={fl["table"]: [fl["field"]]},
-        )
-        reports.append(rep)
-    facts = meta.where(F.col("table").isin(*built.blueprint.facts)).select("tidx", "table").distinct()
-    basket = en.basket_candidate(meta, facts).first()
-    reports.append({"tool": "market_basket", "status": "candidate" if basket else "none",
-                    "reason": f"{basket['table']}.{basket['idField']} x {basket['itemField']}" if basket else ""})
-    for pc in en.pareto_candidates(meta, None).collect():
-        reports.append({"tool": f"pareto_{pc['factTable']}", "status": "candidate",
-                        "reason": f"{pc['dimensionField']} by {pc['measureField']}"})
-    return spark.createDataFrame(reports, "tool string, status string, reason string")
+    model = _sales(spark, sf_dir)
+    found = en.basket_candidate(en.live_metadata(model), spark.createDataFrame([(0, "lineitem")], "tidx int, table string"))
+    r = found.first()
+    viable = en.is_one_to_many(model[r["table"]], r["idField"], r["itemField"])
+    return found.select("table", "idField", "itemField", F.lit(viable).alias("viable"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,8 +18,10 @@ from starloom.sources.files import (
     tag_source,
     unqualify,
 )
+from starloom.sources.versions import ModelStore
 
 __all__ = [
+    "ModelStore",
     "common_prefix",
     "distinct_load",
     "inline_table",
