@@ -112,8 +112,11 @@ def table_roles(fields: DataFrame, fact_rows: int | None = FACT_ROWS) -> DataFra
     columns.  ``fact_rows=None`` leaves the row count out of the rule."""
     many_rows = F.lit(False) if fact_rows is None else F.col("rowCount") > fact_rows
     is_fk = (F.col("type") == "IDENTIFIER") & (F.col("uniquenessRatio") < PRIMARY_KEY_UNIQUENESS)
+    rows = F.max("rowCount")
+    if "dtype" in fields.columns:  # arrays and maps are counted by element
+        rows = F.coalesce(F.max(F.when(~F.col("dtype").rlike("^(array|map)<"), F.col("rowCount"))), rows)
     counts = fields.groupBy("tidx", "table").agg(
-        F.max("rowCount").alias("rowCount"),
+        rows.alias("rowCount"),
         F.count_if(F.col("type") == "MEASURE").alias("measureCount"),
         F.count_if(is_fk).alias("foreignKeyCount"),
         F.count_if(F.col("type") == "DATE").alias("dateCount"),

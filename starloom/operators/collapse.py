@@ -88,7 +88,7 @@ def collapse(tables: dict[str, DataFrame], groups: dict[str, list[str]]) -> Coll
 
 
 def merged_counts(spark: SparkSession, counts: DataFrame, plan: Collapse, rows: dict[str, int]) -> DataFrame:
-    """Value counts (tidx, pos, value, n) of the collapsed model from those of
+    """Value counts (tidx, pos, value, n, wide) of the collapsed model from those of
     the old one; ``rows`` are the row counts of the members."""
     places = {t: (i, {c: p for p, c in enumerate(df.columns)}) for i, (t, df) in enumerate(plan.tables.items())}
     moves, fills = [], []
@@ -110,15 +110,16 @@ def merged_counts(spark: SparkSession, counts: DataFrame, plan: Collapse, rows:
     # one row per column of the model: schema-sized
     to = spark.createDataFrame(moves, "tidx int, pos int, new_t int, new_p int, added boolean")
     moved = counts.join(F.broadcast(to), ["tidx", "pos"])
-    out = moved.select(F.col("new_t").alias("tidx"), F.col("new_p").alias("pos"), "value", "n", "added")
+    out = moved.select(F.col("new_t").alias("tidx"), F.col("new_p").alias("pos"), "value", "n", "wide", "added")
     more = spark.createDataFrame(fills, "tidx int, pos int, value string, n long")
-    summed = out.where("added").drop("added").unionByName(more).groupBy("tidx", "pos", "value").agg(F.sum("n").alias("n"))
+    summed = out.where("added").drop("added").unionByName(more, allowMissingColumns=True)
+    summed = summed.groupBy("tidx", "pos", "value", "wide").agg(F.sum("n").alias("n"))
     out = out.where("NOT added").drop("added").unionByName(summed)
     for group, columns in plan.recount.items():
         again = pr.value_counts({group: plan.tables[group].select(*[F.col(f"`{c}`") for c in columns])})
         new_t, at = places[group]
         pos = F.element_at(F.array(*[F.lit(at[c]) for c in columns]), F.col("pos") + 1)
-        out = out.unionByName(again.select(F.lit(new_t).alias("tidx"), pos.alias("pos"), "value", "n"))
+        out = out.unionByName(again.select(F.lit(new_t).alias("tidx"), pos.alias("pos"), "value", "n", "wide"))
     return out
 
 

@@ -9,7 +9,11 @@ map-side partial aggregation collapses repeated values, so a hot value (or
 a column that is one third of all cells) never lands whole in one task.
 All per-column statistics -- null and blank counts, exact distinct count,
 length range, numeric range, samples -- are then small aggregates over the
-distinct ``(value, n)`` rows.  ``approx=True`` skips the long form and
+distinct ``(value, n)`` rows.  Cells of more than ``WIDE`` characters travel as
+their beginning and a 128-bit hash, with their length and what the statistics ask
+of them, so no long text is shuffled; the few that are chosen as samples are
+fetched afterwards.  Arrays count by element, maps by value (a null or empty
+one is a missing cell).  ``approx=True`` skips the long form and
 computes every statistic in one wide map-side aggregate with
 HyperLogLog distinct counts instead.
 """
@@ -48,6 +52,17 @@ def catalog(model: dict[str, DataFrame]) -> DataFrame:
 
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: characters of a cell that travels as it is, and between beginning and hash
+#: of one that does not (no text holds it there: see :func:`_wide_key`)
+WIDE = 64
+_MARK = "\u0000#"
+_WIDE_INFO = "struct<length:int,blank:boolean,number:double,numeric:boolean>"
+
+
+def _wide_key(c):
+    """What a wide cell travels as: its beginning, a mark and its hash.  It is
+    longer than ``WIDE``, so it is no other cell's own text."""
+    return F.concat(F.substring(c, 1, WIDE), F.lit(_MARK), F.md5(c.cast("binary")))
 
 
 def _cell(pos: int, c, dtype: T.DataType):
@@ -56,13 +71,38 @@ def _cell(pos: int, c, dtype: T.DataType):
     one-to-one function of the value, so distinct values and counts are the
     same); every other type is cast to text here."""
     txt, lng, dbl = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
+    info = F.lit(None).cast(_WIDE_INFO)
     if isinstance(dtype, _INTEGRAL):
         lng = c.cast("long")
     elif isinstance(dtype, T.DoubleType):
         dbl = c
     else:
         txt = c.cast("string")
-    return F.struct(F.lit(pos).alias("pos"), txt.alias("_s"), lng.alias("_l"), dbl.alias("_d"))
+    if _may_be_wide(dtype):
+        wide = F.length(txt) > WIDE
+        facts = F.struct(
+            F.length(txt).alias("length"), is_blank(txt).alias("blank"), numeric_value(txt).alias("number"), is_numeric_text(txt).alias("numeric")
+        )
+        info = F.when(wide, facts)
+        txt = F.when(wide, _wide_key(txt)).otherwise(txt)
+    return F.struct(F.lit(pos).alias("pos"), txt.alias("_s"), lng.alias("_l"), dbl.alias("_d"), info.alias("_w"))
+
+
+def _may_be_wide(dtype: T.DataType) -> bool:
+    return not isinstance(dtype, (*_INTEGRAL, T.FractionalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType))
+
+
+def _elements(df: DataFrame) -> list[tuple[int, DataFrame, T.DataType]]:
+    """(position, one-column frame, type) of the array and map columns, a row
+    an element; a null or empty one is one null row."""
+    out = []
+    for pos, f in enumerate(df.schema.fields):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.ArrayType):
+            out.append((pos, df.select(F.explode_outer(c).alias("c")), f.dataType.elementType))
+        elif isinstance(f.dataType, T.MapType):
+            out.append((pos, df.select(F.explode_outer(F.map_values(c)).alias("c")), f.dataType.valueType))
+    return out
 
 
 def _typed_cells(model: dict[str, DataFrame], scan_columns: int | None = None) -> DataFrame:
@@ -72,10 +112,14 @@ def _typed_cells(model: dict[str, DataFrame], scan_columns: int | None = None) -
     Row formats and derived tables are better read whole (None)."""
     parts = []
     for ti, df in enumerate(model.values()):
-        cells = [_cell(pos, df[f"`{f.name}`"], f.dataType) for pos, f in enumerate(df.schema.fields)]
+        nested = _elements(df)
+        skip = {pos for pos, _, _ in nested}
+        cells = [_cell(pos, df[f"`{f.name}`"], f.dataType) for pos, f in enumerate(df.schema.fields) if pos not in skip]
         step = scan_columns or max(1, len(cells))
         for lo in range(0, len(cells), step):
             parts.append(df.select(F.lit(ti).alias("tidx"), F.inline(F.array(*cells[lo : lo + step]))))
+        for pos, frame, dtype in nested:
+            parts.append(frame.select(F.lit(ti).alias("tidx"), F.inline(F.array(_cell(pos, F.col("c"), dtype)))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -86,18 +130,14 @@ def _as_text():
     return F.coalesce(F.col("_s"), F.col("_l").cast("string"), F.col("_d").cast("string"))
 
 
-def long_values(model: dict[str, DataFrame]) -> DataFrame:
-    """``(tidx, pos, value)`` with one row per cell, values as text, nulls kept."""
-    return _typed_cells(model).select("tidx", "pos", _as_text().alias("value"))
-
-
 def value_counts(model: dict[str, DataFrame], scan_columns: int | None = None) -> DataFrame:
-    """``(tidx, pos, value, n)``: multiplicity of every text value per column.
+    """``(tidx, pos, value, n, wide)``: multiplicity of every text value per
+    column; ``wide`` has the facts of a value that travels as a hash.
 
     Grouped on the typed slots (cheap keys, no per-cell text conversion),
     then rendered as text once per distinct value."""
-    g = _typed_cells(model, scan_columns).groupBy("tidx", "pos", "_s", "_l", "_d").agg(F.count(F.lit(1)).alias("n"))
-    return g.select("tidx", "pos", _as_text().alias("value"), "n")
+    g = _typed_cells(model, scan_columns).groupBy("tidx", "pos", "_s", "_l", "_d", "_w").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("tidx", "pos", _as_text().alias("value"), "n", F.col("_w").alias("wide"))
 
 
 def distinct_values(counts: DataFrame) -> DataFrame:
@@ -109,22 +149,31 @@ def _stat_aggs() -> list:
     v = F.col("value")
     present = ~is_missing(v)
     n = F.col("n")
-    length = F.length(v)
+    wide = F.col("wide")
+    length = F.coalesce(wide["length"], F.length(v))
+    blank = F.coalesce(wide["blank"], is_blank(v))
+    numeric = F.coalesce(wide["numeric"], is_numeric_text(v))
+    number = F.when(wide.isNotNull(), wide["number"]).otherwise(numeric_value(v))
     return [
         F.sum(n).alias("rowCount"),
         F.sum(F.when(~present, n).otherwise(F.lit(0))).alias("nullCount"),
-        F.sum(F.when(present & is_blank(v), n).otherwise(F.lit(0))).alias("blankCount"),
+        F.sum(F.when(present & blank, n).otherwise(F.lit(0))).alias("blankCount"),
         F.count_if(present).alias("distinctCount"),
         F.min(F.when(present, length)).alias("minLength"),
         F.max(F.when(present, length)).alias("maxLength"),
         F.sum(F.when(present, length.cast("long") * n)).alias("sumLength"),
-        F.count_if(present & ~is_numeric_text(v)).alias("_nonNumeric"),
-        F.min(F.when(present, numeric_value(v))).alias("_minNum"),
-        F.max(F.when(present, numeric_value(v))).alias("_maxNum"),
+        F.count_if(present & ~numeric).alias("_nonNumeric"),
+        F.min(F.when(present, number)).alias("_minNum"),
+        F.max(F.when(present, number)).alias("_maxNum"),
     ]
 
 
-def _field_stats(counts: DataFrame, k: int = 0) -> DataFrame:
+def _with_wide(counts: DataFrame) -> DataFrame:
+    """Value counts from another source, where no value is wide."""
+    return counts if "wide" in counts.columns else counts.withColumn("wide", F.lit(None).cast(_WIDE_INFO))
+
+
+def _field_stats(counts: DataFrame, k: int = 0, model: dict[str, DataFrame] | None = None) -> DataFrame:
     """Per-column statistics from the distinct ``(value, n)`` rows, and with
     ``k > 0`` the ``k`` smallest present values as ``sampleValues``.
 
@@ -132,15 +181,45 @@ def _field_stats(counts: DataFrame, k: int = 0) -> DataFrame:
     Samples are ranked with a limit that Spark applies inside each task
     before the shuffle, so a column sends at most ``k`` values per task.
     """
+    counts = _with_wide(counts)
     stats = counts.groupBy("tidx", "pos").agg(*_stat_aggs())
     if k <= 0:
         return stats
     smallest = F.row_number().over(Window.partitionBy("tidx", "pos").orderBy("value"))
-    ranked = distinct_values(counts).withColumn("_r", smallest).where(F.col("_r") <= k)
+    present = counts.where(~is_missing(F.col("value")))
+    ranked = present.withColumn("_r", smallest).where(F.col("_r") <= k)
+    if model is not None:
+        ranked = stage(ranked.select("tidx", "pos", "value", "wide", "_r"), "samples")
+        wide = ranked.where("wide IS NOT NULL").select("tidx", "pos").distinct()
+        columns = {(r["tidx"], r["pos"]) for r in wide.collect()}  # one row per column of the model
+        if columns:
+            texts = _wide_samples(model, columns, ranked, k)
+            ranked = ranked.join(wide, ["tidx", "pos"], "left_anti").select("tidx", "pos", "value").unionByName(texts)
     samples = ranked.groupBy("tidx", "pos").agg(F.array_sort(F.collect_list("value")).alias("sampleValues"))
     return stats.join(samples, ["tidx", "pos"], "left")
 
 
+def _wide_samples(model: dict[str, DataFrame], columns: set[tuple[int, int]], ranked: DataFrame, k: int) -> DataFrame:
+    """The ``k`` smallest texts of columns with wide values among them.  Only
+    texts that begin no later than the ``k``-th value does can be; they are read
+    again, equal ones combined in their task, and ranked with a limit there."""
+    last = ranked.where(F.col("_r") <= k).groupBy("tidx", "pos").agg(
+        F.max(F.substring("value", 1, WIDE)).alias("bound"), F.count("*").alias("have")
+    )
+    parts = None
+    for ti, df in enumerate(model.values()):
+        nested = {pos: frame for pos, frame, _ in _elements(df)}
+        for pos in sorted(p for t, p in columns if t == ti):
+            frame = nested.get(pos, df.select(F.col(f"`{df.columns[pos]}`").alias("c")))
+            part = frame.select(F.lit(ti).alias("tidx"), F.lit(pos).alias("pos"), F.col("c").cast("string").alias("value"))
+            parts = part if parts is None else parts.unionByName(part)
+    near = parts.where(~is_missing(F.col("value"))).join(F.broadcast(last), ["tidx", "pos"])
+    near = near.where((F.col("have") < k) | (F.substring("value", 1, WIDE) <= F.col("bound")))
+    texts = near.select("tidx", "pos", "value").distinct()
+    order = F.row_number().over(Window.partitionBy("tidx", "pos").orderBy("value"))
+    return texts.withColumn("_r", order).where(F.col("_r") <= k).select("tidx", "pos", "value")
+
+
 def _finish(stats: DataFrame, cat: DataFrame) -> DataFrame:
     s = cat.join(stats, ["tidx", "pos"], "left")
     if "sampleValues" not in stats.columns:
@@ -191,7 +270,7 @@ def profile(
     distinct counts are exact (no cap) unless ``approx``.  Pass ``counts``
     (from :func:`value_counts`) to share one value aggregation with the
     overlap step; otherwise it is written to the checkpoint folder once if
-    samples are asked for.  Under ``approx`` samples take one scan a sample.
+    samples are asked for.  Under ``approx`` samples take one more scan.
     """
     cat = catalog(model)
     if approx:
@@ -203,7 +282,7 @@ def profile(
         counts = value_counts(model, scan_columns)
         if samples > 0:  # read by the statistics and by the samples
             counts = stage(counts, "values")
-    return _finish(_field_stats(counts, samples), cat)
+    return _finish(_field_stats(counts, samples, model), cat)
 
 
 def _wide_stats(model: dict[str, DataFrame]) -> DataFrame:
@@ -255,28 +334,20 @@ def _wide_stats(model: dict[str, DataFrame]) -> DataFrame:
 
 
 def _smallest(model: dict[str, DataFrame], k: int) -> DataFrame:
-    """The ``k`` smallest present values of every column as ``sampleValues``:
-    a wide aggregate per table and sample takes each column's least value above
-    the one before, so no value but these leaves its task."""
-    spark = next(iter(model.values())).sparkSession
-    rows = []
+    """The ``k`` smallest present values of every column as ``sampleValues``, in
+    one scan: values are ranked with a limit that Spark applies in each task
+    before the shuffle, so no more than ``k`` a column leave it, and none
+    reaches the driver."""
+    parts = None
     for ti, df in enumerate(model.values()):
-        found: list[list[str]] = [[] for _ in df.columns]
-        left = list(range(len(df.columns)))
-        for _ in range(k):
-            if not left:
-                break
-            aggs = []
-            for pos in left:
-                v = df[f"`{df.columns[pos]}`"].cast("string")
-                more = v > F.lit(found[pos][-1]) if found[pos] else F.lit(True)
-                aggs.append(F.min(F.when(~is_missing(v) & more, v)).alias(f"v{pos}"))
-            least = df.agg(*aggs).first()
-            left = [pos for pos in left if least[f"v{pos}"] is not None]
-            for pos in left:
-                found[pos].append(least[f"v{pos}"])
-        rows += [(ti, pos, values) for pos, values in enumerate(found)]
-    return spark.createDataFrame(rows, "tidx int, pos int, sampleValues array<string>")
+        cells = [
+            F.struct(F.lit(pos).alias("pos"), F.col(f"`{f.name}`").cast("string").alias("value")) for pos, f in enumerate(df.schema.fields)
+        ]
+        part = df.select(F.lit(ti).alias("tidx"), F.inline(F.array(*cells)))
+        parts = part if parts is None else parts.unionByName(part)
+    order = F.dense_rank().over(Window.partitionBy("tidx", "pos").orderBy("value"))
+    ranked = parts.where(~is_missing(F.col("value"))).withColumn("_r", order).where(F.col("_r") <= k)
+    return ranked.groupBy("tidx", "pos").agg(F.array_sort(F.collect_set("value")).alias("sampleValues"))
 
 
 def table_stats(model: dict[str, DataFrame]) -> DataFrame:
@@ -337,8 +408,3 @@ def field_cardinality(model: dict[str, DataFrame], approx: bool = False) -> Data
 def distinct_count_all(df: DataFrame, col: str, out: str = "n_distinct") -> DataFrame:
     """``Count({1} DISTINCT col)``: over the whole, unfiltered table."""
     return df.agg(F.count_distinct(F.col(col)).alias(out))
-
-
-def inline_model(spark: SparkSession, tables: dict[str, tuple[Sequence[Sequence], str]]) -> dict[str, DataFrame]:
-    """Helper for fixtures: ``{name: (rows, ddl_schema)}`` -> model."""
-    return {n: spark.createDataFrame(list(rows), schema) for n, (rows, schema) in tables.items()}

@@ -38,6 +38,14 @@ def numeric_value(v: str) -> str:
     )
 
 
+def cell(column: str) -> str:
+    """A column's cells; those of an array are its elements, a null or empty
+    one is a null."""
+    if column == "embedding":
+        return "unnest(CASE WHEN len(embedding) > 0 THEN embedding ELSE [NULL] END)"
+    return q(column)
+
+
 def profile_sql(tables: list[str], with_samples: bool = True) -> str:
     """Per-column profile, one SELECT per column, UNION ALL."""
     parts = []
@@ -67,7 +75,7 @@ def profile_sql(tables: list[str], with_samples: bool = True) -> str:
   {round_ratio(nn, "count(*)", 4)} AS informationDensity,
   {round_ratio(f"(count(*) - {nn}) * 100", "count(*)", 2)} AS nullPercentage,
   {round_ratio(f"count(DISTINCT v) FILTER (WHERE {present})", nn, 4)} AS uniquenessRatio
-FROM (SELECT CAST({q(c)} AS VARCHAR) AS v FROM {t})"""
+FROM (SELECT CAST({cell(c)} AS VARCHAR) AS v FROM {t})"""
             )
     return "\nUNION ALL\n".join(parts)
 

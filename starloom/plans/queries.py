@@ -135,6 +135,21 @@ def q_profile_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile_out(pr.profile(_t(spark, sf_dir, *STAR_TABLES), scan_columns=SCAN_COLUMNS))
 
 
+#: text forms of single-precision numbers differ between engines
+_ALL_PROFILE = ", ".join(
+    f"CASE WHEN field = 'embedding' THEN NULL ELSE {c} END AS {c}" if c in ("minLength", "maxLength", "avgLength", "sampleValues", "minNumeric", "maxNumeric")
+    else f'"{c}"' for c in PROFILE_COLUMNS
+)
+
+
+@register("profile_all", f"SELECT {_ALL_PROFILE} FROM ({ot.profile_sql(ALL_TABLES)})")
+def q_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 of all fourteen tables, with long texts and arrays."""
+    p = _profile_out(pr.profile(_t(spark, sf_dir, *ALL_TABLES), scan_columns=SCAN_COLUMNS))
+    shown = ("minLength", "maxLength", "avgLength", "sampleValues", "minNumeric", "maxNumeric")
+    return p.withColumns({c: F.when(F.col("field") != "embedding", F.col(c)) for c in shown})
+
+
 @register("table_metrics", ot.table_metrics_sql(ALL_TABLES))
 def q_table_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.table_stats(_t(spark, sf_dir, *ALL_TABLES)).drop("tidx")
