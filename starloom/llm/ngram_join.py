@@ -59,9 +59,8 @@ def keyed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def _blocks(reps: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(cid, block) of the classes that share a key with another."""
-    keys = stored(reps.select("cid", F.explode("keys").alias("key")), "ngram-keys")
+def _blocks(keys: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(cid, block) of the classes that share a key (cid, key) with another."""
     buckets = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("m")).where("m > 1")
     buckets = stored(buckets, "ngram-buckets")
     edges = split_join(keys, buckets, "key", "m", broadcast_rows).where("cid <> hub")
@@ -148,9 +147,10 @@ def jaccard_components(
     )
     classes = stored(classes, "ngram-classes")
     ids = classes.select(F.col("cid").alias("rid"), "cid")
-    reps = stored(filled.join(ids, "rid").select("cid", "doc_id", "n", "fp1", "fp2", "keys"), "ngram-reps")
-    dealt = stored(_blocks(reps, broadcast_rows), "ngram-blocks")
-    need = reps.drop("keys").join(dealt, "cid")
+    reps = filled.join(ids, "rid")
+    # keys are read again from the sets where they are used, not written anew
+    dealt = stored(_blocks(reps.select("cid", F.explode("keys").alias("key")), broadcast_rows), "ngram-blocks")
+    need = reps.select("cid", "doc_id", "n", "fp1", "fp2").join(dealt, "cid")
     sets = stored(_sets(docs, need, words), "ngram-grams")
     comps = connected_components(_links(sets, percent, cell_grams)).withColumnsRenamed({"node": "cid", "component": "comp"})
     known = classes.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 HEAVY = 10_000
 LEAST = 500
 #: rows of a narrow table that may be broadcast whole
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def split_join(rows: DataFrame, table: DataFrame, on: str, weight: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row for each value
     of ``on`` and in ``weight`` the number of its rows; ``weight`` is dropped.
-    Both should be stored tables, as they are read twice.  A null key meets
+    Both should be stored tables, or cheap to read from one, as they are read
+    twice.  A null key meets
     nothing."""
     count, total = table.agg(F.count("*"), F.sum(weight)).first()
     if count <= broadcast_rows:
