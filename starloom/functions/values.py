@@ -57,15 +57,14 @@ def round_ratio(num: Column, den: Column, digits: int) -> Column:
     scale = 10**digits
     x = num.cast("long") * F.lit(2 * scale) + den.cast("long")
     y = den.cast("long") * F.lit(2)
-    q = ((x - F.pmod(x, y)) / y).cast("long")
+    q = F.call_function("div", x, y)
     return F.when(den.cast("long") == 0, F.lit(0.0)).otherwise(q.cast("double") / F.lit(float(scale)))
 
 
 def key_hash(parts: Sequence[Column], prefix: str | None = None) -> Column:
-    """``Hash128(a & '|' & b ..)``: md5 over the '|'-joined text of the parts,
-    null parts as empty text (as ``&`` treats them); an optional prefix (the
+    """``Hash128(a & '|' & b ..)``: md5 over the '|'-joined parts.  Each is its
+    text after the text's length, so that no two lists of parts are the same
+    text, and a null is ``-``, which is no part's text; an optional prefix (the
     fact name) keeps equal grains of two facts apart."""
-    cols = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
-    if prefix is not None:
-        cols = [F.lit(prefix)] + cols
-    return F.md5(F.concat_ws("|", *cols))
+    told = [F.coalesce(F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts]
+    return F.md5(F.concat_ws("|", *([F.lit(prefix)] if prefix is not None else []), *told))

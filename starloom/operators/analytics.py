@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators.ordered import dense_ids, running_sum
+from starloom.operators.ordered import dense_ids, number_distinct, running_sum
 
 # Labels of the Pareto flag and the as-of period types.
 PARETO_TOP_LABEL = "Top 80%"
@@ -34,18 +34,7 @@ def grand_total(df: DataFrame, measure: str, out: str = "_Total") -> DataFrame:
     return df.withColumn(out, df.agg(F.sum(measure)).scalar())
 
 
-def pair_count(df: DataFrame, a: str, b: str, id_col: str, out: str = "CoOccurrences") -> DataFrame:
-    """A10: ``Count(id) GROUP BY a, b`` (nulls in ``id`` are not counted)."""
-    return df.groupBy(a, b).agg(F.count(id_col).alias(out))
-
-
 # ---------------------------------------------------------------- W1 / W2 / T1
-def order_resident(df: DataFrame, measure: str, dim: str | Sequence[str]) -> DataFrame:
-    """``ORDER BY measure DESC`` with the dimension as tie-breaker."""
-    dims = [dim] if isinstance(dim, str) else list(dim)
-    return df.orderBy(F.col(measure).desc_nulls_last(), *[F.col(d).asc_nulls_first() for d in dims])
-
-
 def cumulative_share(
     df: DataFrame,
     measure: str,
@@ -123,12 +112,6 @@ def pareto(
 
 
 # ---------------------------------------------------------------- M10 basket
-def self_join_on(df: DataFrame, id_col: str, item: str, co_item: str) -> DataFrame:
-    """Items of the same id side by side (inner join drops null ids)."""
-    right = df.select(F.col(id_col), F.col(item).alias(co_item))
-    return df.select(id_col, item).join(right, id_col, "inner")
-
-
 def market_basket(
     df: DataFrame,
     id_col: str,
@@ -246,20 +229,13 @@ def encode_keys(model: dict[str, DataFrame], fields: Sequence[str]) -> dict[str,
         for n in holders:
             v = out[n].select(F.col(f).cast("string").alias("_v"))
             values = v if values is None else values.unionByName(v)
-        ids = dense_ids(values.distinct(), ["_v"], "_id")
+        ids = number_distinct(values.distinct(), ["_v"], "_id")
         for n in holders:
             d = out[n]
             cols = [F.col("_id").alias(f) if c == f else F.col(c) for c in d.columns]
-            d = d.withColumn("_v", F.col(f).cast("string")).join(ids, "_v", "left")
-            out[n] = d.select(*cols)
+            d = d.withColumn("_v", F.col(f).cast("string"))
+            # rows without a value keep to themselves: they would be one join key
+            keyed = d.where("_v IS NOT NULL").join(ids, "_v", "left").select(*cols)
+            bare = d.where("_v IS NULL").withColumn("_id", F.lit(None).cast("long")).select(*cols)
+            out[n] = keyed.unionByName(bare)
     return out
-
-
-def where_ne(df: DataFrame, a: str, b: str) -> DataFrame:
-    """``WHERE a <> b`` (rows with a null side drop)."""
-    return df.where(F.col(a) != F.col(b))
-
-
-def conditional(cond: Column, a, b) -> Column:
-    """``If(cond, a, b)``."""
-    return F.when(cond, a).otherwise(b)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import calendar as cal
 from starloom.functions.values import key_hash
-from starloom.operators.ordered import dense_ids
+from starloom.operators.ordered import number_distinct
 
 LINK_SOURCE = "%LinkTable_SourceTable"
 BRIDGE_SOURCE = "%CanonicalDateBridge_SourceTable"
@@ -28,22 +28,11 @@ def fact_key_name(fact: str) -> str:
 
 
 # ---------------------------------------------------------------- P2-P5, U1
-def pad_missing(df: DataFrame, canonical: Sequence[str]) -> DataFrame:
-    """``Null() AS [f]`` for canonical fields the table lacks."""
-    have = set(df.columns)
-    return df.select(*[F.col(f"`{c}`") if c in have else F.lit(None).alias(c) for c in canonical])
-
-
 def drop_fields(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``DROP FIELD .. FROM ..``."""
     return df.drop(*[c for c in cols if c in df.columns])
 
 
-def where_not_null(df: DataFrame, col: str) -> DataFrame:
-    """P5: ``WHERE NOT IsNull(key)``."""
-    return df.where(F.col(f"`{col}`").isNotNull())
-
-
 def concatenate(members: dict[str, DataFrame], source_col: str | None = None) -> DataFrame:
     """U1 (with P2, P3): bag union by column name, nulls for missing columns,
     each row tagged with its member name in ``source_col``."""
@@ -95,7 +84,7 @@ def composite_keys(
     for d in hashed.values():
         h = d.select("_sl_h")
         all_h = h if all_h is None else all_h.unionByName(h)
-    ids = dense_ids(all_h.distinct(), ["_sl_h"], "_sl_id", partitions=partitions)
+    ids = number_distinct(all_h.distinct(), ["_sl_h"], "_sl_id", partitions)
     out = {}
     for n, d in hashed.items():
         keyed = d.join(ids, "_sl_h", "left")

@@ -79,6 +79,15 @@ def running_sum(
     return res.drop(_PID, _MID, "_sl_local", "_sl_offset", "_sl_total")
 
 
+def number_distinct(keys: DataFrame, cols: list[str], out: str, partitions: int | None = None) -> DataFrame:
+    """``cols`` and ``out``: the rows of ``keys``, which are distinct in
+    ``cols``, numbered 1..N in ascending sort order (nulls first)."""
+    laid = _range_layout(keys.select(*cols), [F.col(c).asc_nulls_first() for c in cols], partitions)
+    offs = _offsets(laid, F.count(F.lit(1)), "_sl")
+    place = F.col("_sl_offset") + (F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)) + 1
+    return laid.join(F.broadcast(offs), _PID).select(*cols, place.cast("long").alias(out))
+
+
 def dense_ids(
     df: DataFrame,
     cols: list[str],
@@ -91,15 +100,7 @@ def dense_ids(
     Equivalent to ``dense_rank() OVER (ORDER BY cols)`` without funnelling
     the key set through one task.
     """
-    keys = df.select(*cols).distinct()
-    laid = _range_layout(keys, [F.col(c).asc_nulls_first() for c in cols], partitions)
-    offs = _offsets(laid, F.count(F.lit(1)), "_sl")
-    ids = laid.join(F.broadcast(offs), _PID).select(
-        *cols,
-        (F.col("_sl_offset") + (F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)) + 1)
-        .cast("long")
-        .alias(out),
-    )
+    ids = number_distinct(df.select(*cols).distinct(), cols, out, partitions)
     cond = [df[c].eqNullSafe(ids[c]) for c in cols]
     joined = df.join(ids, cond, "left")
     return joined.select(*[df[c] for c in df.columns], ids[out])

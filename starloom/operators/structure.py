@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.functions.names import name_tokens
 from starloom.functions.values import is_missing
 from starloom.operators.overlap import column_id
 from starloom.session import materialize
@@ -240,34 +241,26 @@ def validate_keys(keys: DataFrame, fields: DataFrame, shared: DataFrame | None =
     return ok.distinct()
 
 
-# Words removed when deriving an entity name from a table or
-# column name (the dormant "golden key" naming alternative).
-ENTITY_NOISE = r"(?i)\b(Number|IDNum|Code|Num|Key|ID|PK|FK)s?\b|[_-]?\d+$"
+# Words of a name that name no entity, beside the generic ones.
+ENTITY_NOISE = ["pk", "fk", "idnum"]
 
 
 def entity_name(c: Column) -> Column:
-    """Cleaned entity of a name: noise words and trailing digits removed,
-    ``_``/``-`` to spaces, camelCase split when no space is left, singular,
-    lowercase; falls back to the lowercased name."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(c, ENTITY_NOISE, ""), r"[_-]", " "))
-    clean = F.when(F.instr(clean, " ") == 0, F.regexp_replace(clean, r"([a-z])([A-Z])", "$1 $2")).otherwise(clean)
-    low = F.lower(clean)
-    n = F.length(clean)
-    sing = (
-        F.when(low.endswith("ies") & (n > 4), F.concat(F.substring(clean, F.lit(1), n - 3), F.lit("y")))
-        .when(low.endswith("s") & (n > 3) & ~low.endswith("ss"), F.substring(clean, F.lit(1), n - 1))
-        .otherwise(clean)
-    )
-    out = F.trim(F.lower(sing))
-    return F.when(out == "", F.trim(F.lower(c))).otherwise(out)
+    """The entity of a table's or column's name: its words without generic
+    ones, noise and trailing digits; the whole name in lower case if no word is
+    left."""
+    words = name_tokens(F.regexp_replace(c, "[0-9]+$", ""))
+    left = F.filter(words, lambda w: ~w.isin(*ENTITY_NOISE))
+    return F.when(F.size(left) > 0, F.array_join(left, " ")).otherwise(F.trim(F.lower(c)))
 
 
 def pascal_key(entity: Column) -> Column:
     return F.regexp_replace(F.initcap(F.concat(entity, F.lit(" key"))), r"\s+", "")
 
 
-def golden_keys(fields: DataFrame, roles: DataFrame) -> DataFrame:
-    """Alternative naming around entities.  Dimension keys become
+def golden_keys(fields: DataFrame, roles: DataFrame, native: DataFrame | None = None) -> DataFrame:
+    """Alternative naming around entities, for the grain fields and the
+    fields that link tables already (``native``: ``table, field``).  Dimension keys become
     ``<Entity>Key``; a foreign key whose entity names a dimension takes that
     dimension's key name, other keys ``<FieldEntity>Key``; date fields and
     dimension attributes are prefixed with the table; spaces removed."""
@@ -277,6 +270,9 @@ def golden_keys(fields: DataFrame, roles: DataFrame) -> DataFrame:
         "_fe": entity_name(F.col("field")),
         "_cand": F.array_contains(F.col("grainFields"), F.col("field")),
     })
+    if native is not None:
+        linked = native.select("table", "field").distinct().withColumn("_native", F.lit(True))
+        f = f.join(linked, ["table", "field"], "left").withColumn("_cand", F.col("_cand") | F.coalesce("_native", F.lit(False)))
     dims = roles.where(F.col("role") == "DIMENSION").select(entity_name(F.col("table")).alias("_fe")).distinct()
     dims = dims.withColumn("_dimkey", pascal_key(F.col("_fe")))
     f = f.join(dims, "_fe", "left")

@@ -24,6 +24,7 @@ from starloom.operators import overlap as ov
 from starloom.operators import profile as pr
 from starloom.operators import structure as st
 from starloom.operators.association import ChartModel
+from starloom.sources import inline_table, resident
 
 
 class Discovery:
@@ -161,7 +162,7 @@ class Discovery:
 
 def overrides_frame(spark: SparkSession, rows: list[tuple[str, str, str | None, str | None]]) -> DataFrame:
     """``(table, field, type, alias)`` overrides of the classification."""
-    return spark.createDataFrame(rows, "table string, field string, type string, alias string")
+    return inline_table(spark, rows, "table string, field string, type string, alias string")
 
 
 def discover(
@@ -259,7 +260,7 @@ class BuiltModel:
     def charts(self) -> ChartModel:
         """The model for charts.  Its tables are written once, since a chart
         reads some of them several times."""
-        return ChartModel({n: stage(df, "model") for n, df in self.tables.items()})
+        return ChartModel({n: resident(df) for n, df in self.tables.items()})
 
     def report(self) -> DataFrame:
         """D14 of the built tables."""

@@ -231,6 +231,16 @@ def tokens_sql(x: str) -> str:
     return f"(CASE WHEN len({kept}) > 0 THEN {kept} ELSE {sing} END)"
 
 
+def entity_sql(x: str) -> str:
+    left = f"list_filter({tokens_sql(f"regexp_replace({x}, '[0-9]+$', '')")}, lambda w: NOT list_contains(['pk', 'fk', 'idnum'], w))"
+    return f"(CASE WHEN len({left}) > 0 THEN array_to_string({left}, ' ') ELSE trim(lower({x})) END)"
+
+
+def pascal_sql(x: str) -> str:
+    words = f"string_split({x} || ' key', ' ')"
+    return f"array_to_string(list_transform({words}, lambda w: upper(w[1:1]) || w[2:]), '')"
+
+
 def within(a: str, b: str) -> str:
     return f"(len(list_filter({a}, lambda t: NOT list_contains({b}, t))) = 0)"
 
@@ -383,7 +393,7 @@ canon AS (
 
 # ---------------------------------------------------------------- building
 def key_expr(fact: str, cols: list[str]) -> str:
-    parts = ", ".join(f"coalesce(CAST({q(c)} AS VARCHAR), '')" for c in cols)
+    parts = ", ".join(f"coalesce(length(CAST({q(c)} AS VARCHAR)) || ':' || CAST({q(c)} AS VARCHAR), '-')" for c in cols)
     return f"md5(concat_ws('|', {lit(fact)}, {parts}))"
 
 

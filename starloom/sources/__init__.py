@@ -6,7 +6,6 @@ from starloom.sources.files import (
     inline_table,
     list_folder,
     load_folder,
-    load_paths,
     load_tables,
     qualify,
     read_csv,
@@ -15,7 +14,6 @@ from starloom.sources.files import (
     sample_load,
     save_model,
     table_names,
-    tag_source,
     unqualify,
 )
 from starloom.sources.versions import ModelStore
@@ -27,7 +25,6 @@ __all__ = [
     "inline_table",
     "list_folder",
     "load_folder",
-    "load_paths",
     "load_tables",
     "qualify",
     "read_csv",
@@ -36,6 +33,5 @@ __all__ = [
     "sample_load",
     "save_model",
     "table_names",
-    "tag_source",
     "unqualify",
 ]

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from starloom.session import stage
+
 # Separators after which a shared file-name prefix is cut.
 PREFIX_SEPARATORS = (" - ", " – ", "_", " ")
 TABLE_EXTENSIONS = (".csv", ".txt", ".parquet")
@@ -104,16 +106,6 @@ def load_folder(
     }
 
 
-def load_paths(
-    spark: SparkSession, paths: dict[str, str], fmt: str = "csv", multi_line: bool | None = None
-) -> dict[str, DataFrame]:
-    """S1 for shared storage: ``{table: path}`` (any Hadoop URI), read raw
-    (CSV: header, all strings) or as parquet."""
-    if fmt == "parquet":
-        return {n: spark.read.parquet(p) for n, p in paths.items()}
-    return {n: read_csv(spark, p, multi_line) for n, p in paths.items()}
-
-
 def load_tables(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> dict[str, DataFrame]:
     """Load ``<sf_dir>/<name>.parquet`` for each name (the driver tables)."""
     return {n: spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet")) for n in names}
@@ -135,10 +127,10 @@ def unqualify(df: DataFrame, table: str) -> DataFrame:
     return df.withColumnsRenamed({c: c[len(p):] for c in df.columns if c.startswith(p)})
 
 
-def resident(df: DataFrame, reused: bool = False) -> DataFrame:
-    """Load from a table already in the model.  ``reused=True`` persists
-    it (memory and disk) when several derived tables read it."""
-    return df.persist() if reused else df
+def resident(df: DataFrame) -> DataFrame:
+    """Load from a table already in the model, which is written once for
+    all that read it (unlike cached rows it outlives a lost executor)."""
+    return stage(df, "resident")
 
 
 def inline_table(spark: SparkSession, rows: Sequence[Sequence], schema: StructType | str) -> DataFrame:
@@ -173,8 +165,3 @@ def save_model(
 def read_model(spark: SparkSession, saved: dict[str, str]) -> dict[str, DataFrame]:
     """Read back what :func:`save_model` wrote."""
     return {n: spark.read.parquet(p) for n, p in saved.items()}
-
-
-def tag_source(df: DataFrame, name: str, column: str) -> DataFrame:
-    """Constant source-table column."""
-    return df.withColumn(column, F.lit(name))

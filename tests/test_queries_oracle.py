@@ -1,11 +1,13 @@
 """Every registered query against its DuckDB oracle at sf0.001."""
 
+import functools
 import math
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from starloom.plans import queries
 from tests.conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -34,6 +36,18 @@ def con():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_discoveries():
+    """Queries over one model share its discovery here; its stages are
+    computed once.  Alone, each query makes its own."""
+    whole = {n: getattr(queries, n) for n in ("_discover", "_csv_discovery", "_sliced_discovery")}
+    for name, make in whole.items():
+        setattr(queries, name, functools.lru_cache(make))
+    yield
+    for name, make in whole.items():
+        setattr(queries, name, make)
+
+
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF_SMALL)
