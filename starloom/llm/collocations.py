@@ -47,6 +47,7 @@ from starloom.llm.text_bytes import blocks, lowered, mix
 
 SEGMENT_BYTES = 2 << 20
 BROADCAST_GROUPS = 2_000_000
+SLICES = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 #: bytes that end a piece, and those that also end a word
@@ -389,9 +390,15 @@ def phrase_collocations(
     )
     three = three.select("w1", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), F.col("n").alias("a"), cuts.alias("cut"))
     three = three.select("w1", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     found = two.unionByName(three).join(words.select("w1", "lang"), "w1")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # a language's phrases are ranked in SLICES parts first, so one task sees
+    # at most that many times the rows that are asked for
+    found = found.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
+    by = (F.desc("score"), F.desc("a"), "phrase")
+    for part in (["lang", "slice"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy(*by))
+        found = found.withColumn("rank", rank).where(F.col("rank") <= top)
+    best = found
     return best.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score"
     )
