@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from starloom.functions.names import ID_LIKE_PATTERN, squash_name
 from starloom.functions.values import round_ratio
+from starloom.operators.profile import catalog, distinct_values, value_counts
+from starloom.session import stage
 
 PAIR_COLS = ["tableA", "fieldA", "tableB", "fieldB"]
 
@@ -273,6 +275,57 @@ def column_sketches(tables: dict[str, DataFrame], lg_nom_entries: int = 12) -> D
     return out
 
 
+#: deviations within which a sketch's estimate is trusted
+SIGMAS = 5.0
+
+
+def sketch_bounds(sketches: DataFrame, pairs: DataFrame, lg_nom_entries: int = 12) -> DataFrame:
+    """The pairs with their sizes and ``|A ∩ B|`` by the sketches, and ``clear``:
+    whether the bounds of these estimates leave D3's answer open to no doubt.
+
+    A sketch of ``k = 2**lg_nom_entries`` hashes is exact up to ``k`` distinct
+    values; beyond, it holds a share ``k / n`` of them at least, and a count that
+    was sampled with share ``p`` has a deviation of ``sqrt(count (1 - p) / p)``."""
+    k = float(1 << lg_nom_entries)
+    side = lambda x: sketches.select(
+        F.col("table").alias(f"table{x}"), F.col("field").alias(f"field{x}"), F.col("sketch").alias(f"_s{x}"),
+        F.theta_sketch_estimate("sketch").cast("long").alias(f"size{x}"),
+    )
+    both = pairs.drop("sizeA", "sizeB").join(side("A"), ["tableA", "fieldA"]).join(side("B"), ["tableB", "fieldB"])
+    both = both.withColumn("intersectionCount", F.theta_sketch_estimate(F.theta_intersection("_sA", "_sB")).cast("long"))
+    share = F.least(F.lit(1.0), F.lit(0.9 * k) / F.greatest("sizeA", "sizeB"))
+    exact = (F.col("sizeA") < k) & (F.col("sizeB") < k)
+    n = F.col("intersectionCount")
+    spread = F.when(exact, 0.0).otherwise(SIGMAS * F.sqrt(n * (1 - share) / share) + SIGMAS**2 / share)
+    wide = lambda x: F.when(F.col(f"size{x}") < k, 0.0).otherwise(SIGMAS / k**0.5)
+    sure = F.lit(False)
+    never = F.lit(True)
+    for x in "AB":
+        size = F.col(f"size{x}")
+        sure = sure | (10 * (n - spread) > size * (1 + wide(x)))
+        never = never & (10 * (n + spread) <= size * (1 - wide(x)))
+    return both.select(*PAIR_COLS, "sizeA", "sizeB", "intersectionCount", (exact | sure | never).alias("clear"))
+
+
+def exact_of(tables: dict[str, DataFrame], pairs: DataFrame) -> DataFrame:
+    """The pairs (by table and field names) with their sizes and intersections
+    counted exactly, from a scan of the columns they name and no others."""
+    names = pairs.select(F.col("tableA").alias("table"), F.col("fieldA").alias("field")).union(pairs.select("tableB", "fieldB"))
+    asked: dict[str, list[str]] = {}
+    for r in names.distinct().collect():  # one row per column of the model
+        asked.setdefault(r["table"], []).append(r["field"])
+    model = {t: df.select(*[F.col(f"`{c}`") for c in df.columns if c in asked[t]]) for t, df in tables.items() if t in asked}
+    if not model:
+        return pairs.select(*PAIR_COLS, F.lit(0).cast("long").alias("sizeA"), F.lit(0).cast("long").alias("sizeB"), F.lit(0).cast("long").alias("intersectionCount"))
+    values = stage(distinct_values(value_counts(model)), "values")
+    sizes = values.groupBy("tidx", "pos").agg(F.count("*").alias("size"))
+    known = catalog(model).join(sizes, ["tidx", "pos"]).select("table", "field", column_id("tidx", "pos").alias("col"), "size")
+    side = lambda x: known.withColumnsRenamed({c: f"{c}{x}" for c in known.columns})
+    told = pairs.select(*PAIR_COLS).join(side("A"), ["tableA", "fieldA"]).join(side("B"), ["tableB", "fieldB"])
+    told = stage(told, "pairs")
+    return intersections(values, told).join(told, PAIR_COLS).select(*PAIR_COLS, "sizeA", "sizeB", "intersectionCount")
+
+
 def approx_intersections(sketches: DataFrame, pairs: DataFrame) -> DataFrame:
     """U2 (approximate): estimated ``|A ∩ B|`` per pair from the two columns'
     theta sketches; pairs estimated at 0 are dropped."""

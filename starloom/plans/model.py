@@ -99,7 +99,11 @@ class Discovery:
     @property
     def intersections(self) -> DataFrame:
         def make():
-            found = self._count(self.pairs) if self.approx else ov.intersections_of(self.held, self.pairs)
+            if self.approx:  # what the sketches leave open is counted
+                told = ov.sketch_bounds(self.sketches, self.pairs).transform(materialize)
+                clear = told.where("clear AND intersectionCount > 0").drop("clear")
+                return clear.unionByName(ov.exact_of(self.tables, told.where("NOT clear"))).transform(materialize)
+            found = ov.intersections_of(self.held, self.pairs)
             return found.join(self.pairs, ov.PAIR_COLS).transform(materialize)
         return self._get("inter", make)
 

@@ -119,3 +119,22 @@ def test_twenty_thousand_columns(spark):
     pairs = ov.candidate_pairs(fields, held)
     found = ov.intersections_of(held, pairs).agg(F.count("*"), F.min("intersectionCount"), F.max("intersectionCount")).first()
     assert tuple(found) == (n // 2, 20, 20)
+
+
+def test_sketches_and_counts_accept_the_same_pairs(spark):
+    """Columns beyond a sketch's 4,096 values, with overlaps on both sides of
+    the bar and close to it, and small columns within large ones."""
+    from starloom.plans import model as md
+
+    def column(lo, hi):
+        return spark.range(lo, hi).select(F.col("id").cast("string").alias("v"))
+
+    tables = {}
+    for name, lo, hi in (("a", 0, 20000), ("b", 10000, 30000), ("c", 17990, 38000), ("d", 18200, 38200), ("e", 19970, 20030), ("f", 500000, 520000), ("g", 0, 12)):
+        tables[name] = column(lo, hi).withColumnRenamed("v", f"{name}_key")
+    columns = ["tableA", "fieldA", "tableB", "fieldB"]
+    exact = {tuple(r) for r in md.discover(tables).overlap.select(columns).collect()}
+    approx = {tuple(r) for r in md.discover(tables, approx=True).overlap.select(columns).collect()}
+    assert exact == approx and len(exact) > 5
+    told = ov.sketch_bounds(ov.column_sketches(tables), md.discover(tables, approx=True).pairs)
+    assert 0 < told.where("clear").count() < told.count()
