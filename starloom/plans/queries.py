@@ -1376,6 +1376,27 @@ def q_header_detail_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ts_text(_with_details(spark, sf_dir).tables["CanonicalDateBridge"])
 
 
+@register(
+    "trimmed_facts",
+    f"""SELECT 'orders' AS fact, {_OKEY} AS "key", o_custkey AS a, CAST(NULL AS BIGINT) AS b, o_totalprice AS c, 5 AS columns FROM orders
+UNION ALL SELECT 'lineitem', {_LKEY}, l_partkey, l_suppkey, l_extendedprice, 10 FROM lineitem""",
+)
+def q_trimmed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of the built model without the fields that went to the
+    link table, and how many columns that leaves."""
+    built = md.build_model(_discover(spark, sf_dir), key_mode="hash")
+    parts = []
+    for fact, (a, b, c) in {
+        "orders": ("Customer", None, "orders_o_totalprice"), "lineitem": ("Part", "Supplier", "lineitem_l_extendedprice"),
+    }.items():
+        df = built.tables[fact]
+        parts.append(df.select(
+            F.lit(fact).alias("fact"), F.col(f"`%Key_{fact}`").alias("key"), F.col(a).cast("long").alias("a"),
+            (F.col(b) if b else F.lit(None)).cast("long").alias("b"), F.col(c).alias("c"), F.lit(len(df.columns)).alias("columns"),
+        ))
+    return parts[0].unionByName(parts[1])
+
+
 _REPAIR = f"""{_OV}, {_CL}, {ot.alias_pairs_cte()}, {ot.link_scores_ctes()}, {ot.canonical_ctes()}, {ot.roles_cte()},
 weight AS (
   SELECT tbl, field, max(confidence) AS score
