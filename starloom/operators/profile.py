@@ -52,17 +52,26 @@ def catalog(model: dict[str, DataFrame]) -> DataFrame:
 
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-#: characters of a cell that travels as it is, and between beginning and hash
-#: of one that does not (no text holds it there: see :func:`_wide_key`)
+#: characters of a cell that travels as it is, and the mark after the beginning
+#: of one that does not
 WIDE = 64
 _MARK = "\u0000#"
-_WIDE_INFO = "struct<length:int,blank:boolean,number:double,numeric:boolean>"
 
 
 def _wide_key(c):
-    """What a wide cell travels as: its beginning, a mark and its hash.  It is
-    longer than ``WIDE``, so it is no other cell's own text."""
-    return F.concat(F.substring(c, 1, WIDE), F.lit(_MARK), F.md5(c.cast("binary")))
+    """What a wide cell travels as: its beginning, a mark, its hash, and what the
+    statistics ask of it.  It is a function of the text, so equal texts are
+    equal here, and longer than ``WIDE``, so it is no other cell's own text."""
+    flag = lambda x: F.when(x, F.lit("1")).otherwise(F.lit("0"))
+    return F.concat_ws(
+        "|", F.concat(F.substring(c, 1, WIDE), F.lit(_MARK), F.md5(c.cast("binary"))), F.length(c).cast("string"),
+        flag(is_blank(c)), flag(is_numeric_text(c)), F.coalesce(numeric_value(c).cast("string"), F.lit("")),
+    )
+
+
+def is_wide(value):
+    """Whether a counted value stands for a wide cell."""
+    return F.substring(value, WIDE + 1, len(_MARK)) == F.lit(_MARK)
 
 
 def _cell(pos: int, c, dtype: T.DataType):
@@ -71,7 +80,6 @@ def _cell(pos: int, c, dtype: T.DataType):
     one-to-one function of the value, so distinct values and counts are the
     same); every other type is cast to text here."""
     txt, lng, dbl = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
-    info = F.lit(None).cast(_WIDE_INFO)
     if isinstance(dtype, _INTEGRAL):
         lng = c.cast("long")
     elif isinstance(dtype, T.DoubleType):
@@ -79,13 +87,8 @@ def _cell(pos: int, c, dtype: T.DataType):
     else:
         txt = c.cast("string")
     if _may_be_wide(dtype):
-        wide = F.length(txt) > WIDE
-        facts = F.struct(
-            F.length(txt).alias("length"), is_blank(txt).alias("blank"), numeric_value(txt).alias("number"), is_numeric_text(txt).alias("numeric")
-        )
-        info = F.when(wide, facts)
-        txt = F.when(wide, _wide_key(txt)).otherwise(txt)
-    return F.struct(F.lit(pos).alias("pos"), txt.alias("_s"), lng.alias("_l"), dbl.alias("_d"), info.alias("_w"))
+        txt = F.when(F.length(txt) > WIDE, _wide_key(txt)).otherwise(txt)
+    return F.struct(F.lit(pos).alias("pos"), txt.alias("_s"), lng.alias("_l"), dbl.alias("_d"))
 
 
 def _may_be_wide(dtype: T.DataType) -> bool:
@@ -131,13 +134,13 @@ def _as_text():
 
 
 def value_counts(model: dict[str, DataFrame], scan_columns: int | None = None) -> DataFrame:
-    """``(tidx, pos, value, n, wide)``: multiplicity of every text value per
-    column; ``wide`` has the facts of a value that travels as a hash.
+    """``(tidx, pos, value, n)``: multiplicity of every text value per column;
+    a wide cell's value is its key (:func:`_wide_key`).
 
     Grouped on the typed slots (cheap keys, no per-cell text conversion),
     then rendered as text once per distinct value."""
-    g = _typed_cells(model, scan_columns).groupBy("tidx", "pos", "_s", "_l", "_d", "_w").agg(F.count(F.lit(1)).alias("n"))
-    return g.select("tidx", "pos", _as_text().alias("value"), "n", F.col("_w").alias("wide"))
+    g = _typed_cells(model, scan_columns).groupBy("tidx", "pos", "_s", "_l", "_d").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("tidx", "pos", _as_text().alias("value"), "n")
 
 
 def distinct_values(counts: DataFrame) -> DataFrame:
@@ -149,11 +152,11 @@ def _stat_aggs() -> list:
     v = F.col("value")
     present = ~is_missing(v)
     n = F.col("n")
-    wide = F.col("wide")
-    length = F.coalesce(wide["length"], F.length(v))
-    blank = F.coalesce(wide["blank"], is_blank(v))
-    numeric = F.coalesce(wide["numeric"], is_numeric_text(v))
-    number = F.when(wide.isNotNull(), wide["number"]).otherwise(numeric_value(v))
+    told = F.split(F.substring(v, WIDE + len(_MARK) + 1, 1 << 20), "[|]")  # hash, length, blank, numeric, number
+    length = F.when(is_wide(v), told[1].cast("int")).otherwise(F.length(v))
+    blank = F.when(is_wide(v), told[2] == "1").otherwise(is_blank(v))
+    numeric = F.when(is_wide(v), told[3] == "1").otherwise(is_numeric_text(v))
+    number = F.when(is_wide(v), told[4].try_cast("double")).otherwise(numeric_value(v))
     return [
         F.sum(n).alias("rowCount"),
         F.sum(F.when(~present, n).otherwise(F.lit(0))).alias("nullCount"),
@@ -168,11 +171,6 @@ def _stat_aggs() -> list:
     ]
 
 
-def _with_wide(counts: DataFrame) -> DataFrame:
-    """Value counts from another source, where no value is wide."""
-    return counts if "wide" in counts.columns else counts.withColumn("wide", F.lit(None).cast(_WIDE_INFO))
-
-
 def _field_stats(counts: DataFrame, k: int = 0, model: dict[str, DataFrame] | None = None) -> DataFrame:
     """Per-column statistics from the distinct ``(value, n)`` rows, and with
     ``k > 0`` the ``k`` smallest present values as ``sampleValues``.
@@ -181,7 +179,6 @@ def _field_stats(counts: DataFrame, k: int = 0, model: dict[str, DataFrame] | No
     Samples are ranked with a limit that Spark applies inside each task
     before the shuffle, so a column sends at most ``k`` values per task.
     """
-    counts = _with_wide(counts)
     stats = counts.groupBy("tidx", "pos").agg(*_stat_aggs())
     if k <= 0:
         return stats
@@ -189,10 +186,10 @@ def _field_stats(counts: DataFrame, k: int = 0, model: dict[str, DataFrame] | No
     present = counts.where(~is_missing(F.col("value")))
     ranked = present.withColumn("_r", smallest).where(F.col("_r") <= k)
     if model is not None:
-        ranked = stage(ranked.select("tidx", "pos", "value", "wide", "_r"), "samples")
-        wide = ranked.where("wide IS NOT NULL").select("tidx", "pos").distinct()
+        wide = counts.where(is_wide(F.col("value"))).select("tidx", "pos").distinct()
         columns = {(r["tidx"], r["pos"]) for r in wide.collect()}  # one row per column of the model
         if columns:
+            ranked = stage(ranked.select("tidx", "pos", "value", "_r"), "samples")
             texts = _wide_samples(model, columns, ranked, k)
             ranked = ranked.join(wide, ["tidx", "pos"], "left_anti").select("tidx", "pos", "value").unionByName(texts)
     samples = ranked.groupBy("tidx", "pos").agg(F.array_sort(F.collect_list("value")).alias("sampleValues"))
