@@ -7,16 +7,19 @@ curve is cut into runs of about equally many rows, at quantiles of a sample of
 ``SAMPLE_ROWS`` rows, and all rows are dealt to their runs on every curve.  A
 query meets the rows of its own run and of the ``REACH`` runs on each side.
 
-Along the curves goes a short code of each row, four bits a component, not its
+Along the curves goes a code of each row, of 4 to 64 bits a component, not its
 vector.  A run's task multiplies the codes of its queries and rows and keeps
 the best few a query; the lists of all curves are merged to ``RERANK`` rows a
 query, and these are ranked by the exact cosine of the original vectors.
 
-How many curves and how short the runs are follows from the data.  ``SAMPLE``
-queries are compared with all rows; of the numbers of curves and runs with
-which ``recall`` of their true neighbours are met, those that meet the fewest
-rows are taken.  Many short runs need many curves.  Where nothing less finds
-the neighbours, as in small tables, one curve with one run meets every row.
+How many curves there are, how short the runs and how long the codes follows
+from the data.  ``SAMPLE`` queries are compared with all rows, by their vectors
+and by each code; of the numbers of curves, runs and bits with which ``recall``
+of their true neighbours are met and lie, by the codes, among the rows that a
+list keeps, those of the least cost are taken.  Many short runs need many
+curves; vectors that differ little, as near copies or all with one large
+component do, need long codes.  Where nothing less finds the neighbours, as in
+small tables, one curve with one run meets every row.
 
 Vectors of different lengths share no curve: the length is part of a run's name,
 and each length has runs by its share of the sample (one, if it is rare).
@@ -45,6 +48,8 @@ from pyspark.sql import functions as F
 from starloom.llm.store import stored
 from starloom.llm.text_bytes import mix
 
+#: bits a component of the codes that are tried, and what a row met costs by them
+CODES = {4: 1.0, 8: 1.15, 32: 2.0, 64: 4.0}
 #: numbers of curves and of runs that are tried
 CURVES = (1, 8, 16, 32, 64, 96, 128)
 RUNS = (1, *(int(12 * 1.2**i) for i in range(31)))
@@ -103,38 +108,66 @@ def curve_maps(width: int, curves: int, axes: int, seed: int) -> list[tuple[np.n
     return out
 
 
-def curve_keys(vectors: np.ndarray, ids: np.ndarray, maps, bits: int) -> np.ndarray:
+def curve_fits(vectors: np.ndarray, maps) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and deviation of a sample's unit vectors on each curve's axes."""
+    out = []
+    for axes, _ in maps:
+        at = vectors @ axes
+        spread = at.std(axis=0)
+        out.append((at.mean(axis=0), np.where(spread > 1e-12, spread, 1.0)))
+    return out
+
+
+def curve_keys(vectors: np.ndarray, ids: np.ndarray, maps, fits, bits: int) -> np.ndarray:
     """Place of each unit vector on each curve (curves x n): its Hilbert key,
-    then a hash of its id.  A unit vector's coordinate on a random axis has
-    deviation 1 / sqrt(width); cells cover 2.2 deviations each way, beyond them
-    the outer cells."""
-    scale = np.sqrt(vectors.shape[1])
+    then a hash of its id.  Cells cover 2.2 deviations each way of the mean
+    (``fits``), beyond them the outer cells."""
     tie = (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(33)).astype(np.int64)
     keys = np.empty((len(maps), len(vectors)), dtype=np.int64)
-    for i, (axes, shift) in enumerate(maps):
-        at = (vectors @ axes) * scale + shift
+    for i, ((axes, shift), (mean, spread)) in enumerate(zip(maps, fits, strict=True)):
+        at = (vectors @ axes - mean) / spread + shift
         cells = np.clip((at + 2.2) / 4.4 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
         keys[i] = (hilbert_keys(cells, bits) << 31) | tie
     return keys
 
 
-def short_codes(vectors: np.ndarray) -> np.ndarray:
-    """Four bits a component: its share of the row's largest, in sevenths."""
+def short_codes(vectors: np.ndarray, bits: int = 4) -> np.ndarray:
+    """Codes of unit vectors as bytes (n x bytes).  With 4 and 8 bits a
+    component is its share of the row's largest, in sevenths or 127ths; with 32
+    and 64 it is a float."""
+    if bits > 8:
+        return np.ascontiguousarray(vectors, dtype=f"<f{bits // 8}").view(np.uint8)
     top = np.abs(vectors).max(axis=1, keepdims=True)
+    if bits == 8:
+        return np.rint(vectors / top * 127).astype(np.int8).view(np.uint8)
     steps = (np.rint(vectors / top * 7) + 8).astype(np.uint8)
     if steps.shape[1] % 2:
         steps = np.concatenate([steps, np.full((len(steps), 1), 8, np.uint8)], axis=1)
     return steps[:, ::2] << 4 | steps[:, 1::2]
 
 
-def from_codes(codes: np.ndarray) -> np.ndarray:
-    """Unit vectors of the codes, in single precision."""
-    out = np.empty((len(codes), 2 * codes.shape[1]), dtype=np.float32)
-    out[:, ::2], out[:, 1::2] = codes >> 4, codes & 15
-    out -= 8
+def from_codes(codes: np.ndarray, bits: int = 4) -> np.ndarray:
+    """Unit vectors of the codes, in single precision (64 bits: double)."""
+    if bits > 8:
+        return np.ascontiguousarray(codes).view(f"<f{bits // 8}")
+    if bits == 8:
+        out = np.ascontiguousarray(codes).view(np.int8).astype(np.float32)
+    else:
+        out = np.empty((len(codes), 2 * codes.shape[1]), dtype=np.float32)
+        out[:, ::2], out[:, 1::2] = codes >> 4, codes & 15
+        out -= 8
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def _code_bytes(width: int, bits: int) -> int:
+    return (width * bits + 7) // 8
+
+
+def _kept(k: int, rerank: int, curves: int) -> int:
+    """Rows of a query's list from one stretch of a curve."""
+    return max(k + 5, -(-2 * rerank // curves))
+
+
 @dataclass
 class Layout:
     """The curves of a search, and for each length of vectors where they are
@@ -145,6 +178,10 @@ class Layout:
     bits: int
     seed: int
     cuts: dict[int, np.ndarray]
+    #: mean and deviation on the axes of each curve, by length
+    fits: dict[int, list[tuple[np.ndarray, np.ndarray]]]
+    #: bits a component of the codes
+    code: int
 
     def runs(self, vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The run of each unit vector on each curve (curves x n)."""
@@ -152,7 +189,7 @@ class Layout:
         if width not in self.cuts or not self.cuts[width].shape[1]:
             return np.zeros((self.curves, len(vectors)), dtype=np.int64)
         maps = _maps(width, self.curves, self.axes, self.seed)
-        keys = curve_keys(vectors, ids, maps, self.bits)
+        keys = curve_keys(vectors, ids, maps, self.fits[width], self.bits)
         return np.stack([np.searchsorted(c, k, side="right") for c, k in zip(self.cuts[width], keys, strict=True)])
 
 
@@ -166,7 +203,14 @@ def _maps(width: int, curves: int, axes: int, seed: int) -> list:
     return _known_maps[key][:curves]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square is too large or too small;
+    cosines stay the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -221,8 +265,9 @@ def nearest(
     classes = stored(classes.withColumn("num", F.monotonically_increasing_id()), "ann-classes")
     if classes.where("asked").isEmpty():
         return spark.createDataFrame([], result)
-    layout = choose_layout(classes, k, curves, runs, axes, bits, seed, recall)
-    pairs = _candidates(classes, layout, k, max(rerank, k + 1))
+    rerank = max(rerank, k + 1)
+    layout = choose_layout(classes, k, curves, runs, axes, bits, seed, recall, rerank)
+    pairs = _candidates(classes, layout, k, rerank)
     pairs = stored(pairs, "ann-pairs")
     # exact cosines of the lists
     ask = classes.select(F.col("num").alias("qnum"), F.col("embedding").alias("qv"))
@@ -246,36 +291,44 @@ def nearest(
     )
 
 
-def choose_layout(classes: DataFrame, k: int, curves, runs, axes: int, bits: int, seed: int, recall: float) -> Layout:
-    """The curves and runs that meet the fewest rows and still ``recall`` of
+def choose_layout(classes: DataFrame, k: int, curves, runs, axes: int, bits: int, seed: int, recall: float, rerank: int = RERANK) -> Layout:
+    """The curves, runs and codes of least cost that still find ``recall`` of
     the true neighbours of ``SAMPLE`` queries; measured on these and cut by the
-    quantiles of ``SAMPLE_ROWS`` rows, both of them bounded."""
+    quantiles of ``SAMPLE_ROWS`` rows, both of them bounded.  A neighbour is
+    found if a curve meets it and no more rows are as near by the codes as a
+    list keeps."""
     width = classes.agg(F.max(F.size("embedding"))).first()[0]
     limit = max(256, min(SAMPLE_ROWS, SAMPLE_VALUES // width))
     picked = classes.orderBy(F.xxhash64("num"), "num").limit(limit).select("num", "embedding").toArrow().combine_chunks()
     near = _true_neighbours(classes, k)
     named = classes.sparkSession.createDataFrame([(int(n),) for n in {n for p in near for n in p}], "num long")
     ends = classes.join(named, "num").select("num", "embedding").toArrow().combine_chunks()
+    places = _code_places(classes, near, ends)
     most = max(curves)
     keys: dict[int, np.ndarray] = {}  # sorted sample keys of each length
+    fits: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for rows, x in _by_length(_chunk(picked, "embedding")):
-        ids = _chunk(picked, "num").to_numpy()[rows]
-        keys[x.shape[1]] = np.sort(curve_keys(_unit(x), ids, _maps(x.shape[1], most, axes, seed), bits), axis=1)
-    at: dict[int, tuple[int, np.ndarray]] = {}
+        ids, maps = _chunk(picked, "num").to_numpy()[rows], _maps(x.shape[1], most, axes, seed)
+        fits[x.shape[1]] = curve_fits(_unit(x), maps)
+        keys[x.shape[1]] = np.sort(curve_keys(_unit(x), ids, maps, fits[x.shape[1]], bits), axis=1)
+    at: dict[int, tuple[int, np.ndarray | None]] = {}
     for rows, x in _by_length(_chunk(ends, "embedding")):
-        ids = _chunk(ends, "num").to_numpy()[rows]
-        found = curve_keys(_unit(x), ids, _maps(x.shape[1], most, axes, seed), bits)
-        at |= {int(i): (x.shape[1], found[:, j]) for j, i in enumerate(ids)}
+        ids, width = _chunk(ends, "num").to_numpy()[rows], x.shape[1]
+        if width in keys:
+            found = curve_keys(_unit(x), ids, _maps(width, most, axes, seed), fits[width], bits)
+        at |= {int(i): (width, found[:, j] if width in keys else None) for j, i in enumerate(ids)}
     # the pairs by length, each curve's keys of both ends
     pairs: dict[int, list[np.ndarray]] = {}
     for width in keys:
         own = [(at[a][1], at[b][1]) for a, b in near if at[a][0] == width]
         if own:
             pairs[width] = [np.stack(x, axis=1) for x in zip(*own)]
-    lost = sum(at[a][0] not in keys for a, _ in near)  # rare lengths: one run, always met
-    best: tuple[float, int, int] | None = None
+    # as the pairs are taken by their lengths; rare lengths: one run, always met
+    lost = [i for i, (a, _) in enumerate(near) if at[a][0] not in keys]
+    order = [*lost, *(i for width in pairs for i, (a, _) in enumerate(near) if at[a][0] == width)]
+    best: tuple[float, int, int, int] | None = None
     for many in runs:
-        met = [np.ones((most, lost), dtype=bool)]
+        met = [np.ones((most, len(lost)), dtype=bool)]
         for width, (a, b) in pairs.items():
             cuts = _cuts(keys[width], many * keys[width].shape[1] / picked.num_rows)
             apart = [np.searchsorted(c, x, "right") - np.searchsorted(c, y, "right") for c, x, y in zip(cuts, a, b, strict=True)]
@@ -283,10 +336,54 @@ def choose_layout(classes: DataFrame, k: int, curves, runs, axes: int, bits: int
         found = np.maximum.accumulate(np.concatenate(met, axis=1), axis=0)
         for c in curves:
             share = c * min(1.0, (2 * REACH + 1) / many)
-            if (not near or found[c - 1].mean() >= recall) and (best is None or (share, c) < best[:2]):
-                best = (share, c, many)
-    _, c, many = best or (1.0, 1, 1)
-    return Layout(c, axes, bits, seed, {w: _cuts(s, many * s.shape[1] / picked.num_rows)[:c] for w, s in keys.items()})
+            for code, price in CODES.items():
+                told = found[c - 1] & (places[code][order] <= _kept(k, rerank, c)) if near else None
+                if (not near or told.mean() >= recall) and (best is None or (share * price, c) < best[:2]):
+                    best = (share * price, c, many, code)
+    _, c, many, code = best or (1.0, 1, 1, max(CODES))
+    cuts = {w: _cuts(s, many * s.shape[1] / picked.num_rows)[:c] for w, s in keys.items()}
+    return Layout(c, axes, bits, seed, cuts, {w: f[:c] for w, f in fits.items()}, code)
+
+
+def _code_places(classes: DataFrame, near: list[tuple[int, int]], ends: pa.Table) -> dict[int, np.ndarray]:
+    """For each code and each pair of ``near``: how many rows are at least as
+    near the query by the code as the neighbour is, itself included."""
+    sides: dict[int, tuple] = {}
+    nums = _chunk(ends, "num").to_numpy()
+    for rows, x in _by_length(_chunk(ends, "embedding")):
+        spot = {int(n): i for i, n in enumerate(nums[rows])}
+        own = [i for i, (a, _) in enumerate(near) if a in spot]
+        if own:
+            asks, inverse = np.unique([spot[near[i][0]] for i in own], return_inverse=True)
+            sides[x.shape[1]] = (np.array(own), _unit(x), asks, inverse, np.array([spot[near[i][1]] for i in own]))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = {code: np.zeros(len(near), dtype=np.int64) for code in CODES}
+        bars: dict[tuple[int, int], tuple] = {}
+        for width, (own, unit, asks, inverse, to) in sides.items():
+            for code in CODES:
+                q, c = (from_codes(short_codes(unit[i], code), code) for i in (asks, to))
+                # products of other shapes may differ in the last digits
+                bars[width, code] = (own, q, inverse, np.einsum("ij,ij->i", q[inverse], c) - 4 * np.finfo(q.dtype).eps)
+        for batch in batches:
+            for _, x in _by_length(batch.column("embedding")):
+                for lo in range(0, len(x) if x.shape[1] in sides else 0, 2048):
+                    unit = _unit(x[lo : lo + 2048])
+                    for code in CODES:
+                        own, q, inverse, bar = bars[x.shape[1], code]
+                        scores = np.sort(q @ from_codes(short_codes(unit, code), code).T, axis=1)
+                        below = [np.searchsorted(scores[i], b) for i, b in zip(inverse.tolist(), bar, strict=True)]
+                        count[code][own] += len(unit) - np.array(below)
+        flat = [pa.array(np.arange(len(near))), *(pa.array(count[c]) for c in CODES)]
+        yield pa.RecordBatch.from_arrays(flat, names=["pair", *(f"c{c}" for c in CODES)])
+
+    told = classes.select("embedding").mapInArrow(counted, ", ".join(["pair long", *(f"c{c} long" for c in CODES)]))
+    rows = told.groupBy("pair").agg(*(F.sum(f"c{c}").alias(f"c{c}") for c in CODES)).collect() if near else []
+    out = {code: np.zeros(len(near), dtype=np.int64) for code in CODES}
+    for r in rows:
+        for code in CODES:
+            out[code][r["pair"]] = r[f"c{code}"]
+    return out
 
 
 def _chunk(table: pa.Table, name: str) -> pa.Array:
@@ -307,7 +404,7 @@ def _true_neighbours(classes: DataFrame, k: int) -> list[tuple[int, int]]:
     asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for width in {len(r["embedding"]) for r in sample}:
         own = [r for r in sample if len(r["embedding"]) == width]
-        asked[width] = (np.array([r["num"] for r in own]), np.array([r["embedding"] for r in own], dtype=np.float64))
+        asked[width] = (np.array([r["num"] for r in own]), _scaled(np.array([r["embedding"] for r in own], dtype=np.float64)))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {int(n): [] for nums, _ in asked.values() for n in nums}
@@ -317,7 +414,7 @@ def _true_neighbours(classes: DataFrame, k: int) -> list[tuple[int, int]]:
                 if x.shape[1] not in asked:
                     continue
                 nums, q = asked[x.shape[1]]
-                for i, near, score in _top(q, x, ids[rows], k + 1):
+                for i, near, score in _top(q, _scaled(x), ids[rows], k + 1):
                     n = int(nums[i])
                     best[n] = sorted(best[n] + list(zip((-score).tolist(), ids[rows][near].tolist())))[: k + 1]
         flat = [(n, c, -s) for n, found in best.items() for s, c in found]
@@ -337,7 +434,7 @@ def _candidates(classes: DataFrame, layout: Layout, k: int, rerank: int) -> Data
     """(qnum, num): for each query the ``rerank`` rows met on the curves that
     are nearest by their codes."""
     sent = classes.sparkSession.sparkContext.broadcast(layout)
-    keep = max(k + 5, -(-2 * rerank // layout.curves))  # of a query's list from one stretch of a curve
+    keep, bits = _kept(k, rerank, layout.curves), layout.code
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows and queries, packed by the stretches of runs that they go to."""
@@ -347,7 +444,7 @@ def _candidates(classes: DataFrame, layout: Layout, k: int, rerank: int) -> Data
             asks = batch.column("asked").to_numpy(zero_copy_only=False)
             for rows, x in _by_length(batch.column("embedding")):
                 unit, width = _unit(x), x.shape[1]
-                codes, ids, ask = short_codes(unit), nums[rows], np.flatnonzero(asks[rows])
+                codes, ids, ask = short_codes(unit, bits), nums[rows], np.flatnonzero(asks[rows])
                 lines = []
                 for curve, run in enumerate(plan.runs(unit, ids)):
                     own = run // STRETCH
@@ -371,17 +468,17 @@ def _candidates(classes: DataFrame, layout: Layout, k: int, rerank: int) -> Data
             columns = [batch.column(c).to_pylist() for c in ("width", "curve", "stretch", *_PARTS)]
             for line in zip(*columns, strict=True):
                 if held and held[-1][:3] != line[:3]:
-                    yield from _stretch(held, keep)
+                    yield from _stretch(held, keep, bits)
                     held = []
                 held.append(line)
         if held:
-            yield from _stretch(held, keep)
+            yield from _stretch(held, keep, bits)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for qnum, lists in zip(batch.column("qnum").to_pylist(), batch.column("lists").to_pylist(), strict=True):
                 nums = np.concatenate([np.frombuffer(x["nums"], np.int64) for x in lists])
-                scores = np.concatenate([np.frombuffer(x["scores"], np.float32) for x in lists])
+                scores = np.concatenate([np.frombuffer(x["scores"], np.float64) for x in lists])
                 order = np.lexsort((nums, -scores))
                 _, first = np.unique(nums[order], return_index=True)
                 best = nums[order][np.sort(first)[:rerank]]
@@ -396,9 +493,9 @@ def _candidates(classes: DataFrame, layout: Layout, k: int, rerank: int) -> Data
     return lists.mapInArrow(merged, "qnum long, num long")
 
 
-def _stretch(lines: list[tuple], keep: int) -> Iterator[pa.RecordBatch]:
+def _stretch(lines: list[tuple], keep: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Queries of a stretch against the rows of their run and those beside it."""
-    width = (lines[0][0] + 1) // 2
+    width = _code_bytes(lines[0][0], bits)
     kinds = (np.int32, np.int64, np.uint8)
     runs, nums, codes, q_runs, q_nums, q_codes = (
         np.concatenate([np.frombuffer(line[3 + i], kinds[i % 3]) for line in lines]) for i in range(6)
@@ -406,8 +503,8 @@ def _stretch(lines: list[tuple], keep: int) -> Iterator[pa.RecordBatch]:
     if not len(runs) or not len(q_runs):
         return
     order, q_order = np.argsort(runs, kind="stable"), np.argsort(q_runs, kind="stable")
-    runs, nums, rows = runs[order], nums[order], from_codes(codes.reshape(-1, width)[order])
-    q_runs, q_nums, asks = q_runs[q_order], q_nums[q_order], from_codes(q_codes.reshape(-1, width)[q_order])
+    runs, nums, rows = runs[order], nums[order], from_codes(codes.reshape(-1, width)[order], bits)
+    q_runs, q_nums, asks = q_runs[q_order], q_nums[q_order], from_codes(q_codes.reshape(-1, width)[q_order], bits)
     out: list[tuple] = []
     for run in np.unique(q_runs):
         lo, hi = np.searchsorted(runs, [run - REACH, run + REACH + 1])
@@ -420,7 +517,7 @@ def _stretch(lines: list[tuple], keep: int) -> Iterator[pa.RecordBatch]:
             best = np.argpartition(-scores, few - 1, axis=1)[:, :few]
             found = np.take_along_axis(scores, best, axis=1)
             out += [
-                (int(q_nums[at + i]), nums[lo + best[i]].tobytes(), found[i].astype(np.float32).tobytes()) for i in range(len(best))
+                (int(q_nums[at + i]), nums[lo + best[i]].tobytes(), found[i].astype(np.float64).tobytes()) for i in range(len(best))
             ]
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["qnum", "nums", "scores"])
@@ -431,6 +528,7 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = np.empty(batch.num_rows)
         for rows, q in _by_length(batch.column("qv")):
             c = np.stack([batch.column("embedding")[int(i)].values.to_numpy(zero_copy_only=False) for i in rows]).astype(np.float64)
+            q, c = _scaled(q), _scaled(c)
             scores[rows] = np.einsum("ij,ij->i", q, c) / (np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1))
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores)], names=["qnum", "cid", "ids", "score"])
 

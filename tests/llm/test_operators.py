@@ -434,6 +434,30 @@ def test_ann_of_few_rows_is_exact(spark):
     assert {(r.query_id, r.vec_id) for r in got} == _neighbours(x, np.arange(0, 300, 3), 5)
 
 
+@pytest.mark.parametrize("kind", ["offset", "spike", "copies", "tiny"])
+def test_ann_finds_neighbours_that_short_codes_do_not_tell_apart(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 16))
+    if kind == "offset":  # all near one direction
+        x = 200 + x
+    elif kind == "spike":  # one component hides the others
+        x[:, 0] = 1000
+    elif kind == "copies":  # large groups of near copies
+        x = x[rng.integers(0, 6, 3000)] + 1e-4 * x
+    else:
+        x *= 1e-200
+    frame = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(frame, F.col("vec_id") % 50 == 0, 5).collect()
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 3000, 50):
+        apart = ((unit - unit[q]) ** 2).sum(axis=1)
+        apart[q] = np.inf
+        hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(apart, kind="stable")[:5].tolist()))
+    assert len(got) == 300 and hit >= 0.9 * 300
+
+
 def test_short_codes():
     x = np.random.default_rng(4).normal(size=(50, 33))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
