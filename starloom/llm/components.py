@@ -21,12 +21,29 @@ from starloom.llm.skew import split_join
 from starloom.llm.store import stored
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """Large star: each node's larger neighbours point at its least known node."""
+def _least(edges: DataFrame) -> DataFrame:
+    """(src, least, m, low, high, larger) of every node: the least of it and its
+    neighbours, how many there are, its least and greatest smaller neighbour and
+    the number of larger ones."""
     both = edges.union(edges.select("dst", "src"))
-    least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"), F.count("*").alias("m"))
-    out = split_join(both.where(F.col("dst") > F.col("src")), stored(least, "least"), "src", "m")
-    return out.select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
+    smaller = F.when(F.col("dst") < F.col("src"), F.col("dst"))
+    return both.groupBy("src").agg(
+        F.least(F.min("dst"), F.col("src")).alias("least"), F.count("*").alias("m"),
+        F.min(smaller).alias("low"), F.max(smaller).alias("high"), F.count_if(F.col("dst") > F.col("src")).alias("larger"),
+    )
+
+
+def _are_stars(least: DataFrame) -> bool:
+    """Whether each node points at one centre, and no centre points on."""
+    return least.where("low < high OR (low IS NOT NULL AND larger > 0)").isEmpty()
+
+
+def _stars(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Large star on edges src > dst: each node's larger neighbours point at its
+    least known node.  (Equal rows are left to the small star.)"""
+    down = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    out = split_join(down, least.select("src", "least", "m"), "src", "m")
+    return out.select(F.col("dst").alias("src"), F.col("least").alias("dst"))
 
 
 def _small_stars(edges: DataFrame) -> DataFrame:
@@ -37,15 +54,6 @@ def _small_stars(edges: DataFrame) -> DataFrame:
     return out.where(F.col("src") != F.col("dst")).union(least.select("src", "least")).distinct()
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether each node points at one centre, and no centre points on."""
-    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("centre")).union(
-        edges.select("dst", F.lit(0), F.lit(1))
-    )
-    nodes = ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("centre").alias("centre"))
-    return nodes.where("points > 1 OR (points > 0 AND centre > 0)").isEmpty()
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst); the component
     is its smallest node.  Nulls and loops are ignored."""
@@ -53,8 +61,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
     )
     edges = stored(edges.distinct(), "edges")
-    while not _are_stars(edges):
-        edges = stored(_small_stars(stored(_stars(edges), "edges")), "edges")
+    # one grouping a round serves the test and the large star
+    while not _are_stars(least := stored(_least(edges), "least")):
+        edges = stored(_small_stars(stored(_stars(edges, least), "edges")), "edges")
     roots = edges.select("dst").distinct()
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(
         roots.select("dst", "dst")

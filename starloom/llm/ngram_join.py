@@ -64,7 +64,7 @@ def _blocks(keys: DataFrame, broadcast_rows: int) -> DataFrame:
     buckets = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("m")).where("m > 1")
     buckets = stored(buckets, "ngram-buckets")
     edges = split_join(keys, buckets, "key", "m", broadcast_rows).where("cid <> hub")
-    edges = stored(edges.select(F.col("cid").alias("src"), F.col("hub").alias("dst")).distinct(), "ngram-edges")
+    edges = edges.select(F.col("cid").alias("src"), F.col("hub").alias("dst"))
     return connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("block"))
 
 
