@@ -52,9 +52,16 @@ class Format:
     day_first: bool | None = None
 
     def fits(self, cell: Column) -> Column:
-        shaped = cell.rlike(self.shape)
+        # cheap looks first: most cells fit few formats, and patterns cost more
+        size, first = F.length(cell), F.ascii(cell)
+        if self.dtype in ("bigint", "double"):
+            shaped = first.between(ord("-"), ord("9")) & cell.rlike(self.shape)
+        elif self.dtype == "date":
+            shaped = (size == 10) & cell.rlike(self.shape)
+        else:
+            shaped = (size >= 16) & first.between(ord("0"), ord("9")) & cell.rlike(self.shape)
         if self.dtype == "double":
-            return shaped & (F.length(F.regexp_replace(F.regexp_replace(cell, "[eE].*", ""), "[^0-9]", "")) <= DOUBLE_DIGITS)
+            return shaped & ((size <= DOUBLE_DIGITS) | (F.length(F.regexp_replace(F.regexp_replace(cell, "[eE].*", ""), "[^0-9]", "")) <= DOUBLE_DIGITS))
         return shaped if self.dtype == "bigint" else shaped & self.value(cell).isNotNull()
 
     def value(self, cell: Column) -> Column:
@@ -108,8 +115,9 @@ def column_types(model: dict[str, DataFrame], tolerance: float = 0.0, day_first:
     votes = cells.where(~is_missing(value) & ~is_blank(value))
     marks = [F.when(f.fits(value), F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(FORMATS)]
     mask = sum(marks[1:], marks[0])
-    # one pass: the AND of the masks, and how many cells fit each format
-    fit = [F.count_if(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).alias(f"fit{i}") for i in range(len(FORMATS))]
+    # one pass: the AND of the masks, and with a tolerance how many cells fit each
+    # format (without one all cells fit the format that is chosen)
+    fit = [F.count_if(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).alias(f"fit{i}") for i in range(len(FORMATS) if tolerance > 0 else 0)]
     seen = votes.select("tidx", "pos", mask.alias("mask")).groupBy("tidx", "pos").agg(
         F.count("*").alias("cells"), F.bit_and("mask").alias("mask"), *fit
     )
@@ -126,7 +134,7 @@ def column_types(model: dict[str, DataFrame], tolerance: float = 0.0, day_first:
             twin = next(j for j, g in enumerate(FORMATS) if g.shape == f.shape and j != i)
             fine = fine & (~within[twin] | F.lit(day_first is not None and day_first == f.day_first))
         chosen = F.when(fine, F.lit(f.name)).otherwise(chosen)
-        rejects = F.when(fine, F.col("cells") - F.col(f"fit{i}")).otherwise(rejects)
+        rejects = F.when(fine, F.col("cells") - F.col(f"fit{i}") if tolerance > 0 else F.lit(0).cast("long")).otherwise(rejects)
     return _named(columns, seen.select("tidx", "pos", "cells", chosen.alias("format"), rejects.alias("rejects")))
 
 
