@@ -14,11 +14,14 @@ Pieces are never cut, so a segment joins with itself alone.
   semi-join) are extended again; from length 2 on they are persisted before.
 
 The semi-join's right side is broadcast as 64-bit hashes up to
-``BROADCAST_GROUPS`` groups; beyond, each segment's distinct groups meet the
-frequent ones by a shuffled semi-join and go back to their segment.  Both keep
+``BROADCAST_GROUPS`` groups and as a Bloom filter of at most ``FILTER_BYTES``
+up to ``FILTER_GROUPS``; beyond, each segment's distinct groups meet the
+frequent ones by a shuffled semi-join and go back to their segment.  All keep
 every frequent group; what else a hash lets through is not frequent and falls
 out of the next count, so results are exact either way.
 
+A worker holds one Arrow batch of about ``BATCH_BYTES`` and one segment.
+
 Words are carried as 64-bit hashes of language and word.  A second hash of each
 tells whether two share the first; then all but one of them get another, and
 the texts are cut anew.  The words themselves are fetched for candidates only.
@@ -42,11 +45,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.store import stored
+from starloom.llm.store import arrow_batches, stored
 from starloom.llm.text_bytes import blocks, lowered, mix
 
 SEGMENT_BYTES = 2 << 20
 BROADCAST_GROUPS = 2_000_000
+#: bytes of a Bloom filter, and the groups up to which one is made (four bits each)
+FILTER_BYTES = 32 << 20
+FILTER_GROUPS = 64_000_000
+BATCH_BYTES = 4 << 20
 SLICES = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,13 +146,73 @@ def _group_keys(words: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are among the known ones, which are sorted."""
+def _among(values: np.ndarray, known: np.ndarray | Filter) -> np.ndarray:
+    """Which values are among the known ones, which are sorted or in a filter."""
+    if isinstance(known, Filter):
+        return known.has(values)
     if not len(known):
         return np.zeros(len(values), dtype=bool)
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+class Filter:
+    """A Bloom filter of group keys: ``SLICES`` parts of ``2**log`` bits each.  A
+    key's first bits choose its part; ``probes`` of its bits are set there."""
+
+    def __init__(self, log: int, probes: int, bits: np.ndarray) -> None:
+        self.log, self.probes, self.bits = log, probes, bits
+
+    @staticmethod
+    def shape(groups: int) -> tuple[int, int]:
+        """``log`` and ``probes`` for so many groups: ten bits each at least, as
+        far as ``FILTER_BYTES`` go."""
+        most = (FILTER_BYTES * 8 // SLICES).bit_length() - 1
+        log = min(max((10 * groups // SLICES).bit_length(), 6), most)
+        return log, min(4, max(1, round(0.7 * (SLICES << log) / max(groups, 1))))
+
+    @staticmethod
+    def slices(keys: np.ndarray) -> np.ndarray:
+        return keys >> np.uint64(64 - SLICES.bit_length() + 1)
+
+    @staticmethod
+    def places(keys: np.ndarray, log: int, probes: int) -> Iterator[np.ndarray]:
+        """Each probe's bit within the key's part."""
+        for i in range(1, probes + 1):
+            yield mix(keys + np.uint64(int(_GOLD) * i % (1 << 64))) >> np.uint64(64 - log)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        base = self.slices(keys) << np.uint64(self.log)
+        found = np.ones(len(keys), dtype=bool)
+        for place in self.places(keys, self.log, self.probes):
+            at = base + place
+            found &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+        return found
+
+
+def _filter(groups: DataFrame, n: int):
+    """A broadcast :class:`Filter` of ``n`` groups (w1 .. wk).  Its parts are made
+    apart, so neither a task nor the driver holds the groups themselves."""
+    log, probes = Filter.shape(n)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _group_keys([column.to_numpy().view(np.uint64) for column in batch.columns])
+            yield pa.RecordBatch.from_arrays([pa.array(Filter.slices(found).astype(np.int32)), pa.array(found.view(np.int64))], names=["slice", "key"])
+
+    def part(table: pa.Table) -> pa.Table:
+        found = table.column("key").to_numpy().view(np.uint64)
+        bits = np.zeros(1 << (log - 3), dtype=np.uint8)
+        for place in Filter.places(found, log, probes):
+            np.bitwise_or.at(bits, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()])})
+
+    parts = groups.mapInArrow(keys, "slice int, key long").groupBy("slice").applyInArrow(part, "slice int, bits binary").collect()
+    bits = np.zeros(SLICES << (log - 3), dtype=np.uint8)
+    for r in parts:
+        bits[r["slice"] << (log - 3) : (r["slice"] + 1) << (log - 3)] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return groups.sparkSession.sparkContext.broadcast(Filter(log, probes, bits))
+
+
 _VOCABULARY = ["items", "counts", "checks", "langs", "words"]
 
 
@@ -207,35 +274,42 @@ def _word_counts(segments: DataFrame) -> DataFrame:
     return parts.groupBy("w1").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("low").alias("high"))
 
 
-def _words_of(segments: DataFrame, needed: DataFrame, limit: int) -> DataFrame:
+def _words_of(segments: DataFrame, needed: DataFrame, limits: Limits) -> DataFrame:
     """Distinct (w1, lang, word) of the items ``needed`` (w1)."""
-    known = None
-    if needed.count() <= limit:
-        known = _sent(needed.select("w1"), lambda words: np.sort(words[0]))
+    needed = needed.select("w1")
+    known, exact = _known(needed, limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 items, langs = (_unpack(batch.column(c)[i].as_py()) for c in ("items", "langs"))
-                here = np.flatnonzero(_among(items, known.value)) if known else np.arange(len(items))
+                here = np.flatnonzero(_among(mix(items), known.value)) if known else np.arange(len(items))
                 words = _unzip(batch.column("words")[i].as_py()).split(b"\n")
                 names = batch.column("lang_names")[i].as_py()
                 columns = [items[here].view(np.int64), [names[c] for c in langs[here].tolist()], [words[k].decode() for k in here.tolist()]]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c, pa.string()) for c in columns[1:])], names=["w1", "lang", "word"])
 
     rows = segments.select("items", "langs", "words", "lang_names").mapInArrow(run, "w1 long, lang string, word string")
-    return (rows if known else rows.join(needed.select("w1"), "w1", "left_semi")).distinct()
+    return (rows if exact else rows.join(needed, "w1", "left_semi")).distinct()
 
 
-def _sent(groups: DataFrame, form: Callable[[list[np.ndarray]], np.ndarray]):
-    """A broadcast of what ``form`` makes of the words of some groups, whose
-    number was checked."""
-    rows = groups.toArrow()
-    words = [rows.column(c).to_numpy().view(np.uint64) for c in rows.column_names]
-    return groups.sparkSession.sparkContext.broadcast(form(words))
+#: groups up to which their keys are broadcast, and up to which a filter is
+Limits = tuple[int, int]
 
 
-def _vocabulary(docs: DataFrame, bits: int, limit: int) -> tuple[DataFrame, DataFrame]:
+def _known(groups: DataFrame, limits: Limits):
+    """A broadcast of the keys of some groups (w1 .. wk), or of a filter of them,
+    or None where they are too many; and whether it lets no other key through
+    but by a clash of hashes."""
+    n = groups.count()
+    if n <= limits[0]:
+        rows = groups.toArrow()
+        words = [rows.column(c).to_numpy().view(np.uint64) for c in rows.column_names]
+        return groups.sparkSession.sparkContext.broadcast(np.sort(_group_keys(words))), True
+    return (_filter(groups, n) if n <= limits[1] else None), False
+
+
+def _vocabulary(docs: DataFrame, bits: int, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """The segments of length 1 and the count of each word (w1, n), where no
     two words share an item."""
     renamed: Renamed = {}
@@ -247,7 +321,7 @@ def _vocabulary(docs: DataFrame, bits: int, limit: int) -> tuple[DataFrame, Data
             return segments, counts.select("w1", "n")
         # hashes of 64 bits that meet are few; all but the least word move
         stays = Window.partitionBy("w1").orderBy("lang", "word")
-        moves = _words_of(segments, shared, limit).withColumn("place", F.row_number().over(stays)).where("place > 1")
+        moves = _words_of(segments, shared, limits).withColumn("place", F.row_number().over(stays)).where("place > 1")
         for r in moves.collect():
             tag = hashlib.blake2b(f"{r['lang']}\n{r['word']}".encode(), digest_size=8, salt=str(len(renamed)).encode()).digest()
             renamed[r["lang"], r["word"]] = (r["w1"] % (1 << 64), int.from_bytes(tag, "little"))
@@ -306,13 +380,13 @@ class Relation:
 
         return self._map(make, ", ".join(f"{n} long" for n in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n"))
 
-    def frequent(self, groups: DataFrame, limit: int) -> Relation:
+    def frequent(self, groups: DataFrame, limits: Limits) -> Relation:
         """The occurrences of the groups (w1 .. wk)."""
         names = [f"w{i + 1}" for i in range(self.length)]
         groups = groups.select(*names)
-        if groups.count() <= limit:
-            step = _Frequent(None, _sent(groups, lambda words: np.sort(_group_keys(words))))
-            return Relation(self.segments, self.k, (*self.steps, step))
+        known, _ = _known(groups, limits)
+        if known:
+            return Relation(self.segments, self.k, (*self.steps, _Frequent(None, known)))
 
         def make(segment: Segment, batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
             words, n = segment.groups()
@@ -349,22 +423,28 @@ def phrase_collocations(
     top: int = 2000,
     broadcast_groups: int = BROADCAST_GROUPS,
     bits: int = 64,
+    filter_groups: int = FILTER_GROUPS,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases
     of two or three words that occur ``least`` times or more, without those
     that occur inside a longer one ``inside_percent`` of their times or more.
     ``bits``: width of the words' hashes."""
-    segments, counted = _vocabulary(docs, bits, broadcast_groups)
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):  # all that workers do is written within
+        return _phrases(docs, least, inside_percent, top, (broadcast_groups, filter_groups), bits)
+
+
+def _phrases(docs: DataFrame, least: int, inside_percent: int, top: int, limits: Limits, bits: int) -> DataFrame:
+    segments, counted = _vocabulary(docs, bits, limits)
     totals = segments.select(F.explode(F.map_from_arrays("lang_names", "lang_counts")).alias("lang", "n"))
     totals = totals.groupBy("lang").agg(F.sum("n").alias("total")).where("total > 0")
     often = F.col("n") >= least
     singles = stored(counted.where(often), "phrases-singles")
-    one = Relation(segments, 1).frequent(singles, broadcast_groups).extended()
+    one = Relation(segments, 1).frequent(singles, limits).extended()
     pairs = stored(one.counts().where(often), "phrases-pairs")
-    two = one.frequent(pairs, broadcast_groups).persisted().extended()
+    two = one.frequent(pairs, limits).persisted().extended()
     triples = stored(two.counts().where(often), "phrases-triples")
     used = pairs.select(F.explode(F.array("w1", "w2")).alias("w1")).distinct()
-    words = stored(_words_of(segments, used, broadcast_groups).join(singles, "w1"), "phrases-words")
+    words = stored(_words_of(segments, used, limits).join(singles, "w1"), "phrases-words")
 
     def word(at: str, tag: str) -> DataFrame:
         return words.select(F.col("w1").alias(at), F.col("word").alias(f"t{tag}"), F.col("n").alias(f"f{tag}"))

@@ -105,3 +105,41 @@ def test_packed_numbers_come_back():
         assert np.array_equal(collocations._unpack(collocations._pack(x)), x)
     x = np.array([(1 << 64) - 1, 0], dtype=np.uint64)
     assert np.array_equal(collocations._unpack(collocations._pack(x)), x)
+
+
+@pytest.mark.parametrize("limit, filtered, known", [(0, 10**6, False), (0, 0, True), (10**6, 0, False)])
+def test_many_frequent_groups_do_not_move_the_segments(spark, monkeypatch, rows, limit, filtered, known):
+    """Beyond the broadcast's limit a filter of bounded size is sent to the
+    segments; only beyond its own limit are they shuffled."""
+    tags, kept = [], collocations.stored
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(size)
+
+    def stored(df, tag):
+        tags.append((tag, int(spark.conf.get(size).rstrip("b"))))
+        return kept(df, tag)
+
+    monkeypatch.setattr(collocations, "stored", stored)
+    reach_workers(spark)
+    docs = spark.createDataFrame([(t, g) for g, t in rows], "text string, lang string").repartition(3)
+    got = collocations.phrase_collocations(docs, 10, 50, 2000, limit, filter_groups=filtered)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 10, 50, 2000)
+    assert ("phrases-known" in {t for t, _ in tags}) == known
+    assert {n for _, n in tags} == {collocations.BATCH_BYTES} and spark.conf.get(size) == before
+
+
+@pytest.mark.parametrize("groups", [1, 300, 20000])
+def test_filter_keeps_every_key_and_few_others(spark, groups):
+    reach_workers(spark)
+    words = np.random.default_rng(groups).integers(0, 1 << 63, (groups, 2))
+    frame = spark.createDataFrame(words.tolist(), "w1 long, w2 long")
+    found = collocations._filter(frame, groups).value
+    assert found.has(collocations._group_keys([words[:, 0].astype(np.uint64), words[:, 1].astype(np.uint64)])).all()
+    others = collocations.mix(np.arange(50000, dtype=np.uint64) + np.uint64(7))
+    assert found.has(others).mean() < 0.05
+
+
+def test_filter_has_a_bounded_size():
+    for groups in (0, 10**6, collocations.FILTER_GROUPS, 10**10):
+        log, probes = collocations.Filter.shape(groups)
+        assert collocations.SLICES << log <= 8 * collocations.FILTER_BYTES and probes >= 1
