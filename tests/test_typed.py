@@ -6,6 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from starloom.operators import build as bd
 from starloom.operators import classify as cl
 from starloom.operators import profile as pr
 from starloom.operators import typed as ty
@@ -108,3 +109,33 @@ def test_folder_listing_and_csv_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     with pytest.raises(FileNotFoundError):
         list_folder(spark, f"{d}/nothing")
+
+
+def test_types_and_counts_from_one_look_at_the_texts(spark, monkeypatch, raw):
+    """Each distinct text votes and is typed once; types, rows and counts are
+    those of the cells themselves."""
+    rows = [("-0", "1.0", " " * 70, "x" * 80), ("0", "1", "7", "x" * 80), ("0.0", None, "", "y" * 80), (None, "1.00", "7", "1" * 70)]
+    model = raw | {"v": spark.createDataFrame(rows, "zero string, one string, wide string, text string")}
+    types = ty.column_types(model).collect()
+    want = ty.typed_model(model)
+    counted = sorted(map(str, pr.value_counts(want).collect()))
+    made, whole = [], ty.value_counts
+    monkeypatch.setattr(ty, "value_counts", lambda m: made.append(m) or whole(m))
+    got, counts = ty.counted_model(model)
+    assert made == [model]
+    assert sorted(map(str, counts.collect())) == counted
+    assert {n: (df.dtypes, sorted(map(str, df.collect()))) for n, df in got.items()} == {n: (df.dtypes, sorted(map(str, df.collect()))) for n, df in want.items()}
+    assert "rlike" not in got["v"]._jdf.queryExecution().analyzed().toString().lower()
+    told = ty.column_types(model, counts=ty.value_counts(model))
+    assert sorted(map(str, told.collect())) == sorted(map(str, types))
+    loose = [sorted(map(str, ty.column_types(model, 0.3, counts=c).collect())) for c in (None, ty.value_counts(model))]
+    assert loose[0] == loose[1]
+
+
+def test_key_numbers_travel_as_bytes(spark):
+    facts = {n: spark.createDataFrame([(i,) for i in range(40)] + [(None,), (3,)], "k int") for n in ("a", "b")}
+    keyed = bd.composite_keys(facts, {"a": ["k"], "b": ["k"]})
+    rows = {(n, r["k"]): r[f"%Key_{n}"] for n, df in keyed.items() for r in df.collect()}
+    hashed = {(n, r["k"]): r[f"%Key_{n}"] for n, df in bd.composite_keys(facts, {"a": ["k"], "b": ["k"]}, mode="hash").items() for r in df.collect()}
+    assert rows == {x: i + 1 for i, x in enumerate(sorted(hashed, key=hashed.get))}
+    assert "unhex" in keyed["a"]._jdf.queryExecution().analyzed().toString()
