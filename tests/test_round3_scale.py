@@ -100,3 +100,62 @@ def test_linking_tables_are_not_measured(spark, monkeypatch):
     model = ChartModel(tables, linking=["link", "dates"])
     assert sorted(map(tuple, model.aggregate(["Year"], ask).collect())) == want
     assert not model._unique
+
+
+def _built(spark, key_mode):
+    """Two facts with a shared field and dates; grains repeat and are null."""
+    orders = [(1, "2020-01-05", 10.0), (2, "2021-02-06", 20.0), (2, "2021-02-06", 5.0), (None, "2020-07-01", 1.0), (3, None, 9.0)]
+    lines = [(1, 1, "2020-02-01", 3.0), (1, 2, "2021-02-01", 4.0), (1, 2, "2022-02-01", 4.0), (7, 1, None, 6.0), (None, None, "2021-01-01", 2.0)]
+    renamed = {
+        "orders": spark.createDataFrame(orders, "Order int, ordered string, total double"),
+        "lines": spark.createDataFrame(lines, "Order int, line int, shipped string, price double"),
+    }
+    facts, shared, dates = list(renamed), ["Order"], [("orders", "ordered"), ("lines", "shipped")]
+    keyed = bd.composite_keys(renamed, {"orders": ["Order"], "lines": ["Order", "line"]}, mode=key_mode)
+    tables = {f: bd.drop_fields(keyed[f], shared) for f in facts} | {
+        "LinkTable": bd.link_table(keyed, shared), "CanonicalDateBridge": bd.date_bridge(keyed, dates),
+        "MasterCalendar": bd.master_calendar(bd.calendar_dates(renamed, dates)),
+    }
+    light = {
+        "LinkTable": lambda columns: bd.link_table(bd.short_keys(keyed), shared, columns=columns),
+        "CanonicalDateBridge": lambda columns: bd.date_bridge(bd.short_keys(keyed), dates).select(*columns),
+    }
+    return md.BuiltModel(tables, None, keyed, None, plain=set(facts), light=light if key_mode == "hash" else {})
+
+
+def test_charts_read_what_they_need_of_link_tables(spark, monkeypatch):
+    """Neither table is written whole, hashes are bytes on the way, and what the
+    bridge says of years is written once for both facts."""
+    from starloom.operators import association
+
+    ask = {"ordered": Measure("sum", "total", "orders"), "rows": Measure("count", table="lines"), "least": Measure("min", "%Key_lines", "lines")}
+    written, whole, kept = [], md.resident, association.stage
+    monkeypatch.setattr(md, "resident", lambda df: written.append(df.columns) or whole(df))
+    monkeypatch.setattr(association, "stage", lambda df, tag: written.append((tag, df.dtypes)) or kept(df, tag))
+    built = _built(spark, "hash")
+    plain = ChartModel(built.tables)
+    want = {tuple(dims): sorted(map(str, plain.aggregate(dims, ask).collect())) for dims in (["Year"], ["%Key_orders"])}
+    assert want["Year",]
+    written.clear()
+    model = built.charts()
+    assert len(written) == 1 and written[0][0] == bd.CANONICAL_DATE  # the calendar
+    for dims, rows in want.items():
+        assert sorted(map(str, model.aggregate(list(dims), ask).collect())) == rows
+    mappings = [w[1] for w in written if w[0] == "mapping"]
+    assert mappings.count([(bd.BRIDGE_KEY, "binary"), ("Year", "int")]) == 1
+    numbered = _built(spark, "number").charts().aggregate(["Year"], {k: m for k, m in ask.items() if k != "least"})
+    both = plain.aggregate(["Year"], {k: m for k, m in ask.items() if k != "least"})
+    assert sorted(map(str, numbered.collect())) == sorted(map(str, both.collect()))
+
+
+def test_staged_rows_leave_no_shuffle_files(spark):
+    from starloom.session import stage
+
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option, None)
+    status = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    staged = stage(spark.range(1000).repartition(7).groupBy("id").count(), "test")
+    assert staged.count() == 1000 and spark.conf.get(option, None) == before
+    shuffles = status.shuffleStatuses().size()
+    stage(spark.range(1000).repartition(7, "id").distinct(), "test")
+    assert status.shuffleStatuses().size() <= shuffles
